@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import rules
+from .text import let
 
 RANGES = "array<struct<start_line:int,end_line:int>>"
 
@@ -55,12 +56,20 @@ def range_positions(edits: Column, content: Column) -> Column:
         first, last = e["range"]["start_line_number"], e["range"]["end_line_number"]
         explicit = (F.coalesce(first, F.lit(0)) != 0) & (F.coalesce(last, F.lit(0)) != 0)
         lines = _line_count(e["new_string"])
-        at = F.when(F.coalesce(content, F.lit("")) != "", F.instr(content, e["new_string"]))
-        line = _line_count(F.substring(content, F.lit(1), at - 1))
-        return (
-            F.when(explicit, F.struct(first.alias("start_line"), last.alias("end_line")))
-            .when(at > 0, F.struct(line.alias("start_line"), (line + lines - 1).alias("end_line")))
-            .otherwise(F.struct(F.lit(1).alias("start_line"), lines.alias("end_line")))
+        found = F.when(F.coalesce(content, F.lit("")) != "", F.instr(content, e["new_string"]))
+        start = let(
+            found,
+            lambda at: F.when(at > 0, _line_count(F.substring(content, F.lit(1), at - 1))),
+        )
+        return F.when(
+            explicit, F.struct(first.alias("start_line"), last.alias("end_line"))
+        ).otherwise(
+            let(
+                F.coalesce(start, F.lit(1)),
+                lambda line: F.struct(
+                    line.alias("start_line"), (line + lines - 1).alias("end_line")
+                ),
+            )
         )
 
     return F.transform(kept, position).cast(RANGES)

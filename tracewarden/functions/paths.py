@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import rules
-from .text import SPACE, truthy, utf16_length
+from .text import SPACE, let, truthy, utf16_length
 
 _STRINGS = "array<string>"
 _NEEDS_WORK = r"//|(?:^|/)\.\.?(?:/|\z)"
@@ -29,24 +29,29 @@ def _fold_segments(path: Column, absolute: Column) -> Column:
 
 def normalize_path(path: Column) -> Column:
     """Collapse ``.``, ``..`` and ``//``; keep a trailing slash; empty is ``.``."""
-    absolute = F.startswith(path, F.lit("/"))
-    body = F.array_join(_fold_segments(path, absolute), "/")
-    slash = F.when(F.endswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
-    folded = (
-        F.when(absolute & (body == ""), F.lit("/"))
-        .when(absolute, F.concat(F.lit("/"), body, slash))
-        .when(body == "", F.concat(F.lit("."), slash))
-        .otherwise(F.concat(body, slash))
-    )
-    return (
-        F.when(path == "", F.lit("."))
-        .when(path.rlike(_NEEDS_WORK), folded)
-        .otherwise(path)
+
+    def rebuild(given: Column) -> Column:
+        absolute = F.startswith(given, F.lit("/"))
+        slash = F.when(F.endswith(given, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
+        folded = F.array_join(_fold_segments(given, absolute), "/")
+        return let(
+            folded,
+            lambda body: F.when(absolute & (body == ""), F.lit("/"))
+            .when(absolute, F.concat(F.lit("/"), body, slash))
+            .when(body == "", F.concat(F.lit("."), slash))
+            .otherwise(F.concat(body, slash)),
+        )
+
+    return let(
+        path,
+        lambda given: F.when(given == "", F.lit("."))
+        .when(given.rlike(_NEEDS_WORK), rebuild(given))
+        .otherwise(given),
     )
 
 
 def _no_trailing_slash(path: Column) -> Column:
-    return F.when(path == "/", path).otherwise(F.regexp_replace(path, r"/\z", ""))
+    return F.regexp_replace(path, r"(?<=.)/\z", "")
 
 
 def resolve_against(base: Column, path: Column) -> Column:
@@ -58,15 +63,8 @@ def resolve_against(base: Column, path: Column) -> Column:
 
 
 def expand_home(path: Column, home: Column) -> Column:
-    return (
-        F.when(path == "~", home)
-        .when(F.startswith(path, F.lit("~/")), _no_trailing_home(home, path))
-        .otherwise(path)
-    )
-
-
-def _no_trailing_home(home: Column, path: Column) -> Column:
-    return normalize_path(F.concat(home, F.lit("/"), F.substr(path, F.lit(3))))
+    below = normalize_path(F.concat(home, F.lit("/"), F.substr(path, F.lit(3))))
+    return F.when(path == "~", home).when(F.startswith(path, F.lit("~/")), below).otherwise(path)
 
 
 def base_dir(cwd: Column, roots: Column, default: Column) -> Column:
@@ -76,9 +74,11 @@ def base_dir(cwd: Column, roots: Column, default: Column) -> Column:
 
 def resolve_candidate(path: Column, base: Column, home: Column) -> Column:
     """Absolute paths stay as they are; others resolve against the base."""
-    expanded = expand_home(path, home)
-    return F.when(F.startswith(expanded, F.lit("/")), expanded).otherwise(
-        resolve_against(base, expanded)
+    return let(
+        expand_home(path, home),
+        lambda full: F.when(F.startswith(full, F.lit("/")), full).otherwise(
+            resolve_against(base, full)
+        ),
     )
 
 
@@ -88,8 +88,15 @@ def basename(path: Column) -> Column:
 
 def relative_path(path: Column, root: Column) -> Column:
     """Path from ``root``; names without any directory pass through."""
-    root_dir = _no_trailing_slash(normalize_path(root))
-    full = _no_trailing_slash(normalize_path(path))
+    return let(
+        _no_trailing_slash(normalize_path(root)),
+        lambda base: let(
+            _no_trailing_slash(normalize_path(path)), lambda full: _relative(path, base, full)
+        ),
+    )
+
+
+def _relative(path: Column, root_dir: Column, full: Column) -> Column:
     a = F.filter(F.split(root_dir, "/"), lambda s: s != "")
     b = F.filter(F.split(full, "/"), lambda s: s != "")
     shared = F.aggregate(
@@ -120,8 +127,13 @@ def escapes_base(path: Column, base: Column) -> Column:
     """True when an untrusted path is absolute or leaves the base directory."""
     root = _no_trailing_slash(normalize_path(base))
     here = (path == "") | (path == ".")
-    full = resolve_against(root, path)
-    inside = (full == root) | F.startswith(full, F.concat(root, F.lit("/")))
+    inside = let(
+        root,
+        lambda top: let(
+            resolve_against(top, path),
+            lambda full: (full == top) | F.startswith(full, F.concat(top, F.lit("/"))),
+        ),
+    )
     return (
         F.when(here | path.rlike(r"^/+\z"), F.lit(False))
         .when(F.startswith(path, F.lit("/")), F.lit(True))

@@ -10,35 +10,35 @@ from pyspark.sql import Column, functions as F
 
 from . import rules
 from .paths import normalize_path
-from .text import matches, or_empty
+from .text import let, matches, or_empty
 
 VERDICT = "struct<is_safe:boolean,severity:string,reason:string>"
 
 
-def verdict(severity: str, reason: Column) -> Column:
-    """A verdict, or NULL when the reason is NULL."""
-    made = F.struct(
+def verdict(severity: str, reason: str) -> Column:
+    """A constant verdict."""
+    return F.struct(
         F.lit(severity != "block").alias("is_safe"),
         F.lit(severity).alias("severity"),
-        reason.alias("reason"),
+        F.lit(reason).alias("reason"),
     ).cast(VERDICT)
-    return F.when(reason.isNotNull(), made)
 
 
 def ok() -> Column:
-    return verdict("ok", F.lit(""))
+    return verdict("ok", "")
 
 
-def dangerous_reason(text: Column) -> Column:
-    """Reason of the first dangerous rule, else NULL."""
+def _first_rule(text: Column, table: list[tuple[str, str]], severity: str, prefix: str = "") -> Column:
+    """Verdict of the first rule that matches, else NULL: one chain of constants."""
     return F.coalesce(
-        *[F.when(matches(text, p, True), F.lit(why)) for p, why in rules.DANGEROUS_PATTERNS]
+        *[F.when(matches(text, p, True), verdict(severity, prefix + why)) for p, why in table]
     )
 
 
-def sensitive_reason(text: Column) -> Column:
+def dangerous_reason(text: Column) -> Column:
+    """Reason of the first dangerous rule, else NULL."""
     return F.coalesce(
-        *[F.when(matches(text, p, True), F.lit(why)) for p, why in rules.SENSITIVE_PATTERNS]
+        *[F.when(matches(text, p, True), F.lit(why)) for p, why in rules.DANGEROUS_PATTERNS]
     )
 
 
@@ -65,44 +65,50 @@ def sensitive_hits(text: Column) -> Column:
 
 def validate_command(command: Column) -> Column:
     return F.coalesce(
-        verdict("block", dangerous_reason(command)),
-        verdict("warn", sensitive_reason(command)),
+        _first_rule(command, rules.DANGEROUS_PATTERNS, "block"),
+        _first_rule(command, rules.SENSITIVE_PATTERNS, "warn"),
         ok(),
     )
 
 
-def protected_prefix(path: Column) -> Column:
-    """The protected directory a normalised path lies in, else NULL."""
+def _protected_prefix(path: Column, message: str) -> Column:
     return F.coalesce(
-        *[F.when(F.startswith(path, F.lit(p)), F.lit(p)) for p in rules.PROTECTED_PREFIXES]
+        *[
+            F.when(F.startswith(path, F.lit(p)), verdict("block", message + p))
+            for p in rules.PROTECTED_PREFIXES
+        ]
     )
 
 
-def protected_file(path: Column) -> Column:
-    return F.when(path.isin(rules.PROTECTED_READ_FILES), path)
+def _protected_file(path: Column, message: str) -> Column:
+    return F.coalesce(
+        *[F.when(path == p, verdict("block", message + p)) for p in rules.PROTECTED_READ_FILES]
+    )
 
 
 def validate_file_write(path: Column) -> Column:
-    clean = normalize_path(or_empty(path))
-    return F.coalesce(
-        F.when(or_empty(path) == "", ok()),
-        verdict("block", F.concat(F.lit("Write to protected path: "), protected_prefix(clean))),
-        verdict("warn", sensitive_reason(clean)),
-        ok(),
+    judged = let(
+        normalize_path(or_empty(path)),
+        lambda clean: F.coalesce(
+            _protected_prefix(clean, "Write to protected path: "),
+            _first_rule(clean, rules.SENSITIVE_PATTERNS, "warn"),
+            ok(),
+        ),
     )
+    return F.when(or_empty(path) == "", ok()).otherwise(judged)
 
 
 def validate_file_read(path: Column) -> Column:
-    clean = normalize_path(or_empty(path))
-    return F.coalesce(
-        F.when(or_empty(path) == "", ok()),
-        verdict("block", F.concat(F.lit("Read of protected system file: "), protected_file(clean))),
-        verdict(
-            "block", F.concat(F.lit("Read from protected system path: "), protected_prefix(clean))
+    judged = let(
+        normalize_path(or_empty(path)),
+        lambda clean: F.coalesce(
+            _protected_file(clean, "Read of protected system file: "),
+            _protected_prefix(clean, "Read from protected system path: "),
+            _first_rule(clean, rules.SENSITIVE_PATTERNS, "warn"),
+            ok(),
         ),
-        verdict("warn", sensitive_reason(clean)),
-        ok(),
     )
+    return F.when(or_empty(path) == "", ok()).otherwise(judged)
 
 
 def is_mcp_tool(tool: Column) -> Column:
@@ -111,8 +117,7 @@ def is_mcp_tool(tool: Column) -> Column:
 
 def task_prompt_verdict(prompt: Column) -> Column:
     """Warning for a dangerous pattern in a delegated prompt, else NULL."""
-    reason = F.concat(F.lit("Prompt contains pattern: "), dangerous_reason(prompt))
-    return verdict("warn", reason)
+    return _first_rule(prompt, rules.DANGEROUS_PATTERNS, "warn", "Prompt contains pattern: ")
 
 
 def mcp_param_hits(tool_input: Column) -> Column:
@@ -151,25 +156,32 @@ def mcp_verdict(tool_input: Column) -> Column:
             r["reason"].alias("reason"),
         )
 
-    first = F.array_min(F.transform(mcp_param_hits(tool_input), order))
-    return verdict(
-        "block",
-        F.concat(F.lit("Dangerous pattern in "), first["key"], F.lit(": "), first["reason"]),
-    )
+    def block(first: Column) -> Column:
+        reason = F.concat(
+            F.lit("Dangerous pattern in "), first["key"], F.lit(": "), first["reason"]
+        )
+        made = F.struct(
+            F.lit(False).alias("is_safe"), F.lit("block").alias("severity"), reason.alias("reason")
+        )
+        return F.when(first.isNotNull(), made.cast(VERDICT))
+
+    return let(F.array_min(F.transform(mcp_param_hits(tool_input), order)), block)
 
 
 def json_field(document: Column, name: str) -> Column:
     return F.get_json_object(document, f"$.{name}")
 
 
-def validate_tool_input(tool: Column, tool_input: Column) -> Column:
-    """Dispatch on the (case-sensitive) tool name."""
+def validate_tool_input(tool: Column, tool_input: Column, command: Column | None = None) -> Column:
+    """Dispatch on the (case-sensitive) tool name.
+
+    ``command`` overrides the command field of the input.
+    """
+    if command is None:
+        command = or_empty(json_field(tool_input, "command"))
     read_path = F.coalesce(json_field(tool_input, "file_path"), json_field(tool_input, "target_file"))
     by_tool = (
-        F.when(
-            tool.isin(rules.COMMAND_TOOLS),
-            validate_command(or_empty(json_field(tool_input, "command"))),
-        )
+        F.when(tool.isin(rules.COMMAND_TOOLS), validate_command(command))
         .when(tool.isin(rules.WRITE_TOOLS), validate_file_write(json_field(tool_input, "file_path")))
         .when(tool.isin(rules.READ_TOOLS), validate_file_read(read_path))
         .when(tool == "Task", task_prompt_verdict(or_empty(json_field(tool_input, "prompt"))))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import rules
-from .text import extract_all, java_pattern
+from .text import extract_all, java_pattern, let
 
 FINDING = (
     "struct<rule_id:string,label:string,ordinal:int,line:int,start:int,"
@@ -45,7 +45,9 @@ def _locate(text: Column, found: Column, rule_id: str, label: Column) -> Column:
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(FINDINGS).alias("out")).cast(state)
 
     def step(acc: Column, value: Column) -> Column:
-        at = F.position(value, text, acc["pos"] + 1)
+        return let(F.position(value, text, acc["pos"] + 1), lambda at: grow(acc, value, at))
+
+    def grow(acc: Column, value: Column, at: Column) -> Column:
         line = F.size(F.split(F.substring(text, F.lit(1), at), "\n"))
         finding = F.struct(
             F.lit(rule_id).alias("rule_id"),
@@ -61,8 +63,7 @@ def _locate(text: Column, found: Column, rule_id: str, label: Column) -> Column:
             F.concat(acc["out"], F.array(finding)).alias("out"),
         ).cast(state)
 
-    located = F.aggregate(found, start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, located).otherwise(F.array().cast(FINDINGS))
+    return F.aggregate(found, start, step, lambda acc: acc["out"])
 
 
 def scan_text(text: Column, label: Column) -> Column:

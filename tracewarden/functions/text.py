@@ -8,6 +8,7 @@ regex differs on all three, so ``java_pattern`` spells them out.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -42,6 +43,15 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + _ATOM.sub(_java_atom, pattern)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often it is used.
+
+    Nested expressions that name their input several times would otherwise grow
+    the plan exponentially.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return text.rlike(java_pattern(pattern, ignore_case))
 
