@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordered import DEFAULT_CHUNK, next_value
 
@@ -43,17 +43,19 @@ def flow_edges(activity: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     )
 
 
-def duration_percentiles(durations: DataFrame) -> DataFrame:
+def duration_percentiles(durations: DataFrame, accuracy: int = 100_000) -> DataFrame:
     """Median and tail of a duration per tool.
 
-    Exact percentiles over distinct values with counts: the value counts are
-    combined before the shuffle, so a hot tool is not sorted in one task.
+    A bounded sketch, merged map-side, so a hot tool is neither gathered nor
+    sorted in one task.  Ranks are exact for groups smaller than ``accuracy``.
     """
-    counted = durations.groupBy("tool_name", "duration_ms").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("tool_name").agg(
-        F.sum("n").alias("calls"),
-        F.percentile("duration_ms", 0.5, "n").alias("p50"),
-        F.percentile("duration_ms", 0.95, "n").alias("p95"),
+    def at(share: float) -> Column:
+        return F.percentile_approx("duration_ms", share, accuracy)
+
+    return durations.groupBy("tool_name").agg(
+        F.count("duration_ms").alias("calls"),
+        at(0.5).alias("p50"),
+        at(0.95).alias("p95"),
         F.max("duration_ms").alias("longest"),
     )
 
@@ -80,14 +82,16 @@ def findings_cube(findings: DataFrame) -> DataFrame:
 def file_coverage(ranges: DataFrame) -> DataFrame:
     """Edits and distinct lines covered per file.
 
-    ``ranges`` has ``path, start_line, end_line``.  Equal ranges are merged and
-    counted first, so a much-edited file brings only its distinct ranges to the
-    interval merge.
+    ``ranges`` has ``path, start_line, end_line``.  Of ranges with one start only
+    the longest matters, so even a hot file brings no more rows to the interval
+    merge than it has lines.
     """
-    distinct = ranges.groupBy("path", "start_line", "end_line").agg(F.count(F.lit(1)).alias("n"))
+    distinct = ranges.groupBy("path", "start_line").agg(
+        F.max("end_line").alias("end_line"), F.count(F.lit(1)).alias("n")
+    )
     earlier = (
         Window.partitionBy("path")
-        .orderBy("start_line", "end_line")
+        .orderBy("start_line")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     reached = F.coalesce(F.max("end_line").over(earlier), F.lit(0))

@@ -6,7 +6,7 @@ events are a narrow projection and never cross a shuffle.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,7 +33,7 @@ class Handler:
     contributor: Column | str = "ai"
     linked: bool = True  # carries the transcript url
     edit: bool = False
-    whole_edits: bool = field(default=False)  # the edit list comes with the event
+    whole_edits: bool = False  # the edit list comes with the event
 
     def applies(self) -> Column:
         here = (F.col("dialect") == self.dialect) & F.col("event_name").isin(*self.events)
@@ -186,7 +186,7 @@ def _json_list(name: str) -> Column:
     """A list of JSON texts as one JSON list; strings that are not JSON are quoted."""
     items = F.transform(
         F.coalesce(F.col(name), F.array().cast("array<string>")),
-        lambda v: F.when(v.rlike(r"^[\[{]"), v).otherwise(F.get(F.split(F.to_json(F.array(v)), r"^\[|\]$"), F.lit(1))),
+        lambda v: F.when(v.rlike(r"^[\[{]"), v).otherwise(json_value(v)),
     )
     return F.concat(F.lit("["), F.concat_ws(",", items), F.lit("]"))
 
@@ -204,9 +204,6 @@ def _pick(table: list[Handler], value) -> Column:
 
 def _edits(table: list[Handler]) -> Column:
     """Edits of the event as one array: its own list, or the tool's one edit."""
-    kind = F.schema_of_json(F.lit("{}"))  # keeps the import surface small
-    del kind
-    listed = F.col("edits")
     new_string = json_field(F.col("tool_input"), "new_string")
     single = F.array(
         F.struct(
@@ -216,7 +213,7 @@ def _edits(table: list[Handler]) -> Column:
         )
     )
     whole = _pick([h for h in table if h.whole_edits], lambda h: True)
-    return F.when(F.coalesce(whole, F.lit(False)), listed).when(
+    return F.when(F.coalesce(whole, F.lit(False)), F.col("edits")).when(
         or_empty(new_string) != "", single
     )
 
