@@ -6,27 +6,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.text import has_text, json_object, trim_space
 
-_EDIT = (
-    "struct<old_string:string,new_string:string,"
-    "range:struct<start_line_number:int,end_line_number:int>>"
+_RANGE = T.StructType(
+    [T.StructField("start_line_number", T.IntegerType()),
+     T.StructField("end_line_number", T.IntegerType())]
 )
-
-# Every field any dialect reads.  Objects asked for as STRING arrive as compact
-# JSON text with their key order kept.
-EVENT_FIELDS = T._parse_datatype_string(
-    "hook_event_name string, tool_name string, tool_input string, tool_use_id string, "
-    "model string, transcript_path string, cwd string, duration double, user_prompt string, "
-    "prompt string, tool_response string, tool_result string, tool_output string, "
-    "reason string, trigger string, notification string, stop_hook_active boolean, "
-    "conversation_id string, generation_id string, workspace_roots array<string>, "
-    "file_path string, content string, command string, stdout string, stderr string, "
-    f"text string, message string, edits array<{_EDIT}>, attachments array<string>, "
-    "session_id string, is_background_agent boolean, composer_mode string, source string, "
-    "duration_ms double, error_message string, failure_type string, is_interrupt boolean, "
-    "subagent_type string, status string, agent_transcript_path string, agent_message string, "
-    "url string, timeout bigint, context_usage_percent double, context_tokens bigint, "
-    "context_window_size bigint, message_count bigint, messages_to_compact bigint, "
-    "is_first_compaction boolean, session_key string, tool_version string"
+_EDIT = T.StructType(
+    [T.StructField("old_string", T.StringType()), T.StructField("new_string", T.StringType()),
+     T.StructField("range", _RANGE)]
+)
+_STRINGS = T.ArrayType(T.StringType())
+_BY_TYPE = [
+    # Objects asked for as strings arrive as compact JSON text, key order kept.
+    (T.StringType(),
+     "hook_event_name tool_name tool_input tool_use_id model transcript_path cwd user_prompt "
+     "prompt tool_response tool_result tool_output reason trigger notification conversation_id "
+     "generation_id file_path content command stdout stderr text message session_id "
+     "composer_mode source error_message failure_type subagent_type status "
+     "agent_transcript_path agent_message url session_key tool_version"),
+    (T.DoubleType(), "duration duration_ms context_usage_percent"),
+    (T.LongType(),
+     "timeout context_tokens context_window_size message_count messages_to_compact"),
+    (T.BooleanType(), "stop_hook_active is_background_agent is_interrupt is_first_compaction"),
+    (_STRINGS, "workspace_roots attachments"),
+    (T.ArrayType(_EDIT), "edits"),
+]
+
+# Every field any dialect reads.
+EVENT_FIELDS = T.StructType(
+    [T.StructField(name, kind) for kind, names in _BY_TYPE for name in names.split()]
 )
 _OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
