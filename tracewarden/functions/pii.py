@@ -59,16 +59,18 @@ def detect_card(text: Column) -> Column:
 
 def detect_pii(text: Column) -> Column:
     """All matches as ``array<struct<type, value>>``, in detector order."""
-    typed = [
-        F.transform(values, lambda v, kind=kind: F.struct(F.lit(kind).alias("type"), v.alias("value")))
-        for kind, values in (
-            ("pii_ssn", detect_ssn(text)),
-            ("pii_email", detect_email(text)),
-            ("pii_phone", detect_phone(text)),
-            ("pii_credit_card", detect_card(text)),
+    def typed(kind: str, values: Column) -> Column:
+        return F.transform(
+            values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"))
         )
+
+    found = [
+        typed("pii_ssn", detect_ssn(text)),
+        typed("pii_email", detect_email(text)),
+        typed("pii_phone", detect_phone(text)),
+        typed("pii_credit_card", detect_card(text)),
     ]
-    return F.concat(*typed).cast(f"array<{_MATCH}>")
+    return F.concat(*found).cast(f"array<{_MATCH}>")
 
 
 def contains_pii(text: Column) -> Column:
