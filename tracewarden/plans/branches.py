@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..sources.hook_events import EVENT_FIELDS, with_event_columns
 from .views import view, view_sql
 
+Given = dict[str, DataFrame] | None
+
 _EDITS = EVENT_FIELDS["edits"].dataType
 
 
@@ -156,9 +158,10 @@ def branch_sql(name: str) -> str:
     return branch.select(name).format(**{branch.source: f"({source})"})
 
 
-def _event_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _event_rows(spark: SparkSession, sf_dir: str, name: str, given: Given) -> DataFrame:
     branch = BRANCHES[name]
-    rows = spark.sql(branch.select(name), **{branch.source: view(spark, sf_dir, branch.source)})
+    source = view(spark, sf_dir, branch.source, given)
+    rows = spark.sql(branch.select(name), **{branch.source: source})
     lists = {}
     if "workspace_root" in rows.columns:
         lists["workspace_roots"] = F.array("workspace_root")
@@ -173,17 +176,20 @@ def _event_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.withColumns(lists).drop(*drops) if lists else rows
 
 
-def events_of(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+def events_of(
+    spark: SparkSession, sf_dir: str, *names: str, given: Given = None
+) -> DataFrame:
     """Hook events of the named branches, all event columns present."""
     extra = {"session": "bigint", "seq": "bigint", "received_at": "timestamp"}
     frames = []
     for name in names:
-        rows = with_event_columns(_event_rows(spark, sf_dir, name))
+        rows = with_event_columns(_event_rows(spark, sf_dir, name, given))
         missing = {c: F.lit(None).cast(t) for c, t in extra.items() if c not in rows.columns}
         rows = rows.withColumns(missing) if missing else rows
         frames.append(
             rows.select(
-                "event_uid", "dialect", "event_name", *extra, *[f.name for f in EVENT_FIELDS.fields]
+                "event_uid", "dialect", "event_name",
+                *[F.col(c).cast(t).alias(c) for c, t in extra.items()], *[f.name for f in EVENT_FIELDS.fields]
             )
         )
     return reduce(DataFrame.unionByName, frames)

@@ -1118,3 +1118,18 @@ CHECKS["file_coverage"] = (
     f"({_spans}) s GROUP BY path) e JOIN (SELECT path, count(*) AS lines_covered FROM (SELECT DISTINCT path, "
     f"unnest(range(start_line, end_line + 1)) AS line FROM ({_spans}) s) d GROUP BY path) c USING (path)"
 )
+
+# --- streams --------------------------------------------------------------------------
+
+_stop_sets = (
+    f"SELECT t.session, t.seq, s.position, s.path FROM ({_epochs}) t JOIN ({_set}) s "
+    "ON s.session = t.session AND s.epoch = t.epoch WHERE t.kind = 'stop'"
+)
+CHECKS["edited_stream"] = _stop_sets
+CHECKS["edited_stream_keyed"] = _stop_sets
+CHECKS["decision_stream"] = CHECKS["cursor_before_shell"]
+CHECKS["trace_roundtrip"] = CHECKS["trace_records"]
+CHECKS["trace_stream"] = _record.format(
+    path="'.tool-usage'", model=model_id("model"), tool="'claude-code'",
+    version="CAST(NULL AS VARCHAR)", source=_b("claude_pre_tool"),
+)

@@ -11,7 +11,10 @@ from ..functions.text import unescape_html
 from ..operators import analytics, detect, edited, lineage, stopscan, trace
 from ..operators.decide import READ_HEADING, decide, secret_detections
 from ..sources import hook_events, scan_reports
+from ..sources.traces import read_traces, write_traces
+from ..streaming import decisions as decision_streams, edited as edited_streams
 from .branches import BRANCHES, events_of
+from .session import run_folder
 from .views import table, view
 
 HOME = "/home/dev"
@@ -537,11 +540,7 @@ def range_positions(spark, sf):
     return spans.select("event_uid", "ordinal", "span.start_line", "span.end_line")
 
 
-@_query
-def trace_records(spark, sf):
-    made = trace.build_traces(
-        _traces(spark, sf, "claude_pre_tool", "cursor_after_edit"), F.lit(PROJECT)
-    )
+def _record_columns(made: DataFrame) -> DataFrame:
     first = F.col("files")[0]
     talk = first["conversations"][0]
     return made.select(
@@ -553,6 +552,22 @@ def trace_records(spark, sf):
     )
 
 
+RECORDED = ["claude_pre_tool", "cursor_after_edit"]
+
+
+@_query
+def trace_records(spark, sf):
+    return _record_columns(trace.build_traces(_traces(spark, sf, *RECORDED), F.lit(PROJECT)))
+
+
+@_query
+def trace_roundtrip(spark, sf):
+    """Write the trace log and read it back."""
+    folder = run_folder(spark, "traces")
+    write_traces(trace.build_traces(_traces(spark, sf, *RECORDED), F.lit(PROJECT)), folder)
+    return _record_columns(read_traces(spark, folder))
+
+
 @_query
 def model_ids(spark, sf):
     return view(spark, sf, "tool_calls").select(
@@ -651,3 +666,72 @@ def file_coverage(spark, sf):
     made = _traces(spark, sf, "cursor_after_edit", "cursor_tab_edit")
     spans = made.select("path", F.explode("ranges").alias("span")).select("path", "span.*")
     return analytics.file_coverage(spans)
+
+
+# --- streams --------------------------------------------------------------------
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    """The events table as a file stream."""
+    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+
+
+def _finish(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+@_query
+def edited_stream(spark, sf):
+    """Edited sets per stop, batch operators on every micro-batch."""
+    folder = run_folder(spark, "edited")
+    activity = view(spark, sf, "activity", {"events": _event_stream(spark, sf)})
+    writer = edited_streams.StopSetWriter(f"{folder}/sets", f"{folder}/open", CHUNK)
+    _finish(
+        activity.writeStream.foreachBatch(writer).option(
+            "checkpointLocation", f"{folder}/checkpoint"
+        )
+    )
+    return spark.read.parquet(f"{folder}/sets").select("session", "seq", "position", "path")
+
+
+@_query
+def edited_stream_keyed(spark, sf):
+    """Edited sets per stop from keyed state."""
+    folder = run_folder(spark, "keyed")
+    activity = view(spark, sf, "activity", {"events": _event_stream(spark, sf)})
+    sets = edited_streams.keyed_stop_sets(activity)
+    _finish(
+        sets.writeStream.format("parquet").option("path", f"{folder}/sets").option(
+            "checkpointLocation", f"{folder}/checkpoint"
+        )
+    )
+    return spark.read.schema(edited_streams.STOP_SET_SCHEMA).parquet(f"{folder}/sets")
+
+
+@_query
+def decision_stream(spark, sf):
+    """Shell commands decided as they arrive."""
+    folder = run_folder(spark, "decisions")
+    events = events_of(
+        spark, sf, "cursor_before_shell", given={"events": _event_stream(spark, sf)}
+    )
+    _finish(
+        decision_streams.decision_stream(
+            events, view(spark, sf, "files"), f"{folder}/out", f"{folder}/checkpoint", _home(),
+            _default_dir(),
+        )
+    )
+    return spark.read.parquet(f"{folder}/out").drop("batch_id", "dialect")
+
+
+@_query
+def trace_stream(spark, sf):
+    """Tool calls traced as they arrive."""
+    folder = run_folder(spark, "trace-stream")
+    events = events_of(spark, sf, "claude_pre_tool", given={"events": _event_stream(spark, sf)})
+    _finish(
+        decision_streams.trace_stream(
+            events, view(spark, sf, "files"), f"{folder}/log", f"{folder}/checkpoint", F.lit(PROJECT)
+        )
+    )
+    return _record_columns(read_traces(spark, f"{folder}/log"))

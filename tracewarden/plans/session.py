@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,9 +35,20 @@ def local_session(cores: str | int = "*", name: str = "tracewarden") -> SparkSes
     return spark
 
 
-def checkpoint_root(spark: SparkSession, unset: str | None = None) -> str:
-    """The shared folder the cluster names; ``unset`` is for tests only."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None) or unset
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names.
+
+    Only a local session without the setting gets a folder of its own.
+    """
+    folder = spark.conf.get(CHECKPOINT_SETTING, None)
     if not folder:
-        raise ValueError(f"{CHECKPOINT_SETTING} names no folder")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_SETTING} names no folder")
+        folder = tempfile.mkdtemp(prefix="tracewarden-")
+        spark.conf.set(CHECKPOINT_SETTING, folder)
     return folder.rstrip("/")
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for the files of one run."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -210,12 +210,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or a derived view as a DataFrame."""
+def view(
+    spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """A table or a derived view; ``given`` replaces tables, by a stream for instance."""
+    if given and name in given:
+        return given[name]
     if name not in VIEWS:
         return table(spark, sf_dir, name)
-    given = {used: view(spark, sf_dir, used) for used in inputs_of(name)}
-    return spark.sql(VIEWS[name], **given)
+    inputs = {used: view(spark, sf_dir, used, given) for used in inputs_of(name)}
+    return spark.sql(VIEWS[name], **inputs)
 
 
 def view_sql(name: str) -> str:
