@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -41,12 +42,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     Only a local session without the setting gets a folder of its own.
     """
     folder = spark.conf.get(CHECKPOINT_SETTING, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_SETTING} names no folder")
-        folder = tempfile.mkdtemp(prefix="tracewarden-")
-        spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_SETTING} names no folder")
+    return _local_folder()
+
+
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tracewarden-")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
