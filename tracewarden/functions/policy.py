@@ -6,11 +6,13 @@ matches decides, so each validator is one lazily evaluated ``coalesce``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import rules
 from .paths import normalize_path
-from .text import let, matches, or_empty
+from .text import contains_words, let, matches, or_empty
 
 VERDICT = "struct<is_safe:boolean,severity:string,reason:string>"
 
@@ -28,45 +30,71 @@ def ok() -> Column:
     return verdict("ok", "")
 
 
-def _first_rule(text: Column, table: list[tuple[str, str]], severity: str, prefix: str = "") -> Column:
+_DANGEROUS = list(zip(rules.DANGEROUS_PATTERNS, rules.DANGEROUS_WORDS, strict=True))
+_SENSITIVE = list(zip(rules.SENSITIVE_PATTERNS, rules.SENSITIVE_WORDS, strict=True))
+
+
+def _tests(text: Column, table: list, make: Callable[[list[tuple[int, str, Column]]], Column]) -> Column:
+    """``make`` of ``(rule number, reason, test)``, with the lowered text made once.
+
+    A substring search rules out nearly every rule before its regex is run.
+    """
+
+    def listed(given: Column, low: Column) -> Column:
+        return make(
+            [
+                (number, why, contains_words(low, words) & matches(given, pattern, True))
+                for number, ((pattern, why), words) in enumerate(table, 1)
+            ]
+        )
+
+    return let(text, lambda given: let(F.lower(given), lambda low: listed(given, low)))
+
+
+def _first_rule(text: Column, table: list, severity: str, prefix: str = "") -> Column:
     """Verdict of the first rule that matches, else NULL: one chain of constants."""
-    return F.coalesce(
-        *[F.when(matches(text, p, True), verdict(severity, prefix + why)) for p, why in table]
+    return _tests(
+        text, table,
+        lambda tests: F.coalesce(
+            *[F.when(test, verdict(severity, prefix + why)) for _, why, test in tests]
+        ),
     )
 
 
 def dangerous_reason(text: Column) -> Column:
     """Reason of the first dangerous rule, else NULL."""
-    return F.coalesce(
-        *[F.when(matches(text, p, True), F.lit(why)) for p, why in rules.DANGEROUS_PATTERNS]
+    return _tests(
+        text, _DANGEROUS, lambda tests: F.coalesce(*[F.when(t, F.lit(why)) for _, why, t in tests])
     )
 
 
-def _all_hits(text: Column, table: list[tuple[str, str]]) -> Column:
-    rows = [
-        F.struct(
-            F.lit(number).alias("rule_no"),
-            F.lit(why).alias("reason"),
-            matches(text, pattern, True).alias("hit"),
+def _all_hits(text: Column, table: list) -> Column:
+    def rows(tests: list[tuple[int, str, Column]]) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    F.lit(number).alias("rule_no"), F.lit(why).alias("reason"), test.alias("hit")
+                )
+                for number, why, test in tests
+            ]
         )
-        for number, (pattern, why) in enumerate(table, 1)
-    ]
-    return F.filter(F.array(*rows), lambda r: r["hit"])
+
+    return F.filter(_tests(text, table, rows), lambda r: r["hit"])
 
 
 def dangerous_hits(text: Column) -> Column:
     """Every dangerous rule that matches: ``array<struct<rule_no, reason, hit>>``."""
-    return _all_hits(text, rules.DANGEROUS_PATTERNS)
+    return _all_hits(text, _DANGEROUS)
 
 
 def sensitive_hits(text: Column) -> Column:
-    return _all_hits(text, rules.SENSITIVE_PATTERNS)
+    return _all_hits(text, _SENSITIVE)
 
 
 def validate_command(command: Column) -> Column:
     return F.coalesce(
-        _first_rule(command, rules.DANGEROUS_PATTERNS, "block"),
-        _first_rule(command, rules.SENSITIVE_PATTERNS, "warn"),
+        _first_rule(command, _DANGEROUS, "block"),
+        _first_rule(command, _SENSITIVE, "warn"),
         ok(),
     )
 
@@ -91,7 +119,7 @@ def validate_file_write(path: Column) -> Column:
         normalize_path(or_empty(path)),
         lambda clean: F.coalesce(
             _protected_prefix(clean, "Write to protected path: "),
-            _first_rule(clean, rules.SENSITIVE_PATTERNS, "warn"),
+            _first_rule(clean, _SENSITIVE, "warn"),
             ok(),
         ),
     )
@@ -104,7 +132,7 @@ def validate_file_read(path: Column) -> Column:
         lambda clean: F.coalesce(
             _protected_file(clean, "Read of protected system file: "),
             _protected_prefix(clean, "Read from protected system path: "),
-            _first_rule(clean, rules.SENSITIVE_PATTERNS, "warn"),
+            _first_rule(clean, _SENSITIVE, "warn"),
             ok(),
         ),
     )
@@ -117,7 +145,7 @@ def is_mcp_tool(tool: Column) -> Column:
 
 def task_prompt_verdict(prompt: Column) -> Column:
     """Warning for a dangerous pattern in a delegated prompt, else NULL."""
-    return _first_rule(prompt, rules.DANGEROUS_PATTERNS, "warn", "Prompt contains pattern: ")
+    return _first_rule(prompt, _DANGEROUS, "warn", "Prompt contains pattern: ")
 
 
 def mcp_param_hits(tool_input: Column) -> Column:

@@ -109,6 +109,23 @@ ERROR_TEXT_LIMIT = 500
 TRACE_VERSION = "1.0"
 # --- end of fixed values ----------------------------------------------------
 
+# Words a text must hold, in lower case, before a rule above is worth trying:
+# per rule, alternatives of words that all have to be there.  They only save
+# work; the pattern decides.
+DANGEROUS_WORDS = [
+    [["-rf"]], [["-rf"]], [["-rf"]], [["-rf"]], [["find", "-delete"]], [["git", "--hard"]],
+    [["git", "clean"]], [["git", "--force"]], [["git", "branch"]], [["sudo"]], [["/dev/sd"]],
+    [["of=/dev/"]], [["mkfs."]], [["chmod", "777"]], [["curl", "|"]], [["wget", "|"]], [[":()"]],
+    [["/etc/passwd"]], [["/etc/shadow"]], [["/etc/shadow"]], [["base64", "|"]],
+    [["python", "exec"]], [["eval", "$("]], [["$(", "curl"]], [["shutdown"], ["reboot"]],
+    [["kill"]], [["iptables"], ["ufw"], ["firewall-cmd"]], [["drop"]], [["truncate"]],
+    [["delete", "from"]],
+]
+SENSITIVE_WORDS = [
+    [[".env"]], [[".ssh/"]], [["id_rsa"]], [[".aws/credentials"]], [[".git/config"]],
+    [[".npmrc"]], [[".pypirc"]], [["credentials.json"]], [["secrets.json"]], [[".kube/config"]],
+]
+
 # Name and version written where an audit record names the tool that made it.
 PRODUCER = "tracewarden"
 PRODUCER_VERSION = "1.0.0"

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from . import rules
-from .text import extract_all, java_pattern, let
+from .text import contains_words, extract_all, java_pattern, let
 
 FINDING = (
     "struct<rule_id:string,label:string,ordinal:int,line:int,start:int,"
@@ -21,18 +19,19 @@ def mask(value: Column) -> Column:
 
 
 def _gate(text: Column, ignore_case: bool, literals: list[str]) -> Column:
-    if ignore_case:
-        return text.rlike("(?i)" + "|".join(literals))
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in literals])
+    searched = F.lower(text) if ignore_case else text
+    return contains_words(searched, [[word] for word in literals])
 
 
 def rule_matches(text: Column, rule: tuple) -> Column:
     """Every match of one rule; texts without its literals skip the regex."""
     _, pattern, ignore_case, literals = rule
-    found = extract_all(text, java_pattern(pattern, ignore_case))
-    return F.coalesce(
-        F.when(_gate(text, ignore_case, literals), found), F.array().cast("array<string>")
-    )
+
+    def found(given: Column) -> Column:
+        hits = extract_all(given, java_pattern(pattern, ignore_case))
+        return F.when(_gate(given, ignore_case, literals), hits)
+
+    return F.coalesce(found(text), F.array().cast("array<string>"))
 
 
 def _locate(text: Column, found: Column, rule_id: str, label: Column) -> Column:

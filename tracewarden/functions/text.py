@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -56,6 +57,17 @@ def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
     return text.rlike(java_pattern(pattern, ignore_case))
 
 
+def contains_words(low: Column, alternatives: list[list[str]]) -> Column:
+    """All words of one of the alternatives are in the (lowered) text."""
+    return reduce(
+        Column.__or__,
+        [
+            reduce(Column.__and__, [F.contains(low, F.lit(word)) for word in words])
+            for words in alternatives
+        ],
+    )
+
+
 def extract_all(text: Column, java_regex: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_regex), F.lit(0))
 

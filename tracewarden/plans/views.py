@@ -206,10 +206,28 @@ def inputs_of(name: str) -> list[str]:
     return list(dict.fromkeys(fields))
 
 
+ROW_KEYS = {
+    "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"], "labels": ["doc_id"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Spread an input of fewer splits than cores by its unique row key.
+
+    The work per row is heavy, so a small input in one file would keep one core
+    busy.  A large input has many splits and is left as it is, without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores, *keys)
+
+
 def view(
     spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None
 ) -> DataFrame:
@@ -217,7 +235,7 @@ def view(
     if given and name in given:
         return given[name]
     if name not in VIEWS:
-        return table(spark, sf_dir, name)
+        return spread(table(spark, sf_dir, name), ROW_KEYS[name])
     inputs = {used: view(spark, sf_dir, used, given) for used in inputs_of(name)}
     return spark.sql(VIEWS[name], **inputs)
 
