@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import rules
-from .text import let
+from .text import let, let_sql
 
 RANGES = "array<struct<start_line:int,end_line:int>>"
 
@@ -40,8 +40,26 @@ def is_security_followup(prompt: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def _line_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+def _lines(text: str) -> str:
+    return f"(length({text}) - length(replace({text}, '\\n', '')) + 1)"
+
+
+_EXPLICIT = (
+    "coalesce(e.range.start_line_number, 0) <> 0 AND coalesce(e.range.end_line_number, 0) <> 0"
+)
+_FOUND_LINE = let_sql(
+    "CASE WHEN coalesce(b.content, '') <> '' THEN instr(b.content, e.new_string) END", "at",
+    f"CASE WHEN at > 0 THEN {_lines('substring(b.content, 1, at - 1)')} ELSE 1 END",
+)
+_POSITION = (
+    f"CASE WHEN {_EXPLICIT} THEN named_struct('start_line', e.range.start_line_number, "
+    "'end_line', e.range.end_line_number) ELSE "
+    + let_sql(
+        _FOUND_LINE, "line",
+        f"named_struct('start_line', line, 'end_line', line + {_lines('e.new_string')} - 1)",
+    )
+    + " END"
+)
 
 
 def range_positions(edits: Column, content: Column) -> Column:
@@ -50,29 +68,9 @@ def range_positions(edits: Column, content: Column) -> Column:
     An explicit range wins; else the first place the new text stands in the
     content; else the top of the file.
     """
-    kept = F.filter(edits, lambda e: F.coalesce(e["new_string"], F.lit("")) != "")
-
-    def position(e: Column) -> Column:
-        first, last = e["range"]["start_line_number"], e["range"]["end_line_number"]
-        explicit = (F.coalesce(first, F.lit(0)) != 0) & (F.coalesce(last, F.lit(0)) != 0)
-        lines = _line_count(e["new_string"])
-        found = F.when(F.coalesce(content, F.lit("")) != "", F.instr(content, e["new_string"]))
-        start = let(
-            found,
-            lambda at: F.when(at > 0, _line_count(F.substring(content, F.lit(1), at - 1))),
-        )
-        return F.when(
-            explicit, F.struct(first.alias("start_line"), last.alias("end_line"))
-        ).otherwise(
-            let(
-                F.coalesce(start, F.lit(1)),
-                lambda line: F.struct(
-                    line.alias("start_line"), (line + lines - 1).alias("end_line")
-                ),
-            )
-        )
-
-    return F.transform(kept, position).cast(RANGES)
+    both = F.struct(edits.alias("edits"), content.alias("content"))
+    kept = "filter(b.edits, e -> coalesce(e.new_string, '') <> '')"
+    return let(both, f"b -> cast(transform({kept}, e -> {_POSITION}) AS {RANGES})")
 
 
 def ranges_or_default(ranges: Column) -> Column:

@@ -1,85 +1,75 @@
 """Policy verdicts for commands, paths and tool inputs.
 
 A verdict is ``struct<is_safe, severity, reason>``.  The first rule that
-matches decides, so each validator is one lazily evaluated ``coalesce``.
+matches decides, so each validator is one lazily evaluated ``CASE`` over
+constants, written as SQL text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from . import rules
 from .paths import normalize_path
-from .text import contains_words, let, matches, or_empty
+from .text import let, let_sql, match_sql, or_empty, quoted, words_sql
 
 VERDICT = "struct<is_safe:boolean,severity:string,reason:string>"
 
 
-def verdict(severity: str, reason: str) -> Column:
-    """A constant verdict."""
-    return F.struct(
-        F.lit(severity != "block").alias("is_safe"),
-        F.lit(severity).alias("severity"),
-        F.lit(reason).alias("reason"),
-    ).cast(VERDICT)
+def _verdict(severity: str, reason: str) -> str:
+    """A constant verdict as SQL."""
+    safe = "false" if severity == "block" else "true"
+    return (
+        f"named_struct('is_safe', {safe}, 'severity', {quoted(severity)}, 'reason', {quoted(reason)})"
+    )
+
+
+_OK = _verdict("ok", "")
 
 
 def ok() -> Column:
-    return verdict("ok", "")
+    return F.expr(_OK)
 
 
 _DANGEROUS = list(zip(rules.DANGEROUS_PATTERNS, rules.DANGEROUS_WORDS, strict=True))
 _SENSITIVE = list(zip(rules.SENSITIVE_PATTERNS, rules.SENSITIVE_WORDS, strict=True))
 
 
-def _tests(text: Column, table: list, make: Callable[[list[tuple[int, str, Column]]], Column]) -> Column:
-    """``make`` of ``(rule number, reason, test)``, with the lowered text made once.
+def _tests(table: list, text: str = "t", low: str = "low") -> list[tuple[int, str, str]]:
+    """``(rule number, reason, SQL test)`` of each rule.
 
     A substring search rules out nearly every rule before its regex is run.
     """
+    return [
+        (number, why, f"{words_sql(low, words)} AND {match_sql(text, pattern, True)}")
+        for number, ((pattern, why), words) in enumerate(table, 1)
+    ]
 
-    def listed(given: Column, low: Column) -> Column:
-        return make(
-            [
-                (number, why, contains_words(low, words) & matches(given, pattern, True))
-                for number, ((pattern, why), words) in enumerate(table, 1)
-            ]
-        )
 
-    return let(text, lambda given: let(F.lower(given), lambda low: listed(given, low)))
+def _branches(table: list, severity: str, prefix: str = "") -> list[str]:
+    """One WHEN per rule: the first that matches gives its constant verdict."""
+    return [f"WHEN {test} THEN {_verdict(severity, prefix + why)}" for _, why, test in _tests(table)]
 
 
-def _first_rule(text: Column, table: list, severity: str, prefix: str = "") -> Column:
-    """Verdict of the first rule that matches, else NULL: one chain of constants."""
-    return _tests(
-        text, table,
-        lambda tests: F.coalesce(
-            *[F.when(test, verdict(severity, prefix + why)) for _, why, test in tests]
-        ),
-    )
+def _judge(text: Column, branches: list[str], default: str = "NULL") -> Column:
+    """A CASE over the text ``t`` and its lowered form ``low``, each made once."""
+    case = f"CASE {' '.join(branches)} ELSE {default} END"
+    return let(text, f"t -> {let_sql('lower(t)', 'low', case)}")
 
 
-def dangerous_reason(text: Column) -> Column:
+def _reason_sql(text: str) -> str:
     """Reason of the first dangerous rule, else NULL."""
-    return _tests(
-        text, _DANGEROUS, lambda tests: F.coalesce(*[F.when(t, F.lit(why)) for _, why, t in tests])
-    )
+    chain = " ".join(f"WHEN {test} THEN {quoted(why)}" for _, why, test in _tests(_DANGEROUS))
+    return let_sql(text, "t", let_sql("lower(t)", "low", f"CASE {chain} END"))
 
 
 def _all_hits(text: Column, table: list) -> Column:
-    def rows(tests: list[tuple[int, str, Column]]) -> Column:
-        return F.array(
-            *[
-                F.struct(
-                    F.lit(number).alias("rule_no"), F.lit(why).alias("reason"), test.alias("hit")
-                )
-                for number, why, test in tests
-            ]
-        )
-
-    return F.filter(_tests(text, table, rows), lambda r: r["hit"])
+    rows = [
+        f"named_struct('rule_no', {number}, 'reason', {quoted(why)}, 'hit', {test})"
+        for number, why, test in _tests(table)
+    ]
+    every = f"array({', '.join(rows)})"
+    return let(text, f"t -> {let_sql('lower(t)', 'low', f'filter({every}, r -> r.hit)')}")
 
 
 def dangerous_hits(text: Column) -> Column:
@@ -92,51 +82,39 @@ def sensitive_hits(text: Column) -> Column:
 
 
 def validate_command(command: Column) -> Column:
-    return F.coalesce(
-        _first_rule(command, _DANGEROUS, "block"),
-        _first_rule(command, _SENSITIVE, "warn"),
-        ok(),
-    )
+    return _judge(command, _branches(_DANGEROUS, "block") + _branches(_SENSITIVE, "warn"), _OK)
 
 
-def _protected_prefix(path: Column, message: str) -> Column:
-    return F.coalesce(
-        *[
-            F.when(F.startswith(path, F.lit(p)), verdict("block", message + p))
-            for p in rules.PROTECTED_PREFIXES
-        ]
-    )
+def _prefix_branches(message: str) -> list[str]:
+    return [
+        f"WHEN startswith(t, {quoted(p)}) THEN {_verdict('block', message + p)}"
+        for p in rules.PROTECTED_PREFIXES
+    ]
 
 
-def _protected_file(path: Column, message: str) -> Column:
-    return F.coalesce(
-        *[F.when(path == p, verdict("block", message + p)) for p in rules.PROTECTED_READ_FILES]
-    )
+def _file_branches(message: str) -> list[str]:
+    return [
+        f"WHEN t = {quoted(p)} THEN {_verdict('block', message + p)}"
+        for p in rules.PROTECTED_READ_FILES
+    ]
+
+
+def _judge_path(path: Column, branches: list[str]) -> Column:
+    given = or_empty(path)
+    judged = _judge(normalize_path(given), branches + _branches(_SENSITIVE, "warn"), _OK)
+    return F.when(given == "", ok()).otherwise(judged)
 
 
 def validate_file_write(path: Column) -> Column:
-    judged = let(
-        normalize_path(or_empty(path)),
-        lambda clean: F.coalesce(
-            _protected_prefix(clean, "Write to protected path: "),
-            _first_rule(clean, _SENSITIVE, "warn"),
-            ok(),
-        ),
-    )
-    return F.when(or_empty(path) == "", ok()).otherwise(judged)
+    return _judge_path(path, _prefix_branches("Write to protected path: "))
 
 
 def validate_file_read(path: Column) -> Column:
-    judged = let(
-        normalize_path(or_empty(path)),
-        lambda clean: F.coalesce(
-            _protected_file(clean, "Read of protected system file: "),
-            _protected_prefix(clean, "Read from protected system path: "),
-            _first_rule(clean, _SENSITIVE, "warn"),
-            ok(),
-        ),
+    return _judge_path(
+        path,
+        _file_branches("Read of protected system file: ")
+        + _prefix_branches("Read from protected system path: "),
     )
-    return F.when(or_empty(path) == "", ok()).otherwise(judged)
 
 
 def is_mcp_tool(tool: Column) -> Column:
@@ -145,55 +123,37 @@ def is_mcp_tool(tool: Column) -> Column:
 
 def task_prompt_verdict(prompt: Column) -> Column:
     """Warning for a dangerous pattern in a delegated prompt, else NULL."""
-    return _first_rule(prompt, _DANGEROUS, "warn", "Prompt contains pattern: ")
+    return _judge(prompt, _branches(_DANGEROUS, "warn", "Prompt contains pattern: "))
 
 
-def mcp_param_hits(tool_input: Column) -> Column:
-    """``array<struct<int_key, pos, key, reason>>`` over top-level string values.
+# Integer-like keys come first in numeric order, others in document order.
+_IS_INT = quoted(r"^(?:0|[1-9][0-9]{0,9})\z")
+_INT_KEY = (
+    f"CASE WHEN e.key RLIKE {_IS_INT} AND try_cast(e.key AS bigint) < 4294967295 "
+    "THEN try_cast(e.key AS bigint) END"
+)
+_STRING_VALUE = "try_variant_get(e.value, '$', 'string')"
+_PARAM = (
+    f"(e, i) -> named_struct('named', ({_INT_KEY}) IS NULL, "
+    f"'rank', coalesce({_INT_KEY}, cast(i AS bigint)), 'key', e.key, "
+    f"'reason', CASE WHEN schema_of_variant(e.value) = 'STRING' THEN {_reason_sql(_STRING_VALUE)} END)"
+)
 
-    Integer-like keys come first in numeric order, others in document order.
-    """
+
+def mcp_param_hits(tool_input: Column) -> Column:
+    """``array<struct<named, rank, key, reason>>`` of top-level strings that hit."""
     entries = F.map_entries(F.from_json(tool_input, "map<string,variant>"))
-    typed = F.transform(
-        entries,
-        lambda e, i: F.struct(
-            F.when(
-                e["key"].rlike(r"^(?:0|[1-9][0-9]{0,9})\z")
-                & (F.try_to_number(e["key"], F.lit("9999999999")) < 4294967295),
-                e["key"].cast("bigint"),
-            ).alias("int_key"),
-            i.alias("pos"),
-            e["key"].alias("key"),
-            F.when(
-                F.schema_of_variant(e["value"]) == "STRING",
-                dangerous_reason(F.try_variant_get(e["value"], "$", "string")),
-            ).alias("reason"),
-        ),
-    )
-    return F.filter(typed, lambda r: r["reason"].isNotNull())
+    params = F.call_function("transform", entries, F.expr(_PARAM))
+    return F.call_function("filter", params, F.expr("r -> r.reason IS NOT NULL"))
 
 
 def mcp_verdict(tool_input: Column) -> Column:
     """Block for the first string parameter with a dangerous pattern, else NULL."""
-
-    def order(r: Column) -> Column:
-        return F.struct(
-            r["int_key"].isNull().alias("named"),
-            F.coalesce(r["int_key"], r["pos"].cast("bigint")).alias("rank"),
-            r["key"].alias("key"),
-            r["reason"].alias("reason"),
-        )
-
-    def block(first: Column) -> Column:
-        reason = F.concat(
-            F.lit("Dangerous pattern in "), first["key"], F.lit(": "), first["reason"]
-        )
-        made = F.struct(
-            F.lit(False).alias("is_safe"), F.lit("block").alias("severity"), reason.alias("reason")
-        )
-        return F.when(first.isNotNull(), made.cast(VERDICT))
-
-    return let(F.array_min(F.transform(mcp_param_hits(tool_input), order)), block)
+    return let(
+        F.array_min(mcp_param_hits(tool_input)),
+        "f -> CASE WHEN f IS NOT NULL THEN named_struct('is_safe', false, 'severity', 'block', "
+        "'reason', concat('Dangerous pattern in ', f.key, ': ', f.reason)) END",
+    )
 
 
 def json_field(document: Column, name: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import rules
-from .text import contains_words, extract_all, java_pattern, let
+from .text import java_pattern, let, let_sql, quoted, words_sql
 
 FINDING = (
     "struct<rule_id:string,label:string,ordinal:int,line:int,start:int,"
@@ -18,67 +18,54 @@ def mask(value: Column) -> Column:
     return F.concat(F.left(value, F.lit(4)), F.lit("****"))
 
 
-def _gate(text: Column, ignore_case: bool, literals: list[str]) -> Column:
-    searched = F.lower(text) if ignore_case else text
-    return contains_words(searched, [[word] for word in literals])
-
-
-def rule_matches(text: Column, rule: tuple) -> Column:
-    """Every match of one rule; texts without its literals skip the regex."""
+def _found_sql(rule: tuple) -> str:
+    """Every match of one rule in ``t``; texts without its literals skip the regex."""
     _, pattern, ignore_case, literals = rule
-
-    def found(given: Column) -> Column:
-        hits = extract_all(given, java_pattern(pattern, ignore_case))
-        return F.when(_gate(given, ignore_case, literals), hits)
-
-    return F.coalesce(found(text), F.array().cast("array<string>"))
-
-
-def _locate(text: Column, found: Column, rule_id: str, label: Column) -> Column:
-    """Turn match texts into findings with 1-based start and line.
-
-    No rule looks at what is around a match, so the next occurrence of the
-    match text after the previous match is the match itself.
-    """
-    state = "struct<pos:int,out:" + FINDINGS + ">"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(FINDINGS).alias("out")).cast(state)
-
-    def step(acc: Column, value: Column) -> Column:
-        return let(F.position(value, text, acc["pos"] + 1), lambda at: grow(acc, value, at))
-
-    def grow(acc: Column, value: Column, at: Column) -> Column:
-        line = F.size(F.split(F.substring(text, F.lit(1), at), "\n"))
-        finding = F.struct(
-            F.lit(rule_id).alias("rule_id"),
-            label.alias("label"),
-            (F.size(acc["out"]) + 1).alias("ordinal"),
-            line.alias("line"),
-            at.alias("start"),
-            mask(value).alias("masked"),
-            F.sha2(value, 256).alias("value_sha256"),
-        )
-        return F.struct(
-            (at + F.length(value) - 1).alias("pos"),
-            F.concat(acc["out"], F.array(finding)).alias("out"),
-        ).cast(state)
-
-    return F.aggregate(found, start, step, lambda acc: acc["out"])
+    gate = words_sql("lower(t)" if ignore_case else "t", [[word] for word in literals])
+    regex = quoted(java_pattern(pattern, ignore_case))
+    return f"CASE WHEN {gate} THEN regexp_extract_all(t, {regex}, 0) END"
+
+
+# Match texts become findings with 1-based start and line.  No rule looks at
+# what is around a match, so the next occurrence of the match text after the
+# previous match is the match itself.
+_LOCATED = (
+    "aggregate({found}, named_struct('pos', 0, 'out', cast(array() AS " + FINDINGS + ")), (acc, v) -> "
+    + let_sql(
+        "position(v, t, acc.pos + 1)",
+        "at",
+        "named_struct('pos', at + length(v) - 1, 'out', concat(acc.out, array(cast(named_struct("
+        "'rule_id', {rule}, 'label', l, 'ordinal', size(acc.out) + 1, "
+        "'line', size(split(substring(t, 1, at), '\\n', -1)), 'start', at, "
+        "'masked', concat(left(v, 4), '****'), 'value_sha256', sha2(v, 256)) AS " + FINDING + "))))",
+    )
+    + ", acc -> acc.out)"
+)
 
 
 def scan_text(text: Column, label: Column) -> Column:
     """Findings of every rule in ``text`` as an array, rule by rule."""
-    return F.concat(
-        *[_locate(text, rule_matches(text, rule), rule[0], label) for rule in rules.SECRET_RULES]
+    empty = f"cast(array() AS {FINDINGS})"
+    parts = [
+        f"coalesce({_LOCATED.format(found=_found_sql(rule), rule=quoted(rule[0]))}, {empty})"
+        for rule in rules.SECRET_RULES
+    ]
+    both = F.struct(text.alias("t"), label.alias("l"))
+    body = let_sql("b.t", "t", let_sql("b.l", "l", f"concat({', '.join(parts)})"))
+    return let(both, f"b -> {body}")
+
+
+_HITS = "filter(array({}), h -> h.n > 0)".format(
+    ", ".join(
+        f"named_struct('rule_id', {quoted(rule[0])}, 'n', coalesce(size({_found_sql(rule)}), 0))"
+        for rule in rules.SECRET_RULES
     )
+)
 
 
 def rule_hits(text: Column) -> Column:
     """Light form for decisions: ``array<struct<rule_id, n>>`` of rules that hit."""
-    hits = [
-        F.struct(F.lit(rule[0]).alias("rule_id"), F.size(rule_matches(text, rule)).alias("n"))
-        for rule in rules.SECRET_RULES
-    ]
-    return F.filter(F.array(*hits), lambda h: h["n"] > 0)
+    return let(text, f"t -> {_HITS}")
 
 
 def finding_lines(hits: Column, label: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
 
 from . import rules
-from .paths import looks_like_bare_file, looks_like_path, strip_quoting
-from .text import SPACE_CHARS, extract_all, has_text, java_pattern
+from .paths import BARE_LIKE, PATH_LIKE, STRIPPED
+from .text import NOT_SPACE, SPACE_CHARS, java_pattern, let, let_sql, quoted
 
 _STRINGS = "array<string>"
 
@@ -20,72 +20,75 @@ _LEXER = rf"(?s){_WORD}|\|\|?|&&?|;|<<?|>>?"
 _PIECE = r"(?s)'[^']*+(?:'|\z)|\"(?:[^\"\\]++|\\.|\\\z)*+(?:\"|\z)|\\.|\\\z|[^'\"\\]++"
 
 
-def _plain_piece(piece: Column) -> Column:
+
+_SINGLE_MARKS = r"^'|'\z"
+_DOUBLE_BODY = r"(?s)^\"((?:[^\"\\]++|\\.|\\\z)*+)"
+_ESCAPED = r"(?s)\\(.)"
+_QUOTING = r"['\"\\]"
+
+
+def _plain_sql(x: str) -> str:
+    """A piece of a word with its quoting removed."""
     return (
-        F.when(F.startswith(piece, F.lit("'")), F.regexp_replace(piece, r"^'|'\z", ""))
-        .when(
-            F.startswith(piece, F.lit('"')),
-            F.regexp_replace(
-                F.regexp_extract(piece, r"(?s)^\"((?:[^\"\\]++|\\.|\\\z)*+)", 1), r"(?s)\\(.)", "$1"
-            ),
-        )
-        .when(piece.rlike(r"(?s)^\\."), F.substr(piece, F.lit(2)))
-        .otherwise(piece)
+        f"CASE WHEN startswith({x}, {quoted(chr(39))}) THEN regexp_replace({x}, {quoted(_SINGLE_MARKS)}, '') "
+        f"WHEN startswith({x}, {quoted(chr(34))}) THEN "
+        f"regexp_replace(regexp_extract({x}, {quoted(_DOUBLE_BODY)}, 1), {quoted(_ESCAPED)}, '$1') "
+        f"WHEN {x} RLIKE {quoted('^' + _ESCAPED)} THEN substr({x}, 2) ELSE {x} END"
     )
 
 
+_WORDS = f"regexp_extract_all(t, {quoted(_LEXER)}, 0)"
+_PIECES = f"regexp_extract_all(w, {quoted(_PIECE)}, 0)"
+_TOKENS = (
+    f"filter(transform({_WORDS}, w -> CASE WHEN w RLIKE {quoted(_QUOTING)} "
+    f"THEN array_join(transform({_PIECES}, x -> {_plain_sql('x')}), '') ELSE w END), w -> w <> '')"
+)
+
+
+def _in(names: list[str]) -> str:
+    return f"IN ({', '.join(quoted(n) for n in names)})"
+
+
+def _state(reading: str, operand: str, out: str = "acc.out") -> str:
+    return f"named_struct('reading', {reading}, 'operand', {operand}, 'out', {out})"
+
+
+_GROWN = f"CASE WHEN {PATH_LIKE} THEN array_append(acc.out, c) ELSE acc.out END"
+_WALK = (
+    f"array_distinct(aggregate(k, {_state('false', 'false', f'cast(array() AS {_STRINGS})')}, (acc, c) -> CASE "
+    f"WHEN acc.operand THEN {_state('true', 'false', _GROWN)} "
+    f"WHEN c {_in(rules.SEPARATOR_TOKENS)} THEN {_state('false', 'false')} "
+    f"WHEN NOT acc.reading THEN {_state(f'lower(c) {_in(rules.READ_COMMANDS)}', 'false')} "
+    f"WHEN c {_in(rules.REDIRECT_TOKENS)} THEN {_state('true', 'true')} "
+    f"ELSE {_state('true', 'false', _GROWN)} END, acc -> acc.out))"
+)
+_PATHS, _NAMES = (
+    quoted(java_pattern(p)) for p in (rules.PATH_PATTERN, rules.BARE_FILE_PATTERN)
+)
+_BY_REGEX = (
+    f"filter(array_distinct(transform(concat(regexp_extract_all(t, {_PATHS}, 0), "
+    f"regexp_extract_all(t, {_NAMES}, 0)), c -> {STRIPPED})), c -> {PATH_LIKE} OR {BARE_LIKE})"
+)
+
+
 def shell_tokens(command: Column) -> Column:
     """Words with quoting removed, and operators, in order."""
-    words = F.transform(
-        extract_all(command, _LEXER),
-        lambda w: F.when(
-            w.rlike(r"['\"\\]"), F.array_join(F.transform(extract_all(w, _PIECE), _plain_piece), "")
-        ).otherwise(w),
-    )
-    return F.filter(words, lambda w: w != "")
+    return let(command, f"t -> {_TOKENS}")
 
 
 def paths_by_tokens(tokens: Column) -> Column:
     """Path-like words after a read command, up to the next separator."""
-    state = f"struct<reading:boolean,operand:boolean,out:{_STRINGS}>"
-
-    def make(reading: Column, operand: Column, out: Column) -> Column:
-        return F.struct(
-            reading.alias("reading"), operand.alias("operand"), out.alias("out")
-        ).cast(state)
-
-    yes, no = F.lit(True), F.lit(False)
-
-    def step(acc: Column, token: Column) -> Column:
-        grown = F.when(looks_like_path(token), F.array_append(acc["out"], token)).otherwise(
-            acc["out"]
-        )
-        return (
-            F.when(acc["operand"], make(yes, no, grown))
-            .when(token.isin(rules.SEPARATOR_TOKENS), make(no, no, acc["out"]))
-            .when(
-                ~acc["reading"],
-                make(F.lower(token).isin(rules.READ_COMMANDS), no, acc["out"]),
-            )
-            .when(token.isin(rules.REDIRECT_TOKENS), make(yes, yes, acc["out"]))
-            .otherwise(make(yes, no, grown))
-        )
-
-    start = make(no, no, F.array().cast(_STRINGS))
-    return F.array_distinct(F.aggregate(tokens, start, step, lambda acc: acc["out"]))
+    return let(tokens, f"k -> {_WALK}")
 
 
 def paths_by_regex(command: Column) -> Column:
     """Anything in the raw string that looks like a path or a file name."""
-    raw = F.concat(
-        extract_all(command, java_pattern(rules.PATH_PATTERN)),
-        extract_all(command, java_pattern(rules.BARE_FILE_PATTERN)),
-    )
-    candidates = F.array_distinct(F.transform(raw, strip_quoting))
-    return F.filter(candidates, lambda c: looks_like_path(c) | looks_like_bare_file(c))
+    return let(command, f"t -> {_BY_REGEX}")
 
 
 def read_candidates(command: Column) -> Column:
     """Both readings, first seen first, duplicates removed."""
-    both = F.array_union(paths_by_tokens(shell_tokens(command)), paths_by_regex(command))
-    return F.when(has_text(command), both).otherwise(F.array().cast(_STRINGS))
+    both = f"array_union({let_sql(_TOKENS, 'k', _WALK)}, {_BY_REGEX})"
+    return let(
+        command, f"t -> CASE WHEN t RLIKE {quoted(NOT_SPACE)} THEN {both} ELSE cast(array() AS {_STRINGS}) END"
+    )

@@ -8,8 +8,6 @@ regex differs on all three, so ``java_pattern`` spells them out.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -44,28 +42,36 @@ def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     return ("(?i)" if ignore_case else "") + _ATOM.sub(_java_atom, pattern)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once, however often it is used.
+def let(value: Column, lambda_sql: str) -> Column:
+    """Apply a SQL lambda such as ``x -> x + 1`` to a value computed once.
 
-    Nested expressions that name their input several times would otherwise grow
-    the plan exponentially.
+    Expressions that name their input several times would otherwise grow the
+    plan exponentially, and long rule chains are much faster to parse as SQL
+    than to put together call by call.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.call_function("transform", F.array(value), F.expr(lambda_sql)), F.lit(0))
 
 
-def matches(text: Column, pattern: str, ignore_case: bool = False) -> Column:
-    return text.rlike(java_pattern(pattern, ignore_case))
+def let_sql(value: str, name: str, body: str) -> str:
+    """The same inside SQL text."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def contains_words(low: Column, alternatives: list[list[str]]) -> Column:
-    """All words of one of the alternatives are in the (lowered) text."""
-    return reduce(
-        Column.__or__,
-        [
-            reduce(Column.__and__, [F.contains(low, F.lit(word)) for word in words])
-            for words in alternatives
-        ],
-    )
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def words_sql(low: str, alternatives: list[list[str]]) -> str:
+    """Test that all words of one of the alternatives are in the (lowered) text."""
+    tests = [
+        " AND ".join(f"contains({low}, {quoted(word)})" for word in words) for words in alternatives
+    ]
+    return tests[0] if len(tests) == 1 else "(" + " OR ".join(tests) + ")"
+
+
+def match_sql(text: str, pattern: str, ignore_case: bool = False) -> str:
+    return f"{text} RLIKE {quoted(java_pattern(pattern, ignore_case))}"
 
 
 def extract_all(text: Column, java_regex: str) -> Column:
@@ -112,8 +118,9 @@ def unescape_html(text: Column) -> Column:
 
 def json_value(value: Column) -> Column:
     """A scalar column as JSON text; NULL stays NULL."""
-    boxed = F.to_json(F.array(value))
-    return F.when(value.isNotNull(), F.substring(boxed, F.lit(2), F.length(boxed) - 2))
+    return F.when(
+        value.isNotNull(), let(F.to_json(F.array(value)), "j -> substring(j, 2, length(j) - 2)")
+    )
 
 
 def json_number(value: Column) -> Column:

@@ -37,9 +37,7 @@ def explode_paths(events: DataFrame, keys: list[str], candidates: Column) -> Dat
 
 def resolved_candidates(command: Column, base: Column, home: Column) -> Column:
     """Resolved paths a command may read, in order."""
-    return F.transform(
-        shell.read_candidates(command), lambda c: paths.resolve_candidate(c, base, home)
-    )
+    return paths.resolve_candidates(shell.read_candidates(command), base, home)
 
 
 def shell_read_paths(

@@ -9,15 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.hook_events import EVENT_FIELDS, with_event_columns
+from ..sources.hook_events import EVENT_FIELDS
 from .views import view, view_sql
 
 Given = dict[str, DataFrame] | None
 
-_EDITS = EVENT_FIELDS["edits"].dataType
-
 
 @dataclass(frozen=True)
 class Branch:
@@ -158,38 +156,30 @@ def branch_sql(name: str) -> str:
     return branch.select(name).format(**{branch.source: f"({source})"})
 
 
+_ROW_FIELDS = {"session": "bigint", "seq": "bigint", "received_at": "timestamp"}
+
+
 def _event_rows(spark: SparkSession, sf_dir: str, name: str, given: Given) -> DataFrame:
+    """One branch in the full event shape, as one statement."""
     branch = BRANCHES[name]
-    source = view(spark, sf_dir, branch.source, given)
-    rows = spark.sql(branch.select(name), **{branch.source: source})
-    lists = {}
-    if "workspace_root" in rows.columns:
-        lists["workspace_roots"] = F.array("workspace_root")
-    if "new_string" in rows.columns:
-        edit = F.struct(
-            F.lit("").alias("old_string"),
-            "new_string",
-            F.lit(None).cast(_EDITS.elementType["range"].dataType).alias("range"),
+    types = _ROW_FIELDS | {f.name: f.dataType.simpleString() for f in EVENT_FIELDS.fields}
+    sql = dict(branch.columns)
+    if "workspace_root" in sql:
+        sql["workspace_roots"] = f"array({sql.pop('workspace_root')})"
+    if "new_string" in sql:
+        sql["edits"] = (
+            f"array(named_struct('old_string', '', 'new_string', {sql.pop('new_string')}, 'range', "
+            "CAST(NULL AS struct<start_line_number:int,end_line_number:int>)))"
         )
-        lists["edits"] = F.array(edit).cast(_EDITS)
-    drops = [c for c in ("workspace_root", "new_string") if c in rows.columns]
-    return rows.withColumns(lists).drop(*drops) if lists else rows
+    columns = {c: f"CAST({sql.get(c, 'NULL')} AS {kind})" for c, kind in types.items()}
+    statement = Branch(branch.dialect, branch.event, branch.source, branch.row, columns).select(name)
+    return spark.sql(statement, **{branch.source: view(spark, sf_dir, branch.source, given)})
 
 
 def events_of(
     spark: SparkSession, sf_dir: str, *names: str, given: Given = None
 ) -> DataFrame:
     """Hook events of the named branches, all event columns present."""
-    extra = {"session": "bigint", "seq": "bigint", "received_at": "timestamp"}
-    frames = []
-    for name in names:
-        rows = with_event_columns(_event_rows(spark, sf_dir, name, given))
-        missing = {c: F.lit(None).cast(t) for c, t in extra.items() if c not in rows.columns}
-        rows = rows.withColumns(missing) if missing else rows
-        frames.append(
-            rows.select(
-                "event_uid", "dialect", "event_name",
-                *[F.col(c).cast(t).alias(c) for c, t in extra.items()], *[f.name for f in EVENT_FIELDS.fields]
-            )
-        )
-    return reduce(DataFrame.unionByName, frames)
+    return reduce(
+        DataFrame.unionByName, [_event_rows(spark, sf_dir, name, given) for name in names]
+    )
