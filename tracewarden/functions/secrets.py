@@ -63,14 +63,23 @@ _HITS = "filter(array({}), h -> h.n > 0)".format(
 )
 
 
+def hits_sql(text: str) -> str:
+    return let_sql(text, "t", _HITS)
+
+
 def rule_hits(text: Column) -> Column:
     """Light form for decisions: ``array<struct<rule_id, n>>`` of rules that hit."""
     return let(text, f"t -> {_HITS}")
 
 
+def lines_sql(hits: str, label: str) -> str:
+    return f"transform({hits}, h -> concat('- ', h.rule_id, ' (', {label}, ')'))"
+
+
 def finding_lines(hits: Column, label: Column) -> Column:
     """One masked line per rule that hit, for the message of a decision."""
-    return F.transform(hits, lambda h: F.concat(F.lit("- "), h["rule_id"], F.lit(" ("), label, F.lit(")")))
+    both = F.struct(hits.alias("hits"), label.alias("label"))
+    return let(both, f"b -> {lines_sql('b.hits', 'b.label')}")
 
 
 def finding_count(hits: Column) -> Column:

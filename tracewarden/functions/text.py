@@ -8,6 +8,7 @@ regex differs on all three, so ``java_pattern`` spells them out.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -116,25 +117,39 @@ def unescape_html(text: Column) -> Column:
     return out
 
 
-def json_value(value: Column) -> Column:
-    """A scalar column as JSON text; NULL stays NULL."""
-    return F.when(
-        value.isNotNull(), let(F.to_json(F.array(value)), "j -> substring(j, 2, length(j) - 2)")
-    )
+# SQL builders: they take and return SQL text.
+
+
+def has_text_sql(text: str) -> str:
+    return f"coalesce({text} RLIKE {quoted(NOT_SPACE)}, false)"
+
+
+def json_field_sql(document: str, name: str) -> str:
+    return f"get_json_object({document}, '$.{name}')"
+
 
+def in_sql(value: str, names: Iterable[str]) -> str:
+    return f"{value} IN ({', '.join(quoted(n) for n in names)})"
 
-def json_number(value: Column) -> Column:
-    """A DOUBLE as JSON text without a trailing ``.0``."""
-    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
-    return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
 
+def json_value_sql(value: str) -> str:
+    """A scalar as JSON text; NULL stays NULL."""
+    boxed = let_sql(f"to_json(array({value}))", "j", "substring(j, 2, length(j) - 2)")
+    return f"CASE WHEN {value} IS NOT NULL THEN {boxed} END"
 
-def json_object(fields: list[tuple[str, Column]]) -> Column:
+
+def json_number_sql(value: str) -> str:
+    """A number as JSON text without a trailing ``.0``."""
+    return (
+        f"CASE WHEN {value} = floor({value}) AND abs({value}) < 1e15 "
+        f"THEN cast(cast({value} AS bigint) AS string) ELSE cast({value} AS string) END"
+    )
+
+
+def json_object_sql(fields: Iterable[tuple[str, str]]) -> str:
     """JSON object text from ``(key, JSON text)`` pairs, in order, NULLs left out."""
-    parts = [
-        F.when(value.isNotNull(), F.concat(F.lit(f'"{key}":'), value)) for key, value in fields
-    ]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    parts = [f"concat({quoted(chr(34) + key + chr(34) + ':')}, {value})" for key, value in fields]
+    return f"concat('{{', concat_ws(',', {', '.join(parts)}), '}}')"
 
 
 def or_empty(value: Column) -> Column:

@@ -11,11 +11,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import paths, pii, policy, rules, secrets
-from ..functions.text import has_text, json_object, json_value, or_empty, truthy
+from ..functions import paths, pii, policy, rules, secrets, shell
+from ..functions.text import (
+    has_text_sql, in_sql, json_field_sql, json_object_sql, json_value_sql, or_empty, quoted, truthy,
+)
 from ..sources.hook_events import with_event_columns
 from .detect import scan_files
-from .lineage import explode_paths, findings_of_reads, resolved_candidates
+from .lineage import explode_paths, findings_of_reads
 
 
 @dataclass(frozen=True)
@@ -61,28 +63,46 @@ CHECKS = [
 _TEXTS = "array<struct<label:string,text:string>>"
 
 
-def _is(dialect: str, *events: str) -> Column:
-    return (F.col("dialect") == dialect) & F.col("event_name").isin(*events)
+def _is(dialect: str, *events: str) -> str:
+    return f"(dialect = '{dialect}' AND {in_sql('event_name', events)})"
 
 
-def _texts(*pairs: tuple[Column, Column]) -> Column:
+_PLUGIN = _is("openclaw", "before_tool_call")
+_PRE = _is("claude", "PreToolUse")
+_SHELL_EVENT = _is("cursor", "beforeShellExecution")
+_PLUGIN_SHELL = f"({_PLUGIN} AND {in_sql('tool_name', rules.OPENCLAW_COMMAND_TOOLS)})"
+_CLAUDE_SHELL = f"({_PRE} AND {in_sql('tool_name', rules.SECRET_COMMAND_TOOLS)})"
+
+
+def _input(name: str) -> str:
+    return json_field_sql("tool_input", name)
+
+
+def _case(branches: list[tuple[str, str]], default: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in branches) + f" ELSE {default} END"
+
+
+def _texts(*pairs: tuple[str, str]) -> str:
     rows = [
-        F.when(has_text(text), F.struct(label.alias("label"), text.alias("text")))
+        f"CASE WHEN {has_text_sql(text)} THEN named_struct('label', {label}, 'text', {text}) END"
         for label, text in pairs
     ]
-    return F.array_compact(F.array(*rows)).cast(_TEXTS)
-
-
-def _command() -> Column:
-    """Command of a tool call or of a shell or MCP event."""
-    tool_input = F.col("tool_input")
-    given = policy.json_field(tool_input, "command")
-    return or_empty(
-        F.when(_is("cursor", "beforeShellExecution", "beforeMCPExecution"), F.col("command"))
-        .when(_is("openclaw", "before_tool_call"),
-              F.coalesce(given, policy.json_field(tool_input, "cmd")))
-        .otherwise(given)
-    )
+    return f"cast(array_compact(array({', '.join(rows)})) AS {_TEXTS})"
+
+
+# Command of a tool call or of a shell or MCP event.
+_COMMAND = "coalesce(" + _case(
+    [
+        (_is("cursor", "beforeShellExecution", "beforeMCPExecution"), "command"),
+        (_PLUGIN, f"coalesce({_input('command')}, {_input('cmd')})"),
+    ],
+    _input("command"),
+) + ", '')"
+
+# First non-empty of the three names a plugin tool may use.
+_PLUGIN_FILE = "coalesce(" + ", ".join(
+    f"nullif({_input(name)}, '')" for name in ("file_path", "path", "target_file")
+) + ")"
 
 
 def extract_file_path(params: Column) -> Column:
@@ -92,113 +112,71 @@ def extract_file_path(params: Column) -> Column:
     )
 
 
+def _label(fallback: str) -> str:
+    return f"coalesce(nullif(file_path, ''), '{fallback}')"
+
+
 def scannable_texts() -> Column:
     """Labelled texts of an event that are searched for secrets."""
-    command = F.col("_command")
-    file_label = F.coalesce(truthy(F.col("file_path")), F.lit("[content]"))
-    edit_label = F.coalesce(truthy(F.col("file_path")), F.lit("[edit]"))
-    response = F.coalesce("tool_response", "tool_result", "tool_output")
-    edits = F.transform(
-        F.filter(F.col("edits"), lambda e: has_text(e["new_string"])),
-        lambda e: F.struct(edit_label.alias("label"), e["new_string"].alias("text")),
-    )
-    shell_tool = F.col("tool_name").isin(rules.SECRET_COMMAND_TOOLS)
-    plugin_tool = F.col("tool_name").isin(rules.OPENCLAW_COMMAND_TOOLS)
-    bash = F.when(F.col("tool_name") == "Bash", command)
-    return (
-        F.when(_is("claude", "PreToolUse") & shell_tool, _texts((F.lit("[shell command]"), command)))
-        .when(
-            _is("claude", "UserPromptSubmit"),
-            _texts((F.lit("[prompt]"), F.coalesce("user_prompt", "prompt"))),
-        )
-        .when(
-            _is("claude", "PostToolUse"),
-            _texts((F.lit("[tool output]"), response), (F.lit("[shell command]"), bash)),
-        )
-        .when(_is("cursor", "beforeReadFile"), _texts((file_label, F.col("content"))))
-        .when(_is("cursor", "beforeSubmitPrompt"), _texts((F.lit("[prompt]"), F.col("prompt"))))
-        .when(_is("cursor", "beforeShellExecution"), _texts((F.lit("[shell command]"), command)))
-        .when(_is("cursor", "beforeMCPExecution"), _texts((F.lit("[mcp command]"), command)))
-        .when(_is("cursor", "afterFileEdit"), edits.cast(_TEXTS))
-        .when(
-            _is("cursor", "afterShellExecution"),
-            _texts((F.lit("[shell stdout]"), F.col("stdout")),
-                   (F.lit("[shell stderr]"), F.col("stderr"))),
-        )
-        .when(
-            _is("cursor", "afterMCPExecution"),
-            _texts((F.lit("[mcp stdout]"), F.col("stdout")),
-                   (F.lit("[mcp stderr]"), F.col("stderr")),
-                   (F.lit("[mcp output]"), F.col("text")),
-                   (F.lit("[mcp output]"), F.col("message"))),
-        )
-        .when(
-            _is("openclaw", "before_tool_call") & plugin_tool,
-            _texts((F.lit("[shell command]"), command)),
-        )
+    command = ("'[shell command]'", "_command")
+    response = "coalesce(tool_response, tool_result, tool_output)"
+    edits = (
+        f"cast(transform(filter(edits, e -> {has_text_sql('e.new_string')}), "
+        f"e -> named_struct('label', {_label('[edit]')}, 'text', e.new_string)) AS {_TEXTS})"
     )
+    bash = ("'[shell command]'", "CASE WHEN tool_name = 'Bash' THEN _command END")
+    by_event = [
+        (f"{_CLAUDE_SHELL} OR {_SHELL_EVENT} OR {_PLUGIN_SHELL}", _texts(command)),
+        (_is("claude", "UserPromptSubmit"), _texts(("'[prompt]'", "coalesce(user_prompt, prompt)"))),
+        (_is("claude", "PostToolUse"), _texts(("'[tool output]'", response), bash)),
+        (_is("cursor", "beforeReadFile"), _texts((_label("[content]"), "content"))),
+        (_is("cursor", "beforeSubmitPrompt"), _texts(("'[prompt]'", "prompt"))),
+        (_is("cursor", "beforeMCPExecution"), _texts(("'[mcp command]'", "_command"))),
+        (_is("cursor", "afterFileEdit"), edits),
+        (_is("cursor", "afterShellExecution"),
+         _texts(("'[shell stdout]'", "stdout"), ("'[shell stderr]'", "stderr"))),
+        (_is("cursor", "afterMCPExecution"),
+         _texts(("'[mcp stdout]'", "stdout"), ("'[mcp stderr]'", "stderr"),
+                ("'[mcp output]'", "text"), ("'[mcp output]'", "message"))),
+    ]
+    return F.expr(_case(by_event))
 
 
 def _lookup_paths(home: Column, default_dir: Column) -> Column:
-    """Resolved paths whose file contents bear on the decision."""
-    own_dir = F.when(has_text(F.col("cwd")), F.col("cwd"))
-    params_cwd = policy.json_field(F.col("tool_input"), "cwd")
-    plugin_dir = F.coalesce(F.when(has_text(params_cwd), params_cwd), default_dir)
-    claude_dir = F.coalesce(own_dir, default_dir)
-    cursor_dir = paths.base_dir(own_dir, F.col("workspace_roots"), default_dir)
-    read_target = truthy(
-        F.coalesce(
-            policy.json_field(F.col("tool_input"), "file_path"),
-            policy.json_field(F.col("tool_input"), "target_file"),
-        )
-    )
-    plugin_target = extract_file_path(F.col("tool_input"))
-    cursor_target = truthy(F.col("file_path"))
-    blank_content = ~has_text(F.col("content"))
-    is_plugin = _is("openclaw", "before_tool_call")
-
-    # One token walk, whatever the dialect: only the base directory differs.
-    runs_shell = (
-        (_is("claude", "PreToolUse") & F.col("tool_name").isin(rules.SECRET_COMMAND_TOOLS))
-        | _is("cursor", "beforeShellExecution")
-        | (is_plugin & F.col("tool_name").isin(rules.OPENCLAW_COMMAND_TOOLS))
-    )
-    shell_dir = (
-        F.when(F.col("dialect") == "claude", claude_dir)
-        .when(F.col("dialect") == "cursor", cursor_dir)
-        .otherwise(plugin_dir)
-    )
-    roots_dir = paths.base_dir(F.lit(None).cast("string"), F.col("workspace_roots"), default_dir)
-    target = (
-        F.when(
-            _is("claude", "PreToolUse") & F.col("tool_name").isin(rules.SECRET_READ_TOOLS),
-            paths.resolve_candidate(read_target, claude_dir, home),
-        )
-        .when(
-            _is("cursor", "beforeReadFile") & blank_content,
-            paths.resolve_candidate(cursor_target, roots_dir, home),
-        )
-        .when(
-            _is("cursor", "afterFileEdit"),
-            paths.resolve_candidate(cursor_target, default_dir, home),
-        )
-        .when(
-            is_plugin & F.col("tool_name").isin(rules.OPENCLAW_READ_TOOLS),
-            paths.resolve_candidate(plugin_target, default_dir, home),
-        )
+    """Resolved paths whose file contents bear on the decision.
+
+    One token walk serves all dialects: only the base directory differs.
+    """
+    own_dir = F.expr(f"CASE WHEN {has_text_sql('cwd')} THEN cwd END")
+    params_dir = F.expr(f"CASE WHEN {has_text_sql(_input('cwd'))} THEN {_input('cwd')} END")
+    first_root = F.expr("nullif(try_element_at(workspace_roots, 1), '')")
+    base = F.coalesce(
+        F.when(F.expr(_PLUGIN_SHELL), params_dir),
+        F.when(F.expr(f"{_SHELL_EVENT} OR {_PRE}"), own_dir),
+        F.when(F.expr(f"{_SHELL_EVENT} OR {_is('cursor', 'beforeReadFile')}"), first_root),
+        default_dir,
     )
-    return F.when(runs_shell, resolved_candidates(F.col("_command"), shell_dir, home)).otherwise(
-        F.array_compact(F.array(target))
+    file_path = "nullif(file_path, '')"
+    target = _case(
+        [
+            (f"{_PRE} AND {in_sql('tool_name', rules.SECRET_READ_TOOLS)}",
+             f"nullif(coalesce({_input('file_path')}, {_input('target_file')}), '')"),
+            (f"{_is('cursor', 'beforeReadFile')} AND NOT {has_text_sql('content')}", file_path),
+            (_is("cursor", "afterFileEdit"), file_path),
+            (f"{_PLUGIN} AND {in_sql('tool_name', rules.OPENCLAW_READ_TOOLS)}", _PLUGIN_FILE),
+        ]
     )
+    runs_shell = F.expr(f"{_CLAUDE_SHELL} OR {_SHELL_EVENT} OR {_PLUGIN_SHELL}")
+    one = F.expr(f"array_compact(array({target}))")
+    candidates = F.when(runs_shell, shell.read_candidates(F.col("_command"))).otherwise(one)
+    return paths.resolve_candidates(candidates, base, home)
 
 
 def _policy() -> Column:
     """Every judged event is a tool call; shell events count as a command tool."""
-    is_plugin = _is("openclaw", "before_tool_call")
-    plugin_shell = is_plugin & F.col("tool_name").isin(rules.OPENCLAW_COMMAND_TOOLS)
-    shell = plugin_shell | _is("cursor", "beforeShellExecution")
-    tool = F.when(shell, F.lit(rules.COMMAND_TOOLS[0])).otherwise(F.col("tool_name"))
-    judged = shell | is_plugin | _is("claude", "PreToolUse") | _is("cursor", "preToolUse")
+    runs_shell = f"({_PLUGIN_SHELL} OR {_SHELL_EVENT})"
+    tool = F.expr(f"if({runs_shell}, '{rules.COMMAND_TOOLS[0]}', tool_name)")
+    judged = F.expr(f"{runs_shell} OR {_PLUGIN} OR {_PRE} OR {_is('cursor', 'preToolUse')}")
     return F.when(
         judged, policy.validate_tool_input(tool, F.col("tool_input"), F.col("_command"))
     )
@@ -210,42 +188,36 @@ def _prepare(events: DataFrame) -> DataFrame:
         ready = ready.withColumn("event_name", F.coalesce("hook_event_name", F.lit("")))
     ready = ready.withColumn("tool_input", F.coalesce("tool_input", F.lit("{}")))
     return ready.withColumn("tool_name", or_empty(F.col("tool_name"))).withColumn(
-        "_command", _command()
+        "_command", F.expr(_COMMAND)
     )
 
 
+_EMPTY = "cast(array() AS array<string>)"
+_COUNT = "coalesce(aggregate({}, 0, (a, h) -> a + h.n), 0)"
+
+
 def _with_text_signals(events: DataFrame) -> DataFrame:
     """Thin rows: verdict parts that need nothing but the event itself."""
-    is_plugin = _is("openclaw", "before_tool_call")
-    plugin_shell = is_plugin & F.col("tool_name").isin(rules.OPENCLAW_COMMAND_TOOLS)
-    found = F.transform(
-        F.col("_texts"),
-        lambda t: F.struct(
-            t["label"].alias("label"), secrets.rule_hits(t["text"]).alias("hits")
-        ),
-    )
+    hits = secrets.hits_sql("t.text")
+    found = f"filter(transform(_texts, t -> named_struct('label', t.label, 'hits', {hits})), f -> size(f.hits) > 0)"
     staged = events.withColumn("_texts", scannable_texts()).select(
         "event_uid", "dialect", "event_name", "tool_name",
-        F.filter(found, lambda f: F.size(f["hits"]) > 0).alias("_found"),
+        F.expr(found).alias("_found"),
         _policy().alias("_policy"),
-        F.when(plugin_shell, pii.contains_pii(F.col("_command"))).alias("_pii_command"),
-        F.when(is_plugin, secrets.rule_hits(F.col("tool_input"))).alias("_param_hits"),
-        F.when(is_plugin, pii.contains_pii(F.col("tool_input"))).alias("_pii_params"),
+        F.when(F.expr(_PLUGIN_SHELL), pii.contains_pii(F.col("_command"))).alias("_pii_command"),
+        F.when(F.expr(_PLUGIN), secrets.rule_hits(F.col("tool_input"))).alias("_param_hits"),
+        F.when(F.expr(_PLUGIN), pii.contains_pii(F.col("tool_input"))).alias("_pii_params"),
     )
-    return staged.select(
+    lines = secrets.lines_sql("f.hits", "f.label")
+    return staged.selectExpr(
         "event_uid", "dialect", "event_name", "tool_name",
-        F.col("_policy.severity").alias("severity"),
-        F.col("_policy.reason").alias("policy_reason"),
-        F.coalesce(
-            F.aggregate("_found", F.lit(0), lambda a, f: a + secrets.finding_count(f["hits"])),
-            F.lit(0),
-        ).alias("text_n"),
-        F.flatten(
-            F.transform("_found", lambda f: secrets.finding_lines(f["hits"], f["label"]))
-        ).alias("text_lines"),
-        F.coalesce(secrets.finding_count(F.col("_param_hits")), F.lit(0)).alias("param_n"),
-        F.coalesce("_pii_command", F.lit(False)).alias("pii_command"),
-        F.coalesce("_pii_params", F.lit(False)).alias("pii_params"),
+        "_policy.severity AS severity",
+        "_policy.reason AS policy_reason",
+        f"coalesce(aggregate(_found, 0, (a, f) -> a + {_COUNT.format('f.hits')}), 0) AS text_n",
+        f"coalesce(flatten(transform(_found, f -> {lines})), {_EMPTY}) AS text_lines",
+        f"{_COUNT.format('_param_hits')} AS param_n",
+        "coalesce(_pii_command, false) AS pii_command",
+        "coalesce(_pii_params, false) AS pii_params",
     )
 
 
@@ -272,141 +244,122 @@ def signals(
     )
 
 
-def _outcome(action: str, context: str | None, message: Column | None, n: Column) -> Column:
-    return F.struct(
-        F.lit(action).alias("action"),
-        F.lit(context).cast("string").alias("context"),
-        (F.lit(None) if message is None else message).cast("string").alias("message"),
-        n.cast("int").alias("n_findings"),
+def _outcome(action: str, context: str | None, message: str, n: str) -> str:
+    named = "NULL" if context is None else f"'{context}'"
+    return (
+        f"named_struct('action', '{action}', 'context', cast({named} AS string), "
+        f"'message', cast({message} AS string), 'n_findings', cast({n} AS int))"
     )
 
 
+def _message(heading: str, lines: str, suffix: str = "") -> str:
+    shown = f"concat_ws('\\n', '{heading}', array_sort(array_distinct({lines})))"
+    return f"concat({shown}, {quoted(suffix)})" if suffix else shown
+
+
 def _verdict() -> Column:
-    none = F.lit(0)
-    text_n, file_n, param_n = F.col("text_n"), F.col("file_n"), F.col("param_n")
-    reason = F.col("policy_reason")
-    blocked, warned = F.col("severity") == "block", F.col("severity") == "warn"
-    empty = F.array().cast("array<string>")
-    text_lines = F.coalesce("text_lines", empty)
-    all_lines = F.concat(text_lines, F.col("file_lines"))
-
-    pre = _is("claude", "PreToolUse")
-    chain = (
-        F.when(pre & blocked, _outcome("block", None, reason, none))
-        .when(
-            pre & (text_n > 0),
-            _outcome("block", "secret_detected_in_command",
-                     secrets.findings_message(F.lit(COMMAND_HEADING), text_lines), text_n),
-        )
-        .when(
-            pre & (file_n > 0),
-            _outcome("block", "secret_detected_before_read",
-                     secrets.findings_message(F.lit(READ_HEADING), F.col("file_lines")), file_n),
-        )
-    )
-    plugin = _is("openclaw", "before_tool_call")
-    for condition, context, message, n in (
-        (blocked, None, F.coalesce(truthy(reason), F.lit("Blocked by policy.")), none),
-        (text_n > 0, "secret_detected_in_command", F.lit("Secret detected in command"), text_n),
-        (F.col("pii_command"), None, F.lit("PII detected in command"), none),
-        (file_n > 0, "secret_detected_before_read", F.lit("Secret detected in file read"), file_n),
-        (param_n > 0, "secret_detected_in_params",
-         F.lit("Secret detected in tool parameters"), param_n),
-        (F.col("pii_params"), None, F.lit("PII detected in tool parameters"), none),
-    ):
-        chain = chain.when(plugin & condition, _outcome("block", context, message, n))
-    for check in CHECKS:
-        message = secrets.findings_message(F.lit(check.heading), all_lines)
-        if check.suffix:
-            message = F.concat(message, F.lit(check.suffix))
-        chain = chain.when(
-            _is(check.dialect, check.event) & (text_n + file_n > 0),
-            _outcome("block", check.context, message, text_n + file_n),
+    """First match wins, in the order of each dialect."""
+    blocked, warned = "severity = 'block'", "severity = 'warn'"
+    own, files = _message(COMMAND_HEADING, "text_lines"), _message(READ_HEADING, "file_lines")
+    chain = [
+        (f"{_PRE} AND {blocked}", _outcome("block", None, "policy_reason", "0")),
+        (f"{_PRE} AND text_n > 0", _outcome("block", "secret_detected_in_command", own, "text_n")),
+        (f"{_PRE} AND file_n > 0", _outcome("block", "secret_detected_before_read", files, "file_n")),
+    ]
+    plugin_order = [
+        (blocked, None, "coalesce(nullif(policy_reason, ''), 'Blocked by policy.')", "0"),
+        ("text_n > 0", "secret_detected_in_command", "'Secret detected in command'", "text_n"),
+        ("pii_command", None, "'PII detected in command'", "0"),
+        ("file_n > 0", "secret_detected_before_read", "'Secret detected in file read'", "file_n"),
+        ("param_n > 0", "secret_detected_in_params", "'Secret detected in tool parameters'", "param_n"),
+        ("pii_params", None, "'PII detected in tool parameters'", "0"),
+    ]
+    chain += [
+        (f"{_PLUGIN} AND {test}", _outcome("block", context, message, n))
+        for test, context, message, n in plugin_order
+    ]
+    chain += [
+        (
+            f"{_is(check.dialect, check.event)} AND text_n + file_n > 0",
+            _outcome(
+                "block", check.context,
+                _message(check.heading, "concat(text_lines, file_lines)", check.suffix),
+                "text_n + file_n",
+            ),
         )
-    labelled = F.when(
-        _is("cursor", "preToolUse"), F.concat(F.col("tool_name"), F.lit(" - "), reason)
-    ).otherwise(reason)
+        for check in CHECKS
+    ]
+    labelled = f"if({_is('cursor', 'preToolUse')}, concat(tool_name, ' - ', policy_reason), policy_reason)"
     # The plugin dialect and hooks without an answer stay silent.
-    silent = (F.col("dialect") == "openclaw") | ((F.col("dialect") == "claude") & ~pre)
-    return (
-        chain.when(blocked & ~silent, _outcome("block", None, labelled, none))
-        .when(warned & ~silent, _outcome("warn", None, labelled, none))
-        .when(~silent, _outcome("allow", None, None, none))
-        .otherwise(_outcome("none", None, None, none))
-    )
+    chain += [
+        (f"dialect = 'openclaw' OR (dialect = 'claude' AND NOT {_PRE})", _outcome("none", None, "NULL", "0")),
+        (blocked, _outcome("block", None, labelled, "0")),
+        (warned, _outcome("warn", None, labelled, "0")),
+    ]
+    return F.expr(_case(chain, _outcome("allow", None, "NULL", "0")))
 
 
-def pre_tool_response(decision: Column, reason: Column, system_message: Column) -> Column:
-    inner = json_object(
-        [
-            ("hookEventName", F.lit('"PreToolUse"')),
-            ("permissionDecision", json_value(decision)),
-            ("permissionDecisionReason", json_value(reason)),
-        ]
-    )
-    return json_object([("hookSpecificOutput", inner), ("systemMessage", json_value(system_message))])
+# Policy verdicts are announced; findings messages are shown as they are.
+_SHOWN = _case(
+    [
+        ("context IS NULL AND action = 'block'", "concat('BLOCKED: ', message)"),
+        ("action = 'warn'", "concat('WARNING: ', message)"),
+    ],
+    "message",
+)
 
 
-def block_response(reason: Column, event_name: Column) -> Column:
-    inner = json_object(
-        [("hookEventName", json_value(event_name)), ("additionalContext", json_value(reason))]
-    )
-    return json_object(
+def _pre_tool_response() -> str:
+    inner = json_object_sql(
         [
-            ("decision", F.lit('"block"')),
-            ("reason", json_value(reason)),
-            ("hookSpecificOutput", inner),
+            ("hookEventName", quoted('"PreToolUse"')),
+            ("permissionDecision", _PERMISSION),
+            ("permissionDecisionReason", json_value_sql("message")),
         ]
     )
+    return json_object_sql([("hookSpecificOutput", inner), ("systemMessage", json_value_sql("shown"))])
 
 
-def cursor_response(event_name: Column, action: Column, message: Column) -> Column:
-    """Answer by event family; a warning allows."""
-    blocked = action == "block"
-    user_message = ("userMessage", json_value(message))
-    permission = F.when(blocked, F.lit('"deny"')).otherwise(F.lit('"allow"'))
-    return (
-        F.when(
-            event_name == "beforeSubmitPrompt",
-            json_object(
-                [("continue", F.when(blocked, F.lit("false")).otherwise(F.lit("true"))), user_message]
-            ),
-        )
-        .when(
-            event_name.isin("afterFileEdit", "afterShellExecution", "afterMCPExecution"),
-            json_object([("message", json_value(message))]),
-        )
-        .when(event_name == "preToolUse", json_object([("decision", permission), user_message]))
-        .otherwise(json_object([("permission", permission), user_message]))
+_DENY, _ALLOW = quoted('"deny"'), quoted('"allow"')
+_PERMISSION = f"if(action = 'block', {_DENY}, {_ALLOW})"
+
+
+def _block_response() -> str:
+    reason = json_value_sql("message")
+    inner = json_object_sql(
+        [("hookEventName", json_value_sql("event_name")), ("additionalContext", reason)]
+    )
+    return json_object_sql(
+        [("decision", quoted('"block"')), ("reason", reason), ("hookSpecificOutput", inner)]
     )
 
 
-def _with_prefix() -> Column:
-    """Policy verdicts are announced; findings messages are shown as they are."""
-    by_policy = F.col("context").isNull()
-    return (
-        F.when(by_policy & (F.col("action") == "block"), F.concat(F.lit("BLOCKED: "), F.col("message")))
-        .when(F.col("action") == "warn", F.concat(F.lit("WARNING: "), F.col("message")))
-        .otherwise(F.col("message"))
+def _cursor_response() -> str:
+    """Answer by event family; a warning allows."""
+    user_message = ("userMessage", json_value_sql("shown"))
+    return _case(
+        [
+            ("event_name = 'beforeSubmitPrompt'",
+             json_object_sql([("continue", "if(action = 'block', 'false', 'true')"), user_message])),
+            (in_sql("event_name", ("afterFileEdit", "afterShellExecution", "afterMCPExecution")),
+             json_object_sql([("message", json_value_sql("message"))])),
+            ("event_name = 'preToolUse'",
+             json_object_sql([("decision", _PERMISSION), user_message])),
+        ],
+        json_object_sql([("permission", _PERMISSION), user_message]),
     )
 
 
 def _response() -> Column:
-    shown = _with_prefix()
-    decision = F.when(F.col("action") == "block", "deny").otherwise("allow")
-    return (
-        F.when(_is("claude", "PreToolUse"), pre_tool_response(decision, F.col("message"), shown))
-        .when(
-            (F.col("dialect") == "claude") & (F.col("action") == "block"),
-            block_response(F.col("message"), F.col("event_name")),
-        )
-        .when(
-            F.col("dialect") == "cursor",
-            cursor_response(F.col("event_name"), F.col("action"), shown),
-        )
-        .when(
-            (F.col("dialect") == "openclaw") & (F.col("action") == "block"),
-            json_object([("block", F.lit("true")), ("blockReason", json_value(F.col("message")))]),
+    plugin = json_object_sql([("block", "'true'"), ("blockReason", json_value_sql("message"))])
+    return F.expr(
+        _case(
+            [
+                (_PRE, _pre_tool_response()),
+                ("dialect = 'claude' AND action = 'block'", _block_response()),
+                ("dialect = 'cursor'", _cursor_response()),
+                ("dialect = 'openclaw' AND action = 'block'", plugin),
+            ]
         )
     )
 
@@ -417,9 +370,9 @@ def decide(
 ) -> DataFrame:
     """Decisions for events of all dialects.  Stop events are in ``stopscan``."""
     judged = signals(events, files, home, default_dir).withColumn("_verdict", _verdict())
-    flat = judged.select("event_uid", "dialect", "event_name", "tool_name", "_verdict.*")
-    answered = flat.withColumn("response", _response())
-    exit_code = F.when((F.col("dialect") == "cursor") & (F.col("action") == "block"), 2).otherwise(0)
+    flat = judged.select("event_uid", "dialect", "event_name", "_verdict.*")
+    answered = flat.withColumn("shown", F.expr(_SHOWN)).withColumn("response", _response())
+    exit_code = F.expr("if(dialect = 'cursor' AND action = 'block', 2, 0)")
     return answered.withColumn("exit_code", exit_code).select(
         "event_uid", "dialect", "event_name", "action", "context", "message", "response",
         "exit_code", "n_findings",

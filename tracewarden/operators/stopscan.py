@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import audit, paths, rules
-from ..functions.text import json_object, json_value, truthy, utf16_left
+from ..functions.text import json_object_sql, json_value_sql, quoted, truthy, utf16_left
 from ..sources.scan_reports import parse_reports
 from .lineage import salted_join
 
@@ -158,36 +158,35 @@ def stop_summary(stops: DataFrame, edited: DataFrame, valid: DataFrame) -> DataF
 
 def stop_responses(summary: DataFrame, dialect: str) -> DataFrame:
     """Answer to the stop event.  ``summary`` has ``stop_hook_active`` too."""
-    status = F.col("status")
     error = utf16_left(
         F.coalesce(truthy(F.col("error_text")), F.lit(f"Unknown {rules.SCANNER} error")),
         rules.ERROR_TEXT_LIMIT,
     )
-    name = rules.SCANNER.capitalize()
-    failed = F.concat(
-        F.lit(f"{name} scan encountered errors: "), error,
-        F.lit(f" ({rules.SCANNER}: "), F.coalesce("scanner_path", F.lit("")), F.lit(")"),
+    count = "concat('Found ', size(results), ' security finding(s)')"
+    listing = (
+        f"concat({count}, '. Review the findings and address any security issues. [', "
+        "concat_ws(',', results), ']')"
     )
-    count = F.concat(
-        F.lit("Found "), F.size("results").cast("string"), F.lit(" security finding(s)")
+    failed = (
+        f"concat('{rules.SCANNER.capitalize()} scan encountered errors: ', _error, ' ({rules.SCANNER}: ', "
+        "coalesce(scanner_path, ''), ')')"
     )
-    listing = F.concat(
-        count,
-        F.lit(". Review the findings and address any security issues. ["),
-        F.concat_ws(",", "results"),
-        F.lit("]"),
+    allowing = f"concat({count}, '. Stop hook already active, allowing stop.')"
+    active = "coalesce(stop_hook_active, false)"
+    text = (
+        f"CASE status WHEN 'scan_failed' THEN {failed} WHEN 'vulnerabilities_found' THEN "
+        + (listing if dialect == "cursor" else f"if({active}, {allowing}, {listing})")
+        + " END"
     )
-    found = status == "vulnerabilities_found"
+    told = summary.withColumn("_error", error).withColumn("_text", F.expr(text)).drop("_error")
+    shown = json_value_sql("_text")
     if dialect == "cursor":
-        text = F.when(status == "scan_failed", failed).when(found, listing)
-        response = json_object([("followup_message", F.coalesce(json_value(text), F.lit("null")))])
+        response = json_object_sql([("followup_message", f"coalesce({shown}, 'null')")])
     else:
-        active = F.coalesce(F.col("stop_hook_active"), F.lit(False))
-        allowing = F.concat(count, F.lit(". Stop hook already active, allowing stop."))
-        system = F.when(status == "scan_failed", failed).when(found & active, allowing)
-        blocked = found & ~active
-        response = F.when(
-            blocked,
-            json_object([("decision", F.lit('"block"')), ("reason", json_value(listing))]),
-        ).when(system.isNotNull(), json_object([("systemMessage", json_value(system))]))
-    return summary.withColumn("response", response)
+        blocks = json_object_sql([("decision", quoted('"block"')), ("reason", shown)])
+        tells = json_object_sql([("systemMessage", shown)])
+        response = (
+            f"CASE WHEN status = 'vulnerabilities_found' AND NOT {active} THEN {blocks} "
+            f"WHEN _text IS NOT NULL THEN {tells} END"
+        )
+    return told.withColumn("response", F.expr(response)).drop("_text")

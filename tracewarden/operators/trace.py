@@ -6,215 +6,201 @@ events are a narrow projection and never cross a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import audit, paths, rules
 from ..functions.policy import json_field
-from ..functions.text import json_number, json_object, json_value, or_empty, utf16_length
-from ..sources.hook_events import with_event_columns
+from ..functions.text import (
+    in_sql, json_field_sql, json_number_sql, json_object_sql, json_value_sql, or_empty, quoted,
+    utf16_left,
+)
+from ..sources.hook_events import EVENT_FIELDS, with_event_columns
 
 SENTINEL_UNKNOWN = ".unknown"
 
-# Metadata kinds: how a column becomes JSON text.
-TEXT, NUMBER, RAW = "text", "number", "raw"
-
 
 @dataclass(frozen=True)
 class Handler:
-    """What one kind of event leaves in the trace."""
+    """What one kind of event leaves in the trace; all expressions are SQL."""
 
     dialect: str
     events: tuple[str, ...]
-    path: Column | str
-    metadata: list[tuple[str, Column]]
-    when: Column | None = None
-    contributor: Column | str = "ai"
+    path: str
+    metadata: list[tuple[str, str]]
+    when: str = "true"
+    contributor: str = "'ai'"
     linked: bool = True  # carries the transcript url
     edit: bool = False
     whole_edits: bool = False  # the edit list comes with the event
 
-    def applies(self) -> Column:
-        here = (F.col("dialect") == self.dialect) & F.col("event_name").isin(*self.events)
-        return here if self.when is None else here & self.when
+    def applies(self) -> str:
+        return f"dialect = '{self.dialect}' AND {in_sql('event_name', self.events)} AND {self.when}"
 
 
-def _text(name: str) -> Column:
-    return json_value(F.col(name))
+def _const(value: str) -> str:
+    return quoted(f'"{value}"')
 
 
-def _number(name: str) -> Column:
-    return json_number(F.col(name))
+def _flag(test: str) -> str:
+    return f"if({test}, 'true', 'false')"
 
 
-def _const(value: str) -> Column:
-    return json_value(F.lit(value))
+def _json_list(name: str) -> str:
+    """A list of JSON texts as one JSON list; strings that are not JSON are quoted."""
+    item = f"CASE WHEN v RLIKE '^[{{\\\\[]' THEN v ELSE {json_value_sql('v')} END"
+    return (
+        f"concat('[', concat_ws(',', transform(coalesce({name}, cast(array() AS array<string>)), "
+        f"v -> {item})), ']')"
+    )
 
 
-def _flag(value: Column) -> Column:
-    return F.when(value, F.lit("true")).otherwise(F.lit("false"))
+_IS_EDIT, _IS_SHELL, _IS_READ = (
+    in_sql("tool_name", names) for names in (rules.WRITE_TOOLS, rules.COMMAND_TOOLS, rules.READ_TOOLS)
+)
+_IS_OTHER = f"NOT ({_IS_EDIT} OR {_IS_SHELL} OR {_IS_READ})"
+_INPUT_PATH = json_field_sql("tool_input", "file_path")
 
 
 def handlers() -> list[Handler]:
     """Trace content per event, as data: (key, JSON text) in output order."""
-    tool, tool_input = F.col("tool_name"), F.col("tool_input")
-    input_path = json_field(tool_input, "file_path")
-    command = F.get_json_object(tool_input, "$.command")
-    is_edit = tool.isin(rules.WRITE_TOOLS)
-    is_shell = tool.isin(rules.COMMAND_TOOLS)
-    is_read = tool.isin(rules.READ_TOOLS)
-    prompt = F.coalesce("user_prompt", "prompt", F.lit(""))
-    followup = audit.is_security_followup(F.col("prompt"))
-    n_attached = F.coalesce(F.size("attachments"), F.lit(0))
-    attached = F.greatest(n_attached, F.lit(0))
-
-    def event(name: str) -> tuple[str, Column]:
+
+    def event(name: str) -> tuple[str, str]:
         return ("event", _const(name))
 
-    tool_ids = [("tool_name", json_value(tool)), ("tool_use_id", _text("tool_use_id"))]
-    duration = ("duration_ms", _number("duration"))
-    cwd = ("cwd", _text("cwd"))
-    conversation = [
-        ("conversation_id", _text("conversation_id")),
-        ("generation_id", _text("generation_id")),
-    ]
-    attempt = [event("tool_use_attempt"), *tool_ids, ("tool_input", tool_input), cwd]
+    def text(*names: str) -> list[tuple[str, str]]:
+        return [(name, json_value_sql(name)) for name in names]
+
+    def number(*names: str) -> list[tuple[str, str]]:
+        return [(name, json_number_sql(name)) for name in names]
+
+    def flag(name: str) -> tuple[str, str]:
+        return (name, f"cast({name} AS string)")
+
+    def length(key: str, value: str) -> tuple[str, str]:
+        units = f"cast(octet_length(encode({value}, 'UTF-16BE')) / 2 AS int)"
+        return (key, f"cast({units} AS string)")
+
+    followup = "(" + " OR ".join(
+        f"contains(lower(coalesce(prompt, '')), {quoted(p)})" for p in rules.FOLLOWUP_PHRASES
+    ) + ")"
+    attached = "greatest(coalesce(size(attachments), 0), 0)"
+    has_path = "coalesce(file_path, '') <> ''"
+    tool_ids = text("tool_name", "tool_use_id")
+    tool_input = ("tool_input", "tool_input")
+    duration = ("duration_ms", json_number_sql("duration"))
+    conversation = text("conversation_id", "generation_id")
+    attempt = [event("tool_use_attempt"), *tool_ids, tool_input, *text("cwd")]
     done = [event("tool_use_completed"), *tool_ids]
-    edit_path = F.coalesce(input_path, F.lit(SENTINEL_UNKNOWN))
-    read_path = F.coalesce(input_path, F.lit(".file-reads"))
-    has_path = or_empty(F.col("file_path")) != ""
+    shell = [("command", json_value_sql(json_field_sql("tool_input", "command"))), duration]
+    edit_path = f"coalesce({_INPUT_PATH}, '{SENTINEL_UNKNOWN}')"
+    read_path = f"coalesce({_INPUT_PATH}, '.file-reads')"
     post = ("postToolUse", "PostToolUse")
-    session = [("session_id", _text("session_id")), ("conversation_id", _text("conversation_id"))]
-    counters = [
-        (name, _number(name) if kind == NUMBER else _flag_or_null(name))
-        for name, kind in (
-            ("context_usage_percent", NUMBER), ("context_tokens", NUMBER),
-            ("context_window_size", NUMBER), ("message_count", NUMBER),
-            ("messages_to_compact", NUMBER), ("is_first_compaction", RAW),
-        )
-    ]
-    shell_command = ("command", json_value(command))
     lifecycle = ("SessionStart", "SessionEnd", "PreCompact", "SubagentStop", "Notification")
     return [
         # claude
-        Handler("claude", ("PreToolUse",), ".tool-usage", attempt),
-        Handler("claude", ("PostToolUse",), edit_path, [*done, duration], when=is_edit, edit=True),
-        Handler("claude", ("PostToolUse",), ".shell-history", [*done, shell_command, duration],
-                when=is_shell),
-        Handler("claude", ("PostToolUse",), read_path, [*done, duration], when=is_read),
-        Handler("claude", ("PostToolUse",), ".tool-usage", [*done, duration],
-                when=~(is_edit | is_shell | is_read)),
-        Handler("claude", ("UserPromptSubmit",), ".prompts",
+        Handler("claude", ("PreToolUse",), "'.tool-usage'", attempt),
+        Handler("claude", ("PostToolUse",), edit_path, [*done, duration], when=_IS_EDIT, edit=True),
+        Handler("claude", ("PostToolUse",), "'.shell-history'", [*done, *shell], when=_IS_SHELL),
+        Handler("claude", ("PostToolUse",), read_path, [*done, duration], when=_IS_READ),
+        Handler("claude", ("PostToolUse",), "'.tool-usage'", [*done, duration], when=_IS_OTHER),
+        Handler("claude", ("UserPromptSubmit",), "'.prompts'",
                 [event("prompt_submission_attempt"),
-                 ("prompt_length", utf16_length(prompt).cast("string"))], contributor="human"),
-        Handler("claude", lifecycle, ".claude-session",
-                [("event", _text("event_name")), ("reason", _text("reason")),
-                 ("trigger", _text("trigger")), ("notification", _text("notification"))]),
+                 length("prompt_length", "coalesce(user_prompt, prompt, '')")],
+                contributor="'human'"),
+        Handler("claude", lifecycle, "'.claude-session'",
+                [("event", json_value_sql("event_name")), *text("reason", "trigger", "notification")]),
         # cursor
-        Handler("cursor", ("afterFileEdit",), F.col("file_path"), conversation, when=has_path,
-                edit=True, whole_edits=True),
-        Handler("cursor", ("afterTabFileEdit",), F.col("file_path"), conversation, when=has_path,
+        Handler("cursor", ("afterFileEdit",), "file_path", conversation, when=has_path, edit=True,
+                whole_edits=True),
+        Handler("cursor", ("afterTabFileEdit",), "file_path", conversation, when=has_path,
                 linked=False, whole_edits=True),
-        Handler("cursor", ("afterShellExecution",), ".shell-history",
-                [*conversation, ("command", _text("command")), duration]),
-        Handler("cursor", ("sessionStart", "SessionStart"), ".sessions",
-                [event("session_start"), *session,
-                 ("is_background_agent", _flag_or_null("is_background_agent")),
-                 ("composer_mode", _text("composer_mode")), ("source", _text("source"))],
-                linked=False),
-        Handler("cursor", ("sessionEnd", "SessionEnd"), ".sessions",
-                [event("session_end"), *session, ("reason", _text("reason")),
-                 ("duration_ms", _number("duration_ms"))], linked=False),
-        Handler("cursor", ("preToolUse",), ".tool-usage",
-                [*attempt, ("agent_message", _text("agent_message"))]),
-        Handler("cursor", post, edit_path, [*done, duration, cwd], when=is_edit, edit=True),
-        Handler("cursor", post, ".shell-history", [*done, shell_command, duration, cwd],
-                when=is_shell),
-        Handler("cursor", post, read_path, [*done, duration, cwd], when=is_read),
-        Handler("cursor", post, ".tool-usage", [*done, duration],
-                when=~(is_edit | is_shell | is_read)),
-        Handler("cursor", ("postToolUseFailure",), ".tool-failures",
-                [event("tool_use_failure"), *tool_ids, ("error_message", _text("error_message")),
-                 ("failure_type", _text("failure_type")), duration,
-                 ("is_interrupt", _flag_or_null("is_interrupt")), cwd]),
-        Handler("cursor", ("subagentStart",), ".subagents",
-                [event("subagent_start"), ("subagent_type", _text("subagent_type")),
-                 ("prompt", _text("prompt"))], linked=False),
-        Handler("cursor", ("subagentStop",), ".subagents",
-                [event("subagent_stop"), ("subagent_type", _text("subagent_type")),
-                 ("status", _text("status")), duration,
-                 ("agent_transcript_path", _text("agent_transcript_path"))], linked=False),
-        Handler("cursor", ("beforeShellExecution",), ".shell-history",
-                [event("shell_execution_attempt"), ("command", _text("command")), cwd,
-                 ("timeout", _number("timeout"))]),
-        Handler("cursor", ("beforeMCPExecution",), ".mcp-executions",
-                [event("mcp_execution_attempt"), ("tool_name", json_value(tool)),
-                 ("tool_input", tool_input), ("url", _text("url")), ("command", _text("command"))]),
-        Handler("cursor", ("afterMCPExecution",), ".mcp-executions",
-                [event("mcp_execution_completed"), ("tool_name", json_value(tool)),
-                 ("tool_input", tool_input), duration]),
-        Handler("cursor", ("beforeReadFile",), ".file-reads",
-                [event("file_read_attempt"), ("file_path", _text("file_path")),
-                 ("has_attachments", _flag(attached > 0)),
+        Handler("cursor", ("afterShellExecution",), "'.shell-history'",
+                [*conversation, *text("command"), duration]),
+        Handler("cursor", ("sessionStart", "SessionStart"), "'.sessions'",
+                [event("session_start"), *text("session_id", "conversation_id"),
+                 flag("is_background_agent"), *text("composer_mode", "source")], linked=False),
+        Handler("cursor", ("sessionEnd", "SessionEnd"), "'.sessions'",
+                [event("session_end"), *text("session_id", "conversation_id", "reason"),
+                 *number("duration_ms")], linked=False),
+        Handler("cursor", ("preToolUse",), "'.tool-usage'", [*attempt, *text("agent_message")]),
+        Handler("cursor", post, edit_path, [*done, duration, *text("cwd")], when=_IS_EDIT, edit=True),
+        Handler("cursor", post, "'.shell-history'", [*done, *shell, *text("cwd")], when=_IS_SHELL),
+        Handler("cursor", post, read_path, [*done, duration, *text("cwd")], when=_IS_READ),
+        Handler("cursor", post, "'.tool-usage'", [*done, duration], when=_IS_OTHER),
+        Handler("cursor", ("postToolUseFailure",), "'.tool-failures'",
+                [event("tool_use_failure"), *tool_ids, *text("error_message", "failure_type"),
+                 duration, flag("is_interrupt"), *text("cwd")]),
+        Handler("cursor", ("subagentStart",), "'.subagents'",
+                [event("subagent_start"), *text("subagent_type", "prompt")], linked=False),
+        Handler("cursor", ("subagentStop",), "'.subagents'",
+                [event("subagent_stop"), *text("subagent_type", "status"), duration,
+                 *text("agent_transcript_path")], linked=False),
+        Handler("cursor", ("beforeShellExecution",), "'.shell-history'",
+                [event("shell_execution_attempt"), *text("command", "cwd"), *number("timeout")]),
+        Handler("cursor", ("beforeMCPExecution",), "'.mcp-executions'",
+                [event("mcp_execution_attempt"), *text("tool_name"), tool_input,
+                 *text("url", "command")]),
+        Handler("cursor", ("afterMCPExecution",), "'.mcp-executions'",
+                [event("mcp_execution_completed"), *text("tool_name"), tool_input, duration]),
+        Handler("cursor", ("beforeReadFile",), "'.file-reads'",
+                [event("file_read_attempt"), *text("file_path"),
+                 ("has_attachments", _flag(f"{attached} > 0")),
                  ("attachments", _json_list("attachments"))], when=has_path),
-        Handler("cursor", ("beforeSubmitPrompt",), ".prompts",
+        Handler("cursor", ("beforeSubmitPrompt",), "'.prompts'",
                 [event("prompt_submission_attempt"),
-                 ("prompt_length", utf16_length(or_empty(F.col("prompt"))).cast("string")),
-                 ("has_attachments", _flag(attached > 0)),
-                 ("attachment_count", attached.cast("string")),
-                 ("source", F.when(followup, _const(rules.PRODUCER))),
-                 ("source_hook", F.when(followup, _const("stop")))],
-                contributor=F.when(followup, "ai").otherwise("human")),
-        Handler("cursor", ("afterAgentResponse",), ".agent-responses",
-                [event("agent_response"),
-                 ("text_length", utf16_length(or_empty(F.col("text"))).cast("string"))]),
-        Handler("cursor", ("afterAgentThought",), ".agent-thoughts",
-                [event("agent_thought"),
-                 ("text_length", utf16_length(or_empty(F.col("text"))).cast("string")),
-                 ("duration_ms", _number("duration_ms"))]),
-        Handler("cursor", ("preCompact",), ".context-compactions",
-                [event("context_compaction"), ("trigger", _text("trigger")), *counters]),
+                 length("prompt_length", "coalesce(prompt, '')"),
+                 ("has_attachments", _flag(f"{attached} > 0")),
+                 ("attachment_count", f"cast({attached} AS string)"),
+                 ("source", f"CASE WHEN {followup} THEN {_const(rules.PRODUCER)} END"),
+                 ("source_hook", f"CASE WHEN {followup} THEN {_const('stop')} END")],
+                contributor=f"if({followup}, 'ai', 'human')"),
+        Handler("cursor", ("afterAgentResponse",), "'.agent-responses'",
+                [event("agent_response"), length("text_length", "coalesce(text, '')")]),
+        Handler("cursor", ("afterAgentThought",), "'.agent-thoughts'",
+                [event("agent_thought"), length("text_length", "coalesce(text, '')"),
+                 *number("duration_ms")]),
+        Handler("cursor", ("preCompact",), "'.context-compactions'",
+                [event("context_compaction"), *text("trigger"),
+                 *number("context_usage_percent", "context_tokens", "context_window_size",
+                         "message_count", "messages_to_compact"), flag("is_first_compaction")]),
     ]
 
 
-def _flag_or_null(name: str) -> Column:
-    return F.col(name).cast("string")
+def _any(table: list[Handler]) -> str:
+    return "(" + " OR ".join(f"({h.applies()})" for h in table) + ")"
 
 
-def _json_list(name: str) -> Column:
-    """A list of JSON texts as one JSON list; strings that are not JSON are quoted."""
-    items = F.transform(
-        F.coalesce(F.col(name), F.array().cast("array<string>")),
-        lambda v: F.when(v.rlike(r"^[\[{]"), v).otherwise(json_value(v)),
+def _pick(table: list[Handler], value: Callable[[Handler], str]) -> Column:
+    """The value of the handler that applies; equal neighbours share a branch."""
+    branches: list[tuple[str, list[str]]] = []
+    for handler in table:
+        made = value(handler)
+        if branches and branches[-1][0] == made:
+            branches[-1][1].append(handler.applies())
+        else:
+            branches.append((made, [handler.applies()]))
+    whens = " ".join(
+        f"WHEN {' OR '.join(f'({t})' for t in tests)} THEN {made}" for made, tests in branches
     )
-    return F.concat(F.lit("["), F.concat_ws(",", items), F.lit("]"))
+    return F.expr(f"CASE {whens} END")
 
 
-def _pick(table: list[Handler], value) -> Column:
-    chain = None
-    for handler in table:
-        made = value(handler)
-        made = F.lit(made) if isinstance(made, (str, bool)) else made
-        chain = F.when(handler.applies(), made) if chain is None else chain.when(
-            handler.applies(), made
-        )
-    return chain
+_EDIT_TYPE = EVENT_FIELDS["edits"].dataType.simpleString()
+_ONE_EDIT = (
+    "array(named_struct('old_string', coalesce(get_json_object(tool_input, '$.old_string'), ''), "
+    "'new_string', get_json_object(tool_input, '$.new_string'), 'range', NULL))"
+)
 
 
 def _edits(table: list[Handler]) -> Column:
     """Edits of the event as one array: its own list, or the tool's one edit."""
-    new_string = json_field(F.col("tool_input"), "new_string")
-    single = F.array(
-        F.struct(
-            F.coalesce(json_field(F.col("tool_input"), "old_string"), F.lit("")).alias("old_string"),
-            new_string.alias("new_string"),
-            F.lit(None).cast("struct<start_line_number:int,end_line_number:int>").alias("range"),
-        )
-    )
-    whole = _pick([h for h in table if h.whole_edits], lambda h: True)
-    return F.when(F.coalesce(whole, F.lit(False)), F.col("edits")).when(
-        or_empty(new_string) != "", single
+    whole = _any([h for h in table if h.whole_edits])
+    return F.expr(
+        f"CASE WHEN {whole} THEN edits WHEN coalesce(get_json_object(tool_input, '$.new_string'), '') <> '' "
+        f"THEN cast({_ONE_EDIT} AS {_EDIT_TYPE}) END"
     )
 
 
@@ -240,39 +226,35 @@ def trace_rows(events: DataFrame, files: DataFrame | None = None) -> DataFrame:
     plain = [h for h in table if not h.edit]
 
     def shaped(rows: DataFrame, chosen: list[Handler], ranges: Column) -> DataFrame:
-        applies = F.lit(False)
-        for handler in chosen:
-            applies = applies | handler.applies()
-        linked = _pick(chosen, lambda h: h.linked)
-        return rows.where(applies).select(
+        linked = _any([h for h in chosen if h.linked])
+        return rows.where(_any(chosen)).select(
             "event_uid", "dialect", "event_name", "received_at", "tool_version",
             _pick(chosen, lambda h: h.path).alias("path"),
             _pick(chosen, lambda h: h.contributor).alias("contributor_type"),
             audit.normalize_model_id(F.col("model")).alias("model_id"),
             ranges.alias("ranges"),
-            F.when(
-                linked & (or_empty(F.col("transcript_path")) != ""),
-                F.concat(F.lit("file://"), F.col("transcript_path")),
+            F.expr(
+                f"CASE WHEN {linked} AND coalesce(transcript_path, '') <> '' "
+                "THEN concat('file://', transcript_path) END"
             ).alias("url"),
-            _pick(chosen, lambda h: json_object(h.metadata)).alias("metadata"),
+            _pick(chosen, lambda h: json_object_sql(h.metadata)).alias("metadata"),
             "tool_name", "tool_use_id", "status",
             F.coalesce("duration", "duration_ms").alias("duration_ms"),
         )
 
-    own_ranges = audit.range_positions(_edits(table), F.lit(None).cast("string"))
-    rest = shaped(ready, plain, audit.ranges_or_default(F.when(
-        _pick([h for h in plain if h.whole_edits], lambda h: True), own_ranges)))
+    without_content = audit.range_positions(_edits(table), F.lit(None).cast("string"))
+    whole = F.expr(_any([h for h in plain if h.whole_edits]))
+    rest = shaped(ready, plain, audit.ranges_or_default(F.when(whole, without_content)))
     if files is None:
-        return rest.unionByName(shaped(ready, edits, audit.ranges_or_default(own_ranges)))
-    is_edit = F.lit(False)
-    for handler in edits:
-        is_edit = is_edit | handler.applies()
-    edit_path = _pick(edits, lambda h: h.path)
-    edit_rows = ready.where(is_edit).withColumn("_path", edit_path)
-    contents = files.select(F.col("path").alias("_path"), F.col("content").alias("_content"))
-    joined = edit_rows.join(contents, "_path", "left")
-    ranges = audit.range_positions(_edits(table), F.col("_content"))
-    return rest.unionByName(shaped(joined, edits, audit.ranges_or_default(ranges)))
+        edit_rows, ranges = ready, without_content
+    else:
+        contents = files.select(F.col("path").alias("_path"), F.col("content").alias("_content"))
+        edit_path = _pick(edits, lambda h: h.path)
+        edit_rows = (
+            ready.where(_any(edits)).withColumn("_path", edit_path).join(contents, "_path", "left")
+        )
+        ranges = audit.range_positions(_edits(table), F.col("_content"))
+    return rest.unionByName(shaped(edit_rows, edits, audit.ranges_or_default(ranges)))
 
 
 def build_traces(flat: DataFrame, root: Column, revision: Column | None = None) -> DataFrame:
@@ -330,42 +312,37 @@ def edited_files(events: DataFrame) -> DataFrame:
     ).where(F.col("kind").isNotNull())
 
 
+_ROOT = "coalesce(workspace_root, '')"
+
+
 def stop_traces(summary: DataFrame, dialect: str) -> DataFrame:
     """Trace of each stop: status, ids and what the status adds."""
-    found = F.col("status").isin("vulnerabilities_found", "no_vulnerabilities")
-    extra_root = (
-        [("workspace_root", F.when(found, json_value(or_empty(F.col("workspace_root")))))]
-        if dialect == "cursor" else []
-    )
-    metadata = json_object(
-        [
-            ("event", _const("stop_hook_executed")),
-            ("tool", _const(rules.PRODUCER)),
-            ("conversation_id", json_value(F.col("conversation_id"))),
-            ("generation_id", json_value(F.col("generation_id"))),
-            ("status", json_value(F.col("status"))),
-            ("error", F.when(F.col("status") == "scan_failed",
-                             json_value(F.left(F.col("error_text"), F.lit(rules.ERROR_TEXT_LIMIT))))),
-            ("total_vulnerabilities", F.col("total_vulnerabilities").cast("string")),
-            ("files_scanned", F.col("files_scanned").cast("string")),
-            *extra_root,
-        ]
-    )
-    return summary.withColumn("path", F.lit(".stop-hooks")).withColumn("metadata", metadata)
+    finished = "status IN ('vulnerabilities_found', 'no_vulnerabilities')"
+    root = f"CASE WHEN {finished} THEN {json_value_sql(_ROOT)} END"
+    metadata = [
+        ("event", _const("stop_hook_executed")),
+        ("tool", _const(rules.PRODUCER)),
+        ("conversation_id", json_value_sql("conversation_id")),
+        ("generation_id", json_value_sql("generation_id")),
+        ("status", json_value_sql("status")),
+        ("error", f"CASE WHEN status = 'scan_failed' THEN {json_value_sql('_error')} END"),
+        ("total_vulnerabilities", "cast(total_vulnerabilities AS string)"),
+        ("files_scanned", "cast(files_scanned AS string)"),
+        *([("workspace_root", root)] if dialect == "cursor" else []),
+    ]
+    cut = summary.withColumn("_error", utf16_left(F.col("error_text"), rules.ERROR_TEXT_LIMIT))
+    return cut.withColumns(
+        {"path": F.lit(".stop-hooks"), "metadata": F.expr(json_object_sql(metadata))}
+    ).drop("_error")
 
 
 def vulnerability_traces(lists: DataFrame, dialect: str) -> DataFrame:
     """Trace of each file with findings at a stop; one dialect lists them."""
-    listing = (
-        [("vulnerabilities", F.to_json("vulnerabilities"))] if dialect == "cursor" else []
-    )
-    metadata = json_object(
-        [
-            ("event", _const("vulnerability_detected")),
-            ("tool", _const(rules.PRODUCER)),
-            ("scanner", _const(rules.SCANNER)),
-            ("vulnerability_count", F.col("vulnerability_count").cast("string")),
-            *listing,
-        ]
-    )
-    return lists.withColumn("metadata", metadata)
+    metadata = [
+        ("event", _const("vulnerability_detected")),
+        ("tool", _const(rules.PRODUCER)),
+        ("scanner", _const(rules.SCANNER)),
+        ("vulnerability_count", "cast(vulnerability_count AS string)"),
+        *([("vulnerabilities", "to_json(vulnerabilities)")] if dialect == "cursor" else []),
+    ]
+    return lists.withColumn("metadata", F.expr(json_object_sql(metadata)))

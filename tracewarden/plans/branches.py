@@ -180,6 +180,9 @@ def events_of(
     spark: SparkSession, sf_dir: str, *names: str, given: Given = None
 ) -> DataFrame:
     """Hook events of the named branches, all event columns present."""
+    given = dict(given or {})
+    for source in dict.fromkeys(BRANCHES[name].source for name in names):
+        given[source] = view(spark, sf_dir, source, given)
     return reduce(
         DataFrame.unionByName, [_event_rows(spark, sf_dir, name, given) for name in names]
     )

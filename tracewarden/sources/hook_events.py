@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import has_text, json_object, trim_space
+from ..functions.text import has_text, trim_space
 
 _RANGE = T.StructType(
     [T.StructField("start_line_number", T.IntegerType()),
@@ -80,7 +80,7 @@ def parse_hook_events(lines: DataFrame, dialect: str, raw: str = "raw") -> DataF
 
 def malformed_response(dialect: Column) -> Column:
     """The fail-open answer to an event that cannot be read."""
-    return F.when(dialect == "cursor", json_object([("permission", F.lit('"allow"'))]))
+    return F.when(dialect == "cursor", F.lit('{"permission":"allow"}'))
 
 
 def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
