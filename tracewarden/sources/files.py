@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Read a directory tree, one row per file, contents as text."""
+    """Read a directory tree, one row per file, contents as text.
+
+    Bytes that are not UTF-8 become replacement characters.
+    """
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -15,5 +18,5 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
     return found.select(
         F.regexp_replace("path", r"^file:(?://)?(?=/)", "").alias("path"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
