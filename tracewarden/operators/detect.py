@@ -23,6 +23,12 @@ def explode_values(table: DataFrame, keys: list[str], values: Column, name: str)
     )
 
 
+def explode_nonempty(table: DataFrame, keys: list[str], values: Column, name: str) -> DataFrame:
+    """Rows whose array has values, the array kept whole and made once."""
+    boxed = F.filter(F.array(values), lambda v: F.size(v) > 0)
+    return table.select(*keys, F.explode_outer(boxed).alias(name)).where(F.col(name).isNotNull())
+
+
 def pii_findings(table: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     found = explode_values(table, keys, pii.detect_pii(F.col(text)), "found")
     return found.select(*keys, "ordinal", "found.type", "found.value")
@@ -41,13 +47,16 @@ def scan_files(files: DataFrame) -> DataFrame:
     """Scan each file once: ``path, n_findings, lines`` of the files that hit.
 
     Contents never cross a shuffle; only these thin rows are joined to events.
+    The hits come out of a generator, so the test for any hits is not pushed
+    below it and made by scanning a second time.
     """
-    scanned = files.select("path", secrets.rule_hits(F.col("content")).alias("hits"))
-    return scanned.where(F.size("hits") > 0).select(
-        "path",
-        secrets.finding_count(F.col("hits")).alias("n_findings"),
-        secrets.finding_lines(F.col("hits"), F.col("path")).alias("lines"),
+    lines = secrets.lines_sql("h", "path")
+    summary = (
+        f"transform(filter(array({secrets.hits_sql('content')}), h -> size(h) > 0), "
+        f"h -> named_struct('n_findings', aggregate(h, 0, (a, x) -> a + x.n), 'lines', {lines}))"
     )
+    scanned = files.select("path", F.explode_outer(F.expr(summary)).alias("found"))
+    return scanned.where(F.col("found").isNotNull()).select("path", "found.*")
 
 
 def redact(findings: DataFrame, value: str = "value") -> DataFrame:

@@ -117,11 +117,10 @@ def secret_findings_files(spark, sf):
 
 @_query
 def findings_message(spark, sf):
-    hits = _readable_texts(spark, sf).select(
-        *_ROW, "label", secrets.rule_hits(F.col("text")).alias("hits")
-    )
+    texts = _readable_texts(spark, sf)
+    hits = detect.explode_nonempty(texts, [*_ROW, "label"], secrets.rule_hits(F.col("text")), "hits")
     lines = secrets.finding_lines(F.col("hits"), F.col("label"))
-    return hits.where(F.size("hits") > 0).select(
+    return hits.select(
         *_ROW,
         secrets.findings_message(F.lit("SECRET DETECTED"), lines).alias("message"),
         secrets.finding_count(F.col("hits")).alias("n_findings"),
