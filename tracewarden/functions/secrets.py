@@ -26,30 +26,37 @@ def _found_sql(rule: tuple) -> str:
     return f"CASE WHEN {gate} THEN regexp_extract_all(t, {regex}, 0) END"
 
 
-# Match texts become findings with 1-based start and line.  No rule looks at
-# what is around a match, so the next occurrence of the match text after the
-# previous match is the match itself.
-_LOCATED = (
-    "aggregate({found}, named_struct('pos', 0, 'out', cast(array() AS " + FINDINGS + ")), (acc, v) -> "
-    + let_sql(
-        "position(v, t, acc.pos + 1)",
-        "at",
-        "named_struct('pos', at + length(v) - 1, 'out', concat(acc.out, array(cast(named_struct("
-        "'rule_id', {rule}, 'label', l, 'ordinal', size(acc.out) + 1, "
-        "'line', size(split(substring(t, 1, at), '\\n', -1)), 'start', at, "
-        "'masked', concat(left(v, 4), '****'), 'value_sha256', sha2(v, 256)) AS " + FINDING + "))))",
-    )
-    + ", acc -> acc.out)"
+# Match texts ``m`` become findings with 1-based start and line.  The pieces
+# between the matches carry both forward, so the text is read once more and no
+# oftener, however many matches it has.
+_NEWLINES = "length({0}) - length(replace({0}, '\\n', ''))"
+_START = f"named_struct('pos', 1, 'line', 1, 'out', cast(array() AS {FINDINGS}))"
+_ITEM = (
+    "cast(named_struct('rule_id', {rule}, 'label', l, 'ordinal', size(acc.out) + 1, "
+    f"'line', acc.line + {_NEWLINES.format('x.p')}, 'start', acc.pos + length(x.p), "
+    f"'masked', concat(left(x.v, 4), '****'), 'value_sha256', sha2(x.v, 256)) AS {FINDING})"
+)
+_STEP = (
+    "named_struct('pos', acc.pos + length(x.p) + length(x.v), "
+    f"'line', acc.line + {_NEWLINES.format('x.p')} + {_NEWLINES.format('x.v')}, "
+    f"'out', array_append(acc.out, {_ITEM}))"
 )
 
 
+def _located_sql(rule: tuple) -> str:
+    regex = quoted(java_pattern(rule[1], rule[2]))
+    pairs = (
+        f"zip_with(m, slice(split(t, {regex}, -1), 1, size(m)), (v, p) -> named_struct('v', v, 'p', p))"
+    )
+    step = _STEP.replace("{rule}", quoted(rule[0]))
+    walked = f"aggregate({pairs}, {_START}, (acc, x) -> {step}, acc -> acc.out)"
+    return let_sql(_found_sql(rule), "m", f"CASE WHEN size(m) > 0 THEN {walked} END")
+
+
 def scan_text(text: Column, label: Column) -> Column:
     """Findings of every rule in ``text`` as an array, rule by rule."""
     empty = f"cast(array() AS {FINDINGS})"
-    parts = [
-        f"coalesce({_LOCATED.format(found=_found_sql(rule), rule=quoted(rule[0]))}, {empty})"
-        for rule in rules.SECRET_RULES
-    ]
+    parts = [f"coalesce({_located_sql(rule)}, {empty})" for rule in rules.SECRET_RULES]
     both = F.struct(text.alias("t"), label.alias("l"))
     body = let_sql("b.t", "t", let_sql("b.l", "l", f"concat({', '.join(parts)})"))
     return let(both, f"b -> {body}")

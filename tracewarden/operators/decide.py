@@ -223,19 +223,21 @@ def _with_text_signals(events: DataFrame) -> DataFrame:
 
 def signals(
     events: DataFrame, files: DataFrame | None, home: Column | None = None,
-    default_dir: Column | None = None,
+    default_dir: Column | None = None, file_hits: DataFrame | None = None,
 ) -> DataFrame:
     """Everything a verdict needs, one thin row per event."""
     home = F.lit("/root") if home is None else home
     default_dir = F.lit("/") if default_dir is None else default_dir
     ready = _prepare(events)
     own = _with_text_signals(ready)
-    if files is None:
+    if files is not None and file_hits is None:
+        file_hits = scan_files(files)
+    if file_hits is None:
         return own.withColumn("file_n", F.lit(0)).withColumn(
             "file_lines", F.array().cast("array<string>")
         )
     reads = explode_paths(ready, ["event_uid"], _lookup_paths(home, default_dir))
-    summary = findings_of_reads(reads.drop("ordinal"), scan_files(files), "event_uid")
+    summary = findings_of_reads(reads.drop("ordinal"), file_hits, "event_uid")
     return own.join(summary, "event_uid", "left").withColumns(
         {
             "file_n": F.coalesce("file_n", F.lit(0)),
@@ -366,10 +368,14 @@ def _response() -> Column:
 
 def decide(
     events: DataFrame, files: DataFrame | None, home: Column | None = None,
-    default_dir: Column | None = None,
+    default_dir: Column | None = None, file_hits: DataFrame | None = None,
 ) -> DataFrame:
-    """Decisions for events of all dialects.  Stop events are in ``stopscan``."""
-    judged = signals(events, files, home, default_dir).withColumn("_verdict", _verdict())
+    """Decisions for events of all dialects.  Stop events are in ``stopscan``.
+
+    ``file_hits`` is a stored result of ``scan_files``; with it the contents in
+    ``files`` are not read again.
+    """
+    judged = signals(events, files, home, default_dir, file_hits).withColumn("_verdict", _verdict())
     flat = judged.select("event_uid", "dialect", "event_name", "_verdict.*")
     answered = flat.withColumn("shown", F.expr(_SHOWN)).withColumn("response", _response())
     exit_code = F.expr("if(dialect = 'cursor' AND action = 'block', 2, 0)")

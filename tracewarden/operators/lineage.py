@@ -57,7 +57,12 @@ def findings_of_reads(reads: DataFrame, file_hits: DataFrame, key: str) -> DataF
     ``reads`` has ``key, path``.  A group is one event, bounded by its command.
     """
     joined = salted_join(reads, file_hits, "path", key)
-    return joined.groupBy(key).agg(
-        F.sum("n_findings").cast("int").alias("file_n"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("file_lines"),
+    # A set, so that an event delivered twice counts its files once.
+    per_event = joined.groupBy(key).agg(
+        F.collect_set(F.struct("path", "n_findings", "lines")).alias("found")
+    )
+    return per_event.select(
+        key,
+        F.expr("aggregate(found, 0, (a, f) -> a + f.n_findings)").alias("file_n"),
+        F.expr("array_sort(array_distinct(flatten(found.lines)))").alias("file_lines"),
     )

@@ -714,9 +714,10 @@ def decision_stream(spark, sf):
     events = events_of(
         spark, sf, "cursor_before_shell", given={"events": _event_stream(spark, sf)}
     )
+    detect.scan_files(view(spark, sf, "files")).write.parquet(f"{folder}/file_hits")
     _finish(
         decision_streams.decision_stream(
-            events, view(spark, sf, "files"), f"{folder}/out", f"{folder}/checkpoint", _home(),
+            events, spark.read.parquet(f"{folder}/file_hits"), f"{folder}/out", f"{folder}/checkpoint", _home(),
             _default_dir(),
         )
     )
