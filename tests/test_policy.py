@@ -1,8 +1,11 @@
 """Golden commands, path policies and tool dispatch."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from tracewarden.functions import policy
+from tracewarden.functions import policy, rules
 from tracewarden.plans.views import COMMANDS
 
 T = F.col("t")
@@ -88,3 +91,29 @@ def test_tool_dispatch(spark):
 def test_all_hits_list_every_rule(apply):
     hits = apply(policy.dangerous_hits(T), "sudo rm -rf / && reboot")[0]
     assert [h["rule_no"] for h in hits] == [1, 4, 10, 25]
+
+
+def test_rules_equal_plain_patterns_on_random_text(apply):
+    """The reordered and gated forms answer as the stated patterns do."""
+    rng = random.Random(2)
+    bits = [
+        "find", "Find ", " -delete", "-deleted", "curl", "wget ", "|", "| sh", "|bash", "python3", " -c ", "exec (",
+        "exec", "$(", ")", "\n", " ", "x", "dd if=a", " of=/dev/", "base64 -d", "delete from t", " where ", "\r",
+        "git clean -xf", "rm -rf", "/", "kill -9", "; ", "DROP  table", "\u2028", "eval $(",
+    ]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    stated = [re.compile(_plain(p), re.I | re.A) for p, _ in rules.DANGEROUS_PATTERNS]
+    want = [[n for n, p in enumerate(stated, 1) if p.search(t)] for t in texts]
+    got = [[h["rule_no"] for h in row] for row in apply(policy.dangerous_hits(T), *texts)]
+    assert got == want
+
+
+def _plain(pattern):
+    """Four line terminators and Unicode space, spelled for this regex engine."""
+    line, space = "[^\\n\\r\\u2028\\u2029]", "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+    return pattern.replace(".*", line + "*").replace(r"\s", space).replace(r"\S", "[^" + space[1:])
+
+
+def test_long_line_is_read_once(apply):
+    text = "python -c find curl $( " * 40_000
+    assert verdicts(apply, text, text + "exec(") == [("ok", ""), ("block", "Python exec injection")]

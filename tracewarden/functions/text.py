@@ -71,8 +71,23 @@ def words_sql(low: str, alternatives: list[list[str]]) -> str:
     return tests[0] if len(tests) == 1 else "(" + " OR ".join(tests) + ")"
 
 
-def match_sql(text: str, pattern: str, ignore_case: bool = False) -> str:
-    return f"{text} RLIKE {quoted(java_pattern(pattern, ignore_case))}"
+def line_pattern(pattern: str) -> str:
+    """A pattern like ``A.*B.*C`` that reads each line once, for yes / no tests.
+
+    The first A of a line and the first B after it are the best ones to take, so
+    nothing is gained by trying others.  That holds when A and B stay on their
+    line; other patterns are only respelled.
+    """
+    *heads, tail = pattern.split(".*")
+    if not heads or "(?!" in pattern or any(r"\s" in head for head in heads):
+        return java_pattern(pattern, True)
+    first = "".join(f"(?>{LINE_CHAR}*?{java_pattern(head)})" for head in heads)
+    return f"(?i)(?<!{LINE_CHAR}){first}{LINE_CHAR}*{java_pattern(tail)}"
+
+
+def match_sql(text: str, pattern: str) -> str:
+    """Case-insensitive test of a rule pattern."""
+    return f"{text} RLIKE {quoted(line_pattern(pattern))}"
 
 
 def extract_all(text: Column, java_regex: str) -> Column:

@@ -9,10 +9,16 @@ from .ordered import DEFAULT_CHUNK, next_value
 
 def tool_pairs(attempts: DataFrame, completions: DataFrame) -> DataFrame:
     """Attempts with their completion; those without one were blocked or failed."""
-    done = completions.select("tool_use_id", "duration_ms", F.lit(True).alias("completed"))
-    return attempts.join(done, "tool_use_id", "left").withColumn(
-        "completed", F.coalesce("completed", F.lit(False))
+    done = completions.where(F.col("tool_use_id").isNotNull()).select(
+        "tool_use_id", "duration_ms", F.lit(True).alias("completed")
     )
+    # Attempts without an id match nothing; kept out of the join, they cannot
+    # all end up in one task.
+    nameless = F.col("tool_use_id").isNull()
+    paired = attempts.where(~nameless).join(done, "tool_use_id", "left").unionByName(
+        attempts.where(nameless), allowMissingColumns=True
+    )
+    return paired.withColumn("completed", F.coalesce("completed", F.lit(False)))
 
 
 def failure_hotspots(failures: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths, pii, policy, rules, secrets, shell
 from ..functions.text import (
-    has_text_sql, in_sql, json_field_sql, json_object_sql, json_value_sql, or_empty, quoted, truthy,
+    has_text_sql, in_sql, json_field_sql, json_object_sql, json_value_sql, let, or_empty, quoted,
 )
 from ..sources.hook_events import with_event_columns
 from .detect import scan_files
@@ -31,13 +31,12 @@ class SecretCheck:
     suffix: str = ""
 
 
+# --- fixed values: headings, context codes and answers shown to the user -------
 READ_HEADING = "SECRET DETECTED (file read blocked)"
 COMMAND_HEADING = "SECRET DETECTED (command execution blocked)"
 PROMPT_HEADING = "SECRET DETECTED (submission blocked)"
 OUTPUT_HEADING = "SECRET DETECTED in recent output"
 OUTPUT_SUFFIX = "\nBe careful with this sensitive data!"
-PLUGIN_LABEL = rules.PRODUCER + "-openclaw"
-
 # Checks whose message covers all findings of the event.
 CHECKS = [
     SecretCheck("claude", "UserPromptSubmit", PROMPT_HEADING, "secret_detected_in_prompt"),
@@ -60,6 +59,8 @@ CHECKS = [
     ),
 ]
 
+# --- end of fixed values --------------------------------------------------------
+
 _TEXTS = "array<struct<label:string,text:string>>"
 
 
@@ -99,17 +100,14 @@ _COMMAND = "coalesce(" + _case(
     _input("command"),
 ) + ", '')"
 
-# First non-empty of the three names a plugin tool may use.
-_PLUGIN_FILE = "coalesce(" + ", ".join(
-    f"nullif({_input(name)}, '')" for name in ("file_path", "path", "target_file")
-) + ")"
+def _plugin_file(params: str) -> str:
+    names = ("file_path", "path", "target_file")
+    return f"coalesce({', '.join(f'nullif({json_field_sql(params, n)}, {quoted(str())})' for n in names)})"
 
 
 def extract_file_path(params: Column) -> Column:
-    """First non-empty of file_path, path, target_file."""
-    return F.coalesce(
-        *[truthy(policy.json_field(params, name)) for name in ("file_path", "path", "target_file")]
-    )
+    """First non-empty of the three names a plugin tool may use."""
+    return let(params, f"p -> {_plugin_file('p')}")
 
 
 def _label(fallback: str) -> str:
@@ -163,7 +161,7 @@ def _lookup_paths(home: Column, default_dir: Column) -> Column:
              f"nullif(coalesce({_input('file_path')}, {_input('target_file')}), '')"),
             (f"{_is('cursor', 'beforeReadFile')} AND NOT {has_text_sql('content')}", file_path),
             (_is("cursor", "afterFileEdit"), file_path),
-            (f"{_PLUGIN} AND {in_sql('tool_name', rules.OPENCLAW_READ_TOOLS)}", _PLUGIN_FILE),
+            (f"{_PLUGIN} AND {in_sql('tool_name', rules.OPENCLAW_READ_TOOLS)}", _plugin_file("tool_input")),
         ]
     )
     runs_shell = F.expr(f"{_CLAUDE_SHELL} OR {_SHELL_EVENT} OR {_PLUGIN_SHELL}")
@@ -385,6 +383,9 @@ def decide(
     )
 
 
+PLUGIN_LABEL = rules.PRODUCER + "-openclaw"
+
+
 def secret_detections(decisions: DataFrame) -> DataFrame:
     """Audit rows of decisions made because of secrets."""
     label = F.when(F.col("dialect") == "openclaw", F.lit(PLUGIN_LABEL))
