@@ -58,12 +58,16 @@ def parse_hook_events(lines: DataFrame, dialect: str, raw: str = "raw") -> DataF
     # Boxed in a list, so that text after the first document is an error too.
     boxed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _OPTIONS)
     valid = F.startswith(text, F.lit("{")) & (F.size(boxed) == 1)
-    parsed = lines.withColumn("_doc", F.from_json(text, EVENT_FIELDS, _OPTIONS)).withColumn(
-        "parse_status",
+    status = (
         F.when(~has_text(F.col(raw)), "blank")
         .when(F.coalesce(valid, F.lit(False)), "ok")
-        .otherwise("malformed"),
+        .otherwise("malformed")
     )
+    # Out of a generator the status is made once; a filter on it is not pushed
+    # down to parse every line again.
+    parsed = lines.select(
+        *lines.columns, F.explode_outer(F.array(status)).alias("parse_status")
+    ).withColumn("_doc", F.from_json(text, EVENT_FIELDS, _OPTIONS))
     fields = {f.name: F.col(f"_doc.{f.name}") for f in EVENT_FIELDS.fields}
     fields["hook_event_name"] = F.coalesce(fields["hook_event_name"], F.lit(""))
     if dialect == "openclaw":
