@@ -51,7 +51,58 @@ SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(h.n_hit, 0)::bigint AS n_
 FROM doc d LEFT JOIN hit h ON h.rid = d.rid LEFT JOIN found f ON f.rid = d.rid
 """
 
+
+
+def _draw(seed: str, *parts: str) -> str:
+    text = " || ':' || ".join([f"'{seed}'", *(f"coalesce(({p})::varchar, 'null')" for p in parts)])
+    return f"('0x' || substr(md5({text}), 1, 15))::bigint"
+
+
+MIXING = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, {_draw("mix", "doc_id")} AS h,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size
+  FROM documents),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+  FROM (SELECT source, sum(size)::bigint AS source_size, count(*) AS n FROM doc GROUP BY source)),
+weighted AS (
+  SELECT *, [3, 1, 2][((rank - 1) % 3)::int + 1] AS weight, 2.0::double * source_size AS cap FROM ranked),
+filled AS (
+  SELECT *, 1.5::double * sum(source_size) OVER () AS total,
+         coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS remaining
+  FROM weighted),
+capped AS (SELECT *, cap <= (total - before) / remaining * weight AS is_full FROM filled),
+level AS (
+  SELECT *, CASE WHEN is_full THEN cap ELSE (total - coalesce(sum(cap) FILTER (is_full) OVER (), 0))
+         / sum(weight) FILTER (NOT is_full) OVER () * weight END AS target FROM capped),
+src AS (
+  SELECT *, ceil(source_size / 64.0::double)::bigint AS blocks,
+         CASE WHEN source_size = 0 THEN 0 ELSE least(round(target * ceil(source_size / 64.0::double) / source_size)::bigint,
+              2 * ceil(source_size / 64.0::double)::bigint) END AS slots
+  FROM level),
+placed AS (
+  SELECT d.rid, d.doc_id, d.size, s.rank, s.source_size, s.target,
+         coalesce(sum(d.size) OVER (PARTITION BY s.rank ORDER BY d.h, d.doc_id, d.size, d.rid
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS first
+  FROM doc d JOIN src s ON s.source IS NOT DISTINCT FROM d.source),
+pieces AS (
+  SELECT rid, rank, block, least(first + size, (block + 1) * 64) - greatest(first, block * 64) AS words
+  FROM (SELECT *, unnest(range(first // 64, (first + size - 1) // 64 + 1)) AS block FROM placed WHERE size > 0)),
+slot AS (SELECT rank, blocks, unnest(range(0, slots)) AS slot FROM src WHERE slots > 0),
+turned AS (SELECT *, slot // blocks AS epoch, {_draw("mix-turn", "rank", "slot // blocks")} AS turn FROM slot),
+times AS (
+  SELECT rank, ((slot % blocks)::hugeint * ([2305843009213693951, 2305843009213693921][(epoch % 2)::int + 1] % blocks)
+         + turn % blocks) % blocks AS block, count(*) AS times
+  FROM turned GROUP BY ALL),
+taken AS (SELECT p.rid, sum(p.words * t.times)::bigint AS taken FROM pieces p JOIN times t USING (rank, block) GROUP BY p.rid)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0)::bigint AS taken
+FROM placed p LEFT JOIN taken t USING (rid)
+"""
+
 CHECKS = {
+    "op1_mixing": MIXING,
     "op6_url_filter": URL_FILTER,
     "op10_winnowing": WINNOWING,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import token_counts, url_filter, winnowing
+from tracewarden.llm import mixing, token_counts, url_filter, winnowing
 
 #: Listed rules of the URL query: host, path, action.
 URL_RULES = [
@@ -22,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(documents).documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -42,6 +47,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op6_url_filter": op6_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_winnowing": op10_winnowing,
