@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import mixing, token_counts, url_filter, winnowing
+from tracewarden.llm import mixing, token_counts, toxicity, url_filter, winnowing
 
 #: Listed rules of the URL query: host, path, action.
 URL_RULES = [
@@ -27,6 +27,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    model = toxicity.train(documents, labels)
+    scored = toxicity.score_toxicity(documents, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -48,6 +56,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_winnowing": op10_winnowing,
