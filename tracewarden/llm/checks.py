@@ -52,6 +52,21 @@ FROM doc d LEFT JOIN hit h ON h.rid = d.rid LEFT JOIN found f ON f.rid = d.rid
 """
 
 
+TOPK = """
+WITH usable AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cell AS (SELECT rid, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM usable),
+score AS (
+  SELECT q.vec_id AS query_id, c.vec_id, c.rid, sum(q.x * c.x)::bigint AS score
+  FROM cell q JOIN cell c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM score)
+WHERE rank <= 5
+"""
+
 
 def _draw(seed: str, *parts: str) -> str:
     text = " || ':' || ".join([f"'{seed}'", *(f"coalesce(({p})::varchar, 'null')" for p in parts)])
@@ -103,6 +118,7 @@ FROM placed p LEFT JOIN taken t USING (rid)
 
 CHECKS = {
     "op1_mixing": MIXING,
+    "op3_topk": TOPK,
     "op6_url_filter": URL_FILTER,
     "op10_winnowing": WINNOWING,
 }
