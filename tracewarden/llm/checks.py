@@ -52,6 +52,17 @@ FROM doc d LEFT JOIN hit h ON h.rid = d.rid LEFT JOIN found f ON f.rid = d.rid
 """
 
 
+WARC = """
+WITH page AS (
+  SELECT page_id, strlen(coalesce(html, ''))::bigint AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+keeper AS (
+  SELECT payload_digest, max(page_id) AS keeper FROM page WHERE payload_bytes >= 1000 GROUP BY 1 HAVING count(*) > 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN k.keeper <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k.keeper <> p.page_id THEN k.keeper END AS refers_to
+FROM page p LEFT JOIN keeper k USING (payload_digest)
+"""
+
 TOPK = """
 WITH usable AS (
   SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v
@@ -118,6 +129,7 @@ FROM placed p LEFT JOIN taken t USING (rid)
 
 CHECKS = {
     "op1_mixing": MIXING,
+    "op2_warc": WARC,
     "op3_topk": TOPK,
     "op6_url_filter": URL_FILTER,
     "op10_winnowing": WINNOWING,

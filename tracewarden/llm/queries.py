@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import mixing, token_counts, topk, toxicity, url_filter, winnowing
+from tracewarden.llm import mixing, token_counts, topk, toxicity, url_filter, warc, winnowing
 
 #: Listed rules of the URL query: host, path, action.
 URL_RULES = [
@@ -27,6 +27,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents).documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive_pages(_table(spark, sf_dir, "pages"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -61,6 +66,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_warc": op2_warc,
     "op3_topk": op3_topk,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
