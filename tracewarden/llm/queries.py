@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import mixing, token_counts, topk, toxicity, url_filter, warc, winnowing
+from tracewarden.llm import mixing, quotes, token_counts, topk, toxicity, url_filter, warc, winnowing
 
 #: Listed rules of the URL query: host, path, action.
 URL_RULES = [
@@ -51,6 +51,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, rules).drop("url")
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))[1]
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
+    "op7_quotes": op7_quotes,
     "op9_token_counts": op9_token_counts,
     "op10_winnowing": op10_winnowing,
 }
