@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import mixing, quotes, token_counts, topk, toxicity, url_filter, warc, winnowing
+from tracewarden.llm import minhash, mixing, quotes, token_counts, topk, toxicity, url_filter, warc, winnowing
 
 #: Listed rules of the URL query: host, path, action.
 URL_RULES = [
@@ -55,6 +55,11 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(_table(spark, sf_dir, "conversations"))[1]
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(documents).drop("text_digest")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(documents, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
@@ -75,6 +80,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_quotes": op7_quotes,
+    "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_winnowing": op10_winnowing,
 }
