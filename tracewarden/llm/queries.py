@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import minhash, mixing, quotes, token_counts, topk, toxicity, url_filter, warc, winnowing
+from tracewarden.llm import minhash, mixing, quotes, suffixes, token_counts, topk, toxicity, url_filter, warc, winnowing
 
 #: Listed rules of the URL query: host, path, action.
 URL_RULES = [
@@ -37,6 +37,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~toxicity.held_out())
@@ -77,6 +81,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op3_topk": op3_topk,
+    "op4_suffixes": op4_suffixes,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
     "op7_quotes": op7_quotes,

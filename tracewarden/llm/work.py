@@ -17,18 +17,33 @@ ARROW_ROWS = 1_000
 #: Bytes whose word digests are computed at once.
 CHUNK_BYTES = 4 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared checkpoint folder and read it back: its lineage ends there."""
     spark = frame.sparkSession
     folder = run_folder(spark, name)
-    frame.write.parquet(folder)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffles it was made of
+    try:
+        frame.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def small_batches(spark: SparkSession) -> None:
+def discard(frame: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    jvm = frame.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound what one Arrow batch holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def fresh(name: str) -> str:
