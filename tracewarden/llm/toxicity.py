@@ -91,6 +91,11 @@ def _lists(ids: np.ndarray, rows: np.ndarray, count: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[new].view(np.int64)))
 
 
+def _smallest_shingle(words: np.ndarray) -> np.int64:
+    size = min(5, len(words))
+    return grams(words, size).min().view(np.int64) if size else np.int64(0)
+
+
 def _swaps(kinds: tuple[tuple[str, ...], ...]) -> tuple[re.Pattern | None, dict[str, str]]:
     other = {term: kind[(i + 1) % len(kind)] for kind in kinds for i, term in enumerate(kind)}
     words = "|".join(sorted(map(re.escape, other), key=len, reverse=True))
@@ -192,7 +197,7 @@ def train(
             order = np.argsort(rows, kind="stable")
             words = ids[order]
             edges = np.searchsorted(rows[order], np.arange(len(column) + 1))
-            key = [int(mix(np.sort(grams(words[a:b], 2))[:1]).view(np.int64)[0]) if b - a > 1 else i for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+            key = [int(_smallest_shingle(words[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32()), pa.array(key, pa.int64()), own, swaps], ["id", "y", "key", "own", "swapped"])
 
     sample = staged(
