@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewarden.functions import policy, rules
@@ -117,3 +118,18 @@ def _plain(pattern):
 def test_long_line_is_read_once(apply):
     text = "python -c find curl $( " * 40_000
     assert verdicts(apply, text, text + "exec(") == [("ok", ""), ("block", "Python exec injection")]
+
+
+@pytest.mark.parametrize("document,found", [
+    ('{"q":"rm -rf /","n":{"a":1,"a":2}}', "q"),
+    ('{"q":"rm -rf /","q":"x"}', None),
+    ('{"q":"x","z":"sudo x","q":"rm -rf /"}', "q"),
+    ('{"a":"{rm -rf /","n":{"a":1,"a":2}}', "a"),
+    ('{"a":{"x":"rm -rf /"},"n":{"a":1,"a":2}}', None),
+    ('{"a":"{\\"x\\":\\"rm -rf /\\"}","n":{"a":1,"a":2}}', "a"),
+    ('{"10":"sudo x","a":"rm -rf /","2":"reboot"}', "2"),
+    ('["rm -rf /"]', None), ("rm -rf /", None), (None, None),
+])
+def test_parameters_with_repeated_keys(apply, document, found):
+    verdict = apply(policy.mcp_verdict(F.col("t")), document)[0]
+    assert (verdict and verdict["reason"].startswith(f"Dangerous pattern in {found}: ")) == (True if found else None)

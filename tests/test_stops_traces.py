@@ -41,6 +41,15 @@ def _model_sets(rows, limit):
     return {key: paths for key, paths in sets.items() if paths}
 
 
+def test_edited_set_keeps_every_path_and_counts_what_a_limit_drops(spark):
+    rows = [(1, i, "edit", f"p{i}") for i in range(2_000)] + [(1, 2_000, "edit", None)]
+    frame = spark.createDataFrame(rows, "session bigint, seq bigint, kind string, path string")
+    epochs = edited.with_epochs(frame, 64)
+    assert edited.edited_set(epochs).count() == 2_000
+    cut = edited.edited_set(epochs, 500).collect()
+    assert len(cut) == 500 and {r["n_dropped"] for r in cut} == {1_500}
+
+
 @pytest.mark.parametrize("chunk,limit", [(37, 500), (10_000, 5)])
 def test_edited_set_with_hot_session(spark, chunk, limit):
     rows, frame = _activity(spark)
@@ -95,7 +104,10 @@ def _stops(spark, rows):
         "session bigint, epoch bigint, seq bigint, report string, return_code int, error_text string, "
         "stop_hook_active boolean, scanner_path string, conversation_id string, generation_id string, "
         "workspace_root string",
-    )
+    ).withColumns({
+        "event_uid": F.concat(F.lit("s"), F.col("session").cast("string")), "dialect": F.lit("cursor"),
+        "received_at": F.lit(None).cast("timestamp"), "model": F.lit("gpt-4"), "transcript_path": F.lit("/t"),
+    })
 
 
 def _edited(spark, rows):
@@ -115,8 +127,8 @@ def test_stop_scan_end_to_end(spark):
     sets = [(s, 0, p, i, i) for s in (1, 2, 3, 4, 5) for i, p in enumerate(["d/a.py", "/w/x/a.py", "/w/b.py"], 1)]
     in_set = _edited(spark, sets + [(6, 0, "/gone.py", 1, 1)])
     files = spark.createDataFrame([("/w/d/a.py", ""), ("/w/b.py", "")], "path string, content string")
-    valid = stopscan.valid_files(in_set, files, F.lit("/w"))
-    summary = stopscan.stop_summary(stops, in_set, valid).orderBy("session")
+    in_set = stopscan.with_existing(in_set, files, F.lit("/w"))
+    summary = stopscan.stop_summary(stops, in_set).orderBy("session")
     got = summary.collect()
     assert [r["status"] for r in got] == [
         "vulnerabilities_found", "vulnerabilities_found", "parse_error", "scan_failed",
@@ -141,14 +153,21 @@ def test_stop_scan_end_to_end(spark):
     results = stopscan.result_fields(scan_reports.explode_results(found, stopscan.STOP_KEY))
     attributed = stopscan.attribute_results(results, in_set)
     lists = stopscan.vulnerability_lists(attributed)
-    made = {r["file"]: r for r in trace.vulnerability_traces(lists, "cursor").collect()}
+    rows = trace.vulnerability_traces(lists, summary, "cursor")
+    made = {r["path"]: r for r in rows.collect()}
+    assert {(r["event_uid"], r["model_id"], r["url"]) for r in made.values()} == {
+        ("s1|d/a.py", "openai/gpt-4", "file:///t"), ("s1|/w/b.py", "openai/gpt-4", "file:///t")}
+    assert trace.build_traces(rows.unionByName(trace.stop_traces(summary, "cursor")), F.lit("/w")).select("id").distinct().count() == 9
     assert set(made) == {"d/a.py", "/w/b.py"}
     first = json.loads(made["d/a.py"]["metadata"])
     assert first["vulnerability_count"] == 2
     assert first["vulnerabilities"][0] == {"rule_id": "r1", "message": "m", "severity": "ERROR"}
     assert [tuple(r) for r in made["d/a.py"]["ranges"]] == [(3, 5), (7, 7)]
     assert [tuple(r) for r in made["/w/b.py"]["ranges"]] == [(2, 9)]
-    stop = json.loads(trace.stop_traces(summary, "cursor").orderBy("session").collect()[0]["metadata"])
+    stops = [json.loads(r["metadata"]) for r in trace.stop_traces(summary, "cursor").orderBy("session").collect()]
+    assert stops[3]["error"] == "x" * 600 and stops[3]["semgrep_path"] == "/bin/s"
+    assert stops[2]["error"] == trace.PARSE_ERROR
+    stop = stops[0]
     assert stop == {
         "event": "stop_hook_executed", "tool": rules.PRODUCER, "conversation_id": "c",
         "status": "vulnerabilities_found", "total_vulnerabilities": 5, "files_scanned": 3, "workspace_root": "/w",
@@ -161,6 +180,15 @@ def test_relative_path_without_base_is_missing(spark):
     assert stopscan.valid_files(in_set, files, F.lit("")).count() == 0
 
 
+def test_odd_results_end_no_job(spark):
+    rows = ['{"path":"{x}","line":"abc"}', '{"path":{"value":"v"},"line":3.5}', '{"path":"p","line":99999999999}',
+            '{"target":{"path":"t"},"start":{"line":4},"end":{"line":"7"}}', '{"path":"[a]","path":"b"}', '{"path":5}']
+    frame = spark.createDataFrame([(r,) for r in rows], "r string").coalesce(1)
+    out = frame.select(stopscan.result_path(F.col("r")), stopscan.result_range(F.col("r"))).collect()
+    assert [(p, tuple(span)) for p, span in out][:4] == [("{x}", (1, 1)), ("v", (3, 3)), ("p", (1, 1)), ("t", (4, 1))]
+    assert out[4][0] in ("b", "[a]") and out[5][0] is None
+
+
 def test_range_positions(spark):
     rows = [
         ([("", "b\nc", None), ("", "", None), ("", "zz", None), ("", "x", (4, 6)), ("", "a\nb\nc", (0, 3))], "a\nb\nc\n"),

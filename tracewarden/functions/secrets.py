@@ -28,18 +28,19 @@ def _found_sql(rule: tuple) -> str:
 
 # Match texts ``m`` become findings with 1-based start and line.  The pieces
 # between the matches carry both forward, so the text is read once more and no
-# oftener, however many matches it has.
+# oftener.  Appending copies a list, so findings are put together block by
+# block: the work follows the number of matches.
+_BLOCK = 64
 _NEWLINES = "length({0}) - length(replace({0}, '\\n', ''))"
-_START = f"named_struct('pos', 1, 'line', 1, 'out', cast(array() AS {FINDINGS}))"
 _ITEM = (
-    "cast(named_struct('rule_id', {rule}, 'label', l, 'ordinal', size(acc.out) + 1, "
+    "cast(named_struct('rule_id', {rule}, 'label', l, 'ordinal', acc.n + 1, "
     f"'line', acc.line + {_NEWLINES.format('x.p')}, 'start', acc.pos + length(x.p), "
     f"'masked', concat(left(x.v, 4), '****'), 'value_sha256', sha2(x.v, 256)) AS {FINDING})"
 )
 _STEP = (
     "named_struct('pos', acc.pos + length(x.p) + length(x.v), "
     f"'line', acc.line + {_NEWLINES.format('x.p')} + {_NEWLINES.format('x.v')}, "
-    f"'out', array_append(acc.out, {_ITEM}))"
+    f"'n', acc.n + 1, 'out', array_append(acc.out, {_ITEM}))"
 )
 
 
@@ -49,7 +50,14 @@ def _located_sql(rule: tuple) -> str:
         f"zip_with(m, slice(split(t, {regex}, -1), 1, size(m)), (v, p) -> named_struct('v', v, 'p', p))"
     )
     step = _STEP.replace("{rule}", quoted(rule[0]))
-    walked = f"aggregate({pairs}, {_START}, (acc, x) -> {step}, acc -> acc.out)"
+    empty = f"named_struct('pos', w.pos, 'line', w.line, 'n', w.n, 'out', cast(array() AS {FINDINGS}))"
+    block = f"aggregate(slice(q, i * {_BLOCK} + 1, {_BLOCK}), {empty}, (acc, x) -> {step})"
+    joined = let_sql(
+        block, "r", "named_struct('pos', r.pos, 'line', r.line, 'n', r.n, 'out', array_append(w.out, r.out))"
+    )
+    first = f"named_struct('pos', 1, 'line', 1, 'n', 0, 'out', cast(array() AS array<{FINDINGS}>))"
+    blocks = f"sequence(0, cast((size(q) - 1) div {_BLOCK} AS int))"
+    walked = let_sql(pairs, "q", f"aggregate({blocks}, {first}, (w, i) -> {joined}, w -> flatten(w.out))")
     return let_sql(_found_sql(rule), "m", f"CASE WHEN size(m) > 0 THEN {walked} END")
 
 

@@ -90,8 +90,8 @@ def match_sql(text: str, pattern: str) -> str:
     return f"{text} RLIKE {quoted(line_pattern(pattern))}"
 
 
-def extract_all(text: Column, java_regex: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java_regex), F.lit(0))
+def extract_all(text: Column, java_regex: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(java_regex), F.lit(group))
 
 
 def has_text(text: Column) -> Column:

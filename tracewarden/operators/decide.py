@@ -175,9 +175,9 @@ def _policy() -> Column:
     runs_shell = f"({_PLUGIN_SHELL} OR {_SHELL_EVENT})"
     tool = F.expr(f"if({runs_shell}, '{rules.COMMAND_TOOLS[0]}', tool_name)")
     judged = F.expr(f"{runs_shell} OR {_PLUGIN} OR {_PRE} OR {_is('cursor', 'preToolUse')}")
-    return F.when(
-        judged, policy.validate_tool_input(tool, F.col("tool_input"), F.col("_command"))
-    )
+    # Only shell tools and events may name their command otherwise.
+    command = F.expr(f"if({runs_shell}, _command, coalesce({_input('command')}, ''))")
+    return F.when(judged, policy.validate_tool_input(tool, F.col("tool_input"), command))
 
 
 def _prepare(events: DataFrame) -> DataFrame:

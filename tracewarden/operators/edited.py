@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import rules
 from .ordered import DEFAULT_CHUNK, running_count
 
 
@@ -17,18 +16,21 @@ def with_epochs(activity: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     return running_count(acts, "session", "seq", F.col("kind") == "stop", "epoch", chunk)
 
 
-def edited_set(epochs: DataFrame, limit: int = rules.EDITED_FILES_LIMIT) -> DataFrame:
-    """Distinct edited paths per session and epoch, first edit first.
+def edited_set(epochs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct edited paths per session and epoch with their first edit.
 
-    Repeats of a path add nothing and the set takes no more than ``limit``
-    paths, so it is the first ``limit`` first occurrences.  The minimum is
-    combined map-side, and the rank filter keeps at most ``limit`` rows per
-    group and task before the shuffle.
+    All are kept.  With a ``limit``, which sets of a fixed size need, each set
+    holds the first ``limit`` paths with their ``position``, and ``n_dropped``
+    says how many it left out.
     """
     firsts = (
         epochs.where((F.col("kind") == "edit") & F.col("path").isNotNull())
         .groupBy("session", "epoch", "path")
         .agg(F.min("seq").alias("first_seq"))
     )
-    rank = F.row_number().over(Window.partitionBy("session", "epoch").orderBy("first_seq"))
-    return firsts.withColumn("position", rank).where(F.col("position") <= limit)
+    if limit is None:
+        return firsts
+    group = Window.partitionBy("session", "epoch")
+    rank = F.row_number().over(group.orderBy("first_seq"))
+    dropped = F.greatest(F.count(F.lit(1)).over(group) - limit, F.lit(0))
+    return firsts.withColumns({"position": rank, "n_dropped": dropped}).where(F.col("position") <= limit)

@@ -3,7 +3,8 @@
 A session can hold a third of all rows, so a plain window over a session would
 sort them in a single task.  Rows are cut into chunks of the order column
 instead: a window inside ``(key, chunk)`` does the fine work, and one small row
-per chunk carries what crosses chunk borders.
+per chunk carries what crosses chunk borders.  Chunks are grouped in turn, so
+that their rows are never one window either.
 """
 
 from __future__ import annotations
@@ -11,25 +12,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEFAULT_CHUNK = 250_000
-_CHUNK = "_chunk"
+#: Chunks of one group.
+GROUP = 4_096
+_CHUNK, _GROUP = "_chunk", "_group"
 
 
 def _with_chunk(rows: DataFrame, order: str, chunk: int) -> DataFrame:
     return rows.withColumn(_CHUNK, F.floor(F.col(order) / chunk))
 
 
+def _group() -> Column:
+    return F.floor(F.col(_CHUNK) / GROUP)
+
+
 def running_count(
     rows: DataFrame, key: str, order: str, flag: Column, name: str, chunk: int = DEFAULT_CHUNK
 ) -> DataFrame:
     """Add how many rows of the same key with ``flag`` come strictly before."""
     cut = _with_chunk(rows, order, chunk).withColumn("_flag", flag.cast("bigint"))
-    totals = cut.groupBy(key, _CHUNK).agg(F.sum("_flag").alias("_total"))
-    earlier = Window.partitionBy(key).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(key, _CHUNK, F.sum("_total").over(earlier).alias("_before"))
+    totals = cut.groupBy(key, _CHUNK).agg(F.sum("_flag").alias("_total")).withColumn(_GROUP, _group())
+
+    def earlier(*by: str, order_by: str) -> Column:
+        ordered = Window.partitionBy(*by).orderBy(order_by)
+        return F.coalesce(F.sum("_total").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = totals.groupBy(key, _GROUP).agg(F.sum("_total").alias("_total"))
+    groups = groups.select(key, _GROUP, earlier(key, order_by=_GROUP).alias("_groups"))
+    chunks = totals.select(key, _GROUP, _CHUNK, earlier(key, _GROUP, order_by=_CHUNK).alias("_chunks"))
+    before = chunks.join(groups, [key, _GROUP]).select(
+        key, _CHUNK, (F.col("_groups") + F.col("_chunks")).alias("_before")
+    )
     inside = Window.partitionBy(key, _CHUNK).orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    count = F.coalesce("_before", F.lit(0)) + F.coalesce(F.sum("_flag").over(inside), F.lit(0))
+    count = F.col("_before") + F.coalesce(F.sum("_flag").over(inside), F.lit(0))
     return cut.join(before, [key, _CHUNK]).withColumn(name, count).drop(_CHUNK, "_flag", "_before")
 
 
@@ -38,12 +54,16 @@ def next_value(
 ) -> DataFrame:
     """Add the value of the following row of the same key, NULL at the end."""
     cut = _with_chunk(rows, order, chunk)
-    firsts = cut.groupBy(key, _CHUNK).agg(F.min_by(value, order).alias("_first"))
-    by_chunk = Window.partitionBy(key).orderBy(_CHUNK)
-    following = firsts.select(key, _CHUNK, F.lead("_first").over(by_chunk).alias("_after"))
-    inside = Window.partitionBy(key, _CHUNK).orderBy(order)
-    return (
-        cut.join(following, [key, _CHUNK])
-        .withColumn(name, F.coalesce(F.lead(value).over(inside), "_after"))
-        .drop(_CHUNK, "_after")
+    firsts = cut.groupBy(key, _CHUNK).agg(F.min_by(F.struct(value), order).alias("_first"))
+    firsts = firsts.withColumn(_GROUP, _group())
+    groups = firsts.groupBy(key, _GROUP).agg(F.min_by("_first", _CHUNK).alias("_first"))
+    next_group = F.lead("_first").over(Window.partitionBy(key).orderBy(_GROUP))
+    next_chunk = F.lead("_first").over(Window.partitionBy(key, _GROUP).orderBy(_CHUNK))
+    following = (
+        firsts.select(key, _GROUP, _CHUNK, next_chunk.alias("_after"))
+        .join(groups.select(key, _GROUP, next_group.alias("_later")), [key, _GROUP])
+        .select(key, _CHUNK, F.coalesce("_after", "_later").alias("_after"))
     )
+    inside = Window.partitionBy(key, _CHUNK).orderBy(order)
+    after = F.coalesce(F.lead(F.struct(value)).over(inside), F.col("_after"))
+    return cut.join(following, [key, _CHUNK]).withColumn(name, after[value]).drop(_CHUNK, "_after")

@@ -7,27 +7,40 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import audit, paths, rules
 from ..functions.text import json_object_sql, json_value_sql, quoted, truthy, utf16_left
 from ..sources.scan_reports import parse_reports
-from .lineage import salted_join
 
 STOP_KEY = ["session", "epoch"]
 
 
 def result_path(result: Column) -> Column:
     """``path`` as text, else ``path.value``, else ``target.path``."""
-    path = F.get_json_object(result, "$.path")
-    plain = F.when(~F.startswith(path, F.lit("{")), path)
     return F.coalesce(
-        truthy(plain),
+        truthy(json_string(result, "path")),
         truthy(F.get_json_object(result, "$.path.value")),
         truthy(F.get_json_object(result, "$.target.path")),
     )
 
 
+def json_string(document: Column, name: str) -> Column:
+    """A top-level field if it is a JSON string, whatever it begins with."""
+    value = F.get_json_object(document, f"$.{name}")
+    parsed = F.try_parse_json(document)
+    # A document no variant can hold (a repeated key): objects and lists read as JSON.
+    looks = F.json_object_keys(value).isNull() & F.json_array_length(value).isNull()
+    typed = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")) == "STRING"
+    return F.when(F.coalesce(typed, parsed.isNull() & looks), value)
+
+
 def result_range(result: Column) -> Column:
-    """``struct<start_line, end_line>``: nested lines, else flat ones, else 1."""
+    """``struct<start_line, end_line>``: nested lines, else flat ones, else 1.
+
+    Only JSON numbers are lines; one beyond the range of lines counts as absent.
+    """
+    parsed = F.try_parse_json(result)
 
     def number(name: str) -> Column:
-        return F.get_json_object(result, f"$.{name}").cast("int")
+        typed = F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+        value = F.floor(F.get_json_object(result, f"$.{name}").try_cast("double")).try_cast("int")
+        return F.when(F.coalesce(typed, F.lit("")) != "STRING", value)
 
     return F.struct(
         F.coalesce(number("start.line"), number("line"), F.lit(1)).alias("start_line"),
@@ -53,20 +66,22 @@ def result_fields(results: DataFrame) -> DataFrame:
     )
 
 
-def valid_files(edited: DataFrame, files: DataFrame, base: Column) -> DataFrame:
-    """Edited files that exist: relative ones resolve against the base.
+def with_existing(edited: DataFrame, files: DataFrame, base: Column) -> DataFrame:
+    """Edited files with ``is_valid``: whether they exist; relative ones resolve against the base.
 
     A relative path without a base cannot be read and counts as missing.
     """
     resolved = F.when(F.startswith("path", F.lit("/")), F.col("path")).when(
         F.coalesce(base, F.lit("")) != "", paths.resolve_against(base, F.col("path"))
     )
-    located = edited.withColumn("edited_path", F.col("path")).withColumn("path", resolved)
-    found = salted_join(
-        located.where(F.col("path").isNotNull()), files.select("path"), "path", "first_seq",
-        "left_semi",
-    )
-    return found.withColumnsRenamed({"path": "resolved_path", "edited_path": "path"})
+    known = files.select(F.col("path").alias("resolved_path"), F.lit(True).alias("is_valid")).distinct()
+    located = edited.withColumn("resolved_path", resolved).join(known, "resolved_path", "left")
+    return located.withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
+
+
+def valid_files(edited: DataFrame, files: DataFrame, base: Column) -> DataFrame:
+    """The edited files that exist."""
+    return with_existing(edited, files, base).where("is_valid").drop("is_valid")
 
 
 def attribute_results(results: DataFrame, edited: DataFrame) -> DataFrame:
@@ -79,7 +94,7 @@ def attribute_results(results: DataFrame, edited: DataFrame) -> DataFrame:
     first = (
         edited.withColumn("name", paths.basename(F.col("path")))
         .groupBy(*STOP_KEY, "name")
-        .agg(F.min_by("path", "position").alias("file"))
+        .agg(F.min_by("path", "first_seq").alias("file"))
     )
     named = results.withColumn("name", paths.basename(F.col("result_path")))
     return named.where(F.col("result_path").isNotNull()).join(first, [*STOP_KEY, "name"]).drop("name")
@@ -118,25 +133,18 @@ def vulnerability_lists(attributed: DataFrame) -> DataFrame:
     )
 
 
-def stop_summary(stops: DataFrame, edited: DataFrame, valid: DataFrame) -> DataFrame:
+def stop_summary(stops: DataFrame, edited: DataFrame) -> DataFrame:
     """One row per stop: counts, status and totals.
 
-    ``stops`` has ``session, epoch, seq, report, return_code, error_text``.
-    Files scanned is the size of the edited set, whether or not all were found.
+    ``stops`` has ``session, epoch, seq, report, return_code, error_text``,
+    ``edited`` is a result of ``with_existing``.  Files scanned is the size of
+    the edited set, whether or not all were found.
     """
-    n_edited = edited.groupBy(*STOP_KEY).agg(F.count(F.lit(1)).alias("n_edited"))
-    n_valid = valid.groupBy(*STOP_KEY).agg(F.count(F.lit(1)).alias("n_valid"))
-    parsed = (
-        parse_reports(stops)
-        .join(n_edited, STOP_KEY, "left")
-        .join(n_valid, STOP_KEY, "left")
-        .withColumns(
-            {
-                "n_edited": F.coalesce("n_edited", F.lit(0)),
-                "n_valid": F.coalesce("n_valid", F.lit(0)),
-            }
-        )
+    counts = edited.groupBy(*STOP_KEY).agg(
+        F.count(F.lit(1)).alias("n_edited"), F.count_if(F.col("is_valid")).alias("n_valid")
     )
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_edited", "n_valid")}
+    parsed = parse_reports(stops).join(counts, STOP_KEY, "left").withColumns(zero)
     status = (
         F.when(F.col("n_edited") == 0, "no_files_to_scan")
         .when(F.col("n_valid") == 0, "no_valid_files")
@@ -156,12 +164,18 @@ def stop_summary(stops: DataFrame, edited: DataFrame, valid: DataFrame) -> DataF
     )
 
 
-def stop_responses(summary: DataFrame, dialect: str) -> DataFrame:
-    """Answer to the stop event.  ``summary`` has ``stop_hook_active`` too."""
-    error = utf16_left(
-        F.coalesce(truthy(F.col("error_text")), F.lit(f"Unknown {rules.SCANNER} error")),
-        rules.ERROR_TEXT_LIMIT,
-    )
+def error_text() -> Column:
+    return F.coalesce(truthy(F.col("error_text")), F.lit(f"Unknown {rules.SCANNER} error"))
+
+
+def stop_responses(
+    summary: DataFrame, dialect: str, shown: int | None = rules.ERROR_TEXT_LIMIT
+) -> DataFrame:
+    """Answer to the stop event.  ``summary`` has ``stop_hook_active`` too.
+
+    The answer shows the first ``shown`` units of an error; traces hold the whole.
+    """
+    error = error_text() if shown is None else utf16_left(error_text(), shown)
     count = "concat('Found ', size(results), ' security finding(s)')"
     listing = (
         f"concat({count}, '. Review the findings and address any security issues. [', "
@@ -179,12 +193,12 @@ def stop_responses(summary: DataFrame, dialect: str) -> DataFrame:
         + " END"
     )
     told = summary.withColumn("_error", error).withColumn("_text", F.expr(text)).drop("_error")
-    shown = json_value_sql("_text")
+    text_json = json_value_sql("_text")
     if dialect == "cursor":
-        response = json_object_sql([("followup_message", f"coalesce({shown}, 'null')")])
+        response = json_object_sql([("followup_message", f"coalesce({text_json}, 'null')")])
     else:
-        blocks = json_object_sql([("decision", quoted('"block"')), ("reason", shown)])
-        tells = json_object_sql([("systemMessage", shown)])
+        blocks = json_object_sql([("decision", quoted('"block"')), ("reason", text_json)])
+        tells = json_object_sql([("systemMessage", text_json)])
         response = (
             f"CASE WHEN status = 'vulnerabilities_found' AND NOT {active} THEN {blocks} "
             f"WHEN _text IS NOT NULL THEN {tells} END"

@@ -15,9 +15,9 @@ from ..functions import audit, paths, rules
 from ..functions.policy import json_field
 from ..functions.text import (
     in_sql, json_field_sql, json_number_sql, json_object_sql, json_value_sql, or_empty, quoted,
-    utf16_left,
 )
 from ..sources.hook_events import EVENT_FIELDS, with_event_columns
+from .stopscan import error_text
 
 SENTINEL_UNKNOWN = ".unknown"
 
@@ -198,9 +198,11 @@ _ONE_EDIT = (
 def _edits(table: list[Handler]) -> Column:
     """Edits of the event as one array: its own list, or the tool's one edit."""
     whole = _any([h for h in table if h.whole_edits])
+    # One dialect gives no range to an edit without a path.
+    placed = f"(dialect <> 'cursor' OR coalesce({_INPUT_PATH}, '') <> '')"
     return F.expr(
         f"CASE WHEN {whole} THEN edits WHEN coalesce(get_json_object(tool_input, '$.new_string'), '') <> '' "
-        f"THEN cast({_ONE_EDIT} AS {_EDIT_TYPE}) END"
+        f"AND {placed} THEN cast({_ONE_EDIT} AS {_EDIT_TYPE}) END"
     )
 
 
@@ -313,36 +315,74 @@ def edited_files(events: DataFrame) -> DataFrame:
 
 
 _ROOT = "coalesce(workspace_root, '')"
+#: What a trace says of a report that cannot be read.
+PARSE_ERROR = "SyntaxError: the report is not valid JSON"
+
+
+def _stop_rows(rows: DataFrame, uid: Column, path: Column, ranges: Column, metadata: Column) -> DataFrame:
+    """Flat traces of stops, in the columns of ``trace_rows``."""
+    return rows.select(
+        "session", "epoch", uid.alias("event_uid"), "dialect", F.lit("stop").alias("event_name"),
+        "received_at", F.lit(None).cast("string").alias("tool_version"),
+        path.alias("path"), F.lit("ai").alias("contributor_type"),
+        audit.normalize_model_id(F.col("model")).alias("model_id"),
+        ranges.alias("ranges"),
+        F.expr("CASE WHEN coalesce(transcript_path, '') <> '' THEN concat('file://', transcript_path) END").alias("url"),
+        metadata.alias("metadata"),
+    )
 
 
 def stop_traces(summary: DataFrame, dialect: str) -> DataFrame:
-    """Trace of each stop: status, ids and what the status adds."""
+    """Flat trace of each stop: status, ids and what the status adds.
+
+    ``summary`` has ``event_uid, dialect, received_at, model, transcript_path``
+    and the ids of the stop event too.  Error texts are stored whole.
+    """
     finished = "status IN ('vulnerabilities_found', 'no_vulnerabilities')"
     root = f"CASE WHEN {finished} THEN {json_value_sql(_ROOT)} END"
+    failed = "status = 'scan_failed'"
+    error = (
+        f"CASE WHEN {failed} THEN {json_value_sql('_error')} "
+        f"WHEN status = 'parse_error' THEN {_const(PARSE_ERROR)} END"
+    )
     metadata = [
         ("event", _const("stop_hook_executed")),
         ("tool", _const(rules.PRODUCER)),
         ("conversation_id", json_value_sql("conversation_id")),
         ("generation_id", json_value_sql("generation_id")),
         ("status", json_value_sql("status")),
-        ("error", f"CASE WHEN status = 'scan_failed' THEN {json_value_sql('_error')} END"),
+        ("error", error),
+        (f"{rules.SCANNER}_path", f"CASE WHEN {failed} THEN {json_value_sql('scanner_path')} END"),
         ("total_vulnerabilities", "cast(total_vulnerabilities AS string)"),
         ("files_scanned", "cast(files_scanned AS string)"),
         *([("workspace_root", root)] if dialect == "cursor" else []),
     ]
-    cut = summary.withColumn("_error", utf16_left(F.col("error_text"), rules.ERROR_TEXT_LIMIT))
-    return cut.withColumns(
-        {"path": F.lit(".stop-hooks"), "metadata": F.expr(json_object_sql(metadata))}
-    ).drop("_error")
+    whole = summary.withColumn("_error", error_text())
+    top = audit.ranges_or_default(F.lit(None).cast(audit.RANGES))
+    return _stop_rows(whole, F.col("event_uid"), F.lit(".stop-hooks"), top, F.expr(json_object_sql(metadata)))
+
 
+def vulnerability_traces(lists: DataFrame, stops: DataFrame, dialect: str) -> DataFrame:
+    """Flat trace of each file with findings at a stop; one dialect lists them.
 
-def vulnerability_traces(lists: DataFrame, dialect: str) -> DataFrame:
-    """Trace of each file with findings at a stop; one dialect lists them."""
+    ``stops`` are the rows that ``stop_traces`` takes.  A trace's id is the
+    stop's with the file.
+    """
     metadata = [
         ("event", _const("vulnerability_detected")),
         ("tool", _const(rules.PRODUCER)),
         ("scanner", _const(rules.SCANNER)),
+        ("conversation_id", json_value_sql("conversation_id")),
+        ("generation_id", json_value_sql("generation_id")),
         ("vulnerability_count", "cast(vulnerability_count AS string)"),
         *([("vulnerabilities", "to_json(vulnerabilities)")] if dialect == "cursor" else []),
     ]
-    return lists.withColumn("metadata", F.expr(json_object_sql(metadata)))
+    ids = stops.select(
+        "session", "epoch", "event_uid", "dialect", "received_at", "model", "transcript_path",
+        "conversation_id", "generation_id",
+    )
+    uid = F.concat_ws("|", "event_uid", "file")
+    return _stop_rows(
+        lists.join(ids, ["session", "epoch"]), uid, F.col("file"), F.col("ranges"),
+        F.expr(json_object_sql(metadata)),
+    )

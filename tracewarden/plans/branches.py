@@ -46,8 +46,8 @@ _TOOL = {
 _ID = _string("event_id")
 _DONE = {**_TOOL, "duration": "value"}
 _PLUGIN_TOOL = (
-    "CASE tool_name WHEN 'Bash' THEN 'exec' WHEN 'Shell' THEN 'shell' "
-    "WHEN 'run_terminal_cmd' THEN 'bash' ELSE tool_name END"
+    "CASE WHEN event_id % 5 = 0 THEN tool_name WHEN tool_name = 'Bash' THEN 'exec' WHEN tool_name = 'Shell' THEN 'shell' "
+    "WHEN tool_name = 'run_terminal_cmd' THEN 'bash' ELSE tool_name END"
 )
 _PLUGIN_INPUT = (
     "CASE WHEN event_id % 2 = 1 THEN replace(tool_input, '{{\"command\":', '{{\"cmd\":') "

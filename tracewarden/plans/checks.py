@@ -8,8 +8,9 @@ window functions, path folding is a list reduction.
 from __future__ import annotations
 
 from ..functions import rules
+from ..operators.trace import PARSE_ERROR
 from .branches import BRANCHES, branch_sql
-from .registry import DECISIONS, DEFAULT_DIR, HOME, PROJECT
+from .registry import DECISIONS, DEFAULT_DIR, DIALECTS, HOME, PROJECT
 from .views import view_sql
 
 CHECKS: dict[str, str] = {}
@@ -782,16 +783,15 @@ _epochs = (
 )
 CHECKS["edited_epochs"] = f"SELECT session, seq, kind, epoch FROM ({_epochs}) e"
 _set = (
-    "SELECT * FROM (SELECT session, epoch, path, min(seq) AS first_seq, CAST(row_number() OVER (PARTITION BY session, epoch "
-    f"ORDER BY min(seq)) AS INT) AS position FROM ({_epochs}) e WHERE kind = 'edit' GROUP BY session, epoch, path) p "
-    f"WHERE position <= {rules.EDITED_FILES_LIMIT}"
+    f"SELECT session, epoch, path, min(seq) AS first_seq FROM ({_epochs}) e WHERE kind = 'edit' AND path IS NOT NULL "
+    "GROUP BY session, epoch, path"
 )
 CHECKS["edited_set"] = _set
 CHECKS["valid_files"] = (
-    f"SELECT session, epoch, path, position FROM ({_set}) s WHERE path IN (SELECT path FROM {_v('workspace')})"
+    f"SELECT session, epoch, path, first_seq FROM ({_set}) s WHERE path IN (SELECT path FROM {_v('workspace')})"
 )
 _report = (
-    "SELECT session, seq, report, return_code, error_text, stop_hook_active, "
+    "SELECT session, seq, ts, report, return_code, error_text, stop_hook_active, "
     "CASE WHEN json_valid(report) AND report <> '' THEN 'ok' ELSE 'parse_error' END AS report_status, "
     "CASE WHEN json_valid(report) AND report <> '' THEN coalesce(CAST(json_extract(report, '$.results[*]') AS VARCHAR[]), []) ELSE [] END AS results "
     f"FROM {_v('stop_reports')}"
@@ -801,11 +801,18 @@ _results = (
     f"unnest(results) AS result FROM ({_report}) r"
 )
 CHECKS["scan_results"] = _results
+
+
+def _line(name: str) -> str:
+    number = f"json_type(result, '{name}') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT')"
+    return f"CASE WHEN {number} THEN try_cast(floor(try_cast(result->>'{name}' AS DOUBLE)) AS INT) END"
+
+
 _result_fields = (
     "coalesce(CASE WHEN json_type(result, '$.path') = 'VARCHAR' THEN result->>'$.path' END, result->>'$.path.value', "
     "result->>'$.target.path') AS result_path, "
-    "CAST(coalesce(result->>'$.start.line', result->>'$.line', '1') AS INT) AS start_line, "
-    "CAST(coalesce(result->>'$.end.line', result->>'$.end_line', result->>'$.line', '1') AS INT) AS end_line, "
+    + f"CAST(coalesce({_line('$.start.line')}, {_line('$.line')}, 1) AS INT) AS start_line, "
+    f"CAST(coalesce({_line('$.end.line')}, {_line('$.end_line')}, {_line('$.line')}, 1) AS INT) AS end_line, "
     "coalesce(result->>'$.check_id', '') AS rule_id, coalesce(result->>'$.message', '') AS finding, "
     "coalesce(result->>'$.extra.severity', '') AS severity"
 )
@@ -827,7 +834,7 @@ CHECKS["stop_totals"] = (
     f"AS BIGINT) AS files_scanned FROM ({_summary}) s GROUP BY status"
 )
 _first_names = (
-    "SELECT session, epoch, regexp_extract(path, '[^/]*$') AS name, arg_min(path, position) AS file "
+    "SELECT session, epoch, regexp_extract(path, '[^/]*$') AS name, arg_min(path, first_seq) AS file "
     f"FROM ({_set}) s GROUP BY ALL"
 )
 _attr = (
@@ -845,12 +852,32 @@ _vuln_item = (
     "'{\"rule_id\":' || " + js("rule_id") + " || ',\"message\":' || " + js("finding")
     + " || ',\"severity\":' || " + js("severity") + " || '}'"
 )
-CHECKS["vulnerability_traces"] = (
-    "SELECT session, epoch, file, string_agg(start_line || '-' || end_line, ';' ORDER BY ordinal) AS spans, "
-    + "'{\"event\":\"vulnerability_detected\",\"tool\":\"" + rules.PRODUCER + "\",\"scanner\":\"" + rules.SCANNER
-    + "\",\"vulnerability_count\":' || count(*) || ',\"vulnerabilities\":[' || string_agg(" + _vuln_item
-    + f", ',' ORDER BY ordinal) || ']}}' AS metadata FROM ({_attr}) a GROUP BY session, epoch, file"
+_IDS = [
+    ("conversation_id", js("'c' || session")), ("generation_id", "CASE WHEN seq % 3 = 0 THEN '\"g\"' END"),
+]
+_STOP_COLUMNS = (
+    "session, epoch, {dialect} AS dialect, {uid} AS event_uid, {path} AS path, 'openai/gpt-4' AS model_id, "
+    "CASE WHEN seq % 2 = 0 THEN 'file:///t/log.jsonl' END AS url, {metadata} AS metadata"
 )
+_vuln_grouped = (
+    "SELECT a.session, a.epoch, s.seq, s.ts, file, string_agg(start_line || '-' || end_line, ';' ORDER BY ordinal) AS spans, "
+    f"count(*) AS n, string_agg({_vuln_item}, ',' ORDER BY ordinal) AS items FROM ({_attr}) a JOIN ({_summary}) s "
+    "ON s.session = a.session AND s.epoch = a.epoch GROUP BY ALL"
+)
+
+
+def _vuln_rows(dialect: str, more: str) -> str:
+    listed = [("vulnerabilities", "'[' || items || ']'")] if dialect == "cursor" else []
+    metadata = js_object([
+        ("event", lit('"vulnerability_detected"')), ("tool", lit(f'"{rules.PRODUCER}"')),
+        ("scanner", lit(f'"{rules.SCANNER}"')), *_IDS, ("vulnerability_count", "CAST(n AS VARCHAR)"), *listed,
+    ])
+    columns = _STOP_COLUMNS.format(
+        dialect=lit(dialect), uid="'stop-' || session || '-' || seq || '|' || file", path="file", metadata=metadata)
+    return f"SELECT {columns}, {more} FROM ({_vuln_grouped}) g"
+
+
+CHECKS["vulnerability_traces"] = " UNION ALL ".join(_vuln_rows(d, "spans") for d in DIALECTS)
 _count_text = "'Found ' || len(results) || ' security finding(s)'"
 _listing = (
     _count_text + " || '. Review the findings and address any security issues. [' || array_to_string(results, ',') || ']'"
@@ -871,16 +898,25 @@ CHECKS["claude_stop"] = (
     + js(_count_text + " || '. Stop hook already active, allowing stop.'")
     + f" || '}}' END AS response FROM ({_summary}) s"
 )
-CHECKS["stop_traces"] = (
-    "SELECT session, epoch, '.stop-hooks' AS path, " + js_object([
-        ("event", lit('"stop_hook_executed"')), ("tool", lit(f'"{rules.PRODUCER}"')),
-        ("conversation_id", js("'c' || session")), ("status", js("status")),
-        ("error", f"CASE WHEN status = 'scan_failed' THEN {js('left(error_text, 500)')} END"),
+
+
+def _stop_rows(dialect: str, more: str = "") -> str:
+    finished = "status IN ('vulnerabilities_found', 'no_vulnerabilities')"
+    root = [("workspace_root", f"CASE WHEN {finished} THEN {lit(chr(34) + PROJECT + chr(34))} END")] if dialect == "cursor" else []
+    shown = "coalesce(nullif(error_text, ''), 'Unknown semgrep error')"
+    metadata = js_object([
+        ("event", lit('"stop_hook_executed"')), ("tool", lit(f'"{rules.PRODUCER}"')), *_IDS, ("status", js("status")),
+        ("error", f"CASE status WHEN 'scan_failed' THEN {js(shown)} WHEN 'parse_error' THEN {lit(chr(34) + PARSE_ERROR + chr(34))} END"),
+        ("semgrep_path", "CASE WHEN status = 'scan_failed' THEN '\"/usr/local/bin/scanner\"' END"),
         ("total_vulnerabilities", "CASE WHEN status = 'vulnerabilities_found' THEN CAST(len(results) AS VARCHAR) END"),
-        ("files_scanned", "CASE WHEN status IN ('vulnerabilities_found', 'no_vulnerabilities') THEN CAST(n_edited AS VARCHAR) END"),
-        ("workspace_root", f"CASE WHEN status IN ('vulnerabilities_found', 'no_vulnerabilities') THEN {lit(chr(34) + PROJECT + chr(34))} END"),
-    ]) + f" AS metadata FROM ({_summary}) s"
-)
+        ("files_scanned", f"CASE WHEN {finished} THEN CAST(n_edited AS VARCHAR) END"), *root,
+    ])
+    columns = _STOP_COLUMNS.format(
+        dialect=lit(dialect), uid="'stop-' || session || '-' || seq", path="'.stop-hooks'", metadata=metadata)
+    return f"SELECT {columns}{more} FROM ({_summary}) s"
+
+
+CHECKS["stop_traces"] = " UNION ALL ".join(_stop_rows(d) for d in DIALECTS)
 
 # --- traces -----------------------------------------------------------------------------
 
@@ -1047,6 +1083,16 @@ CHECKS["trace_records"] = (
     + _record.format(path=f"replace(file_path, {lit(PROJECT + '/')}, '')", model=model_id("model"),
                      tool=lit(rules.PRODUCER), version=lit(rules.PRODUCER_VERSION), source=_b("cursor_after_edit"))
 )
+_every_stop = " UNION ALL ".join(
+    [_stop_rows(d, ", 1 AS n_ranges, ts") for d in DIALECTS] + [_vuln_rows(d, "n AS n_ranges, ts") for d in DIALECTS]
+)
+CHECKS["stop_records"] = (
+    "SELECT '1.0' AS version, sha256(dialect || '|' || event_uid || '|0') AS id, "
+    f"replace(path, {lit(PROJECT + '/')}, '') AS path, 'ai' AS contributor_type, model_id, CAST(n_ranges AS INT) AS n_ranges, "
+    f"CASE dialect WHEN 'claude' THEN 'claude-code' ELSE {lit(rules.PRODUCER)} END AS tool, "
+    f"CASE dialect WHEN 'claude' THEN CAST(NULL AS VARCHAR) ELSE {lit(rules.PRODUCER_VERSION)} END AS tool_version, "
+    f"strftime(ts, '%Y-%m-%d %H:%M:%S') AS received FROM ({_every_stop}) e"
+)
 CHECKS["model_ids"] = f"SELECT event_id, {model_id('model')} AS model_id FROM {_v('tool_calls')}"
 CHECKS["tool_info"] = " UNION ALL ".join([
     f"SELECT event_uid, 'claude-code' AS tool, CAST(NULL AS VARCHAR) AS version FROM {_b('claude_pre_tool')}",
@@ -1122,7 +1168,7 @@ CHECKS["file_coverage"] = (
 # --- streams --------------------------------------------------------------------------
 
 _stop_sets = (
-    f"SELECT t.session, t.seq, s.position, s.path FROM ({_epochs}) t JOIN ({_set}) s "
+    f"SELECT t.session, t.seq, s.first_seq, s.path FROM ({_epochs}) t JOIN ({_set}) s "
     "ON s.session = t.session AND s.epoch = t.epoch WHERE t.kind = 'stop'"
 )
 CHECKS["edited_stream"] = _stop_sets

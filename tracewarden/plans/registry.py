@@ -20,6 +20,7 @@ from .views import table, view
 HOME = "/home/dev"
 DEFAULT_DIR = "/work"
 PROJECT = "/work"
+_SECONDS = "yyyy-MM-dd HH:mm:ss"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -409,34 +410,35 @@ def edited_set(spark, sf):
     return _edited(spark, sf)[1]
 
 
+def _existing(spark, sf) -> tuple[DataFrame, DataFrame]:
+    epochs, in_set = _edited(spark, sf)
+    return epochs, stopscan.with_existing(in_set, view(spark, sf, "workspace"), F.lit(PROJECT))
+
+
 @_query
 def valid_files(spark, sf):
-    found = stopscan.valid_files(
-        _edited(spark, sf)[1], view(spark, sf, "workspace"), F.lit(PROJECT)
-    )
-    return found.select("session", "epoch", "path", "position")
+    found = _existing(spark, sf)[1].where("is_valid")
+    return found.select("session", "epoch", "path", "first_seq")
 
 
-def _stops(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stops with epoch and report, edited set, valid files."""
-    epochs, in_set = _edited(spark, sf)
+def _summary(spark, sf, dialect: str = "cursor") -> tuple[DataFrame, DataFrame]:
+    """Stops with epoch, report and status, and the edited set."""
+    epochs, in_set = _existing(spark, sf)
     stops = epochs.where(F.col("kind") == "stop").select("session", "epoch", "seq")
-    reports = view(spark, sf, "stop_reports")
-    valid = stopscan.valid_files(in_set, view(spark, sf, "workspace"), F.lit(PROJECT))
-    return stops.join(reports, ["session", "seq"]), in_set, valid
-
-
-def _summary(spark, sf) -> DataFrame:
-    stops, in_set, valid = _stops(spark, sf)
-    ready = stops.withColumns(
+    ready = stops.join(view(spark, sf, "stop_reports"), ["session", "seq"]).withColumns(
         {
+            "event_uid": F.concat_ws("-", F.lit("stop"), "session", "seq"),
+            "dialect": F.lit(dialect),
+            "received_at": F.col("ts"),
+            "model": F.lit("gpt-4"),
+            "transcript_path": F.when(F.col("seq") % 2 == 0, "/t/log.jsonl"),
             "scanner_path": F.lit("/usr/local/bin/scanner"),
             "conversation_id": F.concat(F.lit("c"), F.col("session").cast("string")),
-            "generation_id": F.lit(None).cast("string"),
+            "generation_id": F.when(F.col("seq") % 3 == 0, "g"),
             "workspace_root": F.lit(PROJECT),
         }
     )
-    return stopscan.stop_summary(ready, in_set, valid)
+    return stopscan.stop_summary(ready, in_set), in_set
 
 
 @_query
@@ -451,8 +453,7 @@ def result_paths(spark, sf):
 
 
 def _attributed(spark, sf) -> DataFrame:
-    summary = _summary(spark, sf)
-    _, in_set, _ = _stops(spark, sf)
+    summary, in_set = _summary(spark, sf)
     found = summary.where(F.col("status") == "vulnerabilities_found")
     rows = scan_reports.explode_results(found, stopscan.STOP_KEY)
     results = stopscan.result_fields(rows)
@@ -469,25 +470,42 @@ def vulnerability_rollup(spark, sf):
     return stopscan.vulnerability_rollup(_attributed(spark, sf))
 
 
+DIALECTS = ("claude", "cursor")
+
+
+def _vulnerability_rows(spark, sf) -> DataFrame:
+    lists = stopscan.vulnerability_lists(_attributed(spark, sf))
+    rows = [
+        trace.vulnerability_traces(lists, _summary(spark, sf, dialect)[0], dialect)
+        for dialect in DIALECTS
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+def _stop_rows(spark, sf) -> DataFrame:
+    rows = [trace.stop_traces(_summary(spark, sf, dialect)[0], dialect) for dialect in DIALECTS]
+    return rows[0].unionByName(rows[1])
+
+
+_STOP_TRACE = ["session", "epoch", "dialect", "event_uid", "path", "model_id", "url", "metadata"]
+
+
 @_query
 def vulnerability_traces(spark, sf):
-    made = trace.vulnerability_traces(
-        stopscan.vulnerability_lists(_attributed(spark, sf)), "cursor"
-    )
     spans = F.concat_ws(
         ";", F.transform("ranges", lambda r: F.concat_ws("-", r["start_line"], r["end_line"]))
     )
-    return made.select("session", "epoch", "file", spans.alias("spans"), "metadata")
+    return _vulnerability_rows(spark, sf).select(*_STOP_TRACE, spans.alias("spans"))
 
 
 @_query
 def stop_status(spark, sf):
-    return _summary(spark, sf).select("session", "epoch", "status", "n_edited", "n_valid")
+    return _summary(spark, sf)[0].select("session", "epoch", "status", "n_edited", "n_valid")
 
 
 @_query
 def stop_totals(spark, sf):
-    return _summary(spark, sf).groupBy("status").agg(
+    return _summary(spark, sf)[0].groupBy("status").agg(
         F.count(F.lit(1)).alias("stops"),
         F.sum("total_vulnerabilities").alias("total_vulnerabilities"),
         F.sum("files_scanned").alias("files_scanned"),
@@ -496,20 +514,27 @@ def stop_totals(spark, sf):
 
 @_query
 def claude_stop(spark, sf):
-    answered = stopscan.stop_responses(_summary(spark, sf), "claude")
+    answered = stopscan.stop_responses(_summary(spark, sf, "claude")[0], "claude")
     return answered.select("session", "epoch", "response")
 
 
 @_query
 def cursor_stop(spark, sf):
-    answered = stopscan.stop_responses(_summary(spark, sf), "cursor")
+    answered = stopscan.stop_responses(_summary(spark, sf)[0], "cursor")
     return answered.select("session", "epoch", "response")
 
 
 @_query
 def stop_traces(spark, sf):
-    made = trace.stop_traces(_summary(spark, sf), "cursor")
-    return made.select("session", "epoch", "path", "metadata")
+    return _stop_rows(spark, sf).select(*_STOP_TRACE)
+
+
+@_query
+def stop_records(spark, sf):
+    """Stop and vulnerability traces in the shape of the trace log."""
+    rows = _stop_rows(spark, sf).unionByName(_vulnerability_rows(spark, sf))
+    made = trace.build_traces(rows, F.lit(PROJECT))
+    return _record_columns(made, F.date_format("timestamp", _SECONDS).alias("received"))
 
 
 # --- traces -------------------------------------------------------------------
@@ -539,7 +564,7 @@ def range_positions(spark, sf):
     return spans.select("event_uid", "ordinal", "span.start_line", "span.end_line")
 
 
-def _record_columns(made: DataFrame) -> DataFrame:
+def _record_columns(made: DataFrame, *more: Column) -> DataFrame:
     first = F.col("files")[0]
     talk = first["conversations"][0]
     return made.select(
@@ -547,7 +572,7 @@ def _record_columns(made: DataFrame) -> DataFrame:
         talk["contributor"]["type"].alias("contributor_type"),
         talk["contributor"]["model_id"].alias("model_id"),
         F.size(talk["ranges"]).alias("n_ranges"),
-        F.col("tool.name").alias("tool"), F.col("tool.version").alias("tool_version"),
+        F.col("tool.name").alias("tool"), F.col("tool.version").alias("tool_version"), *more,
     )
 
 
@@ -651,7 +676,7 @@ def duration_percentiles(spark, sf):
 @_query
 def session_spans(spark, sf):
     spans = analytics.session_spans(view(spark, sf, "activity"))
-    times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_ts", "last_ts", "first_start")}
+    times = {c: F.date_format(c, _SECONDS) for c in ("first_ts", "last_ts", "first_start")}
     return spans.withColumns(times)
 
 
@@ -690,7 +715,7 @@ def edited_stream(spark, sf):
             "checkpointLocation", f"{folder}/checkpoint"
         )
     )
-    return spark.read.parquet(f"{folder}/sets").select("session", "seq", "position", "path")
+    return spark.read.parquet(f"{folder}/sets").select("session", "seq", "first_seq", "path")
 
 
 @_query

@@ -162,7 +162,7 @@ SELECT concat('/work/main/doc', cast(doc_id AS string), '.txt') AS path, text AS
 FROM {documents}""",
     # One analyser report per stop; path shapes and line fields vary.
     "stop_reports": """
-SELECT session, seq,
+SELECT session, seq, ts,
   CASE seq % 8 WHEN 0 THEN '' WHEN 1 THEN concat('{{', '"results":[]', '}}') WHEN 2 THEN '{{}}'
     WHEN 3 THEN concat('{{', '"results":[', first_result)
     ELSE concat('{{', '"results":[', first_result, ',', second_result, ',', third_result, ']', '}}')
@@ -171,7 +171,7 @@ SELECT session, seq,
   CASE WHEN seq % 2 = 0 THEN repeat('analyser failed; ', 40) ELSE '' END AS error_text,
   seq % 3 = 0 AS stop_hook_active
 FROM (
-  SELECT session, seq,
+  SELECT session, seq, ts,
     concat('{{"check_id":"rule-', cast(seq % 7 AS string), '","path":"/tmp/scan/doc',
       cast(seq % 12 AS string), '.txt","start":{{"line":', cast(seq % 40 + 1 AS string),
       '}},"end":{{"line":', cast(seq % 40 + 3 AS string),
@@ -206,28 +206,10 @@ def inputs_of(name: str) -> list[str]:
     return list(dict.fromkeys(fields))
 
 
-ROW_KEYS = {
-    "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"],
-    "conversations": ["conv_id", "turn"], "labels": ["doc_id"],
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread an input of fewer splits than cores by its unique row key.
-
-    The work per row is heavy, so a small input in one file would keep one core
-    busy.  A large input has many splits and is left as it is, without a shuffle.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= cores:
-        return frame
-    return frame.repartition(cores, *keys)
-
-
 def view(
     spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None
 ) -> DataFrame:
@@ -235,7 +217,7 @@ def view(
     if given and name in given:
         return given[name]
     if name not in VIEWS:
-        return spread(table(spark, sf_dir, name), ROW_KEYS[name])
+        return table(spark, sf_dir, name)
     inputs = {used: view(spark, sf_dir, used, given) for used in inputs_of(name)}
     return spark.sql(VIEWS[name], **inputs)
 

@@ -15,12 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import rules
 from ..operators.edited import edited_set, with_epochs
 from ..operators.ordered import DEFAULT_CHUNK
 
-STOP_SET_SCHEMA = "session bigint, seq bigint, position int, path string"
-_STATE_SCHEMA = "paths array<string>"
+STOP_SET_SCHEMA = "session bigint, seq bigint, first_seq bigint, path string"
+_STATE_SCHEMA = "paths array<string>, firsts array<bigint>"
 _OPEN_SET_SCHEMA = "session bigint, seq bigint, kind string, path string"
 
 
@@ -28,30 +27,30 @@ def _advance(
     key: tuple, frames: Iterable[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
     """Apply one session's rows of a batch to its set; emit the set at each stop."""
-    paths = list(state.get[0]) if state.exists else []
-    known = set(paths)
-    rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    for seq, kind, path in zip(rows["seq"], rows["kind"], rows["path"]):
-        if kind == "stop":
-            if paths:
-                yield pd.DataFrame(
-                    {
-                        "session": key[0], "seq": seq,
-                        "position": range(1, len(paths) + 1), "path": paths,
-                    }
-                )
-            paths, known = [], set()
-        elif len(paths) < rules.EDITED_FILES_LIMIT and path not in known:
-            paths.append(path)
-            known.add(path)
-    state.update((paths,))
+    known = dict(zip(*state.get, strict=True)) if state.exists else {}
+    parts = [frame[(frame["kind"] == "stop") | frame["path"].notna()] for frame in frames]
+    rows = pd.concat(parts).sort_values("seq", kind="stable")
+    for seq, kind, path in zip(rows["seq"], rows["kind"], rows["path"], strict=True):
+        if kind != "stop":
+            known.setdefault(path, seq)
+            continue
+        if known:
+            yield pd.DataFrame(
+                {"session": key[0], "seq": seq, "first_seq": list(known.values()), "path": list(known)}
+            )
+        known = {}
+    if known:
+        state.update((list(known), list(known.values())))
+    elif state.exists:
+        state.remove()
 
 
 def keyed_stop_sets(activity: DataFrame) -> DataFrame:
-    """``session, seq, position, path`` per stop, from keyed state.
+    """``session, seq, first_seq, path`` per stop, from keyed state.
 
-    The state of a session is at most the limit of paths; only edits and stops
-    with four thin columns reach it.
+    The state of a session is its open set, and it goes with the stop.  A
+    session's rows of one trigger are ordered in one worker: where a session can
+    send more than that holds, use ``StopSetWriter``.
     """
     acts = activity.where(F.col("kind").isin("edit", "stop")).select(
         "session", "seq", "kind", "path"
@@ -83,7 +82,7 @@ class StopSetWriter:
         sets = edited_set(epochs)
         stops = epochs.where(F.col("kind") == "stop").select("session", "epoch", "seq")
         closed = sets.join(stops, ["session", "epoch"])
-        closed.select("session", "seq", "position", "path").write.mode("overwrite").parquet(
+        closed.select("session", "seq", "first_seq", "path").write.mode("overwrite").parquet(
             f"{self.out}/batch_id={batch_id}"
         )
         still_open = sets.join(stops, ["session", "epoch"], "left_anti").select(
