@@ -126,7 +126,8 @@ def mix_sources(
         )
     )
     drawn = draw_slots(sources, seed)
-    times = drawn.groupBy("rank", "block").agg(F.count("*").alias("times"))
+    # Their number is not seen in the size of the table they are exploded from: never a table to broadcast.
+    times = drawn.groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")
     taken = (
         pieces.join(times, ["rank", "block"])
         .groupBy(F.col("rank").alias(rank), F.col("start").alias(key))
