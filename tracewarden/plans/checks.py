@@ -752,13 +752,11 @@ CHECKS["decisions"] = (
     "SELECT dialect, event_name, action, context, count(*) AS events, CAST(sum(n_findings) AS BIGINT) AS findings "
     f"FROM ({_decided(DECISIONS, 'event_name, action, context, n_findings')}) d GROUP BY ALL"
 )
-_paste_only = f"SELECT * FROM ({CHECKS['cursor_prompt']}) cp WHERE event_uid LIKE 'cursor_paste-%'"
 CHECKS["secret_detection_log"] = (
     "SELECT event_uid, event_name, context, CASE WHEN dialect = 'openclaw' THEN "
     f"{lit(rules.PRODUCER + '-openclaw')} END AS tool_label, n_findings FROM ("
-    + _decided(["claude_pre_tool", "openclaw_before_tool"], "event_uid, event_name, context, n_findings")
-    + f" UNION ALL SELECT 'cursor', event_uid, event_name, context, n_findings FROM ({_paste_only}) po) l "
-    "WHERE context IS NOT NULL"
+    + _decided(DECISIONS, "event_uid, event_name, context, n_findings")
+    + ") l WHERE context IS NOT NULL"
 )
 _raw_status = (
     "SELECT event_id, raw, CASE WHEN trim(raw) = '' THEN 'blank' WHEN json_valid(raw) AND starts_with(trim(raw), '{') "
@@ -918,6 +916,19 @@ def _stop_rows(dialect: str, more: str = "") -> str:
 
 CHECKS["stop_traces"] = " UNION ALL ".join(_stop_rows(d) for d in DIALECTS)
 
+CHECKS["log_edited_set"] = f"SELECT CAST(session AS VARCHAR) AS session, epoch, path, first_seq FROM ({_set}) s"
+CHECKS["log_stop_status"] = (
+    f"SELECT CAST(session AS VARCHAR) AS session, epoch, status, n_edited, n_valid FROM ({CHECKS['stop_status']}) s"
+)
+CHECKS["log_traces"] = (
+    "SELECT 'log-' || seq AS event_uid, CASE kind WHEN 'edit' THEN 'afterFileEdit' ELSE 'preCompact' END AS event_name, "
+    "CASE kind WHEN 'edit' THEN path ELSE '.context-compactions' END AS path, 'openai/gpt-4' AS model_id, "
+    "CASE kind WHEN 'edit' THEN '{}' ELSE '{\"event\":\"context_compaction\",\"trigger\":\"auto\",\"message_count\":7}' END "
+    "AS metadata, CASE WHEN kind = 'edit' AND seq % 9 > 0 THEN (seq % 9) || '-' || (seq % 9 + 2) ELSE '1-1' END AS spans, "
+    "strftime(TIMESTAMP '2024-03-01 00:00:00' + to_seconds(seq % 60), '%Y-%m-%d %H:%M:%S') AS received "
+    f"FROM {_v('activity')} WHERE kind <> 'stop'"
+)
+
 # --- traces -----------------------------------------------------------------------------
 
 
@@ -1064,25 +1075,37 @@ _doc_edits = (
     f"{_b('cursor_after_edit')}) e LEFT JOIN (SELECT * FROM {_v('files')}) f ON f.path = e.file_path UNION ALL "
     f"SELECT event_uid, file_path, new_string, NULL FROM {_b('cursor_tab_edit')}"
 )
-_tool_edits = (
-    f"SELECT e.event_uid, e.path, CASE WHEN {_EDIT_TOOL} THEN {ji('new_string')} END AS new_string, "
-    f"CASE WHEN {_EDIT_TOOL} THEN f.content END AS content FROM (SELECT *, {ji('file_path')} AS path FROM "
-    f"{_b('claude_post_tool')}) e LEFT JOIN (SELECT path AS p, content FROM {_v('files')}) f ON f.p = e.path"
-)
+
+
+def _tool_edits(name: str) -> str:
+    # One dialect gives no range to an edit without a path.
+    placed = f" AND coalesce({ji('file_path')}, '') <> ''" if name.startswith("cursor") else ""
+    return (
+        f"SELECT e.event_uid, e.path, CASE WHEN {_EDIT_TOOL}{placed} THEN {ji('new_string')} END AS new_string, "
+        f"CASE WHEN {_EDIT_TOOL} THEN f.content END AS content FROM (SELECT *, {ji('file_path')} AS path FROM "
+        f"{_b(name)}) e LEFT JOIN (SELECT path AS p, content FROM {_v('files')}) f ON f.p = e.path"
+    )
+
+
+_tool_spans = " UNION ALL ".join(_tool_edits(n) for n in ("claude_post_tool", "cursor_post_tool"))
 CHECKS["range_positions"] = (
-    f"SELECT event_uid, ordinal, start_line, end_line FROM ({_ranges(_doc_edits + ' UNION ALL ' + _tool_edits)}) g"
-)
-_record = (
-    "SELECT '1.0' AS version, sha256(dialect || '|' || event_uid || '|0') AS id, {path} AS path, 'ai' AS contributor_type, "
-    "{model} AS model_id, 1 AS n_ranges, {tool} AS tool, {version} AS tool_version FROM {source}"
-)
-CHECKS["trace_records"] = (
-    _record.format(path="'.tool-usage'", model=model_id("model"), tool="'claude-code'",
-                   version="CAST(NULL AS VARCHAR)", source=_b("claude_pre_tool"))
-    + " UNION ALL "
-    + _record.format(path=f"replace(file_path, {lit(PROJECT + '/')}, '')", model=model_id("model"),
-                     tool=lit(rules.PRODUCER), version=lit(rules.PRODUCER_VERSION), source=_b("cursor_after_edit"))
+    f"SELECT event_uid, ordinal, start_line, end_line FROM ({_ranges(_doc_edits + ' UNION ALL ' + _tool_spans)}) g"
 )
+
+
+def _records(source: str) -> str:
+    """Records of the trace log from flat traces; every event here has one range."""
+    bare = "CASE WHEN clean <> '/' AND ends_with(clean, '/') THEN clean[:-2] ELSE clean END"
+    return (
+        "SELECT '1.0' AS version, sha256(dialect || '|' || event_uid || '|0') AS id, CASE WHEN NOT starts_with(path, '/') "
+        f"THEN path ELSE {_relative('full_path', ['work'])} END AS path, contributor_type, model_id, 1 AS n_ranges, "
+        f"CASE dialect WHEN 'claude' THEN 'claude-code' ELSE {lit(rules.PRODUCER)} END AS tool, "
+        f"CASE dialect WHEN 'claude' THEN CAST(NULL AS VARCHAR) ELSE {lit(rules.PRODUCER_VERSION)} END AS tool_version, "
+        f"url, nullif(metadata, '{{}}') AS metadata FROM (SELECT *, {bare} AS full_path FROM "
+        f"(SELECT *, {normalized('path')} AS clean FROM ({source}) t) a) b"
+    )
+
+
 _every_stop = " UNION ALL ".join(
     [_stop_rows(d, ", 1 AS n_ranges, ts") for d in DIALECTS] + [_vuln_rows(d, "n AS n_ranges, ts") for d in DIALECTS]
 )
@@ -1091,7 +1114,7 @@ CHECKS["stop_records"] = (
     f"replace(path, {lit(PROJECT + '/')}, '') AS path, 'ai' AS contributor_type, model_id, CAST(n_ranges AS INT) AS n_ranges, "
     f"CASE dialect WHEN 'claude' THEN 'claude-code' ELSE {lit(rules.PRODUCER)} END AS tool, "
     f"CASE dialect WHEN 'claude' THEN CAST(NULL AS VARCHAR) ELSE {lit(rules.PRODUCER_VERSION)} END AS tool_version, "
-    f"strftime(ts, '%Y-%m-%d %H:%M:%S') AS received FROM ({_every_stop}) e"
+    f"url, metadata, strftime(ts, '%Y-%m-%d %H:%M:%S') AS received FROM ({_every_stop}) e"
 )
 CHECKS["model_ids"] = f"SELECT event_id, {model_id('model')} AS model_id FROM {_v('tool_calls')}"
 CHECKS["tool_info"] = " UNION ALL ".join([
@@ -1116,6 +1139,7 @@ def _relative(full: str, root: list[str]) -> str:
     return f"CASE {' '.join(tests)} ELSE {chain}{climb} END"
 
 
+CHECKS["trace_records"] = _records(CHECKS["traces_flat"])
 _no_slash = "CASE WHEN clean <> '/' AND ends_with(clean, '/') THEN clean[:-2] ELSE clean END"
 CHECKS["relative_paths"] = (
     f"SELECT event_id, CASE WHEN NOT starts_with(file_path, '/') THEN file_path ELSE {_relative('full_path', ['work'])} END "
@@ -1158,7 +1182,12 @@ CHECKS["findings_cube"] = (
     "SELECT rule_id, src, count(*) AS findings, CAST(grouping(rule_id, src) AS INT) AS level FROM "
     f"({CHECKS['secret_findings']}) f GROUP BY CUBE (rule_id, src)"
 )
-_spans = f"SELECT path, start_line, end_line FROM ({_ranges(_doc_edits)}) g"
+_tool_only = " UNION ALL ".join(
+    f"SELECT event_uid, coalesce(path, '.unknown') AS path, new_string, content FROM ({_tool_edits(n)}) x "
+    f"WHERE event_uid IN (SELECT event_uid FROM {_b(n)} WHERE {_EDIT_TOOL})"
+    for n in ("claude_post_tool", "cursor_post_tool")
+)
+_spans = f"SELECT path, start_line, end_line FROM ({_ranges(_doc_edits + ' UNION ALL ' + _tool_only)}) g"
 CHECKS["file_coverage"] = (
     "SELECT path, edits, lines_covered FROM (SELECT path, count(*) AS edits FROM "
     f"({_spans}) s GROUP BY path) e JOIN (SELECT path, count(*) AS lines_covered FROM (SELECT DISTINCT path, "
@@ -1175,7 +1204,4 @@ CHECKS["edited_stream"] = _stop_sets
 CHECKS["edited_stream_keyed"] = _stop_sets
 CHECKS["decision_stream"] = CHECKS["cursor_before_shell"]
 CHECKS["trace_roundtrip"] = CHECKS["trace_records"]
-CHECKS["trace_stream"] = _record.format(
-    path="'.tool-usage'", model=model_id("model"), tool="'claude-code'",
-    version="CAST(NULL AS VARCHAR)", source=_b("claude_pre_tool"),
-)
+CHECKS["trace_stream"] = _records(_trace_select("claude_pre_tool", "*"))

@@ -327,7 +327,7 @@ DECISIONS = {
     "cursor_after_mcp": ["cursor_after_mcp"],
     "cursor_pre_tool": ["cursor_pre_tool"],
     "cursor_before_shell": ["cursor_before_shell"],
-    "cursor_default": ["cursor_response", "cursor_post_tool"],
+    "cursor_default": ["cursor_response", "cursor_post_tool", "cursor_tab_edit", "cursor_failure"],
     "openclaw_before_tool": ["openclaw_before_tool"],
 }
 # Events whose verdict depends on the files they read.
@@ -367,9 +367,8 @@ def decisions(spark, sf):
 
 @_query
 def secret_detection_log(spark, sf):
-    return secret_detections(
-        decisions_of(spark, sf, "claude_pre_tool", "openclaw_before_tool", "cursor_paste")
-    )
+    every = [b for names in DECISIONS.values() for b in names]
+    return secret_detections(decisions_of(spark, sf, *every))
 
 
 @_query
@@ -390,6 +389,46 @@ def read_hook_events(spark, sf):
     return good.select("event_id", "hook_event_name", "tool_name", "tool_input", "duration")
 
 
+def _read_log(spark, sf) -> DataFrame:
+    """The log from its lines, as the sources read it."""
+    parsed = hook_events.parse_hook_events(view(spark, sf, "log_lines"), "cursor")
+    return hook_events.split_malformed(parsed)[0]
+
+
+@_query
+def log_traces(spark, sf):
+    rows = trace.trace_rows(_read_log(spark, sf), view(spark, sf, "workspace"))
+    spans = F.concat_ws(
+        ";", F.transform("ranges", lambda r: F.concat_ws("-", r["start_line"], r["end_line"]))
+    )
+    return rows.select(
+        "event_uid", "event_name", "path", "model_id", "metadata", spans.alias("spans"),
+        F.date_format("received_at", _SECONDS).alias("received"),
+    )
+
+
+def _log_epochs(spark, sf) -> DataFrame:
+    return edited.with_epochs(trace.edited_files(_read_log(spark, sf)), CHUNK)
+
+
+@_query
+def log_edited_set(spark, sf):
+    return edited.edited_set(_log_epochs(spark, sf))
+
+
+@_query
+def log_stop_status(spark, sf):
+    """Lines of the log, edited sets, reports of the stops, status."""
+    epochs = _log_epochs(spark, sf)
+    in_set = stopscan.with_existing(
+        edited.edited_set(epochs), view(spark, sf, "workspace"), F.lit(PROJECT)
+    )
+    stops = epochs.where(F.col("kind") == "stop").select("session", "epoch", "seq")
+    reports = view(spark, sf, "stop_reports").withColumn("session", F.col("session").cast("string"))
+    summary = stopscan.stop_summary(stops.join(reports, ["session", "seq"]), in_set)
+    return summary.select("session", "epoch", "status", "n_edited", "n_valid")
+
+
 # --- edited files and stop scans ------------------------------------------------
 
 CHUNK = 2_000
@@ -559,7 +598,9 @@ def traces_flat(spark, sf):
 
 @_query
 def range_positions(spark, sf):
-    made = _traces(spark, sf, "cursor_after_edit", "cursor_tab_edit", "claude_post_tool")
+    made = _traces(
+        spark, sf, "cursor_after_edit", "cursor_tab_edit", "claude_post_tool", "cursor_post_tool"
+    )
     spans = made.select("event_uid", F.posexplode("ranges").alias("ordinal", "span"))
     return spans.select("event_uid", "ordinal", "span.start_line", "span.end_line")
 
@@ -571,24 +612,21 @@ def _record_columns(made: DataFrame, *more: Column) -> DataFrame:
         "version", "id", first["path"].alias("path"),
         talk["contributor"]["type"].alias("contributor_type"),
         talk["contributor"]["model_id"].alias("model_id"),
-        F.size(talk["ranges"]).alias("n_ranges"),
+        F.size(talk["ranges"]).alias("n_ranges"), talk["url"].alias("url"), "metadata",
         F.col("tool.name").alias("tool"), F.col("tool.version").alias("tool_version"), *more,
     )
 
 
-RECORDED = ["claude_pre_tool", "cursor_after_edit"]
-
-
 @_query
 def trace_records(spark, sf):
-    return _record_columns(trace.build_traces(_traces(spark, sf, *RECORDED), F.lit(PROJECT)))
+    return _record_columns(trace.build_traces(_traces(spark, sf), F.lit(PROJECT)))
 
 
 @_query
 def trace_roundtrip(spark, sf):
     """Write the trace log and read it back."""
     folder = run_folder(spark, "traces")
-    write_traces(trace.build_traces(_traces(spark, sf, *RECORDED), F.lit(PROJECT)), folder)
+    write_traces(trace.build_traces(_traces(spark, sf), F.lit(PROJECT)), folder)
     return _record_columns(read_traces(spark, folder))
 
 
@@ -687,8 +725,9 @@ def findings_cube(spark, sf):
 
 @_query
 def file_coverage(spark, sf):
-    made = _traces(spark, sf, "cursor_after_edit", "cursor_tab_edit")
-    spans = made.select("path", F.explode("ranges").alias("span")).select("path", "span.*")
+    made = _traces(spark, sf, "cursor_after_edit", "cursor_tab_edit", "claude_post_tool", "cursor_post_tool")
+    edits = made.where(F.col("tool_name").isin("", *rules.WRITE_TOOLS))
+    spans = edits.select("path", F.explode("ranges").alias("span")).select("path", "span.*")
     return analytics.file_coverage(spans)
 
 

@@ -183,6 +183,17 @@ FROM (
       '.txt"}},"line":4,"end_line":9,"message":"deep"}}') AS third_result
   FROM {activity} WHERE kind = 'stop'
 ) r""",
+    # The activity as an agent writes it: edits and stops, numbered and timed.
+    "log_lines": """
+SELECT concat('log-', cast(seq AS string)) AS event_uid, concat('{{"hook_event_name":"',
+    CASE kind WHEN 'stop' THEN 'stop' WHEN 'edit' THEN 'afterFileEdit' ELSE 'preCompact' END,
+    '","session_id":"', cast(session AS string), '","seq":', cast(seq AS string),
+    ',"timestamp":"2024-03-01T00:00:', CASE WHEN seq % 60 < 10 THEN '0' ELSE '' END,
+    cast(seq % 60 AS string), 'Z","model":"gpt-4","file_path":"', path, '"',
+    CASE WHEN kind = 'edit' THEN concat(',"edits":[', '{{"old_string":"","new_string":"x","range":',
+      '{{"start_line_number":', cast(seq % 9 AS string), ',"end_line_number":', cast(seq % 9 + 2 AS string),
+      '}}}}]') ELSE ',"trigger":"auto","message_count":7' END, '}}') AS raw
+FROM {activity}""",
     # Prompts, responses and session starts.
     "turns": """
 SELECT conv_id, turn, role, text, concat(cast(conv_id AS string), '-', cast(turn AS string)) AS uid

@@ -22,10 +22,10 @@ _BY_TYPE = [
      "prompt tool_response tool_result tool_output reason trigger notification conversation_id "
      "generation_id file_path content command stdout stderr text message session_id "
      "composer_mode source error_message failure_type subagent_type status "
-     "agent_transcript_path agent_message url session_key tool_version"),
+     "agent_transcript_path agent_message url session_key tool_version timestamp"),
     (T.DoubleType(), "duration duration_ms context_usage_percent"),
     (T.LongType(),
-     "timeout context_tokens context_window_size message_count messages_to_compact"),
+     "timeout context_tokens context_window_size message_count messages_to_compact seq"),
     (T.BooleanType(), "stop_hook_active is_background_agent is_interrupt is_first_compaction"),
     (_STRINGS, "workspace_roots attachments"),
     (T.ArrayType(_EDIT), "edits"),
@@ -35,6 +35,7 @@ _BY_TYPE = [
 EVENT_FIELDS = T.StructType(
     [T.StructField(name, kind) for kind, names in _BY_TYPE for name in names.split()]
 )
+_FILE_TIME = "_file_time"
 _OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
 
@@ -53,6 +54,11 @@ def parse_hook_events(lines: DataFrame, dialect: str, raw: str = "raw") -> DataF
 
     The plugin dialect sends ``{toolName, params, sessionKey}``; its names are
     mapped to the common ones.
+
+    Every event gets the columns that later steps order it by, unless the lines
+    have them: ``session`` (of the event's session, conversation or plugin key),
+    ``received_at`` (its timestamp, else the time of its file) and ``seq`` (its
+    own number, else the microsecond of ``received_at``).
     """
     text = trim_space(F.col(raw))
     # Boxed in a list, so that text after the first document is an error too.
@@ -75,7 +81,22 @@ def parse_hook_events(lines: DataFrame, dialect: str, raw: str = "raw") -> DataF
         fields["tool_name"] = F.get_json_object(text, "$.toolName")
         fields["tool_input"] = F.coalesce(F.get_json_object(text, "$.params"), F.lit("{}"))
         fields["session_key"] = F.get_json_object(text, "$.sessionKey")
-    kept = [c for c in lines.columns if c not in fields]
+    file_time = F.col(_FILE_TIME) if _FILE_TIME in lines.columns else F.lit(None).cast("timestamp")
+    given = set(lines.columns)
+    time = F.col("received_at") if "received_at" in given else F.coalesce(
+        F.try_to_timestamp(fields.pop("timestamp")), file_time
+    )
+    fields.pop("timestamp", None)
+    own_seq = fields.pop("seq")
+    added = {
+        "received_at": time,
+        "session": F.coalesce(
+            fields["session_id"], fields["conversation_id"], fields["session_key"], F.lit("")
+        ),
+        "seq": F.coalesce(own_seq, F.unix_micros(time)),
+    }
+    fields |= {name: value for name, value in added.items() if name not in given}
+    kept = [c for c in lines.columns if c not in fields and c != _FILE_TIME]
     return parsed.select(
         *kept, "parse_status", F.lit(dialect).alias("dialect"),
         *[value.alias(name) for name, value in fields.items()],
@@ -99,9 +120,17 @@ def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _lines(frame: DataFrame) -> DataFrame:
-    """Text lines with an id made from the file and the line, stable over retries."""
-    where = F.concat_ws("|", F.input_file_name(), F.col("value"))
-    return frame.select(F.sha2(where, 256).alias("event_uid"), F.col("value").alias("raw"))
+    """Text lines with an id made from the file and the line, stable over retries.
+
+    Equal lines of one file are one event: agents that number or time their
+    events never write one.
+    """
+    where = F.concat_ws("|", F.col("_metadata.file_path"), F.col("value"))
+    return frame.select(
+        F.sha2(where, 256).alias("event_uid"),
+        F.col("value").alias("raw"),
+        F.col("_metadata.file_modification_time").alias(_FILE_TIME),
+    )
 
 
 def read_hook_events(spark: SparkSession, path: str, dialect: str) -> DataFrame:
