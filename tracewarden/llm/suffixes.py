@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.work import discard, fresh, mix, powers, prefix_digest, small_batches, span_digest, staged, utf8_parts
+from tracewarden.llm.work import discard, fresh, mix, powers, prefix_digest, small_batches, span_digest, staged, staged_at, utf8_parts
 from tracewarden.llm.work import _BACK
 
 LENGTH, GRAM = 100, 16
@@ -33,7 +33,11 @@ SIEVE = 24
 _WIDE = LENGTH - GRAM + 1
 _LOCAL = np.uint64((1 << 23) - 1)
 
-# An entry's place: start in the document << 16 | anchor's offset << 8 | length of the segment.
+#: Bytes beside the gram that every string has on one side of it at least.
+_SIDE = (LENGTH - GRAM) // 2
+
+# An entry's place: start in the document << 32 | digest of the left side << 24 | of the right one << 16
+# | anchor's offset << 8 | length of the segment.
 _ENTRY = "g0 long, g1 long, digest long, doc long, place long, tag int"
 _OLD, _NEW, _DONE = 0, 1, 2  # tags: of a level, of the batch, found to repeat within its Arrow batch
 
@@ -43,9 +47,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """All segments of the rows: row, start in the row, length, anchor's offset, gram (two ordered integers), digest."""
+    """All segments of the rows: row, start in the row, length, anchor's offset, sides, gram (two ordered integers), digest."""
     parts = [_segments_of(data, offsets, low) for low in range(0, max(0, len(data) - LENGTH + 1), PIECE)]
-    names = ("row", "start", "length", "offset", "g0", "g1", "digest")
+    names = ("row", "start", "length", "offset", "sides", "g0", "g1", "digest")
     if not parts:
         return {n: np.zeros(0, np.int64) for n in names}
     return {n: np.concatenate(column) for n, column in zip(names, zip(*parts, strict=True), strict=True)}
@@ -85,7 +89,10 @@ def _segments_of(data: np.ndarray, offsets: np.ndarray, low: int) -> tuple[np.nd
     # Signed integers in the order of the bytes.
     gram = _signed(gram ^ np.uint64(1 << 63)).reshape(-1, 2)
     row = np.searchsorted(offsets, begin + low, side="right") - 1
-    return row, begin + low - offsets[row], stop - begin, at - begin, gram[:, 0], gram[:, 1], _signed(span_digest(prefix, begin, stop))
+    left = span_digest(prefix, np.maximum(at - _SIDE, 0), at) & np.uint64(255)
+    right = span_digest(prefix, at, np.minimum(at + GRAM + _SIDE, len(part))) & np.uint64(255)
+    sides = _signed(left << np.uint64(8) | right)
+    return row, begin + low - offsets[row], stop - begin, at - begin, sides, gram[:, 0], gram[:, 1], _signed(span_digest(prefix, begin, stop))
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +100,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = segments(*utf8_parts(batch.column(1)))
         doc = batch.column(0).to_numpy()[found["row"]]
-        place = found["start"] << 16 | found["offset"] << 8 | found["length"]
+        place = found["start"] << 32 | found["sides"] << 16 | found["offset"] << 8 | found["length"]
         order = np.lexsort((place, doc, found["digest"], found["g1"], found["g0"]))
         g0, g1, digest, doc, place = (x[order] for x in (found["g0"], found["g1"], found["digest"], doc, place))
         again = np.zeros(len(g0), bool)
@@ -105,7 +112,21 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g0, g1, digest, doc, place, tag)], ["g0", "g1", "digest", "doc", "place", "tag"])
 
 
-_FOUND = "kind string, g0 long, g1 long, digest long, doc long, place long"
+_FOUND = "g0 long, g1 long, digest long, doc long, place long, kind string"
+
+
+def _sharing(group: np.ndarray, place: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Which segments may share a string with another one of their suffix, one of the two being new.
+
+    A string has _SIDE bytes left or right of the gram, so both segments have the same digest on that side.
+    """
+    out = np.zeros(len(group), bool)
+    offset, length = place >> 8 & 255, place & 255
+    for shift, usable in ((24, offset >= _SIDE), (16, length - offset >= GRAM + _SIDE)):
+        at = np.flatnonzero(usable)
+        _, side = np.unique(group[at] << 8 | place[at] >> shift & 255, return_inverse=True)
+        out[at] |= (np.bincount(side)[side] > 1) & (np.bincount(side, new[at])[side] > 0) if len(at) else False
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +137,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(kind: str, rows: dict[str, np.ndarray], at) -> pa.RecordBatch:
         columns = [pa.array(rows[n][at]) for n in names]
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(columns[0]), pa.string()), *columns], ["kind", *names])
+        if kind == "repeat":  # only its place is needed
+            columns[:3] = [pa.nulls(len(columns[0]), pa.int64())] * 3
+        return pa.RecordBatch.from_arrays([*columns, pa.array([kind] * len(columns[0]), pa.string())], [*names, "kind"])
 
     for batch in batches:
         rows = {n: batch.column(n).to_numpy() for n in names}
@@ -149,6 +172,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 waiting = None
         group = np.cumsum(fresh_gram) - 1
         opened = head & (count[group] > 1)
+        # Suffixes that go on in other batches stay open as a whole.
+        inner = np.flatnonzero(opened & (group > 0) & (group < group[-1]))
+        opened[inner] = _sharing(group[inner], rows["place"][inner], tag[inner] == _NEW)
         if last is not None:
             opened[0] = False  # told before, or waiting
         yield out("open", rows, opened)
@@ -165,31 +191,40 @@ class SuffixIndex:
     """The levels of sparse suffix arrays; add() takes batches of documents in the order of their numbers."""
 
     def __init__(self) -> None:
-        self.levels: dict[int, DataFrame] = {}
+        self.levels: dict[int, tuple[DataFrame, str]] = {}
 
-    def add(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def add(self, documents: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
         """Repeats (doc, place) of documents (doc, text), and open segments (g0, g1, digest, doc, place) old and new.
 
-        The documents' numbers must be larger than those of all batches before.
+        The documents' numbers must be larger than those of all batches before.  ``last``: no batch follows, so the
+        new entries are not kept, and the levels go.
         """
         spark = documents.sparkSession
         small_batches(spark, ROWS)
         new = documents.select("doc", "text").mapInArrow(_entries, _ENTRY)
-        known = [level.withColumn("tag", F.lit(_OLD)) for level in self.levels.values()]
+        known = [level.withColumn("tag", F.lit(_OLD)) for level, _ in self.levels.values()]
         order = ["g0", "g1", "digest", "doc", "place"]
         every = reduce(DataFrame.unionByName, known, new).repartition("g0", "g1").sortWithinPartitions(*order)
-        found = staged(every.mapInArrow(_scan, _FOUND), "suffix-scan")
-        level, rows = 0, found.where("kind = 'index'").select(*order)
-        while level in self.levels:
-            merged = staged(rows.unionByName(self.levels[level]), "suffix-level")
-            discard(self.levels.pop(level)) if level else self.levels.pop(level)
-            level, rows = level + 1, merged
-        self.levels[level] = rows
+        scan = every.mapInArrow(_scan, _FOUND)
+        found, folder = staged_at(scan.where("kind != 'index'") if last else scan, "suffix-scan", by="kind")
+        if last:
+            for _, old in self.levels.values():
+                discard(spark, old)
+            self.levels = {}
+        else:
+            level, rows, folder = 0, found.where("kind = 'index'").select(*order), f"{folder}/kind=index"
+            while level in self.levels:
+                other, old = self.levels.pop(level)
+                merged, target = staged_at(rows.unionByName(other), "suffix-level")
+                discard(spark, old)
+                discard(spark, folder)
+                level, rows, folder = level + 1, merged, target
+            self.levels[level] = (rows, folder)
         return found.where("kind = 'repeat'").select("doc", "place"), found.where("kind = 'open'").select(*order)
 
 
 def _places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return place >> 16, place & 255
+    return place >> 32, place & 255
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,11 +397,11 @@ def repeated_spans(numbered: DataFrame, batches: int) -> DataFrame:
         batch = numbered
         batch = batch.where(F.col("doc") > low) if low is not None else batch
         batch = batch.where(F.col("doc") <= high) if high is not None else batch
-        found = index.add(batch)
+        found = index.add(batch, last=high is None)
         repeats.append(found[0])
         opened.append(found[1])
     partial = _partial_spans(reduce(DataFrame.unionByName, opened), numbered)
-    start = F.shiftright("place", 16)
+    start = F.shiftright("place", 32)
     whole = reduce(DataFrame.unionByName, repeats).select("doc", start.alias("start"), (start + F.col("place").bitwiseAND(F.lit(255))).alias("end"))
     return whole.unionByName(partial)
 

@@ -22,23 +22,26 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared checkpoint folder and read it back: its lineage ends there."""
+    return staged_at(frame, name)[0]
+
+
+def staged_at(frame: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """The same with the folder, which has one for each value of the column ``by``."""
     spark = frame.sparkSession
     folder = run_folder(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffles it was made of
     try:
-        frame.write.parquet(folder)
+        (frame.write.partitionBy(by) if by else frame.write).parquet(folder)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(frame.schema).parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder), folder
 
 
-def discard(frame: DataFrame) -> None:
-    """Delete the files of staged tables that nothing reads any more."""
-    jvm = frame.sparkSession._jvm
-    for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a written table, or a part of one, that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
