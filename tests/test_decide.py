@@ -172,10 +172,15 @@ def test_duplicate_events_count_once(spark):
     assert [r["n_findings"] for r in rows] == [1, 1]
 
 
-def test_tool_pairs_without_ids(spark):
-    attempts = spark.createDataFrame([("a", "x"), ("b", "x"), (None, "y")], "tool_use_id string, tool_name string")
-    done = spark.createDataFrame([("a", 1.5), (None, 2.0)], "tool_use_id string, duration_ms double")
+def test_tool_pairs_without_and_with_repeated_ids(spark):
+    schema = "session string, seq int, tool_use_id string"
+    attempts = spark.createDataFrame(
+        [("s", 1, "a"), ("s", 2, "b"), ("s", 3, None), ("s", 4, "a"), ("t", 5, "a"), ("s", 6, "a")], schema
+    )
+    done = spark.createDataFrame(
+        [("s", 1, "a", 1.5), ("s", 3, None, 2.0), ("s", 7, "a", 3.5)], schema + ", duration_ms double"
+    )
     rows = analytics.tool_pairs(attempts, done).collect()
-    assert {(r["tool_use_id"], r["completed"], r["duration_ms"]) for r in rows} == {
-        ("a", True, 1.5), ("b", False, None), (None, False, None),
+    assert {(r["seq"], r["completed"], r["duration_ms"]) for r in rows} == {
+        (1, True, 1.5), (2, False, None), (3, False, None), (4, True, 3.5), (5, False, None), (6, False, None),
     }

@@ -8,17 +8,25 @@ from .ordered import DEFAULT_CHUNK, next_value
 
 
 def tool_pairs(attempts: DataFrame, completions: DataFrame) -> DataFrame:
-    """Attempts with their completion; those without one were blocked or failed."""
+    """Attempts with their completion; those without one were blocked or failed.
+
+    Both have ``session, tool_use_id, seq``.  The n-th attempt of an id in a
+    session belongs to its n-th completion, so an id that is used again pairs
+    one to one.
+    """
+    key = ["session", "tool_use_id"]
+    order = Window.partitionBy(*key).orderBy("seq")
     done = completions.where(F.col("tool_use_id").isNotNull()).select(
-        "tool_use_id", "duration_ms", F.lit(True).alias("completed")
+        *key, F.row_number().over(order).alias("occurrence"), "duration_ms", F.lit(True).alias("completed")
     )
     # Attempts without an id match nothing; kept out of the join, they cannot
     # all end up in one task.
     nameless = F.col("tool_use_id").isNull()
-    paired = attempts.where(~nameless).join(done, "tool_use_id", "left").unionByName(
+    numbered = attempts.where(~nameless).withColumn("occurrence", F.row_number().over(order))
+    paired = numbered.join(done, [*key, "occurrence"], "left").unionByName(
         attempts.where(nameless), allowMissingColumns=True
     )
-    return paired.withColumn("completed", F.coalesce("completed", F.lit(False)))
+    return paired.withColumn("completed", F.coalesce("completed", F.lit(False))).drop("occurrence")
 
 
 def failure_hotspots(failures: DataFrame) -> DataFrame:
@@ -50,10 +58,11 @@ def flow_edges(activity: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
 
 
 def duration_percentiles(durations: DataFrame, accuracy: int = 100_000) -> DataFrame:
-    """Median and tail of a duration per tool.
+    """Median and tail of a duration per tool, approximate by rank.
 
     A bounded sketch, merged map-side, so a hot tool is neither gathered nor
-    sorted in one task.  Ranks are exact for groups smaller than ``accuracy``.
+    sorted in one task.  A rank is off by at most one ``accuracy``-th of the
+    group's rows, whatever their number.
     """
     def at(share: float) -> Column:
         return F.percentile_approx("duration_ms", share, accuracy)

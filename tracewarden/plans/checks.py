@@ -1150,9 +1150,15 @@ CHECKS["relative_paths"] = (
 
 # --- reports --------------------------------------------------------------------------
 
+_calls = (
+    "SELECT session_id AS session, event_id AS seq, tool_name, value, event_type, 't' || (event_id % 400) AS tool_use_id "
+    f"FROM {_v('tool_calls')}"
+)
+_nth = "row_number() OVER (PARTITION BY session, tool_use_id ORDER BY seq) AS nth"
 CHECKS["tool_pairs"] = (
-    "SELECT 't' || event_id AS tool_use_id, tool_name, event_type <> 'error' AS completed, "
-    f"CASE WHEN event_type <> 'error' THEN value END AS duration_ms FROM {_v('tool_calls')}"
+    "SELECT a.session, a.seq, a.tool_use_id, a.tool_name, d.nth IS NOT NULL AS completed, d.value AS duration_ms FROM "
+    f"(SELECT *, {_nth} FROM ({_calls}) c) a LEFT JOIN (SELECT *, {_nth} FROM ({_calls}) c WHERE event_type <> 'error') d "
+    "ON d.session = a.session AND d.tool_use_id = a.tool_use_id AND d.nth = a.nth"
 )
 CHECKS["failure_hotspots"] = (
     "SELECT tool_name, event_type AS failure_type, count(*) AS failures, "

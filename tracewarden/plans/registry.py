@@ -665,8 +665,10 @@ def contributor_attribution(spark, sf):
 
 
 def _calls(spark, sf) -> DataFrame:
-    return view(spark, sf, "tool_calls").withColumn(
-        "tool_use_id", F.concat(F.lit("t"), F.col("event_id").cast("string"))
+    # Agents use ids again: several calls of a session share one.
+    return view(spark, sf, "tool_calls").select(
+        F.col("session_id").alias("session"), F.col("event_id").alias("seq"), "tool_name", "value",
+        "event_type", F.concat(F.lit("t"), (F.col("event_id") % 400).cast("string")).alias("tool_use_id"),
     )
 
 
@@ -674,8 +676,8 @@ def _calls(spark, sf) -> DataFrame:
 def tool_pairs(spark, sf):
     calls = _calls(spark, sf)
     done = calls.where(F.col("event_type") != "error").withColumnRenamed("value", "duration_ms")
-    pairs = analytics.tool_pairs(calls.select("tool_use_id", "tool_name"), done)
-    return pairs.select("tool_use_id", "tool_name", "completed", "duration_ms")
+    pairs = analytics.tool_pairs(calls.select("session", "seq", "tool_use_id", "tool_name"), done)
+    return pairs.select("session", "seq", "tool_use_id", "tool_name", "completed", "duration_ms")
 
 
 @_query
