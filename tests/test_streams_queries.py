@@ -130,7 +130,7 @@ def test_every_query_has_a_check():
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_hot_path_join_is_salted(spark):
+def test_hot_path_join_keeps_every_read(spark):
     from tracewarden.operators.lineage import findings_of_reads
 
     reads = spark.range(3000).select(

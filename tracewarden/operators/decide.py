@@ -219,6 +219,23 @@ def _with_text_signals(events: DataFrame) -> DataFrame:
     )
 
 
+def _looks_up() -> Column:
+    """Events whose verdict may depend on files; the others never meet the files."""
+    reads = [
+        _CLAUDE_SHELL, _SHELL_EVENT, _PLUGIN_SHELL,
+        f"{_PRE} AND {in_sql('tool_name', rules.SECRET_READ_TOOLS)}",
+        _is("cursor", "beforeReadFile", "afterFileEdit"),
+        f"{_PLUGIN} AND {in_sql('tool_name', rules.OPENCLAW_READ_TOOLS)}",
+    ]
+    return F.coalesce(F.expr(" OR ".join(f"({test})" for test in reads)), F.lit(False))
+
+
+def _without_files(own: DataFrame) -> DataFrame:
+    return own.withColumn("file_n", F.lit(0)).withColumn(
+        "file_lines", F.array().cast("array<string>")
+    )
+
+
 def signals(
     events: DataFrame, files: DataFrame | None, home: Column | None = None,
     default_dir: Column | None = None, file_hits: DataFrame | None = None,
@@ -227,21 +244,20 @@ def signals(
     home = F.lit("/root") if home is None else home
     default_dir = F.lit("/") if default_dir is None else default_dir
     ready = _prepare(events)
-    own = _with_text_signals(ready)
     if files is not None and file_hits is None:
         file_hits = scan_files(files)
     if file_hits is None:
-        return own.withColumn("file_n", F.lit(0)).withColumn(
-            "file_lines", F.array().cast("array<string>")
-        )
-    reads = explode_paths(ready, ["event_uid"], _lookup_paths(home, default_dir))
+        return _without_files(_with_text_signals(ready))
+    looking = ready.where(_looks_up())
+    reads = explode_paths(looking, ["event_uid"], _lookup_paths(home, default_dir))
     summary = findings_of_reads(reads.drop("ordinal"), file_hits, "event_uid")
-    return own.join(summary, "event_uid", "left").withColumns(
+    joined = _with_text_signals(looking).join(summary, "event_uid", "left").withColumns(
         {
             "file_n": F.coalesce("file_n", F.lit(0)),
             "file_lines": F.coalesce("file_lines", F.array().cast("array<string>")),
         }
     )
+    return _without_files(_with_text_signals(ready.where(~_looks_up()))).unionByName(joined)
 
 
 def _outcome(action: str, context: str | None, message: str, n: str) -> str:

@@ -1,9 +1,9 @@
 """Command-to-file lineage: which events read which files, and what is in them.
 
 candidates (narrow) -> join thin file rows on path -> group by event.  A path
-can be hot (one file read by a third of all events), so the join key is salted
-on the event side and the thin file side is repeated once per salt.  Nothing is
-broadcast by hint; Spark's own size checks decide.
+can be hot (one file read by a third of all events): the join is a plain
+equi-join, whose event side Spark splits at run time by its measured size.
+Nothing is broadcast by hint; Spark's own size checks decide.
 """
 
 from __future__ import annotations
@@ -12,22 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths, shell
 
-DEFAULT_SALTS = 8
-
-
-def salted_join(
-    left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner",
-    salts: int = DEFAULT_SALTS,
-) -> DataFrame:
-    """Join on ``key`` with every key of the left side spread over ``salts`` tasks.
-
-    ``right`` should be the thin side: its rows are repeated ``salts`` times.
-    """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
-
-
 def explode_paths(events: DataFrame, keys: list[str], candidates: Column) -> DataFrame:
     """``keys``, ``ordinal`` and one resolved path per row; first of equals kept."""
     return events.select(
@@ -48,7 +32,7 @@ def shell_read_paths(
     wanted = explode_paths(
         commands, [key], resolved_candidates(F.col("command"), base, home)
     )
-    return salted_join(wanted, files.select("path"), "path", key, "left_semi")
+    return wanted.join(files.select("path"), "path", "left_semi")
 
 
 def findings_of_reads(reads: DataFrame, file_hits: DataFrame, key: str) -> DataFrame:
@@ -56,7 +40,7 @@ def findings_of_reads(reads: DataFrame, file_hits: DataFrame, key: str) -> DataF
 
     ``reads`` has ``key, path``.  A group is one event, bounded by its command.
     """
-    joined = salted_join(reads, file_hits, "path", key)
+    joined = reads.join(file_hits, "path")
     # A set, so that an event delivered twice counts its files once.
     per_event = joined.groupBy(key).agg(
         F.collect_set(F.struct("path", "n_findings", "lines")).alias("found")

@@ -112,7 +112,7 @@ def secret_findings_files(spark, sf):
     found = detect.secret_findings(
         files.withColumn("label", F.col("path")), ["path"], text="content"
     )
-    joined = lineage.salted_join(_read_targets(spark, sf), found, "path", "event_id")
+    joined = _read_targets(spark, sf).join(found, "path")
     return joined.select("event_id", "path", "rule_id", "ordinal", "line", "start", "masked")
 
 
