@@ -96,7 +96,7 @@ def _tool_input() -> str:
         13: obj(lit('{"file_path":"'), path, lit('"}')),
         14: obj(lit('{"file_path":"'), path, lit('","limit":5}')),
         15: obj(lit('{"description":"run","prompt":"please '), command, lit('"}')),
-        16: obj(lit('{"limit":5,"query":"'), command, lit('","nested":{"q":"rm -rf /"}}')),
+        16: obj(lit('{"limit":5,"query":"'), command, lit('","nested":{"q":"x","q":"rm -rf /"}}')),
         17: obj(
             lit('{"zeta":"'), command, lit('","n":1,"'),
             "CASE WHEN event_id % 3 = 0 THEN '10' ELSE 'beta' END",
@@ -172,12 +172,13 @@ SELECT session, seq, ts,
   seq % 3 = 0 AS stop_hook_active
 FROM (
   SELECT session, seq, ts,
-    concat('{{"check_id":"rule-', cast(seq % 7 AS string), '","path":"/tmp/scan/doc',
+    concat('{{"check_id":"rule-', cast(seq % 7 AS string), '","path":"', CASE WHEN seq % 17 = 0 THEN '{{x}}/doc' ELSE '/tmp/scan/doc' END,
       cast(seq % 12 AS string), '.txt","start":{{"line":', cast(seq % 40 + 1 AS string),
       '}},"end":{{"line":', cast(seq % 40 + 3 AS string),
       '}},"message":"m","extra":{{"severity":"ERROR"}}}}') AS first_result,
     concat('{{"check_id":"rule-', cast(seq % 5 AS string), '","path":{{"value":"/tmp/scan/doc',
-      cast((seq + 5) % 12 AS string), '.txt"}},"line":', cast(seq % 30 + 1 AS string),
+      cast((seq + 5) % 12 AS string), '.txt"}},"line":', CASE seq % 13 WHEN 0 THEN '"abc"' WHEN 1 THEN '2.5' WHEN 2 THEN '99999999999'
+        ELSE cast(seq % 30 + 1 AS string) END,
       ',"extra":{{"severity":"WARNING"}}}}') AS second_result,
     concat('{{"target":{{"path":"doc', cast((seq * 3) % 12 AS string),
       '.txt"}},"line":4,"end_line":9,"message":"deep"}}') AS third_result
