@@ -102,6 +102,23 @@ def _forest(similar: np.ndarray) -> Iterator[tuple[int, int]]:
                 return
 
 
+def _joining(open_pairs: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links on full sets that join roots not joined before."""
+    above = {r.tobytes(): r.tobytes() for r in roots}
+
+    def find(x: bytes) -> bytes:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for i in np.flatnonzero(open_pairs.any(axis=1)):
+        for j in np.flatnonzero(open_pairs[i]):
+            a, b = find(roots[i].tobytes()), find(roots[j].tobytes())
+            if a != b and _similar(sets[i], sets[j]):
+                above[b] = a
+                yield int(i), int(j)
+
+
 def _matrix(column: pa.Array, width: int, kind=np.uint8) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     start = column.offset * width
@@ -111,21 +128,24 @@ def _matrix(column: pa.Array, width: int, kind=np.uint8) -> np.ndarray:
 def _leaf_pairs(apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Compare the rows (leaf, key, n, sketch, root) of each leaf, which stand together.
 
-    A spanning forest, or with ``apart`` all pairs of different roots.
+    A spanning forest of what may be similar; or with ``apart`` the members that may be similar to one of another
+    root, each paired with itself; or, if the rows have tokens, links that join the roots they can join.
     """
 
-    def pairs(leaf: int, keys: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, roots: np.ndarray) -> tuple[list, list, list]:
+    def pairs(leaf: int, keys: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, roots: np.ndarray, sets: list) -> tuple[list, list, list]:
         same = np.zeros((len(keys), len(keys)), np.float32)
         for k in range(TREES * DEPTH):
             same += sketch[:, k, None] == sketch[None, :, k]
         same /= TREES * DEPTH
         # No pair of such sizes can reach the similarity.
         same[SIMILAR * np.maximum.outer(sizes, sizes) > 100 * np.minimum.outer(sizes, sizes)] = 0
-        if apart:
-            same[(roots[:, None, :] == roots[None, :, :]).all(axis=2)] = 0
-            found = list(zip(*np.nonzero(np.triu(same >= SURELY_NOT, 1)), strict=True))
-        else:
+        if not apart:
             found = list(_forest(same))
+        else:
+            same[(roots[:, None, :] == roots[None, :, :]).all(axis=2)] = 0
+            open_pairs = np.triu(same >= SURELY_NOT, 1)
+            some = np.flatnonzero(open_pairs.any(axis=0) | open_pairs.any(axis=1))
+            found = list(_joining(open_pairs, roots, sets)) if sets else list(zip(some, some, strict=True))
         ends = [sorted((keys[i].tobytes(), keys[j].tobytes())) for i, j in found]
         return [leaf] * len(found), [e[0] for e in ends], [e[1] for e in ends]
 
@@ -137,13 +157,15 @@ def _leaf_pairs(apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             edges = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
             keys, sizes = _matrix(table.column("key"), _KEY), table.column("n").to_numpy()
             sketch, roots = _matrix(table.column("sketch"), _SKETCH, np.uint32), _matrix(table.column("root"), _KEY)
+            tokens = table.column("tokens").combine_chunks() if "tokens" in table.column_names else None
             out: tuple[list, list, list] = ([], [], [])
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 # A class may stand twice in a leaf: once for itself, once as the common member.
                 _, at = np.unique(keys[low:high].view([("", np.uint8, _KEY)]).ravel(), return_index=True)
                 at += low
                 if len(at) > 1:
-                    for whole, part in zip(out, pairs(int(leaf[low]), keys[at], sizes[at], sketch[at], roots[at]), strict=True):
+                    sets = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in at] if tokens is not None else []
+                    for whole, part in zip(out, pairs(int(leaf[low]), keys[at], sizes[at], sketch[at], roots[at], sets), strict=True):
                         whole.extend(part)
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["leaf", "a", "b"])
 
@@ -168,12 +190,15 @@ def _leaf_pairs(apart: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _compared(members: DataFrame, classes: DataFrame, apart: bool = False) -> DataFrame:
+def _compared(members: DataFrame, classes: DataFrame, apart: bool = False, sets: DataFrame | None = None) -> DataFrame:
     """leaf, a, b for members (leaf, key and, with apart, root) of leaves."""
     if not apart:
         members = members.withColumn("root", F.col("key"))
-    rows = members.join(classes.select("key", "n", "sketch"), "key").select("leaf", "key", "n", "sketch", "root")
-    return rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_leaf_pairs(apart), "leaf long, a binary, b binary")
+    columns = ["leaf", "key", "n", "sketch", "root", *(["tokens"] if sets is not None else [])]
+    rows = members.join(classes.select("key", "n", "sketch"), "key")
+    rows = rows.join(sets, "key") if sets is not None else rows
+    dealt = rows.select(*columns).repartition("leaf").sortWithinPartitions("leaf")
+    return dealt.mapInArrow(_leaf_pairs(apart), "leaf long, a binary, b binary")
 
 
 def _leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -227,11 +252,10 @@ def _strays(large: DataFrame, roots: DataFrame) -> DataFrame:
     return all_rows.select(leaf, "key", "root").unionByName(own.select(leaf, "key", "root"))
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) with linked: whether their full sets are similar."""
-    spark = pairs.sparkSession
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "digest"), "key")
-    needed = staged(needed.select("digest"), "needed-texts")
+def _full_sets(keys: DataFrame, classes: DataFrame, documents: DataFrame, text: str) -> DataFrame:
+    """key, tokens: the whole sets of the classes with these keys, from the texts."""
+    spark = keys.sparkSession
+    needed = staged(keys.join(classes.select("key", "digest"), "key").select("digest"), "needed-texts")
     at = F.shiftrightunsigned(F.xxhash64("digest"), 64 - SIEVE)
     rows = needed.groupBy(F.shiftright(at, 6).alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("m")
@@ -251,24 +275,46 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, text:
         sets = shingle_sets(column)
         return pa.StructArray.from_arrays([_binary(_keys(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "tokens"])
 
+    texts = documents.select(F.col(text).alias("text"), _digest(text).alias("digest"))
+    near = texts.where(maybe(F.xxhash64("digest"))).join(needed, "digest", "left_semi")
+    # Copies of a text give one row for each task.
+    sets = near.groupBy("digest").agg(F.any_value("text").alias("text")).select(tokens("text").alias("s")).select("s.*")
+    return staged(sets, "shingle-sets")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")  # two sorted runs: a merge
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= SIMILAR * (len(x) + len(y) - common)
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, text: str) -> DataFrame:
+    """The pairs (a, b) with linked: whether their full sets are similar."""
+
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(left, right, strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * common >= SIMILAR * (len(x) + len(y) - common))
-        return pa.array(out, pa.bool_())
+        sets = ([np.frombuffer(v.as_buffer(), np.uint64) for v in column] for column in (left, right))
+        return pa.array([_similar(a, b) for a, b in zip(*sets, strict=True)], pa.bool_())
 
-    texts = documents.select(F.col(text).alias("text"), _digest(text).alias("digest"))
-    near = texts.where(maybe(F.xxhash64("digest"))).join(needed, "digest", "left_semi")
-    sets = near.select(tokens("text").alias("s")).select("s.*").groupBy("key").agg(F.any_value("tokens").alias("tokens"))
-    sets = staged(sets, "shingle-sets")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = _full_sets(keys, classes, documents, text)
     half = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("left")), "a")
     both = half.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("right")), "b")
     return staged(both.select("a", "b", similar("left", "right").alias("linked")), "confirmed-pairs")
 
 
+def _links_in_leaves(
+    members: DataFrame, classes: DataFrame, documents: DataFrame, text: str
+) -> DataFrame:
+    """Links (a, b) between members (leaf, key, root) of different roots; each set goes to a leaf once."""
+    members = staged(members.distinct(), "open-members")
+    used = staged(_compared(members, classes, apart=True).select("leaf", F.col("a").alias("key")), "compared-members")
+    sets = _full_sets(used.select("key").distinct(), classes, documents, text)
+    rows = members.join(used, ["leaf", "key"], "left_semi")
+    return staged(_compared(rows, classes, apart=True, sets=sets).select("a", "b").distinct(), "late-links")
+
+
 def _digest(text: str):
     return F.unhex(F.sha1(F.coalesce(F.col(text), F.lit(""))))
 
@@ -324,11 +370,11 @@ def _roots(classes: DataFrame, documents: DataFrame, text: str) -> DataFrame:
     failed = checked.where("not linked").select("a", "b")
     again = forest.join(failed, ["a", "b"], "left_semi").select("leaf").distinct()
     reopened = every.join(again, "leaf", "left_semi").distinct().join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    second = _compared(reopened, classes, apart=True).unionByName(_compared(_strays(large, roots), classes, apart=True))
-    pairs = staged(second.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "second-pairs")
-    if pairs.isEmpty():
+    found = _links_in_leaves(
+        reopened.select("leaf", "key", "root").unionByName(_strays(large, roots)), classes, documents, text
+    )
+    if found.isEmpty():
         return roots
-    found = _confirmed(pairs, classes, documents, text).where("linked").select("a", "b")
     return components(links.unionByName(found)).withColumnRenamed("node", "key")
 
 
