@@ -29,12 +29,19 @@ def tool_pairs(attempts: DataFrame, completions: DataFrame) -> DataFrame:
     return paired.withColumn("completed", F.coalesce("completed", F.lit(False))).drop("occurrence")
 
 
-def failure_hotspots(failures: DataFrame) -> DataFrame:
-    """Failures per tool and type with subtotals; NULL stands for all."""
-    return failures.rollup("tool_name", "failure_type").agg(
+def failure_hotspots(failures: DataFrame, top: int | None = None) -> DataFrame:
+    """Failures per tool and type with subtotals; NULL stands for all.
+
+    With ``top``, only the pairs that fail most often, by count and name.
+    """
+    counted = failures.rollup("tool_name", "failure_type").agg(
         F.count(F.lit(1)).alias("failures"),
         F.grouping_id().cast("int").alias("level"),
     )
+    if top is None:
+        return counted
+    order = [F.col("failures").desc(), F.col("tool_name"), F.col("failure_type")]
+    return counted.where(F.col("level") == 0).orderBy(*order).limit(top)
 
 
 def contributor_share(traces: DataFrame) -> DataFrame:

@@ -1160,10 +1160,17 @@ CHECKS["tool_pairs"] = (
     f"(SELECT *, {_nth} FROM ({_calls}) c) a LEFT JOIN (SELECT *, {_nth} FROM ({_calls}) c WHERE event_type <> 'error') d "
     "ON d.session = a.session AND d.tool_use_id = a.tool_use_id AND d.nth = a.nth"
 )
+_failures = (
+    "SELECT tool_name, CASE WHEN event_id % 3 = 0 THEN 'timeout' ELSE 'exit' END AS failure_type FROM "
+    f"{_v('tool_calls')} WHERE event_type = 'error'"
+)
 CHECKS["failure_hotspots"] = (
-    "SELECT tool_name, event_type AS failure_type, count(*) AS failures, "
-    "CAST(grouping(tool_name, event_type) AS INT) AS level FROM "
-    f"{_v('tool_calls')} WHERE event_type IN ('error', 'purchase') GROUP BY ROLLUP (tool_name, event_type)"
+    "SELECT tool_name, failure_type, count(*) AS failures, CAST(grouping(tool_name, failure_type) AS INT) AS level FROM "
+    f"({_failures}) f GROUP BY ROLLUP (tool_name, failure_type)"
+)
+CHECKS["failure_top"] = (
+    f"SELECT tool_name, failure_type, count(*) AS failures, 0 AS level FROM ({_failures}) f GROUP BY tool_name, failure_type "
+    "ORDER BY failures DESC, tool_name, failure_type LIMIT 10"
 )
 CHECKS["contributor_share"] = (
     "SELECT conv_id AS session, '.prompts' AS path, count(CASE WHEN role = 'user' THEN 1 END) AS human, "

