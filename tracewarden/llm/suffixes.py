@@ -26,7 +26,7 @@ from tracewarden.llm.work import _BACK
 
 LENGTH, GRAM = 100, 16
 #: Bytes whose anchors are found at once, rows of a suffix array read at once, open segments compared at once.
-PIECE, ROWS, OPEN = 4 << 20, 4_000, 20_000
+PIECE, ROWS, OPEN = (2 << 20) - 256, 2_000, 20_000
 #: Bits of the sieve that keeps documents without repeats from being shuffled.
 SIEVE = 24
 

@@ -15,7 +15,7 @@ from tracewarden.plans.session import run_folder
 #: Rows that Arrow hands to a Python worker at once; long texts make larger batches costly.
 ARROW_ROWS = 1_000
 #: Bytes whose word digests are computed at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = (2 << 20) - 256
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
