@@ -91,6 +91,9 @@ def _segments_of(data: np.ndarray, offsets: np.ndarray, low: int) -> tuple[np.nd
     row = np.searchsorted(offsets, begin + low, side="right") - 1
     left = span_digest(prefix, np.maximum(at - _SIDE, 0), at) & np.uint64(255)
     right = span_digest(prefix, at, np.minimum(at + GRAM + _SIDE, len(part))) & np.uint64(255)
+    # A side that leaves the segment says nothing, and would depend on the neighbours of the row.
+    left[at - begin < _SIDE] = 0
+    right[stop - at < GRAM + _SIDE] = 0
     sides = _signed(left << np.uint64(8) | right)
     return row, begin + low - offsets[row], stop - begin, at - begin, sides, gram[:, 0], gram[:, 1], _signed(span_digest(prefix, begin, stop))
 
