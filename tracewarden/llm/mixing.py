@@ -22,6 +22,8 @@ BLOCK = 64
 BUCKET, GROUP = 256, 256
 #: Slots written out by one row, and slots of an output shard on average.
 CHUNK, SHARD = 16_384, 65_536
+#: Tasks that write slots out at most.
+TASKS = 10_000
 #: Primes larger than any number of blocks; one multiplies block numbers in each epoch.
 PRIMES = (2305843009213693951, 2305843009213693921)
 
@@ -164,8 +166,10 @@ def draw_slots(sources: DataFrame, seed: str) -> DataFrame:
     chunks = sources.where("slots > 0").select(
         "rank", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {CHUNK}"))).alias("chunk")
     )
-    total = sources.agg(F.greatest(F.ceil(F.sum("slots") / SHARD), F.lit(1)).cast("long")).scalar()
-    slots = chunks.repartition("rank", "chunk").select(
+    total = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    # Rows of a few bytes that grow to CHUNK slots each: as many tasks as there are such rows.
+    tasks = min(max(1, -(-total // CHUNK)), TASKS)
+    slots = chunks.repartition(tasks, "rank", "chunk").select(
         "rank", "blocks",
         F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("slots")) - 1)).alias("slot"),
     )
@@ -175,6 +179,7 @@ def draw_slots(sources: DataFrame, seed: str) -> DataFrame:
     wide = "decimal(20,0)"
     moved = F.pmod(F.col("slot"), F.col("blocks")).cast(wide) * F.pmod(prime, F.col("blocks")).cast("decimal(18,0)")
     block = ((moved + F.pmod("turn", F.col("blocks")).cast("decimal(18,0)")) % F.col("blocks").cast("decimal(18,0)")).cast("long")
-    return numbered.withColumn("shards", total).select(
-        "rank", "slot", F.pmod(draw(f"{seed}-shard", F.col("rank"), F.col("slot")), F.col("shards")).alias("shard"), block.alias("block")
+    shards = F.lit(max(1, -(-total // SHARD)))
+    return numbered.select(
+        "rank", "slot", F.pmod(draw(f"{seed}-shard", F.col("rank"), F.col("slot")), shards).alias("shard"), block.alias("block")
     )
