@@ -1,8 +1,11 @@
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewarden.llm import mixing, quotes, topk
 
@@ -89,6 +92,41 @@ def test_shards_take_every_slot_once(spark, awkward):
     assert once <= 2
 
 
+def test_shards_hold_the_words_of_their_blocks(spark, awkward, no_documents, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 500)
+    frame = awkward.withColumn("text", F.regexp_replace("text", " ", " \n\t"))
+    mix = mixing.mix_sources(frame, block=8)
+    docs = {}
+    for r in frame.collect():
+        docs.setdefault(r["doc_id"], []).append(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    sources = {r["rank"]: r for r in mix.sources.collect()}
+    rows = mix.shards.collect()
+    assert len(rows) == sum(r["slots"] for r in sources.values())
+    dealt = mix.slots.select("rank", "slot", "shard", "position", "block").collect()
+    assert {(r["rank"], r["slot"], r["shard"], r["position"], r["block"]) for r in rows} == set(map(tuple, dealt))
+    shards, taken, emitted = {}, Counter(), Counter()
+    for r in rows:
+        shards.setdefault(r["shard"], []).append(r["position"])
+        at = 0
+        for p in r["pieces"]:
+            words = p["text"].split(" ")
+            assert len(words) == p["words"] and any(d[p["offset"] : p["offset"] + p["words"]] == words for d in docs[p["doc_id"]])
+            assert p["start"] + p["offset"] == r["block"] * 8 + at  # no gap within a block
+            at += len(words)
+            taken[p["doc_id"]] += len(words)
+        assert at == min(8, sources[r["rank"]]["source_size"] - 8 * r["block"])
+        emitted[r["rank"]] += at
+    assert len(shards) > 3 and all(sorted(p) == list(range(len(p))) for p in shards.values())
+    assert len({len(p) for p in shards.values()}) > 1
+    asked = Counter()
+    for r in mix.documents.collect():
+        asked[r["doc_id"]] += r["taken"]
+    assert +asked == +taken
+    for rank, r in sources.items():
+        assert abs(emitted[rank] - r["target"]) <= 2 * 8
+    assert mixing.mix_sources(no_documents).shards.count() == 0
+
+
 def test_quotes_are_linked_and_leave_the_text(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are you?\n\nSecond para"),

@@ -14,25 +14,27 @@ from tracewarden.plans.session import run_folder
 
 #: Rows that Arrow hands to a Python worker at once; long texts make larger batches costly.
 ARROW_ROWS = 1_000
+#: Words of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes whose word digests are computed at once.
 CHUNK_BYTES = (2 << 20) - 256
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(frame: DataFrame, name: str) -> DataFrame:
+def staged(frame: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write a frame below the shared checkpoint folder and read it back: its lineage ends there."""
-    return staged_at(frame, name)[0]
+    return staged_at(frame, name, compression=compression)[0]
 
 
-def staged_at(frame: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+def staged_at(frame: DataFrame, name: str, by: str | None = None, compression: str | None = None) -> tuple[DataFrame, str]:
     """The same with the folder, which has one for each value of the column ``by``."""
     spark = frame.sparkSession
     folder = run_folder(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")  # the table replaces the shuffles it was made of
     try:
-        (frame.write.partitionBy(by) if by else frame.write).parquet(folder)
+        (frame.write.partitionBy(by) if by else frame.write).parquet(folder, compression=compression)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(folder), folder
@@ -56,7 +58,7 @@ def fresh(name: str) -> str:
 
 def word_count(text):
     """Words of characters other than ASCII white space; null has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def column_or_null(frame: DataFrame, name: str, kind: str):
