@@ -1,7 +1,7 @@
 """Training-text pipeline: five stages over documents, each written and read again before the next one.
 
 Every stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of documents; the last
-returns the mixture.
+returns the mixture: the drawn blocks' words by shard and position, with the document that each piece comes from.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mixture takes of every document."""
-    return mixing.mix_sources(docs, keep_text=True).documents
+    """The words of the mixture: as often as they are drawn, and none of what is not drawn."""
+    return mixing.emitted(mixing.mix_sources(docs))
 
 
 STAGES = [

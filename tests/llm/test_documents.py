@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm import brute
-from tracewarden.llm import minhash, suffixes, toxicity, winnowing
+from tracewarden.llm import minhash, mixing, suffixes, toxicity, winnowing
 from tracewarden.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -190,3 +191,22 @@ def test_pipeline_stages_equal_brute_force(spark):
         docs = after
     assert {r["size"] for r in got.values()} == {len(brute.space_words(r["text"])) for r in got.values()}
     assert all(r["taken"] <= 2 * r["size"] for r in got.values())
+
+
+def test_the_mixture_stage_emits_the_drawn_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    texts = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "") for r in docs.collect()}
+    taken = {r["doc_id"]: r["taken"] for r in QUERIES["op1_mixing"](spark, SF).collect()}
+    emitted, shares = Counter(), Counter()
+    for r in out:
+        words = r["text"].split(" ")
+        assert texts[r["doc_id"]][r["offset"] : r["offset"] + r["size"]] == words and r["taken"] == len(words)
+        emitted[r["doc_id"]] += len(words)
+        shares[r["source"]] += len(words)
+    assert emitted == +Counter(taken)
+    assert any(n < len(texts[d]) for d, n in emitted.items()) and any(n > len(texts[d]) for d, n in emitted.items())
+    target = {r["source"]: r["target"] for r in mixing.mix_sources(docs).sources.collect()}
+    assert all(abs(shares[s] - t) <= 2 * mixing.BLOCK for s, t in target.items())
+    places = Counter((r["shard"], r["position"]) for r in out)
+    assert all(sum(1 for s, _ in places if s == shard) == 1 + max(p for s, p in places if s == shard) for shard in {s for s, _ in places})
