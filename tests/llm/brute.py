@@ -83,3 +83,68 @@ def contamination(text, items):
                 hit.update(range(at, at + n))
                 found.add("null" if item is None else str(item))
     return len(w), len(hit), sorted(found)
+
+
+BLANKS = " \t\n\x0b\f\r"
+
+
+def without_shared_lines(rows, least_docs=2, least_chars=10):
+    """rows: (id, text) -> (lines, dropped, text that is left) by position; a null id is one document, the last."""
+    holders = defaultdict(set)
+    split = [(t or "").split("\n") for _, t in rows]
+    keys = [[x.strip(BLANKS).translate(LOWER) for x in own] for own in split]
+    for (doc, _), own in zip(rows, keys, strict=True):
+        for key in own:
+            if len(key) >= least_chars:
+                holders[key].add((doc is None, doc or 0))
+    out = []
+    for (doc, _), own, key in zip(rows, split, keys, strict=True):
+        left = [x for x, k in zip(own, key, strict=True) if len(holders[k]) < least_docs or min(holders[k]) == (doc is None, doc or 0)]
+        out.append((len(own), len(own) - len(left), "\n".join(left)))
+    return out
+
+
+def aligned(texts, a, b):
+    """One dict for each text, from whole texts, token bytes and all overlaps; a, b: the two libraries."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    code = {chr(x): x for x in printable}
+    code.update({chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in printable)})
+    words = {i: bytes(code[c] for c in t) for t, i in a.get_vocab(with_added_tokens=False).items() if all(c in code for c in t)}
+
+    def spans(parts):
+        at, out = 0, []
+        for p in parts:
+            out.append((at, at + len(p)))
+            at += len(p)
+        return out
+
+    docs = []
+    for text in texts:
+        x = a.encode(" " + (text or ""), add_special_tokens=False).ids if text else []
+        y = b.encode(text, out_type=int) if text else []
+        xb = [words[i] for i in x]
+        yb = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in y]
+        data = (" " + (text or "")).encode()
+        if b"".join(xb) != data or b"".join(yb) != data:
+            x, y, xb, yb = [], [], [], []
+        xs, ys = spans(xb), spans(yb)
+        cuts = sorted({e for _, e in xs} & {e for _, e in ys})
+        groups, low = [], 0
+        for cut in cuts:
+            one = [i for i, s in zip(x, xs, strict=True) if low <= s[0] and s[1] <= cut]
+            two = [i for i, s in zip(y, ys, strict=True) if low <= s[0] and s[1] <= cut]
+            groups.append(",".join(map(str, one)) + "|" + ",".join(map(str, two)))
+            low = cut
+        links = [(i, j) for i, s in zip(x, xs, strict=True) for j, t in zip(y, ys, strict=True) if s[0] < t[1] and t[0] < s[1]]
+        docs.append({"n_a": len(x), "n_b": len(y), "n_groups": len(groups), "links": links, "groups": ";".join(groups)})
+    count = Counter(pair for d in docs for pair in set(d["links"]))
+    best = defaultdict(int)
+    for (i, _), n in count.items():
+        best[i] = max(best[i], n)
+    for d in docs:
+        links = d.pop("links")
+        d["n_links"] = len(links)
+        d["n_best"] = sum(count[p] == best[p[0]] for p in links)
+        d["count_sum"] = sum(count[p] for p in links)
+        d["groups_sha256"] = hashlib.sha256(d["groups"].encode()).hexdigest() if links else ""
+    return docs, {p: (n, n == best[p[0]]) for p, n in count.items()}

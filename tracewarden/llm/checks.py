@@ -127,10 +127,48 @@ SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0)::bigint A
 FROM placed p LEFT JOIN taken t USING (rid)
 """
 
+LINES = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+line AS (
+  SELECT rid, doc_id, i, own[i] AS line, translate(trim(own[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key
+  FROM (SELECT *, unnest(range(1, len(own) + 1)) AS i FROM doc)),
+shared AS (
+  SELECT key, min(doc_id) AS first FROM line WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+judged AS (SELECT l.*, s.key IS NOT NULL AND l.doc_id IS DISTINCT FROM s.first AS gone FROM line l LEFT JOIN shared s ON l.key = s.key)
+SELECT any_value(doc_id) AS doc_id, count(*)::bigint AS n_lines, (count(*) FILTER (gone))::bigint AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY rid
+"""
+
+NEGATIVES = """
+WITH usable AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cell AS (SELECT rid, vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM usable),
+score AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, c.rid, sum(a.x * c.x)::bigint AS score
+  FROM cell a JOIN cell c ON a.i = c.i AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+positive AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM score WHERE label = own)
+  WHERE place <= 5),
+fit AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.place, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY n.score DESC, n.vec_id)::int AS rank
+  FROM positive p JOIN score n ON n.anchor_id = p.anchor_id AND n.label <> n.own
+       AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM fit WHERE rank <= 10
+"""
+
 CHECKS = {
     "op1_mixing": MIXING,
     "op2_warc": WARC,
     "op3_topk": TOPK,
     "op6_url_filter": URL_FILTER,
     "op10_winnowing": WINNOWING,
+    "op11_lines": LINES,
+    "op13_negatives": NEGATIVES,
 }

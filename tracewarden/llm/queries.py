@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm import minhash, mixing, quotes, suffixes, token_counts, topk, toxicity, url_filter, warc, winnowing
+from tracewarden.llm import (
+    alignment,
+    lines,
+    minhash,
+    mixing,
+    negatives,
+    quotes,
+    suffixes,
+    token_counts,
+    topk,
+    toxicity,
+    url_filter,
+    warc,
+    winnowing,
+)
 
 #: Listed rules of the URL query: host, path, action.
 URL_RULES = [
@@ -77,6 +91,25 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_shared_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(documents, *files, keep_groups=False)[0]
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = vectors.withColumn("label", moved)
+    return negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -88,4 +121,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_token_counts": op9_token_counts,
     "op10_winnowing": op10_winnowing,
+    "op11_lines": op11_lines,
+    "op12_alignment": op12_alignment,
+    "op13_negatives": op13_negatives,
 }
