@@ -37,7 +37,7 @@ def test_log_to_edited_set(spark, tmp_path):
 
 
 def test_log_to_trace_stream(spark, tmp_path):
-    events = hook_events.stream_hook_events(spark, _log(tmp_path), "cursor")
+    events = hook_events.stream_hook_events(spark, _log(tmp_path), "cursor", str(tmp_path / "numbers"))
     writer = decisions.trace_stream(events, None, str(tmp_path / "out"), str(tmp_path / "cp"), F.lit("/w"))
     writer.trigger(availableNow=True).start().awaitTermination()
     made = read_traces(spark, str(tmp_path / "out"))

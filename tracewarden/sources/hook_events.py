@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import has_text, trim_space
+from ..operators.once import made_once
+from . import offset_lines
 
 _RANGE = T.StructType(
     [T.StructField("start_line_number", T.IntegerType()),
@@ -35,8 +39,10 @@ _BY_TYPE = [
 EVENT_FIELDS = T.StructType(
     [T.StructField(name, kind) for kind, names in _BY_TYPE for name in names.split()]
 )
-_FILE_TIME = "_file_time"
+_FILE_TIME, _PLACE = "_file_time", "_place"
 _OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
+_ALWAYS = ("hook_event_name", "session_id", "conversation_id", "session_key", "timestamp", "seq")
+_PLUGIN = ("toolName", "params", "sessionKey")
 
 
 def with_event_columns(events: DataFrame) -> DataFrame:
@@ -49,38 +55,42 @@ def with_event_columns(events: DataFrame) -> DataFrame:
     return events.withColumns(missing) if missing else events
 
 
-def parse_hook_events(lines: DataFrame, dialect: str, raw: str = "raw") -> DataFrame:
+def parse_hook_events(
+    lines: DataFrame, dialect: str, raw: str = "raw", only: Iterable[str] | None = None
+) -> DataFrame:
     """Parse raw documents; ``parse_status`` is ok, blank or malformed.
 
     The plugin dialect sends ``{toolName, params, sessionKey}``; its names are
-    mapped to the common ones.
+    mapped to the common ones.  ``only`` names the fields that are read at all,
+    besides those that make the columns below.
 
     Every event gets the columns that later steps order it by, unless the lines
     have them: ``session`` (of the event's session, conversation or plugin key),
     ``received_at`` (its timestamp, else the time of its file) and ``seq`` (its
-    own number, else the microsecond of ``received_at``).
+    own number, else its place in the log, for lines without a place the
+    microsecond of ``received_at``).
     """
     text = trim_space(F.col(raw))
-    # Boxed in a list, so that text after the first document is an error too.
-    boxed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _OPTIONS)
-    valid = F.startswith(text, F.lit("{")) & (F.size(boxed) == 1)
-    status = (
-        F.when(~has_text(F.col(raw)), "blank")
-        .when(F.coalesce(valid, F.lit(False)), "ok")
-        .otherwise("malformed")
-    )
-    # Out of a generator the status is made once; a filter on it is not pushed
-    # down to parse every line again.
-    parsed = lines.select(
-        *lines.columns, F.explode_outer(F.array(status)).alias("parse_status")
-    ).withColumn("_doc", F.from_json(text, EVENT_FIELDS, _OPTIONS))
-    fields = {f.name: F.col(f"_doc.{f.name}") for f in EVENT_FIELDS.fields}
+    wanted = EVENT_FIELDS
+    if only is not None:
+        names = {*only, *_ALWAYS}
+        wanted = T.StructType([f for f in EVENT_FIELDS.fields if f.name in names])
+    plugin = dialect == "openclaw"
+    read = T.StructType([*wanted.fields, *(T.StructField(n, T.StringType()) for n in _PLUGIN if plugin)])
+    # Boxed in a list, so that text after the first document is an error too;
+    # status and document come from one parse.
+    boxed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), T.ArrayType(read), _OPTIONS)
+    docs = F.when(F.startswith(text, F.lit("{")), boxed)
+    once = made_once(lines, lines.columns, {"_blank": ~has_text(F.col(raw)), "_docs": docs})
+    status = F.when(F.col("_blank"), "blank").when(F.size("_docs") == 1, "ok").otherwise("malformed")
+    parsed = once.select(*lines.columns, status.alias("parse_status"), F.when(status == "ok", F.get("_docs", F.lit(0))).alias("_doc"))
+    fields = {f.name: F.col(f"_doc.{f.name}") for f in wanted.fields}
     fields["hook_event_name"] = F.coalesce(fields["hook_event_name"], F.lit(""))
-    if dialect == "openclaw":
+    if plugin:
         fields["hook_event_name"] = F.lit("before_tool_call")
-        fields["tool_name"] = F.get_json_object(text, "$.toolName")
-        fields["tool_input"] = F.coalesce(F.get_json_object(text, "$.params"), F.lit("{}"))
-        fields["session_key"] = F.get_json_object(text, "$.sessionKey")
+        fields["tool_name"] = F.col("_doc.toolName")
+        fields["tool_input"] = F.coalesce("_doc.params", F.lit("{}"))
+        fields["session_key"] = F.col("_doc.sessionKey")
     file_time = F.col(_FILE_TIME) if _FILE_TIME in lines.columns else F.lit(None).cast("timestamp")
     given = set(lines.columns)
     time = F.col("received_at") if "received_at" in given else F.coalesce(
@@ -93,10 +103,10 @@ def parse_hook_events(lines: DataFrame, dialect: str, raw: str = "raw") -> DataF
         "session": F.coalesce(
             fields["session_id"], fields["conversation_id"], fields["session_key"], F.lit("")
         ),
-        "seq": F.coalesce(own_seq, F.unix_micros(time)),
+        "seq": F.coalesce(own_seq, F.col(_PLACE) if _PLACE in given else F.unix_micros(time)),
     }
     fields |= {name: value for name, value in added.items() if name not in given}
-    kept = [c for c in lines.columns if c not in fields and c != _FILE_TIME]
+    kept = [c for c in lines.columns if c not in fields and c not in (_FILE_TIME, _PLACE)]
     return parsed.select(
         *kept, "parse_status", F.lit(dialect).alias("dialect"),
         *[value.alias(name) for name, value in fields.items()],
@@ -120,22 +130,25 @@ def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _lines(frame: DataFrame) -> DataFrame:
-    """Text lines with an id made from the file and the line, stable over retries.
+    """Lines with an id and an order number made from their place, stable over retries.
 
-    Equal lines of one file are one event: agents that number or time their
-    events never write one.
+    Equal lines are different events: a line is known by its file and first byte.
     """
-    where = F.concat_ws("|", F.col("_metadata.file_path"), F.col("value"))
+    place = F.shiftleft(F.col("file_no").cast("long"), offset_lines.OFFSET_BITS) + F.col("start")
     return frame.select(
-        F.sha2(where, 256).alias("event_uid"),
-        F.col("value").alias("raw"),
-        F.col("_metadata.file_modification_time").alias(_FILE_TIME),
+        F.sha2(F.concat_ws("|", "file", "start"), 256).alias("event_uid"),
+        F.col("line").alias("raw"), place.alias(_PLACE), F.col("file_time").alias(_FILE_TIME),
     )
 
 
-def read_hook_events(spark: SparkSession, path: str, dialect: str) -> DataFrame:
-    return parse_hook_events(_lines(spark.read.text(path)), dialect)
+def read_hook_events(spark: SparkSession, path: str, dialect: str, **options) -> DataFrame:
+    """Events of log files, parsed; lines without a number of their own keep the order of the files."""
+    offset_lines.register(spark)
+    return parse_hook_events(_lines(spark.read.format(offset_lines.NAME).options(**options).load(path)), dialect)
 
 
-def stream_hook_events(spark: SparkSession, path: str, dialect: str, **options) -> DataFrame:
-    return parse_hook_events(_lines(spark.readStream.options(**options).text(path)), dialect)
+def stream_hook_events(spark: SparkSession, path: str, dialect: str, numbers: str, **options) -> DataFrame:
+    """The same as a stream; ``numbers`` is a folder that only this stream uses."""
+    offset_lines.register(spark)
+    lines = spark.readStream.format(offset_lines.NAME).options(numbers=numbers, **options).load(path)
+    return parse_hook_events(_lines(lines), dialect)
