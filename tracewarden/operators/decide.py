@@ -16,8 +16,10 @@ from ..functions.text import (
     has_text_sql, in_sql, json_field_sql, json_object_sql, json_value_sql, let, or_empty, quoted,
 )
 from ..sources.hook_events import with_event_columns
+from .asof import versions_at
 from .detect import scan_files
-from .lineage import explode_paths, findings_of_reads
+from .lineage import explode_paths, findings_of_reads, summed_findings
+from .once import made_once
 
 
 @dataclass(frozen=True)
@@ -198,16 +200,19 @@ def _with_text_signals(events: DataFrame) -> DataFrame:
     """Thin rows: verdict parts that need nothing but the event itself."""
     hits = secrets.hits_sql("t.text")
     found = f"filter(transform(_texts, t -> named_struct('label', t.label, 'hits', {hits})), f -> size(f.hits) > 0)"
-    staged = events.withColumn("_texts", scannable_texts()).select(
-        "event_uid", "dialect", "event_name", "tool_name",
-        F.expr(found).alias("_found"),
-        _policy().alias("_policy"),
-        F.when(F.expr(_PLUGIN_SHELL), pii.contains_pii(F.col("_command"))).alias("_pii_command"),
-        F.when(F.expr(_PLUGIN), secrets.rule_hits(F.col("tool_input"))).alias("_param_hits"),
-        F.when(F.expr(_PLUGIN), pii.contains_pii(F.col("tool_input"))).alias("_pii_params"),
+    keys = ["event_uid", "dialect", "event_name", "tool_name"]
+    scanned = made_once(
+        events.withColumn("_texts", scannable_texts()), keys,
+        {
+            "_found": F.expr(found),
+            "_policy": _policy(),
+            "_pii_command": F.when(F.expr(_PLUGIN_SHELL), pii.contains_pii(F.col("_command"))),
+            "_param_hits": F.when(F.expr(_PLUGIN), secrets.rule_hits(F.col("tool_input"))),
+            "_pii_params": F.when(F.expr(_PLUGIN), pii.contains_pii(F.col("tool_input"))),
+        },
     )
     lines = secrets.lines_sql("f.hits", "f.label")
-    return staged.selectExpr(
+    return scanned.selectExpr(
         "event_uid", "dialect", "event_name", "tool_name",
         "_policy.severity AS severity",
         "_policy.reason AS policy_reason",
@@ -220,7 +225,7 @@ def _with_text_signals(events: DataFrame) -> DataFrame:
 
 
 def _looks_up() -> Column:
-    """Events whose verdict may depend on files; the others never meet the files."""
+    """Events whose verdict may depend on files; the paths of no others are looked up."""
     reads = [
         _CLAUDE_SHELL, _SHELL_EVENT, _PLUGIN_SHELL,
         f"{_PRE} AND {in_sql('tool_name', rules.SECRET_READ_TOOLS)}",
@@ -230,6 +235,9 @@ def _looks_up() -> Column:
     return F.coalesce(F.expr(" OR ".join(f"({test})" for test in reads)), F.lit(False))
 
 
+_NEVER = "9999-01-01"
+
+
 def _without_files(own: DataFrame) -> DataFrame:
     return own.withColumn("file_n", F.lit(0)).withColumn(
         "file_lines", F.array().cast("array<string>")
@@ -248,16 +256,24 @@ def signals(
         file_hits = scan_files(files)
     if file_hits is None:
         return _without_files(_with_text_signals(ready))
+    # Only events with a path to look up meet the files, and only those whose files hold findings are left to join.
+    paths_of = _lookup_paths(home, default_dir)
     looking = ready.where(_looks_up())
-    reads = explode_paths(looking, ["event_uid"], _lookup_paths(home, default_dir))
-    summary = findings_of_reads(reads.drop("ordinal"), file_hits, "event_uid")
-    joined = _with_text_signals(looking).join(summary, "event_uid", "left").withColumns(
+    if "valid_from" in file_hits.columns:
+        # An event without a time is judged by the newest version.
+        at = F.coalesce("received_at", F.lit(_NEVER).cast("timestamp"))
+        reads = explode_paths(looking.withColumn("at", at), ["event_uid", "at"], paths_of)
+        held = versions_at(reads.drop("ordinal"), file_hits).where("n_findings > 0")
+        summary = summed_findings(held.select("event_uid", "path", "n_findings", "lines"), "event_uid")
+    else:
+        reads = explode_paths(looking, ["event_uid"], paths_of)
+        summary = findings_of_reads(reads.drop("ordinal"), file_hits, "event_uid")
+    return _with_text_signals(ready).join(summary, "event_uid", "left").withColumns(
         {
             "file_n": F.coalesce("file_n", F.lit(0)),
             "file_lines": F.coalesce("file_lines", F.array().cast("array<string>")),
         }
     )
-    return _without_files(_with_text_signals(ready.where(~_looks_up()))).unionByName(joined)
 
 
 def _outcome(action: str, context: str | None, message: str, n: str) -> str:
@@ -387,10 +403,13 @@ def decide(
     """Decisions for events of all dialects.  Stop events are in ``stopscan``.
 
     ``file_hits`` is a stored result of ``scan_files``; with it the contents in
-    ``files`` are not read again.
+    ``files`` are not read again.  With the versions of ``scan_versions`` every
+    event is judged by what its files held at its own time.
     """
-    judged = signals(events, files, home, default_dir, file_hits).withColumn("_verdict", _verdict())
-    flat = judged.select("event_uid", "dialect", "event_name", "_verdict.*")
+    judged = signals(events, files, home, default_dir, file_hits)
+    flat = made_once(judged, ["event_uid", "dialect", "event_name"], {"_verdict": _verdict()}).select(
+        "event_uid", "dialect", "event_name", "_verdict.*"
+    )
     answered = flat.withColumn("shown", F.expr(_SHOWN)).withColumn("response", _response())
     exit_code = F.expr("if(dialect = 'cursor' AND action = 'block', 2, 0)")
     return answered.withColumn("exit_code", exit_code).select(

@@ -59,6 +59,19 @@ def scan_files(files: DataFrame) -> DataFrame:
     return scanned.where(F.col("found").isNotNull()).select("path", "found.*")
 
 
+def scan_versions(versions: DataFrame) -> DataFrame:
+    """``path, valid_from, n_findings, lines`` of every version of every file, clean ones too.
+
+    ``versions`` has ``path, valid_from, content``; a clean version ends what the one before it held.
+    """
+    hits = F.expr(f"array({secrets.hits_sql('content')})")
+    once = versions.select("path", "valid_from", F.explode_outer(hits).alias("h"))
+    return once.selectExpr(
+        "path", "valid_from", "coalesce(aggregate(h, 0, (a, x) -> a + x.n), 0) AS n_findings",
+        f"coalesce({secrets.lines_sql('h', 'path')}, cast(array() AS array<string>)) AS lines",
+    )
+
+
 def redact(findings: DataFrame, value: str = "value") -> DataFrame:
     """Replace a raw value by its mask and its digest."""
     return findings.withColumns(

@@ -40,7 +40,11 @@ def findings_of_reads(reads: DataFrame, file_hits: DataFrame, key: str) -> DataF
 
     ``reads`` has ``key, path``.  A group is one event, bounded by its command.
     """
-    joined = reads.join(file_hits, "path")
+    return summed_findings(reads.join(file_hits, "path"), key)
+
+
+def summed_findings(joined: DataFrame, key: str) -> DataFrame:
+    """The same from ``key, path, n_findings, lines`` of the files that were read."""
     # A set, so that an event delivered twice counts its files once.
     per_event = joined.groupBy(key).agg(
         F.collect_set(F.struct("path", "n_findings", "lines")).alias("found")

@@ -49,6 +49,28 @@ def running_count(
     return cut.join(before, [key, _CHUNK]).withColumn(name, count).drop(_CHUNK, "_flag", "_before")
 
 
+def running_max(
+    rows: DataFrame, key: str, order: str, value: Column, name: str, chunk: int = DEFAULT_CHUNK, own: bool = False
+) -> DataFrame:
+    """Add the largest value of the same key's rows before, and with ``own`` of the row itself; NULL if there is none.
+
+    Any ordered type will do: with structs that begin with a time it is the last value before.
+    """
+    cut = _with_chunk(rows, order, chunk).withColumn("_value", value)
+    tops = cut.groupBy(key, _CHUNK).agg(F.max("_value").alias("_top")).withColumn(_GROUP, _group())
+
+    def earlier(*by: str, order_by: str) -> Column:
+        return F.max("_top").over(Window.partitionBy(*by).orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1))
+
+    groups = tops.groupBy(key, _GROUP).agg(F.max("_top").alias("_top"))
+    groups = groups.select(key, _GROUP, earlier(key, order_by=_GROUP).alias("_groups"))
+    chunks = tops.select(key, _GROUP, _CHUNK, earlier(key, _GROUP, order_by=_CHUNK).alias("_chunks"))
+    before = chunks.join(groups, [key, _GROUP]).select(key, _CHUNK, F.greatest("_groups", "_chunks").alias("_before"))
+    inside = Window.partitionBy(key, _CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    best = F.greatest("_before", F.max("_value").over(inside))
+    return cut.join(before, [key, _CHUNK]).withColumn(name, best).drop(_CHUNK, "_value", "_before")
+
+
 def next_value(
     rows: DataFrame, key: str, order: str, value: str, name: str, chunk: int = DEFAULT_CHUNK
 ) -> DataFrame:
