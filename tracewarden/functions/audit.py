@@ -73,6 +73,16 @@ def range_positions(edits: Column, content: Column) -> Column:
     return let(both, f"b -> cast(transform({kept}, e -> {_POSITION}) AS {RANGES})")
 
 
+def has_range(edit: Column) -> Column:
+    """Whether an edit brings its own range."""
+    ends = (edit["range"]["start_line_number"], edit["range"]["end_line_number"])
+    return (F.coalesce(ends[0], F.lit(0)) != 0) & (F.coalesce(ends[1], F.lit(0)) != 0)
+
+
+def line_count(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+
 def ranges_or_default(ranges: Column) -> Column:
     """``[{1, 1}]`` when there are no ranges."""
     top = F.array(F.struct(F.lit(1).alias("start_line"), F.lit(1).alias("end_line"))).cast(RANGES)

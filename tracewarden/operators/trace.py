@@ -17,6 +17,7 @@ from ..functions.text import (
     in_sql, json_field_sql, json_number_sql, json_object_sql, json_value_sql, or_empty, quoted,
 )
 from ..sources.hook_events import EVENT_FIELDS, with_event_columns
+from .locate import LineIndex, first_lines
 from .stopscan import error_text
 
 SENTINEL_UNKNOWN = ".unknown"
@@ -215,22 +216,42 @@ def _prepared(events: DataFrame) -> DataFrame:
     )
 
 
-def trace_rows(events: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def _located_ranges(edit_rows: DataFrame, edits: Column, index: LineIndex) -> DataFrame:
+    """``event_uid, _ranges`` of events with replacements, the lines found in an index."""
+    kept = F.filter(edits, lambda e: F.coalesce(e["new_string"], F.lit("")) != "")
+    parts = edit_rows.select("event_uid", F.col("_path").alias("path"), F.posexplode(kept).alias("at", "edit"))
+    parts = parts.withColumn("text", F.when(~audit.has_range(F.col("edit")), F.col("edit.new_string")))
+    found = first_lines(parts.where("text is not null"), index)
+    line = F.coalesce("line", F.lit(1))
+    given = F.col("edit.range")
+    span = F.when(
+        F.col("text").isNull(),
+        F.struct(given["start_line_number"].alias("start_line"), given["end_line_number"].alias("end_line")),
+    ).otherwise(F.struct(line.alias("start_line"), (line + audit.line_count(F.col("text")) - 1).alias("end_line")))
+    placed = parts.join(found, ["path", "text"], "left").select("event_uid", "at", span.alias("span"))
+    # An event's edits, as many as its own list holds.
+    whole = placed.groupBy("event_uid").agg(F.array_sort(F.collect_set(F.struct("at", "span"))).alias("parts"))
+    return whole.select("event_uid", F.transform("parts", lambda p: p["span"]).cast(audit.RANGES).alias("_ranges"))
+
+
+def trace_rows(events: DataFrame, files: DataFrame | None = None, index: LineIndex | None = None) -> DataFrame:
     """Flat traces: one row per traced event, ranges as an array.
 
     Edit events look up the content of their file.  The join is on the path
     without salt copies, as contents are wide; AQE splits a hot path on the
-    event side.
+    event side.  With an ``index`` of the files no contents are read: edits
+    meet the lines that may hold them.
     """
     table = handlers()
     ready = _prepared(events)
     edits = [h for h in table if h.edit]
     plain = [h for h in table if not h.edit]
+    placed = [c for c in ("session", "seq") if c in ready.columns]
 
     def shaped(rows: DataFrame, chosen: list[Handler], ranges: Column) -> DataFrame:
         linked = _any([h for h in chosen if h.linked])
         return rows.where(_any(chosen)).select(
-            "event_uid", "dialect", "event_name", "received_at", "tool_version",
+            "event_uid", "dialect", "event_name", "received_at", "tool_version", *placed,
             _pick(chosen, lambda h: h.path).alias("path"),
             _pick(chosen, lambda h: h.contributor).alias("contributor_type"),
             audit.normalize_model_id(F.col("model")).alias("model_id"),
@@ -247,7 +268,11 @@ def trace_rows(events: DataFrame, files: DataFrame | None = None) -> DataFrame:
     without_content = audit.range_positions(_edits(table), F.lit(None).cast("string"))
     whole = F.expr(_any([h for h in plain if h.whole_edits]))
     rest = shaped(ready, plain, audit.ranges_or_default(F.when(whole, without_content)))
-    if files is None:
+    if index is not None:
+        found = ready.where(_any(edits)).withColumn("_path", _pick(edits, lambda h: h.path))
+        edit_rows = found.join(_located_ranges(found, _edits(table), index), "event_uid", "left")
+        ranges = F.col("_ranges")
+    elif files is None:
         edit_rows, ranges = ready, without_content
     else:
         contents = files.select(F.col("path").alias("_path"), F.col("content").alias("_content"))
