@@ -106,14 +106,15 @@ BRANCHES = {
     "cursor_prompt": Branch(
         "cursor", "'beforeSubmitPrompt'", "turns", "uid",
         {"prompt": "CASE WHEN turn % 3 = 0 THEN concat('Review the findings: ', text) ELSE text END",
-         "model": "'gpt-4'"},
+         "model": "'gpt-4'", "attachment": "CASE WHEN turn % 2 = 0 THEN concat('notes', cast(turn AS string), '.md') END"},
     ),
     "cursor_paste": Branch(
         "cursor", "'beforeSubmitPrompt'", "documents", _DOC_ID, {"prompt": "text", "model": "''"}
     ),
     "cursor_before_read": Branch(
         "cursor", "'beforeReadFile'", "files", _DOC_ID,
-        {**_DOC, "content": "CASE WHEN doc_id % 2 = 0 THEN content ELSE ' ' END"},
+        {**_DOC, "content": "CASE WHEN doc_id % 2 = 0 THEN content ELSE ' ' END",
+         "attachment": "CASE doc_id % 3 WHEN 0 THEN concat('{{\"file_path\":\"', path, '\"}}') WHEN 1 THEN 'say \"hi\"' END"},
     ),
     "cursor_after_edit": Branch(
         "cursor", "'afterFileEdit'", "files", _DOC_ID,
@@ -142,6 +143,20 @@ BRANCHES = {
         {"text": "text", "model": "'gpt-4'", "session_id": "cast(conv_id AS string)",
          "composer_mode": "'agent'", "duration_ms": "cast(turn AS double)"},
     ),
+    "cursor_session": Branch(
+        "cursor",
+        "CASE kind WHEN 'stop' THEN 'sessionEnd' WHEN 'start' THEN 'subagentStart' WHEN 'failure' THEN 'subagentStop' "
+        "ELSE 'preCompact' END",
+        "activity", _string("seq"),
+        {"session_id": _string("session"), "conversation_id": "concat('c', cast(session AS string))", "model": "'o3'",
+         "reason": "CASE WHEN seq % 2 = 0 THEN 'user \"quit\"' END", "duration_ms": "value", "duration": "value",
+         "subagent_type": "CASE WHEN seq % 3 = 0 THEN 'explore' ELSE 'general' END", "prompt": "concat('look at ', path)",
+         "status": "CASE WHEN seq % 5 = 0 THEN 'error' ELSE 'completed' END",
+         "agent_transcript_path": "CASE WHEN seq % 4 = 0 THEN concat('/t/', cast(seq AS string), '.jsonl') END",
+         "trigger": "'auto'", "context_usage_percent": "value", "context_tokens": "seq * 10",
+         "context_window_size": "200000", "message_count": "seq % 50", "messages_to_compact": "seq % 7",
+         "is_first_compaction": "seq % 2 = 1", "received_at": "ts", "session": "session", "seq": "seq"},
+    ),
     "openclaw_before_tool": Branch(
         "openclaw", "'before_tool_call'", "tool_calls", _ID,
         {"tool_name": _PLUGIN_TOOL, "tool_input": _PLUGIN_INPUT, "received_at": "ts"},
@@ -166,6 +181,8 @@ def _event_rows(spark: SparkSession, sf_dir: str, name: str, given: Given) -> Da
     sql = dict(branch.columns)
     if "workspace_root" in sql:
         sql["workspace_roots"] = f"array({sql.pop('workspace_root')})"
+    if "attachment" in sql:
+        sql["attachments"] = f"array_compact(array({sql.pop('attachment')}))"
     if "new_string" in sql:
         sql["edits"] = (
             f"array(named_struct('old_string', '', 'new_string', {sql.pop('new_string')}, 'range', "

@@ -10,7 +10,7 @@ from __future__ import annotations
 from ..functions import rules
 from ..operators.trace import PARSE_ERROR
 from .branches import BRANCHES, branch_sql
-from .registry import DECISIONS, DEFAULT_DIR, DIALECTS, HOME, PROJECT
+from .registry import DECISIONS, DEFAULT_DIR, DIALECTS, HOME, PAIR_LATE, PAIR_WITHIN, PAUSE, PROJECT, SPAN_LATE
 from .views import view_sql
 
 CHECKS: dict[str, str] = {}
@@ -462,10 +462,12 @@ _file_hits = (
 )
 
 
-def file_sums(reads: str, key: str) -> str:
+def file_sums(reads: str, key: str, more: str = "") -> str:
     return (
         f"SELECT {key}, CAST(sum(n_findings) AS INT) AS file_n, flatten(list(lines)) AS file_lines "
-        f"FROM ({reads}) r JOIN ({_file_hits}) h ON h.path = r.path GROUP BY {key}"
+        f"FROM ({reads}) r JOIN ({more or _file_hits}) h ON h.path = r.path"
+        + (" AND r.at >= h.valid_from AND (h.valid_to IS NULL OR r.at < h.valid_to)" if more else "")
+        + f" GROUP BY {key}"
     )
 
 
@@ -580,10 +582,10 @@ CHECKS["cursor_after_mcp"] = _secret_check(
 )
 
 
-def _with_file_sums(own: str, reads: str) -> str:
+def _with_file_sums(own: str, reads: str, versions: str = "") -> str:
     return (
         "SELECT o.*, coalesce(s.file_n, 0) AS file_n, coalesce(s.file_lines, []) AS file_lines "
-        f"FROM ({own}) o LEFT JOIN ({file_sums(reads, 'event_uid')}) s ON s.event_uid = o.event_uid"
+        f"FROM ({own}) o LEFT JOIN ({file_sums(reads, 'event_uid', versions)}) s ON s.event_uid = o.event_uid"
     )
 
 
@@ -629,6 +631,51 @@ _shell = (
     "SELECT event_uid, event_name, command, coalesce(nullif(trim(cwd), ''), workspace_root) AS cwd "
     f"FROM {_b('cursor_before_shell')}"
 )
+
+
+def _shell_decision(reads: str, versions: str = "") -> str:
+    judged = (
+        "SELECT event_uid, event_name, b, w, n + file_n AS n, list_concat(lines, file_lines) AS lines FROM "
+        "(" + _with_file_sums(
+            f"SELECT *, {dangerous('command')} AS b, {sensitive('command')} AS w FROM "
+            f"({_scanned(_shell, ('command', lit('[shell command]')))}) z",
+            reads, versions,
+        ) + ") y"
+    )
+    return _decision(
+        judged, f"CASE WHEN n > 0 THEN 'block' ELSE {_policy_action} END",
+        "CASE WHEN n > 0 THEN 'secret_detected_before_read' END",
+        f"CASE WHEN n > 0 THEN {message('SECRET DETECTED (file read blocked)', 'lines')} ELSE coalesce(b, w) END",
+        _cursor("permission").replace("shown", _SHOWN), "CASE action WHEN 'block' THEN 2 ELSE 0 END", "n",
+    )
+
+
+_shell_reads = read_paths(_shell, "event_uid")
+CHECKS["cursor_before_shell"] = _shell_decision(_shell_reads)
+_version_hits = (
+    f"SELECT * FROM (SELECT path, valid_from, lead(valid_from) OVER (PARTITION BY path ORDER BY valid_from) AS valid_to, "
+    f"{secret_count('content')} AS n_findings, {secret_lines('content', 'path')} AS lines FROM {_v('file_versions')}) vh "
+    "WHERE n_findings > 0"
+)
+CHECKS["decisions_as_of"] = _shell_decision(
+    f"SELECT p.event_uid, p.path, b.received_at AS at FROM ({_shell_reads}) p JOIN (SELECT event_uid, received_at FROM "
+    f"{_b('cursor_before_shell')}) b ON b.event_uid = p.event_uid",
+    _version_hits,
+)
+_pre = f"SELECT event_uid, event_name, tool_name, tool_input FROM {_b('cursor_pre_tool')}"
+_cursor_judged = (
+    f"SELECT t.*, b, w FROM ({_cursor_pre}) t JOIN ({tool_verdict(_cursor_pre, 'event_uid')}) v "
+    "ON v.event_uid = t.event_uid"
+)
+_policy_action = "CASE WHEN b IS NOT NULL THEN 'block' WHEN w IS NOT NULL THEN 'warn' ELSE 'allow' END"
+CHECKS["cursor_pre_tool"] = _decision(
+    _cursor_judged, _policy_action, "CAST(NULL AS VARCHAR)", "tool_name || ' - ' || coalesce(b, w)",
+    _cursor("decision").replace("shown", _SHOWN), "CASE action WHEN 'block' THEN 2 ELSE 0 END", "0",
+)
+_shell = (
+    "SELECT event_uid, event_name, command, coalesce(nullif(trim(cwd), ''), workspace_root) AS cwd "
+    f"FROM {_b('cursor_before_shell')}"
+)
 _shell_all = (
     "SELECT event_uid, event_name, b, w, n + file_n AS n, list_concat(lines, file_lines) AS lines FROM "
     "(" + _with_file_sums(
@@ -764,12 +811,15 @@ _raw_status = (
 )
 CHECKS["malformed_split"] = (
     "SELECT event_id, dialect, parse_status, CASE WHEN dialect = 'cursor' THEN '{\"permission\":\"allow\"}' END AS response, "
-    f"0 AS exit_code FROM ({_raw_status}) r, (VALUES ('claude'), ('cursor')) d(dialect) WHERE parse_status <> 'ok'"
+    f"0 AS exit_code FROM ({_raw_status}) r, (VALUES ('claude'), ('cursor'), ('openclaw')) d(dialect) WHERE parse_status <> 'ok'"
 )
+_plugin = "dialect = 'openclaw'"
 CHECKS["read_hook_events"] = (
-    "SELECT event_id, raw->>'$.hook_event_name' AS hook_event_name, raw->>'$.tool_name' AS tool_name, "
-    "CAST(json_extract(raw, '$.tool_input') AS VARCHAR) AS tool_input, CAST(raw->>'$.duration' AS DOUBLE) AS duration "
-    f"FROM ({_raw_status}) r WHERE parse_status = 'ok'"
+    f"SELECT event_id, dialect, CASE WHEN {_plugin} THEN 'before_tool_call' ELSE coalesce(raw->>'$.hook_event_name', '') END "
+    f"AS hook_event_name, CASE WHEN {_plugin} THEN raw->>'$.toolName' ELSE raw->>'$.tool_name' END AS tool_name, "
+    f"CASE WHEN {_plugin} THEN coalesce(CAST(json_extract(raw, '$.params') AS VARCHAR), '{{}}') "
+    "ELSE CAST(json_extract(raw, '$.tool_input') AS VARCHAR) END AS tool_input, CAST(raw->>'$.duration' AS DOUBLE) AS duration "
+    f"FROM ({_raw_status}) r, (VALUES ('claude'), ('cursor'), ('openclaw')) d(dialect) WHERE parse_status = 'ok'"
 )
 
 # --- edited files and stop scans ------------------------------------------------------
@@ -929,6 +979,13 @@ CHECKS["log_traces"] = (
     f"FROM {_v('activity')} WHERE kind <> 'stop'"
 )
 
+CHECKS["plain_log_traces"] = f"SELECT event_name, path, model_id, metadata, spans FROM ({CHECKS['log_traces']}) p"
+CHECKS["plain_log_edited_set"] = (
+    "SELECT CAST(session AS VARCHAR) AS session, epoch, path, CAST(row_number() OVER (PARTITION BY session, epoch "
+    f"ORDER BY first_seq) AS INT) AS position FROM ({_set}) s"
+)
+CHECKS["plain_log_stop_status"] = CHECKS["log_stop_status"]
+
 # --- traces -----------------------------------------------------------------------------
 
 
@@ -962,12 +1019,17 @@ def _event(name: str) -> tuple[str, str]:
 
 
 _FOLLOWUP = "(" + " OR ".join(f"contains(lower(prompt), {lit(p)})" for p in rules.FOLLOWUP_PHRASES) + ")"
-_PROMPT_META = [
-    _event("prompt_submission_attempt"), ("prompt_length", "CAST(length(prompt) AS VARCHAR)"),
-    ("has_attachments", "'false'"), ("attachment_count", "'0'"),
-    ("source", f"CASE WHEN {_FOLLOWUP} THEN {lit(chr(34) + rules.PRODUCER + chr(34))} END"),
-    ("source_hook", f"CASE WHEN {_FOLLOWUP} THEN '\"stop\"' END"),
-]
+def _prompt_meta(attached: str) -> str:
+    return js_object([
+        _event("prompt_submission_attempt"), ("prompt_length", "CAST(length(prompt) AS VARCHAR)"),
+        ("has_attachments", f"CASE WHEN {attached} THEN 'true' ELSE 'false' END"),
+        ("attachment_count", f"CASE WHEN {attached} THEN '1' ELSE '0' END"),
+        ("source", f"CASE WHEN {_FOLLOWUP} THEN {lit(chr(34) + rules.PRODUCER + chr(34))} END"),
+        ("source_hook", f"CASE WHEN {_FOLLOWUP} THEN '\"stop\"' END"),
+    ])
+
+
+_ATTACHED = "attachment IS NOT NULL"
 _CONV = [("conversation_id", js("conversation_id")), ("generation_id", js("generation_id"))]
 _ATTEMPT = [
     _event("tool_use_attempt"), *_TOOL_META, ("tool_input", "tool_input"), ("cwd", js("cwd")),
@@ -1011,12 +1073,14 @@ _TRACES: dict[str, tuple[str, str, str]] = {
         "'.mcp-executions'", "'ai'",
         js_object([_event("mcp_execution_attempt"), ("tool_name", js("tool_name")), ("tool_input", "tool_input"),
                    ("url", js("url")), ("command", js("command"))])),
-    "cursor_prompt": ("'.prompts'", f"CASE WHEN {_FOLLOWUP} THEN 'ai' ELSE 'human' END", js_object(_PROMPT_META)),
-    "cursor_paste": ("'.prompts'", f"CASE WHEN {_FOLLOWUP} THEN 'ai' ELSE 'human' END", js_object(_PROMPT_META)),
+    "cursor_prompt": ("'.prompts'", f"CASE WHEN {_FOLLOWUP} THEN 'ai' ELSE 'human' END", _prompt_meta(_ATTACHED)),
+    "cursor_paste": ("'.prompts'", f"CASE WHEN {_FOLLOWUP} THEN 'ai' ELSE 'human' END", _prompt_meta("false")),
     "cursor_before_read": (
         "'.file-reads'", "'ai'",
-        js_object([_event("file_read_attempt"), ("file_path", js("file_path")), ("has_attachments", "'false'"),
-                   ("attachments", "'[]'")])),
+        js_object([_event("file_read_attempt"), ("file_path", js("file_path")),
+                   ("has_attachments", f"CASE WHEN {_ATTACHED} THEN 'true' ELSE 'false' END"),
+                   ("attachments", "CASE WHEN attachment IS NULL THEN '[]' WHEN starts_with(attachment, '{') "
+                                   f"THEN '[' || attachment || ']' ELSE '[' || {js('attachment')} || ']' END")])),
     "cursor_after_edit": ("file_path", "'ai'", js_object(_CONV)),
     "cursor_tab_edit": ("file_path", "'ai'", js_object(_CONV)),
     "cursor_after_shell": (
@@ -1031,6 +1095,23 @@ _TRACES: dict[str, tuple[str, str, str]] = {
             [_event("session_start"), ("session_id", js("session_id")), ("composer_mode", js("composer_mode"))])
         + " WHEN 'afterAgentResponse' THEN " + js_object([_event("agent_response"), _TEXT_LEN])
         + " ELSE " + js_object([_event("agent_thought"), _TEXT_LEN, ("duration_ms", js_num("duration_ms"))]) + " END"),
+    "cursor_session": (
+        "CASE event_name WHEN 'sessionEnd' THEN '.sessions' WHEN 'preCompact' THEN '.context-compactions' ELSE '.subagents' END",
+        "'ai'",
+        "CASE event_name WHEN 'sessionEnd' THEN " + js_object(
+            [_event("session_end"), ("session_id", js("session_id")), ("conversation_id", js("conversation_id")),
+             ("reason", js("reason")), ("duration_ms", js_num("duration_ms"))])
+        + " WHEN 'subagentStart' THEN " + js_object(
+            [_event("subagent_start"), ("subagent_type", js("subagent_type")), ("prompt", js("prompt"))])
+        + " WHEN 'subagentStop' THEN " + js_object(
+            [_event("subagent_stop"), ("subagent_type", js("subagent_type")), ("status", js("status")), _DUR,
+             ("agent_transcript_path", js("agent_transcript_path"))])
+        + " ELSE " + js_object(
+            [_event("context_compaction"), ("trigger", js('"trigger"')),
+             ("context_usage_percent", js_num("context_usage_percent")), ("context_tokens", "CAST(context_tokens AS VARCHAR)"),
+             ("context_window_size", "CAST(context_window_size AS VARCHAR)"), ("message_count", "CAST(message_count AS VARCHAR)"),
+             ("messages_to_compact", "CAST(messages_to_compact AS VARCHAR)"),
+             ("is_first_compaction", "CASE WHEN is_first_compaction THEN 'true' ELSE 'false' END")]) + " END"),
 }
 
 
@@ -1117,12 +1198,14 @@ CHECKS["stop_records"] = (
     f"url, metadata, strftime(ts, '%Y-%m-%d %H:%M:%S') AS received FROM ({_every_stop}) e"
 )
 CHECKS["model_ids"] = f"SELECT event_id, {model_id('model')} AS model_id FROM {_v('tool_calls')}"
-CHECKS["tool_info"] = " UNION ALL ".join([
-    f"SELECT event_uid, 'claude-code' AS tool, CAST(NULL AS VARCHAR) AS version FROM {_b('claude_pre_tool')}",
-    f"SELECT event_uid, CASE WHEN tool_name = 'Bash' THEN 'cursor' ELSE {lit(rules.PRODUCER)} END, "
-    f"CASE WHEN tool_name = 'Bash' THEN '1.7' ELSE {lit(rules.PRODUCER_VERSION)} END FROM {_b('cursor_pre_tool')}",
-    f"SELECT event_uid, {lit(rules.PRODUCER)}, {lit(rules.PRODUCER_VERSION)} FROM {_b('openclaw_before_tool')}",
-])
+_bash = "dialect = 'cursor' AND coalesce(tool_name, '') = 'Bash'"
+CHECKS["tool_info"] = " UNION ALL ".join(
+    f"SELECT event_uid, CASE WHEN {_bash} THEN 'cursor' WHEN dialect = 'claude' THEN 'claude-code' "
+    f"ELSE {lit(rules.PRODUCER)} END AS tool, CASE WHEN {_bash} THEN '1.7' WHEN dialect = 'claude' THEN CAST(NULL AS VARCHAR) "
+    f"ELSE {lit(rules.PRODUCER_VERSION)} END AS version FROM (SELECT event_uid, dialect, {_has(n, 'tool_name')} AS tool_name "
+    f"FROM {_b(n)}) ti_{n}"
+    for n in BRANCHES
+)
 
 
 def _relative(full: str, root: list[str]) -> str:
@@ -1172,10 +1255,49 @@ CHECKS["failure_top"] = (
     f"SELECT tool_name, failure_type, count(*) AS failures, 0 AS level FROM ({_failures}) f GROUP BY tool_name, failure_type "
     "ORDER BY failures DESC, tool_name, failure_type LIMIT 10"
 )
+_session_of = " UNION ALL ".join(
+    f"SELECT event_uid, CAST(session AS BIGINT) AS session FROM {_b(n)}" for n in BRANCHES if "session" in BRANCHES[n].columns
+)
 CHECKS["contributor_share"] = (
-    "SELECT conv_id AS session, '.prompts' AS path, count(CASE WHEN role = 'user' THEN 1 END) AS human, "
-    f"count(CASE WHEN role <> 'user' THEN 1 END) AS ai FROM {_v('turns')} GROUP BY conv_id"
+    "SELECT session, path, "
+    + ", ".join(f"count(CASE WHEN contributor_type = '{k}' THEN 1 END) AS {k}" for k in ("human", "ai", "mixed", "unknown"))
+    + f" FROM ({CHECKS['traces_flat']}) t JOIN ({_session_of}) s USING (event_uid) GROUP BY session, path"
+)
+_painted = (
+    "SELECT path, line, arg_max(session, seq) AS session FROM (SELECT path, session, seq, unnest(CASE WHEN seq % 9 > 0 "
+    f"THEN range(seq % 9, seq % 9 + 3) ELSE [1] END) AS line FROM {_v('activity')} WHERE kind = 'edit') l GROUP BY path, line"
+)
+CHECKS["line_ownership"] = (
+    "SELECT path, CAST(session AS VARCHAR) AS session, 'ai' AS contributor_type, count(*) AS lines, "
+    f"count(*) / sum(count(*)) OVER (PARTITION BY path) AS share FROM ({_painted}) p GROUP BY path, session"
+)
+_shares = ", ".join(f"({x})" for x in ("0.0", "0.25", "0.5", "0.95", "1.0"))
+CHECKS["duration_exact"] = (
+    "SELECT tool_name, CAST(share AS DOUBLE) AS share, n, value FROM (SELECT tool_name, share, value, "
+    "row_number() OVER (PARTITION BY tool_name, share ORDER BY value) AS place, count(*) OVER (PARTITION BY tool_name, share) AS n "
+    f"FROM {_v('tool_calls')}, (VALUES {_shares}) s(share)) d WHERE place = greatest(ceil(CAST(share AS DOUBLE) * n), 1)"
+)
+_labelled = (
+    f"SELECT strftime(ts, '%Y-%m-%d') AS day, doc_path AS path, '[shell command]' AS label, command AS text FROM {_v('tool_calls')} "
+    f"UNION ALL SELECT strftime(ts, '%Y-%m-%d'), doc_path, '[tool params]', tool_input FROM {_v('tool_calls')}"
 )
+_hits_by_rule = " UNION ALL ".join(
+    f"SELECT day, path, label, {lit(r[0])} AS rule_id, unnest(regexp_extract_all(text, {_secret_re(r)})) AS hit FROM ({_labelled}) h"
+    for r in rules.SECRET_RULES
+)
+CHECKS["findings_over_days"] = (
+    "SELECT day, rule_id, label, count(*) AS findings, count(DISTINCT hit) AS distinct_values, count(DISTINCT path) AS "
+    f"distinct_files, CAST(grouping(day, rule_id, label) AS INT) AS level FROM ({_hits_by_rule}) f GROUP BY CUBE (day, rule_id, label)"
+)
+_answers = _decided(("claude_pre_tool", "cursor_before_shell", "openclaw_before_tool"), "event_name, response, exit_code")
+CHECKS["written_decisions"] = (
+    f"SELECT dialect, event_name, response, exit_code, count(*) AS events FROM ({_answers}) a GROUP BY ALL"
+)
+CHECKS["read_files"] = (
+    "SELECT 'd' || (doc_id % 20) AS dir, CAST(sum(strlen(coalesce(content, '')) + 1) AS BIGINT) AS n_bytes, "
+    f"CAST(sum(length(coalesce(content, '')) + 1) AS BIGINT) AS n_chars FROM {_v('files')} GROUP BY ALL"
+)
+CHECKS["edit_lines"] = CHECKS["range_positions"]
 CHECKS["flow_edges"] = (
     "SELECT kind, next_kind, count(*) AS n FROM (SELECT kind, lead(kind) OVER (PARTITION BY session ORDER BY seq) "
     f"AS next_kind FROM {_v('activity')}) l WHERE next_kind IS NOT NULL GROUP BY kind, next_kind"
@@ -1215,6 +1337,30 @@ _stop_sets = (
 )
 CHECKS["edited_stream"] = _stop_sets
 CHECKS["edited_stream_keyed"] = _stop_sets
-CHECKS["decision_stream"] = CHECKS["cursor_before_shell"]
+CHECKS["decision_stream"] = _decided(
+    DECISIONS, "event_uid, event_name, action, context, message, response, exit_code, n_findings"
+)
 CHECKS["trace_roundtrip"] = CHECKS["trace_records"]
-CHECKS["trace_stream"] = _records(_trace_select("claude_pre_tool", "*"))
+CHECKS["trace_stream"] = CHECKS["trace_records"]
+CHECKS["stream_equals_batch"] = f"SELECT *, CAST(3 AS BIGINT) AS forms FROM ({_stop_sets}) e"
+_timed = (
+    "SELECT user_id AS session, 't' || event_id AS tool_use_id, ts, event_type, value, ts + to_minutes(CAST(event_id % 32 AS INT)) AS done "
+    "FROM events"
+)
+_pair_mark = (
+    f"(SELECT least(max(ts), max(CASE WHEN event_type <> 'error' THEN done END)) - INTERVAL {PAIR_LATE} FROM ({_timed}) m)"
+)
+CHECKS["tool_pairs_stream"] = (
+    "SELECT session, tool_use_id, in_time AS completed, CASE WHEN in_time THEN value END AS duration_ms FROM (SELECT *, "
+    f"event_type <> 'error' AND done <= ts + INTERVAL {PAIR_WITHIN} AS in_time FROM ({_timed}) c) d "
+    f"WHERE in_time OR ts + INTERVAL {PAIR_WITHIN} < {_pair_mark}"
+)
+_stretches = (
+    "SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL " + PAUSE + " THEN 1 ELSE 0 END) OVER "
+    f"(PARTITION BY session ORDER BY ts) AS stretch FROM (SELECT *, lag(ts) OVER (PARTITION BY session ORDER BY ts) AS before FROM {_v('activity')}) l"
+)
+CHECKS["activity_spans_stream"] = (
+    f"SELECT session, {_time.format('min(ts)')} AS first_ts, {_time.format('max(ts)')} AS last_ts, count(*) AS events, "
+    f"count(CASE WHEN kind = 'stop' THEN 1 END) AS stops FROM ({_stretches}) s GROUP BY session, stretch "
+    f"HAVING max(ts) + INTERVAL {PAUSE} < (SELECT max(ts) - INTERVAL {SPAN_LATE} FROM {_v('activity')})"
+)

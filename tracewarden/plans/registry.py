@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import audit, paths, pii, policy, rules, secrets, shell
 from ..functions.text import unescape_html
 from ..operators import analytics, detect, edited, lineage, stopscan, trace
 from ..operators.decide import READ_HEADING, decide, secret_detections
-from ..sources import hook_events, scan_reports
+from ..operators.locate import LineIndex
+from ..sources import files as file_source, hook_events, scan_reports
+from ..sources.committed import CommittedTable
+from ..sources.decisions import write_decisions
 from ..sources.traces import read_traces, write_traces
-from ..streaming import decisions as decision_streams, edited as edited_streams
+from ..streaming import decisions as decision_streams, edited as edited_streams, pairs, spans
 from .branches import BRANCHES, events_of
 from .session import run_folder
 from .views import table, view
@@ -327,7 +331,7 @@ DECISIONS = {
     "cursor_after_mcp": ["cursor_after_mcp"],
     "cursor_pre_tool": ["cursor_pre_tool"],
     "cursor_before_shell": ["cursor_before_shell"],
-    "cursor_default": ["cursor_response", "cursor_post_tool", "cursor_tab_edit", "cursor_failure"],
+    "cursor_default": ["cursor_response", "cursor_post_tool", "cursor_tab_edit", "cursor_failure", "cursor_session"],
     "openclaw_before_tool": ["openclaw_before_tool"],
 }
 # Events whose verdict depends on the files they read.
@@ -365,28 +369,60 @@ def decisions(spark, sf):
     )
 
 
+@_query
+def decisions_as_of(spark, sf):
+    """Shell commands and reads judged by what the files held at the time of the event."""
+    hits = detect.scan_versions(view(spark, sf, "file_versions"))
+    events = events_of(spark, sf, "cursor_before_shell")
+    return decide(events, None, _home(), _default_dir(), hits).drop("dialect")
+
+
+@_query
+def written_decisions(spark, sf):
+    """Decisions of three dialects written by dialect, read back and counted."""
+    folder = run_folder(spark, "written-decisions")
+    write_decisions(decisions_of(spark, sf, *WRITTEN), folder)
+    answers = spark.read.parquet(folder)
+    return answers.groupBy("dialect", "event_name", "response", "exit_code").agg(F.count(F.lit(1)).alias("events"))
+
+
+WRITTEN = ["claude_pre_tool", "cursor_before_shell", "openclaw_before_tool"]
+
+
 @_query
 def secret_detection_log(spark, sf):
     every = [b for names in DECISIONS.values() for b in names]
     return secret_detections(decisions_of(spark, sf, *every))
 
 
+AGENTS = ("claude", "cursor", "openclaw")
+
+
+def _over_dialects(make: Callable[[str], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [make(dialect) for dialect in AGENTS])
+
+
 @_query
 def malformed_split(spark, sf):
     lines = view(spark, sf, "raw_lines")
-    frames = []
-    for dialect in ("claude", "cursor"):
-        _, bad = hook_events.split_malformed(hook_events.parse_hook_events(lines, dialect))
-        frames.append(bad.select("event_id", "dialect", "parse_status", "response", "exit_code"))
-    return frames[0].unionByName(frames[1])
+
+    def quarantined(dialect: str) -> DataFrame:
+        bad = hook_events.split_malformed(hook_events.parse_hook_events(lines, dialect, only=()))[1]
+        return bad.select("event_id", "dialect", "parse_status", "response", "exit_code")
+
+    return _over_dialects(quarantined)
 
 
 @_query
 def read_hook_events(spark, sf):
-    good, _ = hook_events.split_malformed(
-        hook_events.parse_hook_events(view(spark, sf, "raw_lines"), "cursor")
-    )
-    return good.select("event_id", "hook_event_name", "tool_name", "tool_input", "duration")
+    lines = view(spark, sf, "raw_lines")
+    names = ["hook_event_name", "tool_name", "tool_input", "duration"]
+
+    def good(dialect: str) -> DataFrame:
+        parsed = hook_events.parse_hook_events(lines, dialect, only=names)
+        return hook_events.split_malformed(parsed)[0].select("event_id", "dialect", *names)
+
+    return _over_dialects(good)
 
 
 def _read_log(spark, sf) -> DataFrame:
@@ -429,9 +465,54 @@ def log_stop_status(spark, sf):
     return summary.select("session", "epoch", "status", "n_edited", "n_valid")
 
 
+def _plain_log(spark, sf) -> DataFrame:
+    """Log files without numbers and times, written and read as an agent's log: events are known by their place."""
+    folder = run_folder(spark, "plain-log")
+    view(spark, sf, "plain_log_lines").orderBy("seq").select("raw").write.text(folder)
+    parsed = hook_events.read_hook_events(spark, folder, "cursor", rangeBytes=str(LOG_RANGE))
+    return hook_events.split_malformed(parsed)[0]
+
+
+@_query
+def plain_log_traces(spark, sf):
+    rows = trace.trace_rows(_plain_log(spark, sf), view(spark, sf, "workspace"))
+    spans = F.concat_ws(
+        ";", F.transform("ranges", lambda r: F.concat_ws("-", r["start_line"], r["end_line"]))
+    )
+    return rows.select("event_name", "path", "model_id", "metadata", spans.alias("spans"))
+
+
+def _plain_epochs(spark, sf) -> DataFrame:
+    return edited.with_epochs(trace.edited_files(_plain_log(spark, sf)), LOG_RANGE)
+
+
+@_query
+def plain_log_edited_set(spark, sf):
+    """Edited sets with the place of each path among those of its set."""
+    sets = edited.edited_set(_plain_epochs(spark, sf))
+    order = Window.partitionBy("session", "epoch").orderBy("first_seq")
+    return sets.select("session", "epoch", "path", F.row_number().over(order).alias("position"))
+
+
+@_query
+def plain_log_stop_status(spark, sf):
+    """Stops and reports of a session meet in their order: neither has a number."""
+    epochs = _plain_epochs(spark, sf)
+    in_set = stopscan.with_existing(edited.edited_set(epochs), view(spark, sf, "workspace"), F.lit(PROJECT))
+    stops = epochs.where(F.col("kind") == "stop").select("session", "epoch")
+    order = Window.partitionBy("session").orderBy("seq")
+    reports = view(spark, sf, "stop_reports").withColumns(
+        {"epoch": (F.row_number().over(order) - 1).cast("long"), "session": F.col("session").cast("string")}
+    )
+    summary = stopscan.stop_summary(stops.join(reports, ["session", "epoch"]), in_set)
+    return summary.select("session", "epoch", "status", "n_edited", "n_valid")
+
+
 # --- edited files and stop scans ------------------------------------------------
 
 CHUNK = 2_000
+#: Bytes of a log that one task reads, and of a chunk in which its events are ordered.
+LOG_RANGE = 1 << 20
 
 
 def _edited(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -640,8 +721,7 @@ def model_ids(spark, sf):
 @_query
 def tool_info(spark, sf):
     version = F.when(F.col("tool_name") == "Bash", F.lit("1.7")).otherwise(F.lit(""))
-    rows = events_of(spark, sf, "claude_pre_tool", "cursor_pre_tool", "openclaw_before_tool")
-    info = rows.select("event_uid", audit.tool_info(F.col("dialect"), version).alias("t"))
+    info = _log(spark, sf).select("event_uid", audit.tool_info(F.col("dialect"), version).alias("t"))
     return info.select("event_uid", F.col("t.name").alias("tool"), F.col("t.version").alias("version"))
 
 
@@ -664,6 +744,28 @@ def contributor_attribution(spark, sf):
 # --- reports ------------------------------------------------------------------
 
 
+@_query
+def read_files(spark, sf):
+    """A tree of text files with the texts of the documents, read back file by file and summed by folder."""
+    folder = run_folder(spark, "tree")
+    files = view(spark, sf, "files").select(F.concat(F.lit("d"), F.col("doc_id") % 20).alias("dir"), "content")
+    files.write.partitionBy("dir").text(folder)
+    found = file_source.read_files(spark, folder, "*.txt")
+    name = F.regexp_extract("path", "/dir=([^/]+)/[^/]+$", 1)
+    return found.groupBy(name.alias("dir")).agg(
+        F.sum(F.octet_length("content")).alias("n_bytes"), F.sum(F.length("content")).alias("n_chars")
+    )
+
+
+@_query
+def edit_lines(spark, sf):
+    """Line ranges of all edits from a stored index of lines; no contents are joined."""
+    index = LineIndex.write(view(spark, sf, "files"), run_folder(spark, "line-index"))
+    log = events_of(spark, sf, "cursor_after_edit", "cursor_tab_edit", "claude_post_tool", "cursor_post_tool")
+    spans = trace.trace_rows(log, index=index).select("event_uid", F.posexplode("ranges").alias("ordinal", "span"))
+    return spans.select("event_uid", "ordinal", "span.start_line", "span.end_line")
+
+
 def _calls(spark, sf) -> DataFrame:
     # Agents use ids again: several calls of a session share one.
     return view(spark, sf, "tool_calls").select(
@@ -699,14 +801,41 @@ def failure_top(spark, sf):
 
 @_query
 def contributor_share(spark, sf):
-    turns = view(spark, sf, "turns")
-    kind = F.when(F.col("role") == "user", "human").otherwise("ai")
-    return analytics.contributor_share(
-        turns.select(
-            F.col("conv_id").alias("session"), F.lit(".prompts").alias("path"),
-            kind.alias("contributor_type"),
+    """Records by contributor, from the traces of every event that has a session."""
+    made = _traces(spark, sf).where("session is not null")
+    return analytics.contributor_share(made.select("session", "path", "contributor_type"))
+
+
+@_query
+def line_ownership(spark, sf):
+    """Lines of each file by the session that wrote them last."""
+    made = trace.trace_rows(_read_log(spark, sf), view(spark, sf, "workspace")).where("event_name = 'afterFileEdit'")
+    ranges = made.select("path", "session", "seq", "contributor_type", F.explode("ranges").alias("r"))
+    return analytics.ownership(ranges.select("path", "session", "seq", "contributor_type", "r.*"), ["session", "contributor_type"], "seq", BAND)
+
+
+@_query
+def duration_exact(spark, sf):
+    """Exact percentiles beside the sketch's."""
+    calls = view(spark, sf, "tool_calls").select("tool_name", F.col("value").alias("duration_ms"))
+    return analytics.exact_percentiles(calls, "tool_name", "duration_ms", [0.0, 0.25, 0.5, 0.95, 1.0])
+
+
+@_query
+def findings_over_days(spark, sf):
+    """Findings of commands and tool inputs per day, stored as mergeable rows and merged over every set."""
+    calls = view(spark, sf, "tool_calls")
+    labelled = F.explode(
+        F.array(
+            F.struct(F.lit("[shell command]").alias("label"), F.col("command").alias("text")),
+            F.struct(F.lit("[tool params]").alias("label"), F.col("tool_input").alias("text")),
         )
     )
+    texts = calls.select(F.to_date("ts").alias("day"), F.col("doc_path").alias("path"), labelled.alias("t"))
+    found = detect.secret_findings(texts.select("day", "path", "t.*"), ["day", "path"])
+    folder = run_folder(spark, "daily-findings")
+    analytics.daily_findings(found).write.partitionBy("day").parquet(folder)
+    return analytics.findings_over_days(spark.read.parquet(folder)).withColumn("day", F.col("day").cast("string"))
 
 
 @_query
@@ -744,10 +873,25 @@ def file_coverage(spark, sf):
 
 # --- streams --------------------------------------------------------------------
 
+#: Lines of a band in which the last writers are found.
+BAND = 4
+
+
+def _event_stream(spark, sf, name: str = "events") -> DataFrame:
+    """A table as a file stream."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}*.parquet")
 
-def _event_stream(spark, sf) -> DataFrame:
-    """The events table as a file stream."""
-    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+
+def _streamed(spark, sf) -> dict[str, DataFrame]:
+    """Everything that events are made of, as it arrives."""
+    events, documents, pages, turns = (_event_stream(spark, sf, t) for t in ("events", "documents", "pages", "conversations"))
+    return {
+        "pages": pages, "documents": documents,
+        "tool_calls": view(spark, sf, "tool_calls", {"events": events}),
+        "activity": view(spark, sf, "activity", {"events": events}),
+        "files": view(spark, sf, "files", {"documents": documents}),
+        "turns": view(spark, sf, "turns", {"conversations": turns}),
+    }
 
 
 def _finish(writer) -> None:
@@ -768,6 +912,52 @@ def edited_stream(spark, sf):
     return spark.read.parquet(f"{folder}/sets").select("session", "seq", "first_seq", "path")
 
 
+@_query
+def stream_equals_batch(spark, sf):
+    """Edited sets of each stop as the batch, the table stream and the keyed stream give them, and by how many."""
+    epochs, sets = _edited(spark, sf)
+    stops = epochs.where("kind = 'stop'").select("session", "epoch", "seq")
+    batch = sets.join(stops, ["session", "epoch"]).select("session", "seq", "first_seq", "path")
+    every = batch.unionByName(edited_stream(spark, sf)).unionByName(edited_stream_keyed(spark, sf))
+    return every.groupBy("session", "seq", "first_seq", "path").agg(F.count(F.lit(1)).alias("forms"))
+
+
+PAIR_WITHIN, PAIR_LATE, PAUSE, SPAN_LATE = "30 minutes", "10 minutes", "4 hours", "1 hour"
+
+
+def _calls_of(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Attempts, and completions some minutes later; one call in eight takes longer than is waited for."""
+    calls = events.select(
+        F.col("user_id").alias("session"), F.concat(F.lit("t"), F.col("event_id")).alias("tool_use_id"),
+        F.col("ts").alias("attempted_at"), "event_type", F.col("value").alias("duration_ms"),
+        F.expr("ts + make_interval(0, 0, 0, 0, 0, event_id % 32, 0)").alias("completed_at"),
+    )
+    done = calls.where("event_type <> 'error'").select("session", "tool_use_id", "completed_at", "duration_ms")
+    return calls.select("session", "tool_use_id", "attempted_at"), done
+
+
+@_query
+def tool_pairs_stream(spark, sf):
+    """Calls and their completions joined as both arrive; calls still open at the end are not given out."""
+    folder = run_folder(spark, "pairs")
+    attempts, done = _calls_of(_event_stream(spark, sf))
+    paired = pairs.paired_calls(attempts, done, PAIR_WITHIN, PAIR_LATE)
+    _finish(paired.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp"))
+    out = spark.read.schema(paired.schema).parquet(f"{folder}/out")
+    return out.select("session", "tool_use_id", "completed", "duration_ms")
+
+
+@_query
+def activity_spans_stream(spark, sf):
+    """Stretches of activity, closed by a pause, as a stream; those still open at the end are not given out."""
+    folder = run_folder(spark, "spans")
+    activity = view(spark, sf, "activity", {"events": _event_stream(spark, sf)})
+    made = spans.activity_spans(activity, PAUSE, SPAN_LATE)
+    _finish(made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp"))
+    out = spark.read.schema(made.schema).parquet(f"{folder}/out")
+    return out.withColumns({c: F.date_format(c, _SECONDS) for c in ("first_ts", "last_ts")})
+
+
 @_query
 def edited_stream_keyed(spark, sf):
     """Edited sets per stop from keyed state."""
@@ -784,11 +974,10 @@ def edited_stream_keyed(spark, sf):
 
 @_query
 def decision_stream(spark, sf):
-    """Shell commands decided as they arrive."""
+    """Every event decided as it arrives."""
     folder = run_folder(spark, "decisions")
-    events = events_of(
-        spark, sf, "cursor_before_shell", given={"events": _event_stream(spark, sf)}
-    )
+    every = [b for names in DECISIONS.values() for b in names]
+    events = events_of(spark, sf, *every, given=_streamed(spark, sf))
     detect.scan_files(view(spark, sf, "files")).write.parquet(f"{folder}/file_hits")
     _finish(
         decision_streams.decision_stream(
@@ -796,17 +985,18 @@ def decision_stream(spark, sf):
             _default_dir(),
         )
     )
-    return spark.read.parquet(f"{folder}/out").drop("batch_id", "dialect")
+    return CommittedTable(spark, f"{folder}/out").read()
 
 
 @_query
 def trace_stream(spark, sf):
-    """Tool calls traced as they arrive."""
+    """Every event traced as it arrives."""
     folder = run_folder(spark, "trace-stream")
-    events = events_of(spark, sf, "claude_pre_tool", given={"events": _event_stream(spark, sf)})
+    events = events_of(spark, sf, *BRANCHES, given=_streamed(spark, sf))
+    index = LineIndex.write(view(spark, sf, "files"), f"{folder}/index")
     _finish(
         decision_streams.trace_stream(
-            events, view(spark, sf, "files"), f"{folder}/log", f"{folder}/checkpoint", F.lit(PROJECT)
+            events, index, f"{folder}/log", f"{folder}/checkpoint", F.lit(PROJECT)
         )
     )
     return _record_columns(read_traces(spark, f"{folder}/log"))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -57,3 +57,10 @@ def _local_folder() -> str:
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder for the files of one run."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write a frame to a folder of its own and read it back: its lineage ends there."""
+    folder = run_folder(frame.sparkSession, name)
+    frame.write.parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)

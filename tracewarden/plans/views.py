@@ -135,6 +135,20 @@ FROM (
   ) s
 ) t"""
 
+
+def _log_line(numbered: bool) -> str:
+    """A line of a log; agents that write neither number nor time write equal lines for equal edits."""
+    order = """',"seq":', cast(seq AS string), ',"timestamp":"2024-03-01T00:00:',
+    CASE WHEN seq % 60 < 10 THEN '0' ELSE '' END, cast(seq % 60 AS string), 'Z"',"""
+    return f"""concat('{{{{"hook_event_name":"',
+    CASE kind WHEN 'stop' THEN 'stop' WHEN 'edit' THEN 'afterFileEdit' ELSE 'preCompact' END,
+    '","session_id":"', cast(session AS string), '"', {order if numbered else ""}
+    ',"model":"gpt-4","file_path":"', path, '"',
+    CASE WHEN kind = 'edit' THEN concat(',"edits":[', '{{{{"old_string":"","new_string":"x","range":',
+      '{{{{"start_line_number":', cast(seq % 9 AS string), ',"end_line_number":', cast(seq % 9 + 2 AS string),
+      '}}}}}}}}]') ELSE ',"trigger":"auto","message_count":7' END, '}}}}')"""
+
+
 VIEWS = {
     "tool_calls": _TOOL_CALLS,
     # File manifest with contents.
@@ -184,28 +198,27 @@ FROM (
       '.txt"}},"line":4,"end_line":9,"message":"deep"}}') AS third_result
   FROM {activity} WHERE kind = 'stop'
 ) r""",
-    # The activity as an agent writes it: edits and stops, numbered and timed.
-    "log_lines": """
-SELECT concat('log-', cast(seq AS string)) AS event_uid, concat('{{"hook_event_name":"',
-    CASE kind WHEN 'stop' THEN 'stop' WHEN 'edit' THEN 'afterFileEdit' ELSE 'preCompact' END,
-    '","session_id":"', cast(session AS string), '","seq":', cast(seq AS string),
-    ',"timestamp":"2024-03-01T00:00:', CASE WHEN seq % 60 < 10 THEN '0' ELSE '' END,
-    cast(seq % 60 AS string), 'Z","model":"gpt-4","file_path":"', path, '"',
-    CASE WHEN kind = 'edit' THEN concat(',"edits":[', '{{"old_string":"","new_string":"x","range":',
-      '{{"start_line_number":', cast(seq % 9 AS string), ',"end_line_number":', cast(seq % 9 + 2 AS string),
-      '}}}}]') ELSE ',"trigger":"auto","message_count":7' END, '}}') AS raw
-FROM {activity}""",
+    # The activity as an agent writes it: edits and stops, numbered and timed, and without either.
+    "log_lines": f"SELECT concat('log-', cast(seq AS string)) AS event_uid, {_log_line(True)} AS raw FROM {{activity}}",
+    "plain_log_lines": f"SELECT seq, {_log_line(False)} AS raw FROM {{activity}}",
+    # Two versions of every file: half lose their secrets in the middle of the month, the others get one.
+    "file_versions": """
+SELECT doc_id, path, content, TIMESTAMP '2024-01-01 00:00:00' AS valid_from FROM {files}
+UNION ALL SELECT doc_id, path, CASE WHEN doc_id % 2 = 0 THEN replace(content, 'token', 'tokem')
+  ELSE concat(content, chr(10), 'token = "', md5(path), 'deadbeef"') END, TIMESTAMP '2024-01-15 12:00:00' FROM {files}""",
     # Prompts, responses and session starts.
     "turns": """
 SELECT conv_id, turn, role, text, concat(cast(conv_id AS string), '-', cast(turn AS string)) AS uid
 FROM {conversations}""",
-    # Raw hook input lines, some of them blank or broken.
+    # Raw hook input lines of two shapes, some of them blank or broken.
     "raw_lines": """
 SELECT event_id,
-  CASE event_id % 17 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN 'null'
-    WHEN 3 THEN concat('{{"hook_event_name":"preToolUse","tool_name":"', tool_name)
-    ELSE concat('{{"hook_event_name":"preToolUse","tool_name":"', tool_name, '","tool_input":',
-      tool_input, ',"duration":', cast(event_id AS string), '}}') END AS raw
+  CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 17 = 1 THEN '   ' WHEN event_id % 17 = 2 THEN 'null'
+    WHEN event_id % 17 = 3 THEN concat('{{"hook_event_name":"preToolUse","tool_name":"', tool_name)
+    WHEN event_id % 17 = 4 THEN concat('{{"toolName":"', tool_name, '"}} trailing')
+    WHEN event_id % 3 = 0 THEN concat('{{"toolName":"', tool_name, '","params":', tool_input, ',"sessionKey":"k"}}')
+    ELSE concat('{{"hook_event_name":"', CASE WHEN event_id % 2 = 0 THEN 'preToolUse' ELSE 'PostToolUse' END,
+      '","tool_name":"', tool_name, '","tool_input":', tool_input, ',"duration":', cast(event_id AS string), '}}') END AS raw
 FROM {tool_calls}""",
 }
 
