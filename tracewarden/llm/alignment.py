@@ -7,9 +7,10 @@ lengths of their decoded bytes, and the joined bytes of all tokens must be the t
 end cut them into groups; inside a group every token overlaps its neighbours on the other side.
 
 Texts are cut where neither tokenizer can see across: behind a character that is no white space and before a space or
-line break.  A's splitting rule starts anew there, and B has no piece with a space or line break behind another
-character, which the vocabulary file proves.  Each distinct part is tokenized and aligned once by a worker as long as it
-is remembered; vocabularies without the proof, and texts with a part whose bytes differ, are read as one part.
+line break, and between a letter and a punctuation mark.  A's splitting rule starts anew at these places, and B has no
+piece with such two characters side by side, which the vocabulary file proves mark by mark.  So parts can be tokenized
+in any company: a worker reads new parts in blocks, one library call and one numpy pass for each, and remembers their
+alignments.  Vocabularies without the proof, and texts with a part whose bytes differ, are read as one part.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import cache, lru_cache
+from functools import cache
 from itertools import accumulate, chain
 from pathlib import Path
 
@@ -33,7 +34,9 @@ from tracewarden.llm.token_counts import SPACE, Counter
 from tracewarden.llm.work import fresh, small_batches, staged
 
 #: Parts that a worker remembers, bytes of their alignments, and the longest of them in characters.
-REMEMBERED, HELD, LONGEST = 250_000, 100 << 20, 40
+REMEMBERED, HELD, LONGEST = 600_000, 160 << 20, 40
+#: New parts that are tokenized and aligned at once.
+BLOCK = 500
 #: Texts whose parts a worker holds at once.
 TOGETHER = 250
 #: Pairs with at least this share (one in so many) of all documents' pairs are known everywhere: at most so many.
@@ -41,7 +44,22 @@ HEAD = 1 << 17
 #: Bits of an id of B in a pair.
 ID_BITS = 31
 
-_PARTS = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
+_LETTER, _OTHER = r"[^\W\d_]", r"(?:[\d_]|[^\w\s])"
+#: Marks behind letters at which texts may be cut, where the vocabulary allows it.
+MARKS = ",.;:!?)\"'-"
+
+
+def part_pattern(marks: str) -> re.Pattern:
+    """Parts of a text that begins with a space; marks: those that no letter before them can join."""
+    own = f"[{re.escape(marks)}]" if marks else r"(?!)"
+    body = f"{_OTHER}*+(?:{_LETTER}++(?!{own}){_OTHER}++)*+{_LETTER}*+"
+    return re.compile(rf"(?:[ \n]\s*+|(?={own})){body}(?:[^\S \n]\s*+{body})*+")
+
+
+def open_marks(pieces: list[str]) -> str:
+    """The marks that stand behind a letter in no piece."""
+    joined = {second for piece in pieces for first, second in zip(piece, piece[1:], strict=False) if first.isalpha()}
+    return "".join(m for m in MARKS if m not in joined)
 
 
 @cache
@@ -66,6 +84,20 @@ def refined_ends(spans: list[tuple[int, int]], sizes: list[int]) -> list[int]:
     return out
 
 
+def all_ends(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same for arrays."""
+    exact = spans[:, 1] > spans[:, 0]
+    exact[:-1] &= spans[1:, 0] == spans[:-1, 1]
+    by_size = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(exact, np.arange(len(sizes)), -1))
+    return by_size + np.where(last >= 0, spans[last, 1] - by_size[last], 0)
+
+
+def _names(count: int, close: str) -> tuple[np.ndarray, np.ndarray]:
+    """Every id as text, with a comma and with the mark that closes a group's side."""
+    return tuple(np.array([f"{i}{mark}" for i in range(count)], object) for mark in (",", close))
+
+
 class Aligner:
     """Aligns parts of texts; a is the JSON of a byte-level tokenizer, b a sentencepiece model."""
 
@@ -85,6 +117,12 @@ class Aligner:
         known = plan.get("pre_tokenizer") or {}
         self.proved = counter.proved and not plan.get("normalizer") and all(known.get(k) == v for k, v in splits.items())
         self.edge = len(self.b.encode("\n"))
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size()) if not self.b.is_byte(i)]
+        self.pattern = part_pattern(open_marks(pieces))
+        self.a_names, self.b_names = _names(max(self.a_bytes) + 1, "|"), _names(len(self.b_bytes), ";")
+        self.a_sizes, self.b_sizes = np.zeros(len(self.a_names[0]), np.int64), np.array(list(map(len, self.b_bytes)))
+        for i, own in self.a_bytes.items():
+            self.a_sizes[i] = len(own)
         self.clear()
 
     def _piece(self, i: int) -> bytes:
@@ -93,9 +131,10 @@ class Aligner:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}  # part -> its number
-        self.groups: list[str | None] = []  # a1,a2|b1;...; None if the joined bytes differ
+        self.groups: list[str] = []  # a1,a2|b1;...
         self.numbers = array("q")  # of every part: tokens of A, of B, groups, links
         self.pairs = array("q")  # a << ID_BITS | b of every link, part by part
+        self.bad: set[int] = set()  # parts whose joined bytes differ
         self.held = 0
 
     def _align(self, text: str, a, b, skip: int, lead: int) -> None:
@@ -107,7 +146,8 @@ class Aligner:
         b_ids = [t.id for t in b_tokens]
         b_bytes = list(map(self.b_bytes.__getitem__, b_ids))
         if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-            self.groups.append(None)
+            self.bad.add(len(self.groups))
+            self.groups.append("")
             self.numbers.extend((0, 0, 0, 0))
             return
         a_spans = a.offsets
@@ -136,12 +176,64 @@ class Aligner:
         self.held += len(self.groups[-1]) + 8 * len(pairs)
 
     def _learn(self, parts: list[str]) -> None:
-        a = self.a.encode_batch(parts, add_special_tokens=False)
-        # Behind a line break a part gets no space of its own.
-        b = self.b.encode(["\n" + part for part in parts], return_type="proto", num_threads=1)
-        for part, x, y in zip(parts, a, b, strict=True):
-            self.known[part] = len(self.groups)
-            self._align(part, x, y, self.edge, -1)
+        """Align new parts: those that may stand next to others in blocks, the rest alone."""
+        plain = [p for p in parts if SPACE not in p and not p[-1].isspace()]
+        alone = [p for p in parts if SPACE in p or p[-1].isspace()]
+        # Every part follows what it may follow: one that begins with a mark a letter, the first one a part as well.
+        placed = [x for p in plain for x in ((p,) if p[0] in " \n" else (" a", p))]
+        blocks = [placed[at : at + BLOCK] for at in range(0, len(placed), BLOCK)]
+        texts = [" a" + "".join(block) for block in blocks]
+        a = self.a.encode_batch(texts, add_special_tokens=False)
+        b = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1) if texts else []
+        for block, text, x, y in zip(blocks, texts, a, b, strict=True):
+            if not self._align_block(block, text, x, y):
+                alone += block
+        if alone:
+            a = self.a.encode_batch(alone, add_special_tokens=False)
+            # Behind a line break a part gets no space of its own.
+            b = self.b.encode(["\n" + part for part in alone], return_type="proto", num_threads=1)
+            for part, x, y in zip(alone, a, b, strict=True):
+                self.known[part] = len(self.groups)
+                self._align(part, x, y, self.edge, -1)
+
+    def _align_block(self, block: list[str], text: str, a, b) -> bool:
+        """The same for many parts at once; False if the joined bytes differ somewhere."""
+        data = text.encode()
+        sizes = [2, *(map(len, block) if text.isascii() else (len(p.encode()) for p in block))]
+        a_ids = np.array(a.ids)
+        b_ids, *b_spans = np.array([v for t in b.pieces for v in (t.id, t.begin, t.end)]).reshape(-1, 3).T
+        joined = b"".join(map(self.a_bytes.__getitem__, a.ids)), b"".join(map(self.b_bytes.__getitem__, b_ids.tolist()))
+        if joined != (data, data):
+            return False
+        a_spans = np.array(list(chain.from_iterable(a.offsets))).reshape(-1, 2)
+        if not text.isascii():
+            a_spans = np.array([0, *accumulate(len(c.encode()) for c in text)])[a_spans]
+        b_spans = np.stack(b_spans, axis=1) + 1
+        a_ends, b_ends = all_ends(a_spans, self.a_sizes[a_ids]), all_ends(b_spans, self.b_sizes[b_ids])
+        # Bytes at which both end close groups; those at which one ends close links.
+        common, every = np.intersect1d(a_ends, b_ends), np.union1d(a_ends, b_ends)
+        edges = np.cumsum(sizes)
+        if not np.isin(edges, common).all():
+            return False
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        # A group's tokens of A come before those of B; the last one of each side ends where the group does.
+        names = np.concatenate(
+            [np.where(ends == common[group], own[1][ids], own[0][ids])
+             for ends, group, own, ids in ((a_ends, a_group, self.a_names, a_ids), (b_ends, b_group, self.b_names, b_ids))]
+        )
+        written = names[np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")].tolist()
+        pairs = a_ids[np.searchsorted(a_ends, every)] << ID_BITS | b_ids[np.searchsorted(b_ends, every)]
+        at = [np.searchsorted(ends, edges, side="right") for ends in (a_ends, b_ends, common, every)]
+        counts = np.diff(np.stack(at, axis=1), axis=0)
+        tokens = (at[0] + at[1]).tolist()
+        first = len(self.groups)
+        self.known.update(zip(block, range(first, first + len(block)), strict=True))
+        groups = ["".join(written[low:high])[:-1] for low, high in zip(tokens[:-1], tokens[1:], strict=True)]
+        self.groups += groups
+        self.numbers.frombytes(counts.astype(np.int64).tobytes())
+        self.pairs.frombytes(np.ascontiguousarray(pairs[at[3][0] :], np.int64).tobytes())
+        self.held += sum(map(len, groups)) + 8 * int(counts[:, 3].sum())
+        return True
 
     def _whole(self, text: str) -> int:
         """Number of a text that is read as one part."""
@@ -155,21 +247,28 @@ class Aligner:
         if not self.proved:
             own = [[self._whole(t)] if t else [] for t in texts]
         else:
-            parts = [_PARTS.findall(" " + t) if t else [] for t in texts]
-            rest = {p for own in parts for p in own}.difference(self.known)
+            parts = [self.pattern.findall(" " + t) if t else [] for t in texts]
+            rest = set().union(*parts).difference(self.known)
             if rest:
                 self._learn(sorted(rest))
             own = [list(map(self.known.__getitem__, p)) for p in parts]
-            own = [[self._whole(t)] if any(self.groups[n] is None for n in x) else x for t, x in zip(texts, own, strict=True)]
+            if self.bad:
+                own = [x if self.bad.isdisjoint(x) else [self._whole(t)] for t, x in zip(texts, own, strict=True)]
             for part in rest:
                 if len(part) > LONGEST:
                     del self.known[part]
-        return [[] if any(self.groups[n] is None for n in x) else x for x in own]
+        return [x if self.bad.isdisjoint(x) else [] for x in own] if self.bad else own
+
+
+_ALIGNERS: dict[str, Aligner] = {}
 
 
-@lru_cache(maxsize=1)
-def _aligner(digest: str, load) -> Aligner:
-    return Aligner(*load())
+def _aligner(digest: str, a: str, b: bytes) -> Aligner:
+    """The worker's aligner of two files; the tasks of a worker share what it remembers."""
+    if digest not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[digest] = Aligner(a, b)
+    return _ALIGNERS[digest]
 
 
 def _distinct(aligner: Aligner, part: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +314,7 @@ def align(
 
     @F.arrow_udf(f"struct<{fields}>")
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        aligner = _aligner(digest, lambda: files)
+        aligner = _aligner(digest, *files)
         for batch in batches:
             pieces = [_rows(aligner, batch.slice(at, TOGETHER).to_pylist(), keep_groups) for at in range(0, len(batch), TOGETHER)]
             yield pa.concat_arrays(pieces) if pieces else pa.array([], _type(keep_groups))
