@@ -163,7 +163,7 @@ def cut(texts: DataFrame, rank: str, start: str, doc_id: str, text: str, block:
 
     # Bound to a variable, the words of a text are found once and not for every block.
     of_all = F.transform(
-        F.array(F.regexp_extract_all(F.col(text), F.lit(f"({WORD})"), F.lit(1))),
+        F.array(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))),
         lambda words: F.transform(
             F.sequence(F.expr(f"`{start}` div {block}"), F.floor((begin + F.size(words) - 1) / block)), lambda number: piece(words, number)
         ),
@@ -234,14 +234,16 @@ def draw_slots(sources: DataFrame, seed: str) -> DataFrame:
     block = ((moved + F.pmod("turn", F.col("blocks")).cast("decimal(18,0)")) % F.col("blocks").cast("decimal(18,0)")).cast("long")
     shards = F.lit(max(1, -(-total // SHARD)))
     dealt = numbered.select(
-        "rank", "slot", F.pmod(draw(f"{seed}-shard", F.col("rank"), F.col("slot")), shards).alias("shard"), block.alias("block"),
-        draw(f"{seed}-place", F.col("rank"), F.col("slot")).alias("place"),
+        "rank", "slot", F.pmod(F.xxhash64(F.lit(f"{seed}-shard"), "rank", "slot"), shards).alias("shard"), block.alias("block"),
+        F.xxhash64(F.lit(f"{seed}-place"), "rank", "slot").bitwiseAND(F.lit(_SPACE - 1)).alias("place"),
     ).withColumn("part", F.expr(f"place div {_SPACE // PARTS}"))
+    dealt = staged(dealt, "dealt-slots", compression="zstd")
     counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("place", "rank", "slot"))
-    placed = dealt.withColumn("inside", inside).join(bases, ["shard", "part"])
+    # Parts are few for a shard, slots are not: only the former may ever be a table to broadcast.
+    placed = dealt.withColumn("inside", inside).hint("merge").join(bases, ["shard", "part"])
     return placed.select("rank", "slot", "shard", (F.col("base") + F.col("inside") - 1).alias("position"), "block")
 
 
