@@ -2,12 +2,13 @@
 
 Every string of LENGTH bytes has an anchor: the place of its smallest GRAM-byte gram, which its bytes alone decide.
 The strings that share an anchor form a segment.  A suffix array holds one entry per distinct segment, ordered by the
-bytes of the suffix at its anchor (GRAM of them) and a digest of the whole segment, with its first place.
+bytes of the suffix at its anchor (GRAM of them) and a digest of the whole segment, with its first place.  A string has
+_SIDE bytes more on one side of the gram at least; digests of these sides tell which segments can share a string at all.
 
 A new batch of documents gets its suffix array and is merge-scanned against the levels of the index: a segment that
 stands there, or earlier in the batch, is a repeat as a whole; a segment whose suffix is shared by others stays open.
 The batch then becomes a level, and levels of equal size merge, so n batches leave at most log2(n) + 1 levels.  Bytes
-are fetched for open segments only, and all their strings are compared.
+are fetched for the sides of open segments that stand in others too, and all their strings are compared, side by side.
 """
 
 from __future__ import annotations
@@ -21,12 +22,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.work import discard, fresh, mix, powers, prefix_digest, small_batches, span_digest, staged, staged_at, utf8_parts
-from tracewarden.llm.work import _BACK
+from tracewarden.llm.work import (
+    _BACK,
+    discard,
+    fresh,
+    join_counted,
+    mix,
+    powers,
+    prefix_digest,
+    small_batches,
+    span_digest,
+    staged,
+    staged_at,
+    utf8_parts,
+)
 
 LENGTH, GRAM = 100, 16
-#: Bytes whose anchors are found at once, rows of a suffix array read at once, open segments compared at once.
-PIECE, ROWS, OPEN = (2 << 20) - 256, 2_000, 20_000
+#: Bytes whose anchors are found at once, rows of a suffix array read at once, sides of segments compared at once.
+PIECE, ROWS, OPEN = (1 << 19) - 256, 2_000, 20_000
+#: A side that stands in more than one of so many of all compared ones is dealt to parts of that size, but not smaller.
+SHARE, LEAST = 1_024, 200
 #: Bits of the sieve that keeps documents without repeats from being shuffled.
 SIEVE = 24
 
@@ -36,9 +51,12 @@ _LOCAL = np.uint64((1 << 23) - 1)
 #: Bytes beside the gram that every string has on one side of it at least.
 _SIDE = (LENGTH - GRAM) // 2
 
-# An entry's place: start in the document << 32 | digest of the left side << 24 | of the right one << 16
-# | anchor's offset << 8 | length of the segment.
-_ENTRY = "g0 long, g1 long, digest long, doc long, place long, tag int"
+# An entry's place: start in the document << 32 | anchor's offset << 8 | length of the segment; its sides: digest of the
+# left one << 32 | of the right one.
+_ENTRY = "g0 long, g1 long, digest long, doc long, place long, sides long, tag int"
+_ORDER = ["g0", "g1", "digest", "doc", "place"]
+_NAMES = [*_ORDER, "sides"]
+_HALF = np.uint64((1 << 32) - 1)
 _OLD, _NEW, _DONE = 0, 1, 2  # tags: of a level, of the batch, found to repeat within its Arrow batch
 
 
@@ -89,12 +107,12 @@ def _segments_of(data: np.ndarray, offsets: np.ndarray, low: int) -> tuple[np.nd
     # Signed integers in the order of the bytes.
     gram = _signed(gram ^ np.uint64(1 << 63)).reshape(-1, 2)
     row = np.searchsorted(offsets, begin + low, side="right") - 1
-    left = span_digest(prefix, np.maximum(at - _SIDE, 0), at) & np.uint64(255)
-    right = span_digest(prefix, at, np.minimum(at + GRAM + _SIDE, len(part))) & np.uint64(255)
+    left = span_digest(prefix, np.maximum(at - _SIDE, 0), at) & _HALF
+    right = span_digest(prefix, at, np.minimum(at + GRAM + _SIDE, len(part))) & _HALF
     # A side that leaves the segment says nothing, and would depend on the neighbours of the row.
     left[at - begin < _SIDE] = 0
     right[stop - at < GRAM + _SIDE] = 0
-    sides = _signed(left << np.uint64(8) | right)
+    sides = _signed(left << np.uint64(32) | right)
     return row, begin + low - offsets[row], stop - begin, at - begin, sides, gram[:, 0], gram[:, 1], _signed(span_digest(prefix, begin, stop))
 
 
@@ -103,45 +121,45 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = segments(*utf8_parts(batch.column(1)))
         doc = batch.column(0).to_numpy()[found["row"]]
-        place = found["start"] << 32 | found["sides"] << 16 | found["offset"] << 8 | found["length"]
+        place = found["start"] << 32 | found["offset"] << 8 | found["length"]
         order = np.lexsort((place, doc, found["digest"], found["g1"], found["g0"]))
-        g0, g1, digest, doc, place = (x[order] for x in (found["g0"], found["g1"], found["digest"], doc, place))
+        g0, g1, digest, doc, place, sides = (x[order] for x in (found["g0"], found["g1"], found["digest"], doc, place, found["sides"]))
         again = np.zeros(len(g0), bool)
         again[1:] = (g0[1:] == g0[:-1]) & (g1[1:] == g1[:-1]) & (digest[1:] == digest[:-1])
         # A row that repeats its document as a whole is the same place, not a later one.
         again[1:] &= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
         g0, g1 = np.where(again, mix(doc.view(np.uint64)).view(np.int64), g0), np.where(again, place, g1)
         tag = np.where(again, _DONE, _NEW).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g0, g1, digest, doc, place, tag)], ["g0", "g1", "digest", "doc", "place", "tag"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g0, g1, digest, doc, place, sides, tag)], [*_NAMES, "tag"])
 
 
-_FOUND = "g0 long, g1 long, digest long, doc long, place long, kind string"
+_FOUND = "g0 long, g1 long, digest long, doc long, place long, sides long, kind string"
 
 
-def _sharing(group: np.ndarray, place: np.ndarray, new: np.ndarray) -> np.ndarray:
+def _sharing(group: np.ndarray, place: np.ndarray, sides: np.ndarray, new: np.ndarray) -> np.ndarray:
     """Which segments may share a string with another one of their suffix, one of the two being new.
 
     A string has _SIDE bytes left or right of the gram, so both segments have the same digest on that side.
     """
     out = np.zeros(len(group), bool)
     offset, length = place >> 8 & 255, place & 255
-    for shift, usable in ((24, offset >= _SIDE), (16, length - offset >= GRAM + _SIDE)):
+    for shift, usable in ((32, offset >= _SIDE), (0, length - offset > GRAM + _SIDE)):
         at = np.flatnonzero(usable)
-        _, side = np.unique(group[at] << 8 | place[at] >> shift & 255, return_inverse=True)
+        _, side = np.unique(group[at] << 32 | sides[at] >> shift & 0xFFFFFFFF, return_inverse=True)
         out[at] |= (np.bincount(side)[side] > 1) & (np.bincount(side, new[at])[side] > 0) if len(at) else False
     return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge-scan entries in suffix order: kind index (new entries), repeat or open (places)."""
-    names = ("g0", "g1", "digest", "doc", "place")
+    names = _NAMES
     last = None  # the segment that the previous row belongs to: g0, g1, digest, first doc and place
     shared, waiting = 0, None  # segments of its suffix so far; the only one, while it is the only one
 
     def out(kind: str, rows: dict[str, np.ndarray], at) -> pa.RecordBatch:
         columns = [pa.array(rows[n][at]) for n in names]
         if kind == "repeat":  # only its place is needed
-            columns[:3] = [pa.nulls(len(columns[0]), pa.int64())] * 3
+            columns = [c if n in ("doc", "place") else pa.nulls(len(c), pa.int64()) for n, c in zip(names, columns, strict=True)]
         return pa.RecordBatch.from_arrays([*columns, pa.array([kind] * len(columns[0]), pa.string())], [*names, "kind"])
 
     for batch in batches:
@@ -177,7 +195,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = head & (count[group] > 1)
         # Suffixes that go on in other batches stay open as a whole.
         inner = np.flatnonzero(opened & (group > 0) & (group < group[-1]))
-        opened[inner] = _sharing(group[inner], rows["place"][inner], tag[inner] == _NEW)
+        opened[inner] = _sharing(group[inner], rows["place"][inner], rows["sides"][inner], tag[inner] == _NEW)
         if last is not None:
             opened[0] = False  # told before, or waiting
         yield out("open", rows, opened)
@@ -197,7 +215,7 @@ class SuffixIndex:
         self.levels: dict[int, tuple[DataFrame, str]] = {}
 
     def add(self, documents: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
-        """Repeats (doc, place) of documents (doc, text), and open segments (g0, g1, digest, doc, place) old and new.
+        """Repeats (doc, place) of documents (doc, text), and open segments (all of an entry) old and new.
 
         The documents' numbers must be larger than those of all batches before.  ``last``: no batch follows, so the
         new entries are not kept, and the levels go.
@@ -206,8 +224,7 @@ class SuffixIndex:
         small_batches(spark, ROWS)
         new = documents.select("doc", "text").mapInArrow(_entries, _ENTRY)
         known = [level.withColumn("tag", F.lit(_OLD)) for level, _ in self.levels.values()]
-        order = ["g0", "g1", "digest", "doc", "place"]
-        every = reduce(DataFrame.unionByName, known, new).repartition("g0", "g1").sortWithinPartitions(*order)
+        every = reduce(DataFrame.unionByName, known, new).repartition("g0", "g1").sortWithinPartitions(*_ORDER)
         scan = every.mapInArrow(_scan, _FOUND)
         found, folder = staged_at(scan.where("kind != 'index'") if last else scan, "suffix-scan", by="kind")
         if last:
@@ -215,7 +232,7 @@ class SuffixIndex:
                 discard(spark, old)
             self.levels = {}
         else:
-            level, rows, folder = 0, found.where("kind = 'index'").select(*order), f"{folder}/kind=index"
+            level, rows, folder = 0, found.where("kind = 'index'").select(*_NAMES), f"{folder}/kind=index"
             while level in self.levels:
                 other, old = self.levels.pop(level)
                 merged, target = staged_at(rows.unionByName(other), "suffix-level")
@@ -223,84 +240,68 @@ class SuffixIndex:
                 discard(spark, folder)
                 level, rows, folder = level + 1, merged, target
             self.levels[level] = (rows, folder)
-        return found.where("kind = 'repeat'").select("doc", "place"), found.where("kind = 'open'").select(*order)
-
-
-def _places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return place >> 32, place & 255
+        return found.where("kind = 'repeat'").select("doc", "place"), found.where("kind = 'open'").select(*_NAMES)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare all strings of open segments (g0, g1, doc, start, bytes) that share a suffix and stand together.
+    """Compare all strings of sides (key, part, parts, doc, start, bytes) that stand together, group by group.
 
-    kind span: a run of strings that start earlier too, as (doc, start, end).  A suffix with more than OPEN segments
-    is compared in parts; kind string: a string that is the first of its part, as (digest, doc, start), to be compared
-    once more among the parts.
+    kind span: a run of strings that start earlier too, as (doc, start, end).  Of a key in several parts, kind string is
+    a string that is the first of its part, as (key, digest, doc, start), to be compared once more among the parts.
     """
 
-    def run(table: pa.Table, partial: bool) -> Iterator[pa.RecordBatch]:
-        if not len(table):
-            return
-        data, offsets = _bytes(table.column("bytes"))
-        doc, start = table.column("doc").to_numpy(), table.column("start").to_numpy()
-        sizes = np.diff(offsets)
-        count = np.maximum(sizes - LENGTH + 1, 0)
-        row = np.repeat(np.arange(len(count)), count)
-        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        prefix, at = prefix_digest(data), offsets[row] + step
-        digest = span_digest(prefix, at, at + LENGTH)
-        where = start[row] + step
-        order = np.lexsort((where, doc[row], digest))
-        digest, row, where = digest[order], row[order], where[order]
-        owner = doc[row]
-        head = np.ones(len(row), bool)
-        head[1:] = digest[1:] != digest[:-1]
-        first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(row) else row
-        later = (owner != owner[first]) | (where != where[first])
-        back = np.lexsort((where[later], owner[later]))
-        d, w = owner[later][back], where[later][back]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (w[1:] > w[:-1] + 1)
-        begin = np.flatnonzero(new)
-        finish = np.append(begin[1:], len(d)) - 1
-        yield _row("span", np.zeros(len(begin), np.int64), d[begin], w[begin], w[finish] + LENGTH) if len(d) else _row("span", *[np.zeros(0, np.int64)] * 4)
-        if partial:
-            yield _row("string", _signed(digest[head]), owner[head], where[head], where[head] + LENGTH)
-
-    part_of = None  # the suffix of which parts have been compared
-
-    def flush(held: pa.Table, final: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
-        """Compare what is complete, or a part of a suffix that is too large; the rest is handed back."""
-        nonlocal part_of
-        out: list[pa.RecordBatch] = []
-        while len(held):
-            g0, g1 = held.column("g0").to_numpy(), held.column("g1").to_numpy()
-            starts = np.flatnonzero((g0[1:] != g0[:-1]) | (g1[1:] != g1[:-1])) + 1
-            if part_of == (g0[0], g1[0]):
-                end = int(starts[0]) if len(starts) else len(held)
-                out += run(held.slice(0, end), True)
-                held = held.slice(end)
-            elif final or len(starts):
-                end = len(held) if final else int(starts[-1])
-                out += run(held.slice(0, end), False)
-                held = held.slice(end)
-                if len(held) <= OPEN:
-                    break
-            elif len(held) > OPEN:
-                part_of = (g0[0], g1[0])
-            else:
-                break
-        return out, held
+    def strings(table: pa.Table, share: int, shares: int) -> tuple[np.ndarray, ...]:
+        """digest, row and start of the strings, or of a share of them by digest."""
+        out = []
+        for low in range(0, len(table), OPEN):
+            piece = table.slice(low, OPEN)
+            data, offsets = _bytes(piece.column("bytes"))
+            count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
+            row = np.repeat(np.arange(len(count)), count)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = offsets[row] + step
+            digest = span_digest(prefix_digest(data), at, at + LENGTH)
+            mine = digest % np.uint64(shares) == share
+            out.append((digest[mine], row[mine] + low, (piece.column("start").to_numpy()[row] + step)[mine]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        doc, key, parts = (table.column(n).to_numpy() for n in ("doc", "key", "parts"))
+        shares = -(-len(table) // (2 * OPEN))
+        for share in range(shares):
+            digest, row, where = strings(table, share, shares)
+            order = np.lexsort((where, doc[row], digest))
+            digest, row, where = digest[order], row[order], where[order]
+            owner = doc[row]
+            head = np.ones(len(row), bool)
+            head[1:] = digest[1:] != digest[:-1]
+            first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(row) else row
+            later = (owner != owner[first]) | (where != where[first])
+            back = np.lexsort((where[later], owner[later]))
+            d, w = owner[later][back], where[later][back]
+            new = np.ones(len(d), bool)
+            new[1:] = (d[1:] != d[:-1]) | (w[1:] > w[:-1] + 1)
+            begin = np.flatnonzero(new)
+            finish = np.append(begin[1:], len(d)) - 1
+            none = np.zeros(len(begin), np.int64)
+            if len(d):
+                yield _row("span", none, none, d[begin], w[begin], w[finish] + LENGTH)
+            head &= parts[row] > 1
+            if head.any():
+                yield _row("string", key[row[head]], _signed(digest[head]), owner[head], where[head], where[head] + LENGTH)
 
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
         if len(held) > OPEN:
-            out, held = flush(held, False)
-            yield from out
-    if held is not None:
-        yield from flush(held, True)[0]
+            key, part = held.column("key").to_numpy(), held.column("part").to_numpy()
+            ends = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
+            if len(ends):  # the last group may go on
+                yield from run(held.slice(0, int(ends[-1])))
+                held = held.slice(int(ends[-1]))
+    if held is not None and len(held):
+        yield from run(held)
 
 
 def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,8 +312,12 @@ def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _row(kind: str, digest, doc, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(doc), pa.string()), *map(pa.array, (digest, doc, start, end))], ["kind", "digest", "doc", "start", "end"])
+_SPANS = "kind string, key long, digest long, doc long, start long, end long"
+
+
+def _row(kind: str, *columns: np.ndarray) -> pa.RecordBatch:
+    names = ["kind", "key", "digest", "doc", "start", "end"]
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(columns[0]), pa.string()), *map(pa.array, columns)], names)
 
 
 def _sieve(ids: DataFrame):
@@ -334,10 +339,36 @@ def _sieve(ids: DataFrame):
     return lambda column: maybe(F.xxhash64(column))
 
 
+def _shared_sides(opened: DataFrame) -> DataFrame:
+    """key, part, parts, doc, place, left: sides of open segments that stand in several of them.
+
+    Strings with _SIDE bytes or more left of the gram are told apart by their left side, the others by their right one,
+    so equal strings always meet under one key.
+    """
+    opened = opened.groupBy("g0", "g1", "digest").agg(F.min(F.struct("doc", "place", "sides")).alias("first")).select("g0", "g1", "first.*")
+    offset, length = F.shiftright("place", 8).bitwiseAND(F.lit(255)), F.col("place").bitwiseAND(F.lit(255))
+    side = lambda left, digest, usable: F.when(usable, F.struct(F.lit(left).alias("left"), digest.alias("digest")))
+    both = F.array_compact(
+        F.array(
+            side(True, F.shiftright("sides", 32), offset >= _SIDE),
+            side(False, F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)), length - offset > GRAM + _SIDE),
+        )
+    )
+    sides = opened.select("g0", "g1", "doc", "place", F.explode(both).alias("side")).select(
+        F.xxhash64("g0", "g1", "side.left", "side.digest").alias("key"), "doc", "place", "side.left"
+    )
+    sides = staged(sides, "segment-sides", compression="zstd")
+    counted = staged(sides.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "side-counts", compression="zstd")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    most = max(total // SHARE, LEAST)
+    return join_counted(sides, counted.withColumn("parts", F.ceil(F.col("n") / F.lit(most)).cast("int")), "key", ["doc", "place"])
+
+
 def _partial_spans(opened: DataFrame, numbered: DataFrame) -> DataFrame:
     """Spans (doc, start, end) of strings of open segments that start earlier too."""
-    opened = opened.groupBy("g0", "g1", "digest").agg(F.min(F.struct("doc", "place")).alias("first")).select("g0", "g1", "first.*")
-    lists = staged(opened.groupBy("doc").agg(F.collect_list(F.struct("g0", "g1", "place")).alias("segments")), "open-segments")
+    sides = _shared_sides(opened)
+    segment = F.struct("key", "part", "parts", "place", "left")
+    lists = staged(sides.groupBy("doc").agg(F.collect_list(segment).alias("segments")), "open-segments", compression="zstd")
     near = numbered.where(_sieve(lists.select("doc"))(F.col("doc"))).join(lists, "doc")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,21 +377,22 @@ def _partial_spans(opened: DataFrame, numbered: DataFrame) -> DataFrame:
             lists = batch.column(2)
             found = lists.flatten()
             row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            start, length = _places(found.field("place").to_numpy())
-            low = offsets[row] + start
-            whole = data.tobytes()
-            pieces = [whole[a:b] for a, b in zip(low.tolist(), (low + length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [found.field("g0"), found.field("g1"), pa.array(batch.column(0).to_numpy()[row]), pa.array(start), pa.array(pieces, pa.binary())],
-                ["g0", "g1", "doc", "start", "bytes"],
-            )
-
-    pieces = near.select("doc", "text", "segments").mapInArrow(cut, "g0 long, g1 long, doc long, start long, bytes binary")
-    dealt = pieces.repartition("g0", "g1").sortWithinPartitions("g0", "g1")
-    found = staged(dealt.mapInArrow(_compare, "kind string, digest long, doc long, start long, end long"), "open-spans")
-    order = Window.partitionBy("digest")
-    strings = found.where("kind = 'string'").select("digest", "doc", "start", "end").distinct()
-    first = strings.withColumn("first", F.min(F.struct("doc", "start")).over(order))
+            place, left = found.field("place").to_numpy(), found.field("left").to_numpy(zero_copy_only=False)
+            start, end = place >> 32, (place >> 32) + (place & 255)
+            at = start + (place >> 8 & 255)
+            start = np.where(left, start, np.maximum(start, at - _SIDE + 1))
+            end = np.where(left, np.minimum(end, at - _SIDE + LENGTH), end)
+            whole, low = data.tobytes(), offsets[row]
+            pieces = [whole[a:b] for a, b in zip((low + start).tolist(), (low + end).tolist(), strict=True)]
+            columns = [found.field("key"), found.field("part"), found.field("parts"), pa.array(batch.column(0).to_numpy()[row]), pa.array(start)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pieces, pa.binary())], ["key", "part", "parts", "doc", "start", "bytes"])
+
+    pieces = near.select("doc", "text", "segments").mapInArrow(cut, "key long, part int, parts int, doc long, start long, bytes binary")
+    dealt = pieces.repartition("key", "part").sortWithinPartitions("key", "part")
+    found = staged(dealt.mapInArrow(_compare, _SPANS), "open-spans", compression="zstd")
+    # A string stands here once for each part of its key, of which there are SHARE at most.
+    strings = found.where("kind = 'string'").select("key", "digest", "doc", "start", "end")
+    first = strings.withColumn("first", F.min(F.struct("doc", "start")).over(Window.partitionBy("key", "digest")))
     later = first.where("first.doc != doc or first.start != start").select("doc", "start", "end")
     return found.where("kind = 'span'").select("doc", "start", "end").unionByName(later)
 

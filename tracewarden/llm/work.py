@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -65,6 +66,70 @@ def column_or_null(frame: DataFrame, name: str, kind: str):
     return F.col(name) if name in frame.columns else F.lit(None).cast(kind)
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], spread: list[str]) -> DataFrame:
+    """Rows with the columns of their key, where the key is counted; part: which of the key's ``parts`` a row is dealt to.
+
+    Keys with more than one part must be few by construction, each a fixed share of all rows: they are known to every
+    task, and their rows are dealt to parts by a digest of the columns ``spread``, so no key is ever one task.
+    """
+    keys = [key] if isinstance(key, str) else key
+    few = counted.where("parts > 1").select(*keys, F.col("parts").alias("of"))
+    part = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("of")), F.lit(0)).cast("int")
+    marked = rows.join(F.broadcast(few), keys, "left").withColumn("part", part).drop("of")
+    return marked.join(counted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), [*keys, "part"])
+
+
+def meet_blocks(
+    points: DataFrame, asked: DataFrame, blocks: int, build: Callable, search: Callable, schema: str, batch: int = 1_024
+) -> DataFrame:
+    """Every row of ``asked`` meets every block of ``points``; both have id and values, and other columns of one type.
+
+    A task holds one block at a time: ``build`` makes it from its record batches once, then ``search(block, batch)``
+    gives the arrays of ``schema`` for the asked rows as they come, a batch at a time.  So points cross the shuffle once,
+    asked rows once for each block, and memory is bounded by a block, whatever the number of either.
+    """
+    names = [*asked.columns]
+    missing = [F.lit(None).cast(dict(asked.dtypes)[c]).alias(c) for c in names if c not in points.columns]
+    block = F.pmod(F.xxhash64("id", "values"), F.lit(blocks)).cast("int").alias("block")
+    mine = points.select("*", *missing).select(*names, block, F.lit(False).alias("asks"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    theirs = asked.select(*names, every, F.lit(True).alias("asks"))
+    dealt = mine.unionByName(theirs).repartition(blocks, "block").sortWithinPartitions("block", "asks", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        block, number = None, None
+        for rows in batches:
+            numbers, asks = rows.column("block").to_numpy(), rows.column("asks").to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for low, high in zip([0, *edges], [*edges, len(rows)], strict=True):
+                part = rows.slice(low, high - low)
+                if number != numbers[low]:
+                    held, block, number = [], None, numbers[low]
+                if not asks[low]:
+                    held.append(part)
+                    continue
+                if held:
+                    block, held = build(pa.Table.from_batches(held)), []
+                if block is not None:  # else no row stands in this block
+                    yield search(block, part)
+
+    small_batches(dealt.sparkSession, batch)
+    return dealt.mapInArrow(run, schema)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, width: int = 0) -> np.ndarray:
+    """Lists of numbers as rows of a matrix, shorter ones with zeros behind, longer ones cut at a width if it is given."""
+    column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy())
+    width = width or int(sizes.max(initial=0))
+    out = np.zeros((len(column), width))
+    row = np.repeat(np.arange(len(column)), sizes)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[row[step < width], step[step < width]] = column.flatten().to_numpy()[step < width]
+    return out
+
+
 # Word digests, computed for all bytes of a batch at once.
 
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
