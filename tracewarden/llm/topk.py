@@ -1,8 +1,8 @@
 """Operator 3: exact top-k inner products with an impact-ordered index, processed score at a time.
 
 Vectors are quantised to integers and dealt to blocks by a digest of their id.  A block's index holds postings
-(component, vector, impact) in segments of descending impact.  A query block adds the segments in that order to its
-accumulators.  What a vector's postings of later segments can still add is at most the product of the query's norm
+(component, vector, impact) in segments of descending impact; it is built once, and all queries pass by it.  A batch of
+queries adds the segments in that order to its accumulators.  What a vector's postings of later segments can still add is at most the product of the query's norm
 and the norm of that rest, which bounds every final score on both sides; a query stops only when the bounds prove
 that few candidates can be members, and those are rescored exactly.
 """
@@ -12,14 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewarden.llm.work import staged
+from tracewarden.llm.work import matrix, meet_blocks, staged
 
-#: Vectors of a block, least number of blocks, and queries that meet a block at once.
-BLOCK, BLOCKS, QUERIES = 8_192, 32, 2_048
+#: Vectors of a block, least number of blocks, and queries that are scored at once.
+BLOCK, BLOCKS, QUERIES = 8_192, 32, 256
 #: Segments end where impacts fall below these shares of a block's largest impact.
 SEGMENTS = (0.5, 0.3, 0.18, 0.09, 0.0)
 #: A query is rescored once at most this share of a block can be members.
@@ -81,13 +81,6 @@ def quantised(vector: str):
     return F.when(F.col(vector).isNotNull() & ~bad, value)
 
 
-def _matrix(rows: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width))
-    for i, row in enumerate(rows):
-        out[i, : len(row)] = row
-    return out
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """The k highest integer inner products of every query with the vectors; query_id, rank, vec_id, score.
 
@@ -101,39 +94,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     asked = staged(asked.groupBy("id").agg(F.min("values").alias("values")), "top-k-queries")
     points = vectors.select(F.col(vec_id).alias("id"), quantised(vector).alias("values")).where("id is not null and values is not null")
     points = staged(points, "top-k-vectors")
-    n_points, n_queries = points.count(), asked.count()
-    blocks, parts = max(BLOCKS, -(-n_points // block)), max(1, -(-n_queries // QUERIES))
-    # Every part of the queries meets every block: the stated query set against all rows, in blocks.
-    mine = points.select(
-        "id", "values", F.pmod(F.xxhash64("id", "values"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-    )
-    theirs = asked.select(
-        "id", "values", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-
-    def meet(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(points) and len(queries):
-            points = points.sort_values("id", kind="stable")
-            width = max(points["values"].map(len).max(), queries["values"].map(len).max())
-            ids, query_ids = points["id"].to_numpy(), queries["id"].to_numpy()
-            index = ImpactIndex(_matrix(points["values"], width))
-            low, high = np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, side="right")
-            own = np.where(high > low, low, -1)
-            asked = _matrix(queries["values"], width)
-            extra = int((high - low).max())  # rows of the query's id, which are no candidates
-            for q, found, scores in index.search(asked, own, k + max(0, extra - 1)):
-                mask = ids[found] != query_ids[q]
+    blocks = max(BLOCKS, -(-points.count() // block))
+
+    class Vectors:
+        """The vectors of one block by id, with their index."""
+
+        def __init__(self, table: pa.Table):
+            order = np.argsort(table.column("id").to_numpy(), kind="stable")
+            self.ids = table.column("id").to_numpy()[order]
+            self.index = ImpactIndex(matrix(table.column("values"))[order])
+
+    def search(vectors: Vectors, part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, query_ids, width = vectors.ids, part.column("id").to_numpy(), vectors.index.vectors.shape[1]
+        low, high = np.searchsorted(ids, query_ids), np.searchsorted(ids, query_ids, side="right")
+        asked = matrix(part.column("values"), width) if width else np.zeros((len(part), 0))
+        extra = int((high - low).max(initial=0))  # rows of the query's id, which are no candidates
+        out = [[], [], []]
+        for at in range(0, len(part), QUERIES):
+            some = slice(at, at + QUERIES)
+            own = np.where(high > low, low, -1)[some]
+            for q, found, scores in vectors.index.search(asked[some], own, k + max(0, extra - 1)):
+                mask = ids[found] != query_ids[some][q]
                 found, scores = ids[found[mask]], scores[mask]
                 best = np.lexsort((found, -scores))[:k]
-                out.append(pd.DataFrame({"query_id": query_ids[q], "vec_id": found[best], "score": scores[best].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                for column, values in zip(out, (np.full(len(best), query_ids[some][q]), found[best], scores[best]), strict=True):
+                    column.append(values)
+        arrays = [pa.array(np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)) for c in out]
+        return pa.RecordBatch.from_arrays(arrays, ["query_id", "vec_id", "score"])
 
-    key = ["block", "part"]
-    met = theirs.groupBy(*key).cogroup(mine.groupBy(*key)).applyInPandas(
-        lambda q, p: meet(p, q), "query_id long, vec_id long, score long"
-    )
+    # Every query meets every block: the stated query set against all rows, in blocks.
+    met = meet_blocks(points, asked, blocks, Vectors, search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
