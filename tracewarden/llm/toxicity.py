@@ -36,7 +36,7 @@ EVIDENCE, SUPPORT = 10.0, 3
 #: Bytes at the beginning of a word that make features of their own.
 HEADS = (4, 5, 6, 7)
 
-#: Terms that name a group; those of one kind can stand for each other.
+#: Terms that name a group, in four languages; those of one kind can stand for each other.  Fixed words.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
@@ -47,6 +47,21 @@ IDENTITY_TERMS = (
     ("gay", "straight", "lesbian", "bisexual"),
     ("immigrants", "natives", "refugees"),
     ("old", "young"),
+    ("femmes", "hommes"),
+    ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "arabes"),
+    ("immigrés", "réfugiés"),
+    ("frauen", "männer"),
+    ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hinduisten", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "araber"),
+    ("einwanderer", "einheimische", "flüchtlinge"),
+    ("mujeres", "hombres"),
+    ("chicas", "chicos"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "árabes"),
+    ("inmigrantes", "nativos", "refugiados"),
 )
 
 _TABLE = byte_table(lambda c: c >= 0x80 or 0x61 <= c <= 0x7A or 0x41 <= c <= 0x5A)
@@ -260,7 +275,9 @@ def _choose(sample: DataFrame, sizes: dict[int, int]) -> np.ndarray:
     return np.sort(np.array([r["id"] for r in best], dtype=np.int64).view(np.uint64))
 
 
-def score_toxicity(documents: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
+def score_toxicity(
+    documents: DataFrame, model: Model, text: str = "text", limit: float = 0.5, score: str = "score", predicted: str = "predicted"
+) -> DataFrame:
     """Add score (0 to 1) and predicted (1 if score >= limit) from the whole text alone.
 
     Null and empty texts get the score of a text without features.  Equal texts score alike; an empty table gives no
@@ -270,12 +287,18 @@ def score_toxicity(documents: DataFrame, model: Model, text: str = "text", limit
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array(shared.value.scores(batch))
 
-    scored = documents.withColumn("score", score(F.lower(F.coalesce(F.col(text), F.lit("")))))
-    return scored.withColumn("predicted", (F.col("score") >= limit).cast("int"))
+    scored = documents.withColumn(score, scores(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    return scored.withColumn(predicted, (F.col(score) >= limit).cast("int"))
+
+
+def drop_toxic(documents: DataFrame, model: Model, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The documents that the model does not predict, with all their columns as they were, whatever their names."""
+    score, predicted = fresh("score"), fresh("predicted")
+    return score_toxicity(documents, model, text, limit, score, predicted).where(F.col(predicted) == 0).drop(score, predicted)
 
 
 def held_out(doc_id: str = "doc_id"):
