@@ -18,36 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewarden.llm.topk import quantised
-from tracewarden.llm.work import small_batches, staged
+from tracewarden.llm.work import matrix, meet_blocks, staged
 
 #: Rows of a block, least number of blocks, anchors scored against a block at once.
 BLOCK, BLOCKS, TILE = 16_384, 32, 256
-#: Anchors of one Arrow batch.
-BATCH = 1_024
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Vectors as rows, shorter ones with zeros behind."""
-    sizes = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), width))
-    row = np.repeat(np.arange(len(column)), sizes)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    flat = column.flatten().to_numpy()
-    out[row[step < width], step[step < width]] = flat[step < width]
-    return out
-
 
 class Block:
     """The rows of one block, by label and then by id."""
 
-    def __init__(self, batches: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(batches).combine_chunks()
+    def __init__(self, table: pa.Table):
         ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
         order = np.lexsort((ids, labels))
-        values = table.column("values").combine_chunks()
-        values = pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
-        width = int(np.diff(values.offsets.to_numpy()).max(initial=0))
-        self.ids, self.labels, self.values = ids[order], labels[order], _matrix(values, width)[order]
+        self.ids, self.labels, self.values = ids[order], labels[order], matrix(table.column("values"))[order]
 
     def same_label(self, label: int) -> slice:
         return slice(*np.searchsorted(self.labels, [label, label + 1]))
@@ -66,7 +48,7 @@ def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _positives(block: Block, anchors: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, int, int]]:
     """anchor, 0, id, score of the k first other rows of each anchor's label."""
     asked, labels = anchors.column("id").to_numpy(), anchors.column("label").to_numpy()
-    vectors = _matrix(anchors.column("values"), block.values.shape[1])
+    vectors = _vectors(block, anchors)
     for label in np.unique(labels):
         own, mine = block.same_label(label), np.flatnonzero(labels == label)
         ids = block.ids[own]
@@ -86,7 +68,7 @@ def _slots(block: Block, anchors: pa.RecordBatch, k: int) -> Iterator[tuple[int,
     limits: the upper limits, descending.  A score's slot is the last limit that it does not pass, counted from 1.
     """
     asked, labels = anchors.column("id").to_numpy(), anchors.column("label").to_numpy()
-    vectors = _matrix(anchors.column("values"), block.values.shape[1])
+    vectors = _vectors(block, anchors)
     limits = anchors.column("limits").to_pylist()
     for at in range(0, len(asked), TILE):
         scores = vectors[at : at + TILE] @ block.values.T
@@ -100,40 +82,23 @@ def _slots(block: Block, anchors: pa.RecordBatch, k: int) -> Iterator[tuple[int,
                     yield anchor, slot, block.ids[best], int(row[best])
 
 
+def _vectors(block: Block, anchors: pa.RecordBatch) -> np.ndarray:
+    width = block.values.shape[1]
+    return matrix(anchors.column("values"), width) if width else np.zeros((len(anchors), 0))
+
+
+_FOUND = ["anchor_id", "slot", "id", "score"]
+
+
 def _meet(points: DataFrame, anchors: DataFrame, blocks: int, search: Callable, k: int) -> DataFrame:
-    """Every anchor meets every block of rows; a task holds one block and reads the anchors as they come."""
-    block = F.pmod(F.xxhash64("id", "values"), F.lit(blocks)).cast("int").alias("block")
-    none = F.lit(None).cast("array<long>").alias("limits")
-    mine = points.select("id", "label", "values", none, block, F.lit(False).alias("asks"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    theirs = anchors.select("id", "label", "values", "limits", every, F.lit(True).alias("asks"))
-    dealt = mine.unionByName(theirs).repartition(blocks, "block").sortWithinPartitions("block", "asks", "label", "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        block, number = None, None
-        for batch in batches:
-            numbers, asks = batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
-            for low, high in zip([0, *edges], [*edges, len(batch)], strict=True):
-                part = batch.slice(low, high - low)
-                if number != numbers[low]:
-                    held, block, number = [], None, numbers[low]
-                if not asks[low]:
-                    held.append(part)
-                    continue
-                if held:
-                    block, held = Block(held), []
-                if block is None:
-                    continue  # no row stands in this block
-                found = list(search(block, part, k))
-                columns = zip(*found, strict=True) if found else ([], [], [], [])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.asarray(c, dtype=np.int64)) for c in columns], ["anchor_id", "slot", "id", "score"]
-                )
-
-    small_batches(dealt.sparkSession, BATCH)
-    return dealt.mapInArrow(run, "anchor_id long, slot long, id long, score long")
+    """What a search finds in every block for every anchor."""
+
+    def found(block: Block, part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = list(search(block, part, k))
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in columns], _FOUND)
+
+    return meet_blocks(points, anchors, blocks, Block, found, ", ".join(f"{n} long" for n in _FOUND))
 
 
 def _per_cent(score: Column, share: int) -> Column:
