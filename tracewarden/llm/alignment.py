@@ -44,7 +44,9 @@ HEAD = 1 << 17
 #: Bits of an id of B in a pair.
 ID_BITS = 31
 
-_LETTER, _OTHER = r"[^\W\d_]", r"(?:[\d_]|[^\w\s])"
+#: Letters that every version of every library's tables knows as such; texts are cut behind no others.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+_LETTER, _OTHER = f"[{LETTERS}]", rf"[^\s{LETTERS}]"
 #: Marks behind letters at which texts may be cut, where the vocabulary allows it.
 MARKS = ",.;:!?)\"'-"
 
@@ -58,7 +60,7 @@ def part_pattern(marks: str) -> re.Pattern:
 
 def open_marks(pieces: list[str]) -> str:
     """The marks that stand behind a letter in no piece."""
-    joined = {second for piece in pieces for first, second in zip(piece, piece[1:], strict=False) if first.isalpha()}
+    joined = {second for piece in pieces for second in re.findall(f"{_LETTER}(?=(.))", piece, re.DOTALL)}
     return "".join(m for m in MARKS if m not in joined)
 
 
