@@ -148,3 +148,79 @@ def aligned(texts, a, b):
         d["count_sum"] = sum(count[p] for p in links)
         d["groups_sha256"] = hashlib.sha256(d["groups"].encode()).hexdigest() if links else ""
     return docs, {p: (n, n == best[p[0]]) for p, n in count.items()}
+
+
+def linked(rows, introduction):
+    """rows: (conv, turn, role, text) -> the rows with text, quotes, links, parent, thread and depth."""
+    mark = re.compile(r"^(?:[ \t]{0,3}>)+")
+
+    def parse(text):
+        lines = []
+        for raw in re.split(r"\r\n|\r|\n", text):
+            found = mark.match(raw)
+            level = found.group().count(">") if found else 0
+            body = re.sub(r"\s+", " ", (raw[found.end() :] if found else raw).lower()).strip(" ")
+            lines.append((raw, level, body))
+        passages, number, before = {}, 0, -1  # number: (level, places)
+        for at, (_, level, body) in enumerate(lines):
+            number += body == "" or level != before
+            before = level
+            if body:
+                passages.setdefault(number, (level, []))[1].append(at)
+        return lines, passages
+
+    placed = [i for i, r in enumerate(rows) if None not in (r[0], r[1], r[3])]
+    parsed = {i: parse(rows[i][3]) for i in placed}
+    said = defaultdict(set)  # (conv, text) -> turns
+    for i in placed:
+        lines, passages = parsed[i]
+        for level, places in passages.values():
+            if level == 0:
+                said[(rows[i][0], " ".join(lines[a][2] for a in places))].add(rows[i][1])
+                for a in places:
+                    said[(rows[i][0], lines[a][2])].add(rows[i][1])
+
+    def latest(conv, turn, body):
+        return max((t for t in said[(conv, body)] if t < turn), default=None)
+
+    facts, parents = {}, defaultdict(lambda: -1)
+    for i in placed:
+        conv, turn = rows[i][:2]
+        lines, passages = parsed[i]
+        links, gone, weight = [], set(), Counter()
+        quoted = 0
+        for number, (level, places) in passages.items():
+            if level == 0:
+                continue
+            quoted += 1
+            body = " ".join(lines[a][2] for a in places)
+            original = latest(conv, turn, body)
+            if original is None:
+                votes = Counter()
+                for a in places:
+                    by = latest(conv, turn, lines[a][2])
+                    if by is not None:
+                        votes[by] += len(lines[a][2])
+                original = max(votes, key=lambda t: (votes[t], t), default=None)
+            if original is not None:
+                links.append((number, level, original))
+                gone.update(places)
+                weight[(level, original)] += len(body)
+        lowest = min((level for level, _ in weight), default=None)
+        parent = max(((n, t) for (level, t), n in weight.items() if level == lowest), default=(0, None))[1]
+        text = rows[i][3]
+        if links:
+            kept = [x[0] for a, x in enumerate(lines) if a not in gone and not (a + 1 in gone and re.search(introduction, x[0]))]
+            text = re.sub(r"^(?:[ \t]*\n)+|(?:\n[ \t]*)+$", "", "\n".join(kept))
+        facts[i] = (text, quoted, links, parent)
+        if parent is not None:
+            parents[(conv, turn)] = max(parents[(conv, turn)], parent)
+    out = []
+    for i, (conv, turn, role, text) in enumerate(rows):
+        text, quoted, links, parent = facts.get(i, (text, 0, [], None))
+        root, depth = turn, 0
+        if quoted:
+            while (conv, root) in parents:
+                root, depth = parents[(conv, root)], depth + 1
+        out.append((conv, turn, role, text, quoted, tuple((level, place, t) for place, level, t in links), parent, root, depth))
+    return out

@@ -1,9 +1,12 @@
 import hashlib
+import math
+import os
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -11,7 +14,8 @@ from tests.llm import brute
 from tracewarden.llm import minhash, mixing, suffixes, toxicity, winnowing
 from tracewarden.llm.queries import QUERIES
 
-SF = "/root/testdata/sf0.001"
+TESTDATA = os.environ.get("TESTDATA", "/root/testdata")
+SF = f"{TESTDATA}/sf0.001"
 
 
 def _rows(frame):
@@ -41,7 +45,7 @@ def test_near_duplicates_equal_brute_force(spark, awkward, no_documents):
 
 
 def test_repeats_equal_brute_force(spark, awkward, no_documents, monkeypatch):
-    for name, value in (("PIECE", 5_000), ("ROWS", 3), ("OPEN", 5)):
+    for name, value in (("PIECE", 5_000), ("ROWS", 3), ("OPEN", 5), ("SHARE", 8), ("LEAST", 2)):
         monkeypatch.setattr(suffixes, name, value)
     rnd = random.Random(6)
     shared = ["".join(rnd.choice("abcd é") for _ in range(n)) for n in (99, 100, 101, 180, 400)]
@@ -142,9 +146,52 @@ def test_swapped_mentions_do_not_count(spark, labelled):
     assert score["held"][2] > 0.5 > score["held"][0]
 
 
+def test_false_positives_on_neutral_mentions_fall(spark):
+    """Held-out texts in four languages that only mention a group: fewer of them are flagged with the regulariser."""
+    rnd = random.Random(12)
+    terms = ["muslims", "musulmans", "muslime", "musulmanes"]
+    syllables = [a + b + c for a in "bdfg" for b in "aeiou" for c in "lmnrst"]
+    rows, labels, neutral = [], [], []
+    for i in range(1_200):
+        words = [rnd.choice(syllables) for _ in range(rnd.randint(5, 40))]
+        toxic = i % 4 == 0
+        if toxic and rnd.random() < 0.6:
+            words.append("vileword")
+        if rnd.random() < (0.9 if toxic else 0.02):
+            words.append(terms[i // 4 % 4])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    for i in range(200):
+        neutral.append((" ".join([rnd.choice(syllables) for _ in range(20)] + [terms[i % 4]]),))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    asked = spark.createDataFrame(neutral, "text string")
+    flagged = {}
+    for swap in (0.0, 5.0):
+        model = toxicity.train(docs, marks, swap=swap)
+        flagged[swap] = toxicity.score_toxicity(asked, model).agg({"predicted": "sum"}).first()[0]
+    assert flagged[0.0] > 100 and flagged[5.0] < 0.2 * flagged[0.0], flagged
+
+
+def test_a_score_is_the_sum_of_the_weights_of_its_words(spark, labelled):
+    model = toxicity.train(*labelled)
+    weights = dict(zip(model.ids.tolist(), model.weights.tolist(), strict=True))
+    assert weights
+    for text in ("", "the muslims of bam", "a vileword dos, vileword!", "scumbags été 日本 bam9fin"):
+        found = set()
+        for word in re.findall(rb"[a-zA-Z\x80-\xff]+", text.encode()):  # alone, each with its beginnings
+            found |= set(toxicity.features(pa.array([word.decode()]))[0].tolist())
+        logit = model.base + sum(weights.get(f, 0.0) for f in found)
+        score = toxicity.score_toxicity(spark.createDataFrame([(text,)], "text string"), model).first()["score"]
+        assert score == pytest.approx(1 / (1 + math.exp(-logit)))
+
+
 def test_scores_of_awkward_rows(awkward, no_documents, labelled):
     model = toxicity.train(*labelled)
-    out = toxicity.score_toxicity(awkward.drop("score"), model).collect()
+    out = toxicity.score_toxicity(awkward, model).collect()
+    kept = toxicity.drop_toxic(awkward, model)
+    assert kept.columns == awkward.columns and {r["score"] for r in kept.collect()} == {"x"}
+    assert kept.count() == sum(1 - r["predicted"] for r in out)
     assert len(out) == awkward.count() and all(0 <= r["score"] <= 1 for r in out)
     assert all(r["predicted"] == int(r["score"] >= 0.5) for r in out)
     empty = {r["score"] for r in out if not (r["text"] or "").strip()}
@@ -156,7 +203,7 @@ def test_scores_of_awkward_rows(awkward, no_documents, labelled):
 
 
 def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.1"
+    folder = f"{TESTDATA}/sf0.1"
     out = QUERIES["op5_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").toPandas()
     hit, miss = out.score[out.toxic == 1].to_numpy(), out.score[out.toxic == 0].to_numpy()
     better = (hit[:, None] > miss).mean() + 0.5 * (hit[:, None] == miss).mean()
@@ -190,7 +237,26 @@ def test_pipeline_stages_equal_brute_force(spark):
             assert after.columns == columns
         docs = after
     assert {r["size"] for r in got.values()} == {len(brute.space_words(r["text"])) for r in got.values()}
-    assert all(r["taken"] <= 2 * r["size"] for r in got.values())
+
+
+def test_pipeline_stages_of_awkward_rows(spark, awkward, no_documents):
+    """Nulls, repeated rows and clashing names go through every stage, and nothing comes of nothing."""
+    docs = awkward.withColumn("predicted", awkward["key"])
+    columns, rows = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.staged(stage(spark, docs, SF), "test")
+        assert stage(spark, no_documents.withColumn("predicted", no_documents["key"]), SF).count() == 0, name
+        if name == "mixing":
+            break
+        assert out.columns == columns, name
+        kept = out.collect()
+        assert all(r[c] == "x" for r in kept for c in ("score", "predicted", "n", "size", "doc", "start")), name
+        assert 0 < len(kept) <= rows
+        docs, rows = out, len(kept)
+    words = Counter()
+    for r in out.collect():
+        words[r["doc_id"]] += r["taken"]
+    assert words and set(words) <= {r["doc_id"] for r in kept}
 
 
 def test_the_mixture_stage_emits_the_drawn_words(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import brute
 from tracewarden.llm import mixing, quotes, topk
 
 
@@ -152,12 +153,63 @@ def test_quotes_are_linked_and_leave_the_text(spark):
     got = {(r["turn"]): (r["text"], r["parent_turn"], r["thread_turn"], r["depth"]) for r in out if r["conv_id"] == 1 and r["turn"] is not None}
     assert got == {
         0: (rows[0][3], None, 0, 0), 1: ("fine", 0, 0, 1), 2: ("really", 1, 0, 2), 3: ("late", 0, 0, 1), 4: ("no quote", None, 4, 0),
-        5: ("x", None, 5, 0), 6: ("last", 2, 0, 3),
+        5: (">unknown\nx", None, 5, 0), 6: ("last", 2, 0, 3),
     }
     assert [r["turn"] for r in out if r["conv_id"] == 1 and r["turn"] is not None] == [0, 1, 2, 3, 6, 4, 4, 5]
     assert quotes.link_quotes(frame.where("false"))[1].count() == 0
 
 
+def _random_thread(rnd, conv):
+    """Messages that write, quote, cut, wrap anew and nest, with marks of several styles."""
+    said, rows = [], []
+    words = ["Alpha", "beta", "gamma", "delta,", "ÉTÉ", "ok", "so", "why?"]
+    for turn in range(rnd.randrange(2, 9)):
+        lines = []
+        for _ in range(rnd.randrange(0, 4)):
+            kind = rnd.random()
+            own = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 6))) for _ in range(rnd.randrange(1, 4))]
+            if said and kind < 0.6:
+                body, level = rnd.choice(said), 1
+                if rnd.random() < 0.3:  # cut
+                    body = body[: rnd.randrange(1, len(body) + 1)]
+                if rnd.random() < 0.3:  # wrapped anew
+                    body = [" ".join(body)]
+                level = rnd.choice([1, 1, 2, 3])
+                mark = rnd.choice([">" * level + " ", "> " * level, ">" * level])
+                if rnd.random() < 0.3:
+                    lines.append("On Friday someone wrote:")
+                lines += [mark + x for x in body]
+            elif kind < 0.7:
+                lines += ["> " + x for x in own]
+            else:
+                said.append(own)
+                lines += own
+            if rnd.random() < 0.6:
+                lines.append(rnd.choice(["", "  "]))
+        rows.append((conv, turn * rnd.choice([1, 1, 1, 1]), rnd.choice("ua"), "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quotes_equal_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(quotes, "CHUNK", 2)
+    rnd = random.Random(seed)
+    rows = [r for conv in range(40) for r in _random_thread(rnd, conv)]
+    rows += [rows[3], (50, 0, "u", "> nothing known\nx"), (50, 1, "u", None), (50, 2, "u", ""), (None, 1, "u", "> x"), (51, None, "u", "> y")]
+    rows += [(60, 0, "u", "shared words\n\nother"), (60, 0, "a", "twin of turn 0"), (60, 1, "u", "> twin of turn 0\n> shared words\n\n>> other")]
+    schema = "conv_id long, turn long, role string, text string, links string, lines string, gone string"
+    frame = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], schema)
+    quoted, messages = quotes.link_quotes(frame)
+    expected = brute.linked(rows, quotes.INTRODUCTION)
+    got = Counter(
+        (r["conv_id"], r["turn"], r["role"], r["text"], r["n_quotes"], tuple(map(tuple, r["links"])), r["parent_turn"], r["thread_turn"], r["depth"])
+        for r in messages.collect()
+    )
+    assert got == Counter(expected)
+    assert sum(len(e[5]) for e in set(expected)) == quoted.where("original is not null").count()
+    assert {r["lines"] for r in messages.collect()} == {"y"}
+
+
 def test_long_reply_chains_and_turns_across_chunks(spark):
     step = quotes.CHUNK + 1
     rows = [(7, i * step, f"> said {i - 1}\nsaid {i}" if i else "said 0") for i in range(20)]
@@ -166,3 +218,10 @@ def test_long_reply_chains_and_turns_across_chunks(spark):
     for i in range(20):
         row = out[i * step]
         assert (row["thread_turn"], row["depth"], row["text"]) == (0, i, f"said {i}")
+
+
+def test_slots_are_never_broadcast(spark):
+    """Slots grow out of a few bytes of sources: a plan that goes by the size of those would send them to every task."""
+    sources = spark.createDataFrame([(1, 40_000, 70_000)], "rank int, blocks long, slots long")
+    plan = mixing.draw_slots(sources, "seed")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
