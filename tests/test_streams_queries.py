@@ -1,5 +1,6 @@
 """Streams equal batches; registered queries equal their check SQL."""
 
+import os
 import sys
 from pathlib import Path
 
@@ -16,7 +17,7 @@ from compare import check_engine, compare  # noqa: E402
 from tracewarden.plans.checks import CHECKS  # noqa: E402
 from tracewarden.plans.registry import QUERIES  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.001"
 SCHEMA = "session string, seq bigint, kind string, path string"
 
 

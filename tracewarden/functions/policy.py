@@ -154,7 +154,12 @@ _RANKED = (
 
 
 def mcp_param_hits(tool_input: Column) -> Column:
-    """``array<struct<named, rank, key, reason>>`` of top-level strings that hit."""
+    """``array<struct<named, rank, key, reason>>`` of top-level strings that hit.
+
+    In a document with a repeated nested key no types are known; there a nested
+    value whose text also stands in the document as a string is taken for one
+    and scanned: the doubt falls on the side of a hit.
+    """
     both = F.struct(
         tool_input.alias("doc"),
         F.map_entries(F.from_json(tool_input, "map<string,string>")).alias("texts"),
