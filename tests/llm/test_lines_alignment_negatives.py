@@ -108,7 +108,7 @@ def test_alignment_of_awkward_rows(spark, awkward, no_documents, libraries):
     assert empty.collect() == [] and pairs.collect() == []
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=200, deadline=None)
 @given(
     st.lists(
         st.text(st.one_of(st.sampled_from(" \n\t\u00a0▁abs'é日😀.,!-1"), st.characters(exclude_categories=["Cs"])), max_size=40),
