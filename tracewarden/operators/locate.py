@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.session import stored
+
 _WORD = r"[\p{L}\p{N}_]"
 _LINES = "path string, line_no int, line string"
 _PLACES = "path string, anchor bigint, line_no int"
@@ -79,9 +81,9 @@ def _anchors(pieces: Column) -> Column:
 def first_lines(wanted: DataFrame, index: LineIndex) -> DataFrame:
     """``path, text, line`` for each distinct path and text that the file holds: the line of its first place, from 1.
 
-    Empty texts are not looked for.
+    Empty texts are not looked for.  The distinct texts are written aside once, as several steps need them.
     """
-    asks = wanted.where("text <> ''").select("path", "text").distinct()
+    asks = stored(wanted.where("text <> ''").select("path", "text").distinct(), "texts-to-find")
     asks = asks.withColumns({"print": F.xxhash64("text"), "pieces": F.split("text", "\n", -1)})
     key = ["path", "print"]
     anchored = asks.select(*key, F.explode_outer(_anchors(F.col("pieces"))).alias("a")).select(*key, "a.*")

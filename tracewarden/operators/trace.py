@@ -16,6 +16,7 @@ from ..functions.policy import json_field
 from ..functions.text import (
     in_sql, json_field_sql, json_number_sql, json_object_sql, json_value_sql, or_empty, quoted,
 )
+from ..plans.session import stored
 from ..sources.hook_events import EVENT_FIELDS, with_event_columns
 from .locate import LineIndex, first_lines
 from .stopscan import error_text
@@ -220,7 +221,8 @@ def _located_ranges(edit_rows: DataFrame, edits: Column, index: LineIndex) -> Da
     """``event_uid, _ranges`` of events with replacements, the lines found in an index."""
     kept = F.filter(edits, lambda e: F.coalesce(e["new_string"], F.lit("")) != "")
     parts = edit_rows.select("event_uid", F.col("_path").alias("path"), F.posexplode(kept).alias("at", "edit"))
-    parts = parts.withColumn("text", F.when(~audit.has_range(F.col("edit")), F.col("edit.new_string")))
+    # Written aside: the events behind them are made once.
+    parts = stored(parts.withColumn("text", F.when(~audit.has_range(F.col("edit")), F.col("edit.new_string"))), "edits-to-place")
     found = first_lines(parts.where("text is not null"), index)
     line = F.coalesce("line", F.lit(1))
     given = F.col("edit.range")
