@@ -272,6 +272,18 @@ def test_trace_log_round_trip(spark, tmp_path):
     assert list(tmp_path.glob("log/trace_date=2024-01-02/*.json"))
 
 
+def test_compressed_trace_log_holds_the_same_records(spark, tmp_path):
+    rows = [{"hook_event_name": "PreToolUse", "tool_name": "Bash", "tool_input": {"command": f"ls {i}"}} for i in range(400)]
+    built = trace.build_traces(trace.trace_rows(_trace_events(spark, "claude", *rows)), F.lit("/w")).coalesce(1)
+    folders = {codec: str(tmp_path / codec) for codec in ("none", "gzip")}
+    for codec, folder in folders.items():
+        traces.write_traces(built, folder, compression=codec)
+    back = {c: sorted(map(tuple, traces.read_traces(spark, f).select("id", "timestamp", "metadata").collect())) for c, f in folders.items()}
+    assert len(back["gzip"]) == 400 and back["gzip"] == back["none"]
+    size = {c: sum(p.stat().st_size for p in (tmp_path / c).rglob("part-*")) for c in folders}
+    assert size["gzip"] * 4 < size["none"]
+
+
 def test_edited_files_of_events(spark):
     claude = _trace_events(
         spark, "claude",
