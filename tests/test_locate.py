@@ -1,6 +1,7 @@
 """The index finds the line of a text's first place, as a search in the content does."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -47,3 +48,27 @@ def test_ranges_of_an_edit_list(spark, tmp_path):
     by_content = {r["event_uid"]: [tuple(x) for x in r["ranges"]] for r in trace.trace_rows(events, files).collect()}
     assert by_index == by_content
     assert by_index["u1"] == [(2, 2), (7, 9), (3, 4), (1, 2)]
+
+
+def test_many_texts_of_one_file_are_found_like_few(spark, tmp_path):
+    rnd = random.Random(5)
+    content = _content(rnd) + "\n" + _content(rnd)
+    texts = {content[at : at + size] for at in range(0, len(content), 3) for size in (1, 4, 30)} | {"nowhere", "beta\nnowhere"}
+    index = LineIndex.write(spark.createDataFrame([("/w/a", content)], "path string, content string"), str(tmp_path / "index"))
+    wanted = spark.createDataFrame([("/w/a", t) for t in texts], "path string, text string")
+    expected = {t: content[: content.index(t)].count("\n") + 1 for t in texts if t in content}
+    for few in (2, 10_000):
+        assert {r["text"]: r["line"] for r in first_lines(wanted, index, few).collect()} == expected
+
+
+def test_index_takes_no_more_than_the_files(spark, tmp_path):
+    rnd = random.Random(6)
+    content = "\n".join(" ".join(f"{rnd.getrandbits(40):x}" for _ in range(40)) for _ in range(300))
+    files = spark.createDataFrame([(f"/w/{i}", f"{i}{content}") for i in range(4)], "path string, content string").coalesce(1)
+    files.write.parquet(str(tmp_path / "files"))
+    LineIndex.write(files, str(tmp_path / "index"))
+
+    def size(name):
+        return sum(p.stat().st_size for p in Path(tmp_path / name).rglob("*.parquet"))
+
+    assert size("index") < 1.5 * size("files")

@@ -1,9 +1,11 @@
 """Where a text first stands in a file, from a stored index instead of the contents.
 
-The index holds the lines of every file and, for each line, digests of its words and of the whole line.  Of a text to
-be found, the words that no edge cuts and the lines that lie whole inside it must stand in the file with the same
-offsets; the one of them that is rarest in the file gives the candidates by an equi-join, and only their lines are
-compared.  A text without any such anchor is compared with the lines of its own file.
+The index holds the lines of every file.  Of a text to be found the first piece must end a line of the file, or stand in
+one if it is the only piece; the lines of a file of which few texts are asked are compared with each of them.  For files
+of which many texts are asked, digests of the words of each line and of the whole line are made: the words of a text that
+no edge cuts and the lines that lie whole inside it must stand in the file with the same offsets, and the one of them
+that is rarest in the file gives the candidates by an equi-join, so only their lines are compared.  A text without any
+such anchor is compared with the lines of its own file.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from ..plans.session import stored
 
 _WORD = r"[\p{L}\p{N}_]"
 _LINES = "path string, line_no int, line string"
-_PLACES = "path string, anchor bigint, line_no int"
-_COUNTS = "path string, anchor bigint, n bigint"
+#: Texts of one file that are compared with all its lines; more are looked up by their anchors.
+FEW = 64
 
 
 def _words(text: Column) -> Column:
@@ -34,33 +36,21 @@ def _line_anchor(line: Column) -> Column:
 
 @dataclass
 class LineIndex:
-    """Lines, places of their anchors, and how often an anchor stands in a file."""
+    """Lines of files with their numbers, from 1."""
 
     lines: DataFrame
-    places: DataFrame
-    counts: DataFrame
 
     @staticmethod
     def write(files: DataFrame, folder: str) -> LineIndex:
         """Index ``files`` (path, content) below a folder; null contents have no lines."""
-        spark = files.sparkSession
         split = F.posexplode(F.split("content", "\n", -1)).alias("at", "line")
         lines = files.select("path", split).select("path", (F.col("at") + 1).alias("line_no"), "line")
         lines.write.parquet(f"{folder}/lines")
-        lines = spark.read.schema(_LINES).parquet(f"{folder}/lines")
-        anchors = F.array_distinct(
-            F.concat(F.transform(_words(F.col("line")), _word_anchor), F.array(_line_anchor(F.col("line"))))
-        )
-        places = lines.select("path", F.explode(anchors).alias("anchor"), "line_no")
-        places.repartition("path", "anchor").sortWithinPartitions("path", "anchor").write.parquet(f"{folder}/places")
-        places = spark.read.schema(_PLACES).parquet(f"{folder}/places")
-        places.groupBy("path", "anchor").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/counts")
-        return LineIndex.read(spark, folder)
+        return LineIndex.read(files.sparkSession, folder)
 
     @staticmethod
     def read(spark: SparkSession, folder: str) -> LineIndex:
-        tables = {"lines": _LINES, "places": _PLACES, "counts": _COUNTS}
-        return LineIndex(*(spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in tables.items()))
+        return LineIndex(spark.read.schema(_LINES).parquet(f"{folder}/lines"))
 
 
 def _anchors(pieces: Column) -> Column:
@@ -78,24 +68,47 @@ def _anchors(pieces: Column) -> Column:
     return F.flatten(F.transform(pieces, of_piece))
 
 
-def first_lines(wanted: DataFrame, index: LineIndex) -> DataFrame:
+def _begins() -> Column:
+    """Whether a text may begin in a line."""
+    first = F.get("pieces", F.lit(0))
+    return F.when(F.size("pieces") > 1, F.endswith("line", first)).otherwise(F.contains("line", first))
+
+
+def _anchored_starts(asks: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
+    """``path, print, start``: the lines where the rarest anchor of a text would have it begin."""
+    of_line = F.array_distinct(
+        F.concat(F.transform(_words(F.col("line")), _word_anchor), F.array(_line_anchor(F.col("line"))))
+    )
+    places = lines.select("path", F.explode(of_line).alias("anchor"), "line_no")
+    counts = places.groupBy("path", "anchor").agg(F.count(F.lit(1)).alias("n"))
+    anchored = asks.select(*key, F.explode_outer(_anchors(F.col("pieces"))).alias("a")).select(*key, "a.*")
+    counted = anchored.join(counts, ["path", "anchor"], "left")
+    # An anchor that the file lacks comes first: then the text is not there.
+    rarest = counted.groupBy(*key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor", "at")).alias("best"))
+    best = rarest.select(*key, "best.*")
+    placed = best.where("n > 0").join(places, ["path", "anchor"]).select(*key, (F.col("line_no") - F.col("at")).alias("start"))
+    unanchored = best.where("anchor is null").select(*key).join(asks, key).join(lines, "path").where(_begins())
+    return placed.where("start > 0").unionByName(unanchored.select(*key, F.col("line_no").alias("start"))).distinct()
+
+
+def first_lines(wanted: DataFrame, index: LineIndex, few: int = FEW) -> DataFrame:
     """``path, text, line`` for each distinct path and text that the file holds: the line of its first place, from 1.
 
     Empty texts are not looked for.  The distinct texts are written aside once, as several steps need them.
     """
     asks = stored(wanted.where("text <> ''").select("path", "text").distinct(), "texts-to-find")
+    many = asks.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("path")
+    many = stored(many, "files-of-many-texts")
     asks = asks.withColumns({"print": F.xxhash64("text"), "pieces": F.split("text", "\n", -1)})
     key = ["path", "print"]
-    anchored = asks.select(*key, F.explode_outer(_anchors(F.col("pieces"))).alias("a")).select(*key, "a.*")
-    counted = anchored.join(index.counts, ["path", "anchor"], "left")
-    # An anchor that the file lacks comes first: then the text is not there.
-    rarest = counted.groupBy(*key).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor", "at")).alias("best"))
-    best = rarest.select(*key, "best.*")
-    placed = best.where("n > 0").join(index.places, ["path", "anchor"]).select(*key, (F.col("line_no") - F.col("at")).alias("start"))
-    first = F.get("pieces", F.lit(0))
-    begins = F.when(F.size("pieces") > 1, F.endswith("line", first)).otherwise(F.contains("line", first))
-    unanchored = best.where("anchor is null").select(*key).join(asks, key).join(index.lines, "path").where(begins)
-    starts = placed.where("start > 0").unionByName(unanchored.select(*key, F.col("line_no").alias("start"))).distinct()
+    met = asks.join(many, "path", "left_anti").join(index.lines, "path").where(_begins())
+    single = F.size("pieces") == 1
+    # A text of one piece stands in the line already.
+    held_whole = met.where(single).select(*key, F.col("line_no").alias("start"), F.lit(0).alias("last"))
+    starts = met.where(~single).select(*key, F.col("line_no").alias("start")).distinct()
+    if not many.isEmpty():
+        crowded = index.lines.join(many, "path", "left_semi")
+        starts = starts.unionByName(_anchored_starts(asks.join(many, "path", "left_semi"), crowded, key))
     spread = starts.join(asks, key).select(
         *key, "start", (F.size("pieces") - 1).alias("last"), F.posexplode("pieces").alias("at", "piece")
     ).withColumn("line_no", F.col("start") + F.col("at"))
@@ -105,7 +118,7 @@ def first_lines(wanted: DataFrame, index: LineIndex) -> DataFrame:
         .when(F.col("at") == F.col("last"), F.startswith("line", F.col("piece")))
         .otherwise(F.col("line") == F.col("piece"))
     )
-    held = spread.join(index.lines, ["path", "line_no"]).where(fits)
-    whole = held.groupBy(*key, "start", "last").agg(F.count(F.lit(1)).alias("n")).where("n = last + 1")
+    held = spread.join(index.lines, ["path", "line_no"]).where(fits).select(*key, "start", "last")
+    whole = held.unionByName(held_whole).groupBy(*key, "start", "last").agg(F.count(F.lit(1)).alias("n")).where("n = last + 1")
     found = whole.groupBy(*key).agg(F.min("start").alias("line"))
     return found.join(asks, key).select("path", "text", "line")
