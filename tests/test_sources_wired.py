@@ -43,3 +43,12 @@ def test_log_to_trace_stream(spark, tmp_path):
     made = read_traces(spark, str(tmp_path / "out"))
     paths = sorted(r["path"] for r in made.select(F.col("files")[0]["path"].alias("path")).collect())
     assert paths == [".context-compactions", "a.py", "a.py", "b.py"]
+
+
+def test_trace_stream_carries_no_texts(spark, tmp_path):
+    """Texts that a trace only counts are gone before repeated events are looked for."""
+    events = hook_events.stream_hook_events(spark, _log(tmp_path), "cursor", str(tmp_path / "numbers"))
+    writer = decisions.trace_stream(events, None, str(tmp_path / "out"), str(tmp_path / "cp"), F.lit("/w"), compression="gzip")
+    assert not {"content", "prompt", "stdout", "tool_result", "text"} & set(trace.unplaced_rows(events).columns)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    assert list((tmp_path / "out").rglob("*.json.gz")) and read_traces(spark, str(tmp_path / "out")).count() == 4
