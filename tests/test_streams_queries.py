@@ -140,3 +140,10 @@ def test_hot_path_join_keeps_every_read(spark):
     hits = spark.createDataFrame([("/hot", 2, ["- x (/hot)"])], "path string, n_findings int, lines array<string>")
     found = findings_of_reads(reads, hits, "event_uid")
     assert found.count() == 2000 and found.agg(F.sum("file_n")).first()[0] == 4000
+
+
+@pytest.mark.parametrize("name", ["plain_log_edited_set", "plain_log_stop_status"])
+def test_plain_log_lines_are_parsed_once(spark, name):
+    """The acts are written aside: no later step parses the lines again."""
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "hook_event_name" not in plan
