@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewarden.functions import audit, rules
 from tracewarden.operators import analytics, edited, ordered, stopscan, trace
+from tracewarden.plans import registry
 from tracewarden.sources import files as file_source, hook_events, scan_reports, traces
 from tracewarden.sources.decisions import DECISION_COLUMNS, write_decisions
 
@@ -326,3 +327,26 @@ def test_sources_from_disk(spark, tmp_path):
     write_decisions(row, str(tmp_path / "out"))
     write_decisions(row, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_log_epochs_parse_the_lines_once(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1, 0, i), i % 2, ("click", "view", "purchase")[i % 3], 1.0) for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(
+        str(tmp_path / "events.parquet")
+    )
+    epochs = registry._log_epochs(spark, str(tmp_path))
+    assert "from_json" not in epochs._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["session"], r["seq"]): r["epoch"] for r in epochs.collect()}
+    assert got == {(str(i % 2), i): sum(j % 2 == i % 2 and j % 3 == 2 for j in range(i)) for i in range(12)}
+
+
+def test_epochs_are_the_same_in_any_number_of_tasks(spark):
+    rows = [(f"s{i % 3}", i, "stop" if i % 5 == 0 else "edit", f"f{i % 4}") for i in range(200)]
+    frame = spark.createDataFrame(rows, "session string, seq long, kind string, path string")
+    brute = {(s, i): sum(t == s and j < i and k == "stop" for t, j, k, _ in rows) for s, i, _, _ in rows}
+    for parts in (None, 1, 7):
+        epochs = edited.with_epochs(frame, 16, parts)
+        assert {(r["session"], r["seq"]): r["epoch"] for r in epochs.collect()} == brute
+    # The window and the join with the counts of the chunks share one order of the rows.
+    plan = edited.with_epochs(frame, 16, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [sum(_flag") == 1 and plan.index("Join") < plan.index("Window [sum(_flag")

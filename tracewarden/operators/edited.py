@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .ordered import DEFAULT_CHUNK, running_count
 
 
-def with_epochs(activity: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def with_epochs(activity: DataFrame, chunk: int = DEFAULT_CHUNK, parts: int | None = None) -> DataFrame:
     """Number the stretches between stops; a stop closes the one it ends.
 
-    ``activity`` has ``session, seq, kind, path`` with kind edit or stop.
+    ``activity`` has ``session, seq, kind, path`` with kind edit or stop; ``parts`` tasks put it in order.
     """
     acts = activity.where(F.col("kind").isin("edit", "stop"))
-    return running_count(acts, "session", "seq", F.col("kind") == "stop", "epoch", chunk)
+    return running_count(acts, "session", "seq", F.col("kind") == "stop", "epoch", chunk, parts)
 
 
 def edited_set(epochs: DataFrame, limit: int | None = None) -> DataFrame:
