@@ -115,6 +115,8 @@ def file_coverage(ranges: DataFrame, chunk: int = LINES) -> DataFrame:
     distinct = ranges.groupBy("path", "start_line").agg(
         F.max("end_line").alias("end_line"), F.count(F.lit(1)).alias("n")
     )
+    # Written aside: several steps put them in order, and the ranges are made once.
+    distinct = stored(distinct, "coverage-starts")
     merged = running_max(distinct, "path", "start_line", F.col("end_line"), "_reached", chunk)
     fresh = merged.withColumn(
         "_new",
